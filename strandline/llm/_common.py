@@ -61,9 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes, each round written to the checkpoint folder.
     The minima are written before they are joined back, so that Spark can split a hub's rows over several tasks.
-    Loops and repeated edges don't matter; no edges give no rows.
+    Nodes are of any type with an order. Loops and repeated edges don't matter; no edges give no rows.
     """
-    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    a, b = F.col("a"), F.col("b")
     now = checkpoint(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = mark(now)
