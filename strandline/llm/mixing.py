@@ -65,10 +65,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
-    """(key, size, source_size, target, epochs, chosen, taken): a row for each row of docs.
+    """(key, size, source_size, target, epochs, part, taken): a row for each row of docs.
 
-    size: the text's words, 0 if it is null. epochs: how often the document is taken whole; chosen: whether the
-    fractional epoch takes it once more, which it does as long as half of it at least fits; taken: size times both.
+    size: the text's words, 0 if it is null. epochs: how often the document is taken whole; part: how many of its first
+    words the fractional epoch takes: all, none, or for one document of each source what is left of the budget;
+    taken: the words of both.
     Documents of a null source are a source, the last; null keys count as an empty string. Equal keys are ordered by
     the row's key and then its size, repeated rows in any way, as they are alike. An empty table gives an empty result.
     weight: a document's quality, over 0; by default quality() of its text.
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     edge = _small(edge.select(F.col("s").alias("es"), F.col("e.bin").alias("edge"), F.col("e.base").alias("base")))
     full = binned.join(edge, F.col("s").eqNullSafe(F.col("es")), "left")
     ahead = F.col("base") + F.sum("size").over(Window.partitionBy("s").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    at_edge = full.where("bin = edge").withColumn("chosen", 2 * ahead + F.col("size") <= 2 * F.col("budget"))
-    rest = full.where("edge is null or bin != edge").withColumn("chosen", F.col("edge").isNull() | (F.col("bin") < F.col("edge")))
-    both = at_edge.unionByName(rest).withColumn("chosen", F.col("chosen") & (F.col("budget") > 0))
-    return both.select(F.col("id").alias(key), "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"))
+    at_edge = full.where("bin = edge").withColumn("part", F.least("size", F.greatest(F.lit(0), F.floor("budget") - ahead)).cast("long"))
+    rest = full.where("edge is null or bin != edge").withColumn("part", F.when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.col("size")).otherwise(F.lit(0)).cast("long"))
+    both = at_edge.unionByName(rest).withColumn("part", F.when(F.col("budget") > 0, F.col("part")).otherwise(F.lit(0)).cast("long"))
+    return both.select(F.col("id").alias(key), "size", "source_size", "target", "epochs", "part", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"))

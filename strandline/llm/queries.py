@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, embed_dedup, langid, mixing, quality, secrets, simhash, suffix_dedup, urls
+from strandline.llm import chat, embed_dedup, langid, mixing, quality, secrets, simhash, sql, suffix_dedup, urls
 from strandline.llm._common import table
 
 # The rules of op9, and the conversation that op5 adds.
@@ -73,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express over whole tables."""
+    return sql.QUERIES
