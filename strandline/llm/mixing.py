@@ -64,32 +64,69 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return w.select("source", "source_size", F.least("most", F.coalesce(F.col("share") * F.col("w"), "most")).alias("target"))
 
 
+def _rows(docs: DataFrame, seed: int, key: str, text: str, source: str, weight: Column | None) -> DataFrame:
+    """docs with _size, _at (the sampling key) and _source in front."""
+    w = quality(F.col(text)) if weight is None else weight
+    return docs.select(words(F.col(text)).alias("_size"), (-F.log(uniform(F.col(key), seed)) / w).alias("_at"), F.col(source).alias("_source"), "*")
+
+
+def _place(key: str) -> Column:
+    """What orders a source's documents."""
+    return F.struct(F.col("_at").alias("at"), F.col(key).alias("id"), F.col("_size").alias("size"))
+
+
+def _bin(bins: Column) -> Column:
+    return F.least(bins - 1, F.floor((F.lit(1.0) - F.exp(-F.col("_at"))) * bins))
+
+
+def plan(rows: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """A row for each source: s, source_size, target, epochs, and where the fractional epoch ends.
+
+    cut: the document (by _place) that it takes in part only, null if there is none, and part: how many words of it.
+    """
+    sources = checkpoint(rows.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")).withColumnRenamed("_source", "source"))
+    got = sources.join(targets(sources, weights, cap).select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    got = got.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    got = got.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    got = checkpoint(got.withColumn("bins", F.ceil(F.col("n") / F.lit(BIN)).cast("long")))
+    binned = rows.join(_small(got.select("s", "budget", "bins")), F.col("_source").eqNullSafe(F.col("s"))).withColumn("bin", _bin(F.col("bins")))
+    sums = binned.groupBy("s", "bin", "budget").agg(F.sum("_size").alias("in_bin"))
+    upto = F.sum("in_bin").over(Window.partitionBy("s").orderBy("bin"))
+    edge = sums.withColumn("upto", upto).where("upto > budget").groupBy("s").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("base")), "bin").alias("e"))
+    edge = edge.select(F.col("s").alias("es"), F.col("e.bin").alias("edge"), F.col("e.base").alias("base"))
+    last = binned.join(_small(edge), F.col("s").eqNullSafe(F.col("es")) & (F.col("bin") == F.col("edge"))).withColumn("place", _place(key))
+    upto = F.col("base") + F.sum("_size").over(Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = last.withColumn("part", F.col("budget") - upto + F.col("_size")).where("part < _size")
+    cut = last.groupBy("s").agg(F.min_by(F.struct("place", "part"), "place").alias("c")).select(F.col("s").alias("cs"), "c")
+    return got.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").select("s", "source_size", "target", "epochs", F.col("c.place").alias("cut"), F.col("c.part").alias("cut_part"))
+
+
+def _planned(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows with their source's plan, and part: the words that the fractional epoch takes."""
+    part = F.when(F.col("cut").isNull() | (_place(key) < F.col("cut")), F.col("_size")).when(_place(key) == F.col("cut"), F.col("cut_part")).otherwise(F.lit(0))
+    return rows.join(_small(of), F.col("_source").eqNullSafe(F.col("s"))).withColumn("part", part.cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
     """(key, size, source_size, target, epochs, part, taken): a row for each row of docs.
 
     size: the text's words, 0 if it is null. epochs: how often the document is taken whole; part: how many of its first
     words the fractional epoch takes: all, none, or for one document of each source what is left of the budget;
     taken: the words of both.
-    Documents of a null source are a source, the last; null keys count as an empty string. Equal keys are ordered by
-    the row's key and then its size, repeated rows in any way, as they are alike. An empty table gives an empty result.
-    weight: a document's quality, over 0; by default quality() of its text.
+    Documents of a null source are a source, the last; null keys count as an empty string. Equal sampling keys are
+    ordered by the row's key, then its size; rows repeated in full are taken alike. An empty table gives an empty
+    result; other columns are not read. weight: a document's quality, over 0; by default quality() of its text.
     """
-    w = quality(F.col(text)) if weight is None else weight
-    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), (-F.log(uniform(F.col(key), seed)) / w).alias("at"))
+    rows = _rows(docs, seed, key, text, source, weight).select("_size", "_at", "_source", F.col(key).alias(key))
     rows = checkpoint(rows)
-    sources = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    plan = sources.join(targets(sources, weights, cap).select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("bins", F.ceil(F.col("n") / F.lit(BIN)).cast("long"))
-    plan = _small(plan.withColumnRenamed("source", "s"))
-    binned = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("bin", F.least(F.col("bins") - 1, F.floor((F.lit(1.0) - F.exp(-F.col("at"))) * F.col("bins"))))
-    sums = checkpoint(binned.groupBy("s", "bin", "budget").agg(F.sum("size").alias("in_bin")))
-    upto = F.sum("in_bin").over(Window.partitionBy("s").orderBy("bin"))
-    edge = sums.withColumn("upto", upto).where("upto > budget").groupBy("s").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("base")), "bin").alias("e"))
-    edge = _small(edge.select(F.col("s").alias("es"), F.col("e.bin").alias("edge"), F.col("e.base").alias("base")))
-    full = binned.join(edge, F.col("s").eqNullSafe(F.col("es")), "left")
-    ahead = F.col("base") + F.sum("size").over(Window.partitionBy("s").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    at_edge = full.where("bin = edge").withColumn("part", F.least("size", F.greatest(F.lit(0), F.floor("budget") - ahead)).cast("long"))
-    rest = full.where("edge is null or bin != edge").withColumn("part", F.when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    both = at_edge.unionByName(rest).withColumn("part", F.when(F.col("budget") > 0, F.col("part")).otherwise(F.lit(0)).cast("long"))
-    return both.select(F.col("id").alias(key), "size", "source_size", "target", "epochs", "part", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"))
+    got = _planned(rows, plan(rows, key, weights, cap), key)
+    return got.select(key, F.col("_size").alias("size"), "source_size", "target", "epochs", "part", (F.col("_size") * F.col("epochs") + F.col("part")).alias("taken"))
+
+
+def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken, whole. What mix() takes in part is in if that is half of it or more."""
+    rows = _rows(docs, seed, key, text, source, weight)
+    small = checkpoint(rows.select("_size", "_at", "_source", F.col(key).alias(key)))
+    got = _planned(rows, plan(small, key, weights, cap), key)
+    times = (F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("_size")), 1).otherwise(0)).cast("int")
+    return got.withColumn("_n", F.explode(F.array_repeat(F.lit(True), times))).select(*(F.col(c) for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, embed_dedup, langid, mixing, quality, secrets, simhash, sql, suffix_dedup, urls
+from strandline.llm import chat, embed_dedup, langid, mixing, packing, quality, secrets, simhash, sql, suffix_dedup, urls
 from strandline.llm._common import table
 
 # The rules of op9, and the conversation that op5 adds.
@@ -34,6 +34,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"))
@@ -68,7 +72,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = [op1_suffix_array_dedup, op2_secret_scan, op3_simhash_near_dedup, op5_chat_formatting, op6_quality_rules, op7_language_id, op8_mixing_to_weights, op9_url_filters, op10_embedding_near_dedup]
+    of = [op1_suffix_array_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_best_fit_packing, op5_chat_formatting, op6_quality_rules, op7_language_id, op8_mixing_to_weights, op9_url_filters, op10_embedding_near_dedup]
     return {f.__name__: f for f in of}
 
 
