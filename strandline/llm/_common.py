@@ -18,15 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset, a temporary folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, a temporary one is made.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
-        sc.setCheckpointDir(place)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandline.llm import chat, embed_dedup, langid, mixing, packing, quality, secrets, simhash, sql, suffix_dedup, urls
 from strandline.llm._common import table
 
@@ -73,9 +74,9 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = [op1_suffix_array_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_best_fit_packing, op5_chat_formatting, op6_quality_rules, op7_language_id, op8_mixing_to_weights, op9_url_filters, op10_embedding_near_dedup]
-    return {f.__name__: f for f in of}
+    return {**{f.__name__: f for f in of}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express over whole tables."""
-    return sql.QUERIES
+    return {**sql.QUERIES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

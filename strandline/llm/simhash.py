@@ -5,7 +5,8 @@ word shingles. Fingerprints link if few bits differ; a component is what links c
 
 Distinct fingerprints, not documents, are compared: copies fall together before anything is dealt out. Two
 fingerprints that differ in r bits or fewer agree wholly on all but r of any r + k bands, so each choice of bands to
-leave out gives blocks that no link escapes (5 bands for r = 2: ten choices, 38 bits or more in common). Each block is
+leave out gives blocks that no link escapes (5 bands for r = 2: ten choices, 38 bits in common or more; 9 for r = 6: 84
+choices, 21 bits). Each block is
 searched with a BK-tree: a child hangs at its integer Hamming distance from its parent, and a search follows only the
 edges within the radius. Blocks of more than SHARD fingerprints are cut into shards, and each pair of shards is a task:
 one shard's tree, asked by the other's members. A tree thus holds SHARD fingerprints at most, which bounds what is
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm._common import checkpoint, components
 
-SHINGLE, RADIUS, BANDS, SHARD = 5, 3, 6, 4096
+#: 6 of 64 bits: where the Jaccard similarity of the shingles is about 0.92 (0.8 would be 10 bits, too many to search exactly).
+SHINGLE, RADIUS, BANDS, SHARD = 5, 6, 9, 4096
 SEED = 42
 
 
