@@ -5,9 +5,11 @@ same one at an earlier place) is removed. Strings never cross documents and are
 
 How equal strings meet. Each window of `length` bytes picks an anchor, the smallest hash among its grams of length/4
 bytes, the leftmost if they tie. Equal windows pick the same anchor, so the anchor's hash deals all windows out without
-losing a match. Neighbouring windows mostly share their anchor, and are sent as one context, under twice `length` long.
-Contexts that a block of documents holds twice are sent once (compared byte by byte), so a passage that stands in a
-third of all documents reaches its bucket once for each block of BLOCK bytes.
+losing a match. Neighbouring windows mostly share their anchor and form a context, under twice `length` long.
+
+First only the anchors' hashes are dealt out, to find those that occur once: no window there can have a match. Then the
+other contexts are. In both rounds what a block of documents holds twice is sent once (contexts are compared byte by
+byte), so a passage that stands in a third of all documents reaches its bucket once for each block of BLOCK bytes.
 
 The index. A bucket is an index family of logarithmic size: contexts come in batches; each batch gets a suffix array,
 which is merge-scanned against the existing levels; what is new becomes a level, and levels of like size merge. First
@@ -15,7 +17,7 @@ this is done with the suffixes that begin a context and reach to its end, which
 Then, for anchors that still have several contexts, with all their suffixes of `length` bytes or more (sorted by prefix
 doubling, compared to that depth). Each string keeps its earliest place; a place that loses is reported as a span.
 
-Spans are joined to the documents, which are dealt out once.
+Both rounds' results are joined to the documents by key; Spark deals the documents out once and uses that twice.
 """
 
 from __future__ import annotations
@@ -85,10 +87,10 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 class Contexts:
-    """Arrays of contexts: anchor hash, document (k, h), start, size, place of the anchor; data: their bytes, end to end."""
+    """Arrays of contexts: document (k, h), start, size, place of the anchor; data: their bytes, end to end."""
 
     HEAD = struct.Struct("<I")
-    FIELDS = (("anchor", "<u8"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("size", "<u2"), ("at", "<u2"))
+    FIELDS = (("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("size", "<u2"), ("at", "<u2"))
 
     @staticmethod
     def pack(columns: list[np.ndarray], data: np.ndarray, squeeze) -> bytes:
@@ -110,65 +112,115 @@ class Contexts:
         return {name: np.concatenate(x) for name, x in got.items()}, np.concatenate(data)
 
 
-def block_contexts(segments: list[tuple[int, int, int, bytes]], length: int):
-    """Of segments (k, h, base, bytes) in order: the columns of distinct contexts, their places in the block, the block, and spans that repeat within it."""
-    gram = length // 4
-    text = np.frombuffer(b"".join(s[3] for s in segments), "u1")
-    sizes = np.array([len(s[3]) for s in segments])
-    ends = np.cumsum(sizes)
-    if len(text) < length:
-        return None
-    hashes = gram_hashes(text, gram)
-    low = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    wide, m = length - gram + 1, 1
-    while 2 * m <= wide:
-        low = np.minimum(low[:-m], low[m:])
-        m *= 2
-    if m < wide:
-        low = np.minimum(low[: len(text) - length + 1], low[wide - m :])
-    anchor = (low & PLACE).astype(np.int32)
-    for e, size in zip(ends, sizes, strict=True):  # windows that would cross into the next segment
-        anchor[max(e - length + 1, e - size) : e] = -1
-    turn = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-    p = np.concatenate(([0], turn))
-    q = np.concatenate((turn, [len(anchor)])) - 1
-    real = anchor[p] >= 0
-    p, q = p[real], q[real]
-    if not len(p):
-        return None
-    at, size = anchor[p] - p, q - p + length
-    doc = np.searchsorted(ends, p, side="right")
-    k, h, base = (np.array([s[c] for s in segments], dtype=np.int64) for c in range(3))
-    start = base[doc] + p - (ends - sizes)[doc]
-    key = (size * 4096 + at).astype(np.uint64) * np.uint64(ODD)
-    for j in range(-(-(2 * length - gram) // (2 * gram))):  # grams from both ends cover the whole context
-        for place in (p + j * gram, p + size - (j + 1) * gram):
-            key = (key ^ hashes[place]) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(31)
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(p), dtype=bool)
-    same[1:] = key[order[1:]] == key[order[:-1]]
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(p))))]
-    twin, of = order[same], head[same]
-    equal = (size[twin] == size[of]) & (at[twin] == at[of])
-    steps = np.arange(2 * length - gram)
-    for j in range(0, len(twin), 1 << 15):
-        a, b, n = (x[j : j + (1 << 15), None] for x in (p[twin], p[of], size[twin]))
-        inside = steps < n
-        last = len(text) - 1
-        equal[j : j + (1 << 15)] &= ((text[np.minimum(a + steps, last)] == text[np.minimum(b + steps, last)]) | ~inside).all(axis=1)
-    twin, of = twin[equal], of[equal]
-    keep = np.ones(len(p), dtype=bool)
-    keep[twin] = False
-    later = (k[doc[twin]] != k[doc[of]]) | (h[doc[twin]] != h[doc[of]]) | (start[twin] != start[of])  # not the same place of a repeated row
-    lost = np.sort(twin[later])
-    new = np.concatenate(([True], (k[doc[1:]] != k[doc[:-1]]) | (h[doc[1:]] != h[doc[:-1]]) | (start[1:] < start[:-1])))
-    number = np.cumsum(new)  # segments of a document are one; a repeated row is another
-    _, s, e = _merged(number[lost], start[lost], start[lost] + size[lost])
-    first = lost[np.searchsorted(number[lost] * (1 << 40) + start[lost], _ * (1 << 40) + s)]
-    spans = (k[doc[first]], h[doc[first]], s, e)
-    columns = [hashes[p + at], k[doc], h[doc], start, size, at]
-    return [c[keep] for c in columns], p[keep], text, spans
+class Block:
+    """The contexts of segments (k, h, base, bytes, ...) in order: place p in the block, size, anchor's place at, and whose they are."""
+
+    def __init__(self, segments: list[tuple], length: int) -> None:
+        gram = length // 4
+        self.length = length
+        self.text = text = np.frombuffer(b"".join(s[3] for s in segments), "u1")
+        sizes = np.array([len(s[3]) for s in segments])
+        ends = np.cumsum(sizes)
+        self.hashes = hashes = gram_hashes(text, gram)
+        low = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        wide, m = length - gram + 1, 1
+        while 2 * m <= wide:
+            low = np.minimum(low[:-m], low[m:])
+            m *= 2
+        if m < wide:
+            low = np.minimum(low[: len(text) - length + 1], low[wide - m :])
+        anchor = (low & PLACE).astype(np.int32)
+        for e, size in zip(ends, sizes, strict=True):  # windows that would cross into the next segment
+            anchor[max(e - length + 1, e - size) : e] = -1
+        turn = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+        p = np.concatenate(([0], turn))
+        q = np.concatenate((turn, [len(anchor)])) - 1
+        real = anchor[p] >= 0
+        self.p, q = p[real], q[real]
+        self.at, self.size = anchor[self.p] - self.p, q - self.p + length
+        doc = np.searchsorted(ends, self.p, side="right")
+        self.k, self.h, base = (np.array([s[c] for s in segments], dtype=np.int64)[doc] for c in range(3))
+        self.start = base + self.p - (ends - sizes)[doc]
+        new = np.ones(len(self.p), dtype=bool)
+        new[1:] = (self.k[1:] != self.k[:-1]) | (self.h[1:] != self.h[:-1]) | (self.start[1:] <= self.start[:-1])
+        self.doc = np.cumsum(new)  # segments of a document are one; a repeated row is another
+
+    def anchors(self) -> np.ndarray:
+        return self.hashes[self.p + self.at]
+
+    def only(self, keep: np.ndarray) -> None:
+        for name in ("p", "at", "size", "k", "h", "start", "doc"):
+            setattr(self, name, getattr(self, name)[keep])
+
+    def collapse(self) -> tuple[np.ndarray, ...]:
+        """Keeps the first of contexts that are equal; returns the spans (k, h, start, end) of the others."""
+        p, at, size, text, gram = self.p, self.at, self.size, self.text, self.length // 4
+        key = (size * 4096 + at).astype(np.uint64) * np.uint64(ODD)
+        for j in range(-(-(2 * self.length - gram) // (2 * gram))):  # grams from both ends cover the whole context
+            for place in (p + j * gram, p + size - (j + 1) * gram):
+                key = (key ^ self.hashes[place]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(31)
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(len(p), dtype=bool)
+        same[1:] = key[order[1:]] == key[order[:-1]]
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(p))))] if len(p) else order
+        twin, of = order[same], head[same]
+        equal = (size[twin] == size[of]) & (at[twin] == at[of])
+        steps, last = np.arange(2 * self.length - gram), len(text) - 1
+        for j in range(0, len(twin), 1 << 15):
+            a, b, n = (x[j : j + (1 << 15), None] for x in (p[twin], p[of], size[twin]))
+            equal[j : j + (1 << 15)] &= ((text[np.minimum(a + steps, last)] == text[np.minimum(b + steps, last)]) | (steps >= n)).all(axis=1)
+        twin, of = twin[equal], of[equal]
+        later = (self.k[twin] != self.k[of]) | (self.h[twin] != self.h[of]) | (self.start[twin] != self.start[of])  # not the same place of a repeated row
+        lost = np.sort(twin[later])
+        code = (self.doc[lost] << 40) | self.start[lost]
+        number, s, e = _merged(self.doc[lost], self.start[lost], self.start[lost] + size[lost])
+        first = lost[np.searchsorted(code, (number << 40) | s)]
+        spans = (self.k[first], self.h[first], s, e)
+        keep = np.ones(len(p), dtype=bool)
+        keep[twin] = False
+        self.only(keep)
+        return spans
+
+
+def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    turn = np.flatnonzero(bucket[order][1:] != bucket[order][:-1]) + 1
+    for a, b in pairwise([0, *turn, len(order)] if len(order) else []):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+#: An anchor's hash within its bucket, document (k, h), start; its own block has it twice.
+ANCHOR = (("hash", "<u4"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("twice", "?"))
+
+
+def pack_anchors(block: Block, buckets: int, squeeze) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, blob): each anchor hash of the block once (kind 0), and places whose anchor it has twice (kind 1)."""
+    anchor = block.anchors()
+    _, first, number, count = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+    twice = count[number] > 1
+    bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+    columns = ((anchor // np.uint64(buckets)).astype("<u4"), block.k, block.h, block.start, twice)
+    for b, own in _grouped(bucket[np.sort(first)]):
+        own = np.sort(first)[own]
+        yield b, 0, squeeze.compress(b"".join(c[own].astype(t).tobytes() for c, (_, t) in zip(columns, ANCHOR, strict=True)))
+    if twice.any():
+        yield int(bucket[np.argmax(twice)]), 1, np.stack((block.k[twice], block.h[twice], block.start[twice])).astype("<i8").tobytes()
+
+
+def repeated_anchors(blobs: list[bytes]) -> np.ndarray:
+    """(k, h, start) of a bucket's anchors that occur more than once, but for those that their block reports itself."""
+    wide, width = zstandard.ZstdDecompressor(), sum(np.dtype(t).itemsize for _, t in ANCHOR)
+    got: dict[str, list] = {name: [] for name, _ in ANCHOR}
+    for blob in blobs:
+        raw, at = wide.decompress(blob), 0
+        n = len(raw) // width
+        for name, kind in ANCHOR:
+            got[name].append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    c = {name: np.concatenate(x) for name, x in got.items()}
+    pick = _shared(c["hash"]) & ~c["twice"]
+    return np.stack([c[x][pick] for x in ("k", "h", "start")])
 
 
 class Levels:
@@ -250,12 +302,13 @@ def _shared(anchor: np.ndarray) -> np.ndarray:
 def bucket_spans(blobs: list[bytes], length: int, batch: int = BATCH, windows: int = WINDOWS) -> tuple[np.ndarray, ...]:
     """(k, h, start, end) of what is not the earliest of its string, among the contexts of one bucket."""
     c, data = Contexts.unpack(blobs)
-    size = c["size"].astype(np.int64)
+    size, gram = c["size"].astype(np.int64), length // 4
     begin = np.cumsum(size) - size
-    pick = np.flatnonzero(_shared(c["anchor"]))
+    anchor = data[(begin + c["at"])[:, None] + np.arange(gram)].view(f"S{gram}").ravel()
+    pick = np.flatnonzero(_shared(anchor))
     if not len(pick):
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    anchor, k, h, start, size, at, begin = (x[pick] for x in (c["anchor"], c["k"], c["h"], c["start"], size, c["at"], begin))
+    anchor, k, h, start, size, at, begin = (x[pick] for x in (anchor, c["k"], c["h"], c["start"], size, c["at"], begin))
     order = np.lexsort((h, k))
     new = np.concatenate(([False], (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])))
     doc = np.empty(len(k), dtype=np.int64)
@@ -316,74 +369,98 @@ def bucket_spans(blobs: list[bytes], length: int, batch: int = BATCH, windows: i
 SPANS = "k long, h long, s long, e long"
 
 
-def _spans(docs: DataFrame, length: int, block: int, batch: int, windows: int) -> DataFrame:
-    """(k, h, s, e): removed spans of documents (k, h, text as bytes); they may overlap."""
-    parts = slices(docs, 4)
-    buckets = max(2 * parts, min(1 << 24, bytes_of(docs) // 1_000_000))
+def _segments(text: bytes, length: int, block: int) -> Iterator[tuple[int, bytes]]:
+    """(base, bytes): every window of the text is in just one."""
+    for base in range(0, len(text) - length + 1, block):
+        yield base, text[base : base + block + length - 1]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, int, int, bytes]] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: x[:3])
-            got = block_contexts(held, length)
-            held.clear()
-            if got is None:
-                return
-            columns, p, text, spans = got
-            bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.flatnonzero(np.append(bucket[order][1:] != bucket[order][:-1], True)) + 1 if len(order) else []
-            numbers, kinds, blobs = [], [], []
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                own = order[a:b]
-                data = text[_ragged(p[own], columns[4][own])]
-                numbers.append(bucket[own[0]])
-                kinds.append(0)
-                blobs.append(Contexts.pack([c[own] for c in columns], data, squeeze))
-            if len(spans[0]):
-                numbers.append(abs(int(spans[1][0])) % buckets)
-                kinds.append(1)
-                blobs.append(np.stack(spans).astype("<i8").tobytes())
-            for j in range(0, len(blobs), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[j : j + 256], pa.int64()), pa.array(kinds[j : j + 256], pa.int32()), pa.array(blobs[j : j + 256], pa.binary())], names=["bucket", "kind", "blob"])
+def _blobs(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for j in range(0, len(rows), 256):
+        n, kind, blob = zip(*rows[j : j + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
 
-        full = 0
-        for batch_ in batches:
-            for k, h, text in zip(batch_.column(0).to_pylist(), batch_.column(1).to_pylist(), batch_.column(2), strict=True):
-                text = text.as_py() or b""
-                for base in range(0, len(text) - length + 1, block):
-                    segment = text[base : base + block + length - 1]
-                    held.append((k, h, base, segment))
-                    full += len(segment)
-                    if full >= block:
-                        yield from out()
-                        full = 0
-        yield from out()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blobs = None, []
 
-        def spans() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in bucket_spans(blobs, length, batch, windows)], names=["k", "h", "s", "e"])
+def _by_bucket(dealt: DataFrame, parts: int, names: list[str], make) -> DataFrame:
+    """Longs by `names`: what make gives for each bucket's blobs of kind 0, and what blobs of kind 1 hold as they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
+        told = lambda x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=names)
         for rows in batches:
-            for bucket, kind, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+            for bucket, kind, blob in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.frombuffer(blob, "<i8").reshape(4, -1)], names=["k", "h", "s", "e"])
+                    yield told(np.frombuffer(blob, "<i8").reshape(len(names), -1))
                     continue
                 if bucket != at and blobs:
-                    yield spans()
+                    yield told(make(blobs))
                     blobs.clear()
                 at = bucket
                 blobs.append(blob)
         if blobs:
-            yield spans()
+            yield told(make(blobs))
 
-    dealt = docs.select("k", "h", "text").mapInArrow(cut, "bucket long, kind int, blob binary")
     dealt = dealt.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(find, SPANS)
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _spans(docs: DataFrame, length: int, block: int, batch: int, windows: int, parts: int, buckets: int) -> DataFrame:
+    """(k, h, s, e): removed spans of documents (id, k, h, text as bytes); they may overlap."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        """Of columns k, h, text and perhaps starts: then only contexts that begin there."""
+        held: list[tuple] = []
+        full = 0
+
+        def out() -> Block:
+            held.sort(key=lambda x: x[:3])
+            made = Block(held, length)
+            if len(held[0]) > 4:
+                size = [len(x[4]) for x in held]
+                wanted = np.concatenate([x[4] for x in held])
+                number = {x: n for n, x in enumerate(dict.fromkeys((x[0], x[1]) for x in held))}
+                of = np.repeat([number[x[0], x[1]] for x in held], size)
+                mine = np.array([number[x] for x in zip(made.k.tolist(), made.h.tolist(), strict=True)], dtype=np.int64)
+                made.only(np.isin((mine << 40) | made.start, (of << 40) | wanted))
+            held.clear()
+            return made
+
+        for rows in batches:
+            names = rows.schema.names
+            starts = rows.column(names.index("starts")) if "starts" in names else None
+            for n, (k, h, text) in enumerate(zip(rows.column(names.index("k")).to_pylist(), rows.column(names.index("h")).to_pylist(), rows.column(names.index("text")), strict=True)):
+                more = () if starts is None else (np.array(starts[n].as_py(), dtype=np.int64),)
+                for base, segment in _segments(text.as_py() or b"", length, block):
+                    held.append((k, h, base, segment, *more))
+                    full += len(segment)
+                    if full >= block:
+                        yield out()
+                        full = 0
+        if held:
+            yield out()
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for made in blocks(batches):
+            yield from _blobs(list(pack_anchors(made, buckets, squeeze)))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for made in blocks(batches):
+            spans = made.collapse()
+            rows = []
+            for b, own in _grouped((made.anchors() % np.uint64(buckets)).astype(np.int64)):
+                data = made.text[_ragged(made.p[own], made.size[own])]
+                rows.append((b, 0, Contexts.pack([c[own] for c in (made.k, made.h, made.start, made.size, made.at)], data, squeeze)))
+            if len(spans[0]):
+                rows.append((int(spans[2][0] + spans[0][0]) % buckets, 1, np.stack(spans).astype("<i8").tobytes()))
+            yield from _blobs(rows)
+
+    blob = "bucket long, kind int, blob binary"
+    twice = _by_bucket(docs.select("k", "h", "text").mapInArrow(anchors, blob), parts, ["k", "h", "start"], repeated_anchors)
+    wanted = twice.groupBy("k", "h").agg(F.collect_list("start").alias("starts"))
+    again = docs.join(wanted, ["k", "h"]).select("id", "k", "h", "text", "starts").mapInArrow(contexts, blob)
+    return _by_bucket(again, parts, ["k", "h", "s", "e"], lambda blobs: bucket_spans(blobs, length, batch, windows))
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", block: int = BLOCK, batch: int = BATCH, windows: int = WINDOWS) -> DataFrame:
@@ -398,8 +475,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     if length < 4 or length % 4:
         raise ValueError("length must be a multiple of four")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(data).alias("h"), data.alias("text"))
-    found = _spans(rows, length, block, batch, windows).groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    k = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    # Texts' hashes cost more to send than all else but the texts, and tell rows apart only if keys don't.
+    unique = docs.groupBy(k).count().where("count > 1").isEmpty()
+    h = F.lit(0).cast("long") if unique else F.xxhash64(data)
+    rows = docs.select(F.col(key).alias("id"), k.alias("k"), h.alias("h"), data.alias("text"))
+    parts = slices(docs, 4)
+    buckets = max(2 * parts, min(1 << 24, bytes_of(docs) // 1_000_000))
+    found = _spans(rows, length, block, batch, windows, parts, buckets).groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -419,5 +502,6 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
     kind = dict(docs.dtypes)[key]
-    joined = rows.join(found, ["k", "h"], "left").select("id", "text", "found")
+    # All columns go on in both joins, so that Spark sees that they deal out the same rows.
+    joined = rows.join(found, ["k", "h"], "left").select("id", "text", "found", "k", "h")
     return joined.mapInArrow(cut, f"`{key}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
