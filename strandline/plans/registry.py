@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strandline.plans import family_queries
+
+MODULES = (family_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
