@@ -139,4 +139,49 @@ LIST = ["loci", "clusters", "loci_list"]
 
 def sql(parts: list[str], select: str, recursive: bool = False) -> str:
     """A statement with the named expressions in front."""
+    if not parts:
+        return select
     return f"WITH {"RECURSIVE " if recursive else ""}{", ".join(CTE[p] for p in parts)}\n{select}"
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci with contig, pos, strand and the family of the lowest threshold."""
+    named = loci_list(spark, sf_dir).where(f"threshold = {THRESHOLDS[0]}").select("locus", "family")
+    return loci(spark, sf_dir).join(named, "locus").select("locus", "genome", "contig", "pos", "strand", "family", "length")
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as alignment hits between 97 names, in the 14 columns."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('c', l_partkey % 97) q", "concat('c', l_suppkey % 97) s", "cast(50 + 5 * round(l_discount * 100) as double) pident", "cast(l_quantity as int) length", "l_linenumber mismatch",
+        "0 gapopen", "1 qstart", "cast(l_quantity as int) qend", "l_linenumber sstart", "cast(l_quantity + 2 * l_linenumber as int) send", "0D evalue", "floor(l_extendedprice) * 1D bitscore",
+        "cast(l_quantity as int) + 3 * l_linenumber qlen", "cast(l_quantity as int) + 9 slen")
+
+
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(locus, length): the names of hits, and some that have none."""
+    return table(spark, sf_dir, "part").where("p_partkey <= 120").selectExpr("concat('c', p_partkey - 1) locus", "p_size length")
+
+
+CTE |= {
+    "features": """features AS (
+    SELECT locus, loci.genome, contig, pos, strand, family, length FROM loci JOIN (SELECT locus, family FROM loci_list WHERE threshold = 50) USING (locus))""",
+    "edges": """pairs AS (
+    SELECT genome, before, family, strand, strand_before, CASE WHEN strand_before = '+' THEN 'D' ELSE 'U' END AS leave, CASE WHEN strand = '+' THEN 'U' ELSE 'D' END AS enter FROM adjacent WHERE before IS NOT NULL
+), edges AS (
+    SELECT src, src_side, dst, dst_side, count(*) AS weight FROM (
+        SELECT before AS src, leave AS src_side, family AS dst, enter AS dst_side FROM pairs UNION ALL SELECT family, enter, before, leave FROM pairs) GROUP BY ALL
+), nodes AS (SELECT family, count(DISTINCT genome) AS n_genomes, count(*) AS n_loci FROM features GROUP BY family)""",
+    "hits": """hits AS (
+    SELECT 'c' || (l_partkey % 97) AS q, 'c' || (l_suppkey % 97) AS s, CAST(50 + 5 * round(l_discount * 100) AS DOUBLE) AS pident, CAST(l_quantity AS INT) AS length, l_linenumber AS mismatch, 0 AS gapopen, 1 AS qstart,
+        CAST(l_quantity AS INT) AS qend, l_linenumber AS sstart, CAST(l_quantity + 2 * l_linenumber AS INT) AS send, 0::DOUBLE AS evalue, floor(l_extendedprice) AS bitscore,
+        CAST(l_quantity AS INT) + 3 * l_linenumber AS qlen, CAST(l_quantity AS INT) + 9 AS slen FROM lineitem)""",
+    "reps": """reps AS (SELECT 'c' || (p_partkey - 1) AS locus, p_size AS length FROM part WHERE p_partkey <= 120)""",
+    "links": """canonical AS (
+    SELECT least(before, family) AS n1, greatest(before, family) || CASE WHEN strand <> strand_before THEN '-' ELSE '' END AS n2, count(*) AS weight FROM pairs GROUP BY ALL)""",
+    "block_links": """single AS (SELECT src, src_side, first(dst) AS dst, first(dst_side) AS dst_side FROM small_edges WHERE src <> dst GROUP BY ALL HAVING count(*) = 1
+), block_links AS (
+    SELECT a.src, a.dst FROM single a JOIN single b ON a.src = b.dst AND a.src_side = b.dst_side AND a.dst = b.src AND a.dst_side = b.src_side
+    JOIN small_nodes x ON x.family = a.src JOIN small_nodes y ON y.family = a.dst WHERE x.n_genomes = y.n_genomes)""",
+}
+FEATURES = [*LIST, "features", "adjacent"]
