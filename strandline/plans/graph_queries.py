@@ -43,13 +43,13 @@ SELECT family AS name, '>' || family || coalesce(':' || t, '') || ';' AS line FR
 
 
 def chain(s, d):
-    """A sparser graph than that of all events: families follow each other on a few contigs, some in one genome only."""
-    rows = loci(s, d).select("locus", "genome", "contig", "pos", "strand", "k").where("k < 60 and pos = 1")
-    return rows.select("locus", F.expr("concat('u', k % 7)").alias("genome"), F.expr("concat('c', k div 12)").alias("contig"), F.col("k").alias("pos"), "strand", F.expr("concat('f', lpad(cast(k as string), 3, '0'))").alias("family")).groupBy("contig", "pos", "family").agg(F.min("genome").alias("genome"), F.min("strand").alias("strand"), F.min("locus").alias("locus"))
+    """A sparser graph than that of all events: one genome, whose families are the values of k in turn, twelve to a contig."""
+    rows = loci(s, d).groupBy("k").agg(F.min("strand").alias("strand"))
+    return rows.select(F.lit("u0").alias("genome"), F.expr("concat('c', k div 12)").alias("contig"), F.col("k").alias("pos"), "strand", F.expr("concat('f', lpad(cast(k as string), 3, '0'))").alias("family"))
 
 
 CHAIN = """, chain AS (
-    SELECT 'c' || (k // 12) AS contig, k AS pos, 'f' || lpad(CAST(k AS VARCHAR), 3, '0') AS family, min('u' || (k % 7)) AS genome, min(strand) AS strand FROM loci WHERE k < 60 AND pos = 1 GROUP BY ALL
+    SELECT 'c' || (k // 12) AS contig, k AS pos, 'f' || lpad(CAST(k AS VARCHAR), 3, '0') AS family, min(strand) AS strand FROM loci GROUP BY ALL
 ), steps AS (
     SELECT family, strand, lag(family) OVER o AS before, lag(strand) OVER o AS strand_before FROM chain WINDOW o AS (PARTITION BY contig ORDER BY pos)
 ), small_pairs AS (SELECT *, CASE WHEN strand_before = '+' THEN 'D' ELSE 'U' END AS leave, CASE WHEN strand = '+' THEN 'U' ELSE 'D' END AS enter FROM steps WHERE before IS NOT NULL
@@ -64,8 +64,7 @@ BLOCK_LINKS = """, single AS (SELECT src, src_side, first(dst) AS dst, first(dst
 
 
 def _chain(s, d):
-    rows = chain(s, d).withColumn("genome", F.lit("u0"))
-    rows = rows.withColumn("locus", F.col("family"))
+    rows = chain(s, d)
     e = graph.edges(rows)
     return e, graph.node_weights(rows)
 
