@@ -33,7 +33,8 @@ password passwd secret token api_key apikey access_key private_key auth authoriz
 credential environment getenv process.env os.environ localhost 127.0.0.1 example.com http:// https:// www. .com .org
 .net /usr/local/bin /var/log /etc/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """
-AROUND, REACH, PER_CHAR = 128, 64, 0.5
+#: Names made of known words cost up to 0.86 bytes a character in trials, random keys 1.0.
+AROUND, REACH, PER_CHAR = 128, 64, 0.9
 
 
 class Novelty:
@@ -41,7 +42,7 @@ class Novelty:
 
     def __init__(self, identifiers: str = IDENTIFIERS) -> None:
         primed = zstandard.ZstdCompressionDict(" ".join(identifiers.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.squeeze = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
+        self.squeeze = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
     def cost(self, around: str, token: str) -> int:
         whole = around.encode(errors="replace")
