@@ -1,4 +1,4 @@
-"""What several operators need: input sizes, checkpoints, connected components."""
+"""What several operators need: input sizes, pieces of batches, and the library's checkpoints and components."""
 
 from __future__ import annotations
 
@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.components import components
+from strandline.functions.names import checkpoint
+
 #: Characters that separate words, as a regular expression class for Java and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+__all__ = ["WORD", "bytes_of", "checkpoint", "components", "pieces", "shared_folder", "slices", "table"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,17 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def bytes_of(df: DataFrame) -> int:
-    """Spark's estimate of the input's size; it only sets how finely work is split."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The input's size, which only sets how finely work is split: Spark's estimate, or what strings and rows add up to where it has none."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 50:
+        return estimate
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(64)))).first()[0] or 0)
 
 
 def slices(df: DataFrame, mb: float) -> int:
@@ -55,29 +57,3 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             held += size + 16
         if begin < len(values):
             yield batch.slice(begin), values[begin:]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the undirected edges (a, b): the smallest node that it reaches.
-
-    Large-star and small-star steps alternate until nothing changes, each round written to the checkpoint folder.
-    The minima are written before they are joined back, so that Spark can split a hub's rows over several tasks.
-    Nodes are of any type with an order. Loops and repeated edges don't matter; no edges give no rows.
-    """
-    a, b = F.col("a"), F.col("b")
-    now = checkpoint(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = mark(now)
-    while was[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpoint(large)
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        if (new := mark(now)) == was:
-            break
-        was = new
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
