@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm._common import checkpoint, components
 
-THRESHOLD, TILE, PIVOTS, SEED = 0.95, 2048, 64, 42
+THRESHOLD, TILE, PIVOTS, SEED = 0.95, 4096, 8, 42
 MARGIN = 1e-6  # for rounding in the estimate's own arithmetic, far above it
 
 
