@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import langid, mixing, packing, secrets, simhash
-from strandline.llm._common import shared_folder
+from strandline.llm._common import checkpoint, shared_folder
 
 #: A text whose language is less likely than this goes; so do texts without letters.
 LEAST_SCORE = 0.5
@@ -29,7 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component; rows that repeat doc_id and text are kept once."""
-    found = simhash.near_duplicates(docs).where("doc_id != component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    copies = checkpoint(simhash.near_copies(docs))
+    found = copies.join(copies.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+    found = found.where("doc_id != component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # far cheaper than dealing out all texts
     return kept if unique else kept.dropDuplicates(["doc_id", "text"])

@@ -15,6 +15,11 @@ Tasks return a star for each group that their links connect, never the pairs.
 A small radius misses near copies that chance puts a bit further apart, and blocks for a large one would be few and grow
 with the corpus. So there can be several tables, each with fingerprints of its own from remixed hashes, and two texts
 link if they do in any table.
+
+SimHash alone can't ask for a Jaccard similarity of 0.8, which leaves about 10 of 64 bits apart. near_copies() therefore
+takes SimHash links as candidates only, adds those of MinHash bands, and compares the shingle sets of what candidates
+connect: texts link if and only if the Jaccard similarity of these sets is LIKENESS or more. A candidate is lost if no
+band and no fingerprint tells of it: at 0.8 about 1 pair in 13,000.
 """
 
 from __future__ import annotations
@@ -31,9 +36,14 @@ from pyspark.sql import functions as F
 from strandline.llm._common import checkpoint, components
 
 #: With 3 of 64 bits in any of 4 tables, texts whose shingles have a Jaccard similarity of 0.97 link in about 93 of 100
-#: cases, of 0.93 in 61, of 0.8 in a few: the similarity asked for is over 0.8, and what is under it hardly ever links.
+#: cases, of 0.93 in 61, of 0.8 in a few. What has to find all from 0.8 takes near_copies().
 SHINGLE, RADIUS, BANDS, TABLES, SHARD = 5, 3, 6, 4, 4096
 SEED = 42
+#: near_copies(): the similarity from which texts link; MinHash bands and the values in each; the most texts and shingles
+#: of a shard; the most of 256 bits apart at which sets of over SMALL shingles are compared (at 0.8: 39 expected, 5.7 the
+#: standard deviation).
+LIKENESS, MIN_BANDS, MIN_ROWS, TEXTS, SHINGLES, SMALL, APART = 0.8, 24, 5, 4096, 4 << 20, 64, 72
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, MIN_BANDS * MIN_ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
 
 def _remixed(h: np.ndarray, table: int) -> np.ndarray:
@@ -45,17 +55,20 @@ def _remixed(h: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints_of(text: bytes | None, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
-    """A fingerprint for each table, of UTF-8 bytes; A-Z count as a-z. Without words: 0."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of UTF-8 bytes; A-Z count as a-z."""
     words = text.lower().split() if text else []
-    if not words:
-        return [0] * tables
     if len(words) <= shingle:
-        found = [b" ".join(words)]
+        found = [b" ".join(words)] if words else []
     else:
         found = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(x, SEED) for x in found), dtype=np.uint64, count=max(1, len(words) - shingle + 1))
+    return np.fromiter((digest(x, SEED) for x in found), dtype=np.uint64)
+
+
+def _fingerprints(h: np.ndarray, tables: int) -> list[int]:
+    if not len(h):
+        return [0] * tables
     out = []
     for table in range(tables):
         ones = np.zeros(64, dtype=np.int64)
@@ -66,6 +79,11 @@ def fingerprints_of(text: bytes | None, shingle: int = SHINGLE, tables: int = 1)
     return out
 
 
+def fingerprints_of(text: bytes | None, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
+    """A fingerprint for each table, of UTF-8 bytes; A-Z count as a-z. Without words: 0."""
+    return _fingerprints(_hashes(text, shingle), tables)
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return fingerprints_of(text, shingle)[0]
 
@@ -185,6 +203,15 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard: int =
     return cut.mapInArrow(run, "t int, a long, b long")
 
 
+def _edges(flat: DataFrame, radius: int, bands: int, shard: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes fp of (fp, t, x) whose fingerprints x link or are equal in a table t."""
+    first = checkpoint(flat.groupBy("t", "x").agg(F.min("fp").alias("rep")))
+    stars = checkpoint(links(first.select("t", F.col("x").alias("fp")), radius, bands, shard))
+    of = lambda c: first.select("t", F.col("x").alias(c), F.col("rep").alias(f"rep_{c}"))
+    edges = stars.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return edges.unionByName(flat.join(first, ["t", "x"]).where("fp != rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS, tables: int = TABLES, shard: int = SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): a row for each row of docs.
 
@@ -196,16 +223,129 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     each = checkpoint(fingerprints(docs.select(F.col(key).alias(key), F.col(text).alias(text)), shingle, tables, text))
     # Texts that share the first fingerprint are linked by it, so it stands for all of them.
     distinct = checkpoint(each.groupBy("fps").agg(F.min(key).alias("least")).withColumn("fp", F.col("fps")[0]))
-    flat = distinct.select("fp", F.posexplode("fps").alias("t", "x"))
-    first = checkpoint(flat.groupBy("t", "x").agg(F.min("fp").alias("rep")))
-    stars = checkpoint(links(first.select("t", F.col("x").alias("fp")), radius, bands, shard))
-    of = lambda c: first.select("t", F.col("x").alias(c), F.col("rep").alias(f"rep_{c}"))
-    edges = stars.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    if tables > 1:
-        edges = edges.unionByName(flat.where("t > 0").join(first, ["t", "x"]).where("fp != rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
+    edges = _edges(distinct.select("fp", F.posexplode("fps").alias("t", "x")), radius, bands, shard)
     found = components(edges)
     named = distinct.groupBy("fp").agg(F.min("least").alias("least")).join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = checkpoint(named)
     least = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id")))
     of_fp = checkpoint(named.join(least, "component").select("fp", "component_id"))
     return each.select(key, F.col("fps")[0].alias("fp")).join(of_fp, "fp").select(key, "fp", "component_id")
+
+
+def _min_bands(h: np.ndarray) -> list[int]:
+    """A key for each MinHash band; none without shingles."""
+    if not len(h):
+        return []
+    least = np.full(MIN_BANDS * MIN_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(h), 4096):
+        np.minimum(least, ((h[k : k + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(MIN_BANDS, MIN_ROWS))]
+
+
+def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
+    """Columns of docs but its last, a text, and those that make(text's bytes) gives as a tuple, by schema."""
+    given = docs.withColumn(docs.columns[-1], F.col(docs.columns[-1]).cast("binary"))
+    more = docs.sparkSession.createDataFrame([], schema).schema
+    kinds = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.list_(pa.int64()) for f in more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                made = [make(t.as_py()) for t in part.columns[-1]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds))], names=names)
+
+    names = [*docs.columns[:-1], *more.names]
+    whole = given.select(*docs.columns[:-1]).schema
+    for f in [*whole]:
+        f.nullable = True
+    for f in more:
+        whole = whole.add(f)
+    return given.mapInArrow(run, whole)
+
+
+def _shingle_set(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """A name for the set (64 bits), and the set in order."""
+    unique = np.unique(h)
+    return _signed(xxhash.xxh3_64_intdigest(unique.tobytes(), SEED)), unique
+
+
+def _alike(ids: list[int], sets: list[np.ndarray], fps: np.ndarray, split: int, likeness: float) -> list[tuple[int, int]]:
+    """Stars of links between the first `split` sets and the others, or within them if there are no others."""
+    n = len(ids)
+    sizes, root = np.array([len(x) for x in sets]), np.arange(n)
+    for i in range(split if split < n else 1, n):
+        end = split if split < n else i
+        small = np.minimum(sizes[:end], sizes[i])
+        apart = np.bitwise_count(fps[:end] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        ask = np.flatnonzero((small >= likeness * np.maximum(sizes[:end], sizes[i])) & ((apart <= APART) | (small <= SMALL)) & (root[:end] != root[i]))
+        ask = ask[np.argsort(apart[ask], kind="stable")]
+        while len(ask):
+            j, ask = ask[0], ask[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= likeness * (sizes[i] + sizes[j] - both):
+                root[root == root[i]] = root[j]
+                ask = ask[root[ask] != root[i]]  # what is connected already needs no comparison
+    return [(ids[k], ids[root[k]]) for k in range(n) if root[k] != k]
+
+
+def _confirmed(cut: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): stars of links in each group of (component, p, q), whose rows have own, id, fps and shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def finish() -> list[tuple[int, int]]:
+            own, others = held
+            if at is None or (at[1] != at[2] and not (own and others)):
+                return []
+            rows = own + others
+            return _alike([x[0] for x in rows], [x[2] for x in rows], np.array([x[1] for x in rows], dtype=np.int64).view(np.uint64), len(own), likeness)
+
+        def out(done: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            sets = batch.column(batch.schema.get_field_index("shingles"))
+            rest = [batch.column(n).to_pylist() for n in ("component", "p", "q", "own", "id", "fps")]
+            for k, (component, p, q, own, i, fps) in enumerate(zip(*rest, strict=True)):
+                if (component, p, q) != at:
+                    yield out(finish())
+                    at, held = (component, p, q), ([], [])
+                held[own != p].append((i, fps, sets[k].values.to_numpy(zero_copy_only=False).copy()))
+        yield out(finish())
+
+    return cut.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, component): a row for each row of docs; component is the same where links connect two texts.
+
+    Texts link if the Jaccard similarity of their sets of shingles is `likeness` or more, and all texts without words
+    do. text_hash is Spark's xxhash64 of the text.
+    """
+    def sketch(t: bytes | None) -> tuple:
+        h = _hashes(t, shingle)
+        name, unique = _shingle_set(h)
+        return name, [_signed(x) for x in _fingerprints(h, TABLES)], _min_bands(unique), len(unique)
+
+    def shingles(t: bytes | None) -> tuple:
+        name, unique = _shingle_set(_hashes(t, shingle))
+        return name, unique.view(np.int64)
+
+    each = checkpoint(_mapped(docs.select(F.col(key).alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), "id long, fps array<long>, bands array<long>, size long", sketch))
+    # Texts of one set can repeat its shingles differently; one of their fingerprints speaks for all.
+    distinct = checkpoint(each.groupBy("id").agg(F.min(F.struct("fps", "bands", "size")).alias("s")).select("id", "s.*"))
+    keys = distinct.select("id", F.explode("bands").alias("band"))
+    shared = checkpoint(keys.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    edges = keys.join(shared, "band").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.posexplode("fps").alias("t", "x")), RADIUS, BANDS, SHARD)).distinct()
+    group = checkpoint(components(edges).join(distinct.select(F.col("id").alias("node"), "fps", "size"), "node"))
+    cuts = checkpoint(group.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("s")))
+    sets = _mapped(docs.select(F.col(text).alias("_text")), "id long, shingles array<long>", shingles).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    cut = sets.join(group.join(cuts, "component").withColumnRenamed("node", "id"), "id")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    cut = cut.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "fps", "shingles")
+    cut = cut.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+    found = components(checkpoint(_confirmed(cut, likeness))).withColumnRenamed("node", "id")
+    return each.join(checkpoint(found), "id", "left").select(key, "text_hash", F.coalesce("component", "id").alias("component"))

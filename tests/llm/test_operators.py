@@ -331,3 +331,29 @@ def test_embeddings(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (40, 45), (7, 7)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 45: 40, 50: 40}
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    """All pairs of five-word Jaccard similarity 0.8 or more, and no others, link: against a comparison of all pairs."""
+    r = random.Random(11)
+    vocab = [f"w{k}" for k in range(2000)]
+    texts = []
+    for n in (6, 9, 30, 120, 400, 1500):
+        for _ in range(12):
+            words = [r.choice(vocab) for _ in range(n)]
+            texts.append(" ".join(words))
+            for share in (0.005, 0.01, 0.02, 0.023, 0.03, 0.05):
+                texts.append(" ".join(r.choice(vocab) if r.random() < share else w for w in words))
+    texts += ["", " ", None, "one", "one two", "ONE two"]
+    sets = [simhash_words(t) for t in texts]
+    link = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    of = plain_components(len(texts), link)
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(docs_of(spark, [(k, t, None, None) for k, t in enumerate(texts)])).collect()}
+    first = {}
+    assert [first.setdefault(got[k], k) for k in range(len(texts))] == [min(j for j in range(len(texts)) if of[j] == of[k]) for k in range(len(texts))]
+    assert simhash.near_copies(docs_of(spark, []).limit(0)).count() == 0
+
+
+def simhash_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
