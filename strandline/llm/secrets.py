@@ -8,6 +8,7 @@ of what stands around cost little; keys cost most of their length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,27 @@ password passwd secret token api_key apikey access_key private_key auth authoriz
 credential environment getenv process.env os.environ localhost 127.0.0.1 example.com http:// https:// www. .com .org
 .net /usr/local/bin /var/log /etc/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """
-#: Names made of known words cost up to 0.86 bytes a character in trials, random keys 1.0.
-AROUND, REACH, PER_CHAR = 128, 64, 0.9
+#: Random keys of 62 letters cost about 1.0 bytes a character, and long ones of fewer letters less: upper-case hex 0.73,
+#: a-z0-9 0.74. In trials all cost OWN times the entropy of their alphabet less SLACK bytes or more, as do many names, of
+#: which 95 of 100 cost under 0.9 bytes. Names have longer runs of one class, so what costs less than PER_CHAR counts only
+#: if its runs are shorter than RUN on average.
+AROUND, REACH, PER_CHAR, OWN, SLACK, RUN = 128, 64, 0.9, 0.95, 2, 4.2
+RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+HEXES = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+CLASSES = [(10, re.compile(r"[0-9]")), (26, re.compile(r"[a-z]")), (26, re.compile(r"[A-Z]")), (4, re.compile(r"[+/_=-]"))]
+
+
+def _letters(token: str) -> int:
+    """The size of the alphabet that the token seems to be drawn from."""
+    return 16 if HEXES.fullmatch(token) else sum(n for n, c in CLASSES if c.search(token))
+
+
+def is_novel(cost: int, token: str, per_char: float = PER_CHAR) -> bool:
+    """Whether a token of letters and digits costs what a random one would."""
+    if cost >= per_char * len(token):
+        return True
+    runs = RUNS.findall(token)
+    return sum(map(len, runs)) < RUN * len(runs) and cost + SLACK >= OWN * len(token) * math.log2(_letters(token)) / 8
 
 
 class Novelty:
@@ -68,7 +88,7 @@ def scan_text(text: str | None, novelty: Novelty, per_char: float = PER_CHAR) ->
             token = m[0]
             if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)) or any(x < b and a < y for x, y, _ in taken):
                 continue
-            if novelty.cost(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token) >= per_char * len(token):
+            if is_novel(novelty.cost(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token), token, per_char):
                 found.append((a, b, 3))
     return sorted(found)
 

@@ -357,3 +357,22 @@ def test_near_copies_are_those_of_brute_force(spark):
 def simhash_words(text):
     w = (text or "").lower().split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_secrets_of_small_alphabets():
+    """Random keys of each alphabet and length cost enough; names made of words don't."""
+    r, novelty = random.Random(4), secrets.Novelty()
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    around = ["def load_config(path):\n    return settings.get('database', default=None)\n", "the house was empty as ever before and nobody had come over the hill "]
+    for letters in (digits + "abcdef", digits + "ABCDEF", digits + lower, digits + lower.upper(), digits + lower + lower.upper()):
+        for n in (20, 32, 40, 64, 128):
+            found = 0
+            for k in range(60):
+                token = "1a" + "".join(r.choice(letters) for _ in range(n - 2)) if "a" in letters else "1A" + "".join(r.choice(letters) for _ in range(n - 2))
+                text = around[k % 2] + "api key is "
+                spans = secrets.scan_text(text + token + "\n" + around[k % 2], novelty)
+                found += any(a <= len(text) and len(text) + n <= b for a, b, _ in spans)
+            assert found >= (54 if n == 20 else 57), (letters, n, found)
+    words = "session account manager handler request service version release windows python server client master sample layer region stage backup primary column schema".split()
+    names = ["_".join(r.choice(words) for _ in range(4)) + f"_{r.randint(1, 99)}" for _ in range(200)]
+    assert sum(bool(secrets.scan_text(around[0] + "api key is " + x + "\n" + around[1], novelty)) for x in names) <= 10
