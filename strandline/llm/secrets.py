@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
-The base kinds are patterns. The method adds `novel`: a long token of letters and digits near a sensitive word whose
+The base kinds are patterns. The method adds `novel`: a long token of letters and digits that ends within REACH characters
+before a sensitive word or starts within as many after it, with the lines and dotted parts that go on with it, whose
 marginal cost is high: the bytes that zstandard needs for the surroundings with the token, less those for the
 surroundings alone, where the compressor is primed with a dictionary of common identifiers. Names, paths and repeats
 of what stands around cost little; keys cost most of their length.
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -24,7 +27,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?ai:secret|token|passw|passphrase|credential|api.?key|access.?key|private.?key|auth|bearer|signature|session)")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: What can follow a part of a key: a part after a dot, or a line that is nothing but a part.
+PART = re.compile(r"""\.([A-Za-z0-9+/_=-]+)|["'\\]?[\x20\t]*\r?\n[\x20\t]*["']?([A-Za-z0-9+/_=-]+)(?=["'\\]?[\x20\t]*(?:\r?\n|\Z))""")
 #: Identifiers that code is full of; the compressor starts with them.
 IDENTIFIERS = """
 import from return class function const static public private protected export default async await string number boolean
@@ -78,19 +84,83 @@ def scan_text(text: str | None, novelty: Novelty, per_char: float = PER_CHAR) ->
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    taken, seen = sorted(found), 0
-    for near in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, max(seen, near.end()), min(len(text), near.end() + REACH + 256)):
-            a, b = m.span()
-            if a > near.end() + REACH:
+    return sorted(found + [(a, b, 3) for a, b in _novel(text, sorted(found), novelty, per_char)])
+
+
+def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_char: float) -> list[tuple[int, int]]:
+    """Spans of whole keys near a sensitive word, before or after it, that no other kind has taken."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+    begins, reach = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
+    found: dict[int, int] = {}
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(begins, b)
+        return not k or reach[k - 1] <= a
+
+    def is_key(a: int, b: int) -> bool:
+        token = text[a:b]
+        mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+        return mixed and is_novel(novelty.cost(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token), token, per_char)
+
+    def follow(a: int, b: int) -> None:
+        """Parts after (a, b) that belong to the same key, up to the first that doesn't."""
+        lines = 1
+        while m := PART.match(text, b):
+            x, y = m.span(m.lastindex)
+            wrapped = m.lastindex == 2
+            if x in found or not free(x, y):
+                return
+            # A short part can't be judged by its cost: it is the last of a wrapped key, or mixes letters and digits.
+            short = any(c.isdigit() for c in text[x:y]) and any(c.isalpha() for c in text[x:y]) or "=" in text[x:y] or wrapped and lines > 1
+            # Lines of a wrapped key are as long as the one before, but for the last.
+            like = wrapped and y - x == b - a >= 32 and not text[x:y].isalpha() and not RUNS.fullmatch(text[x:y])
+            if not (like or (is_key(x, y) if y - x >= LEAST else short)):
+                return
+            found[x] = y
+            lines += wrapped
+            if wrapped and y - x < b - a:
+                return
+            a, b = x, y
+
+    seen = before = 0
+    for near, end in words:
+        for k in range(bisect_right(ends, max(before, near - REACH - 1)), len(tokens)):
+            a, b = max(starts[k], seen), min(ends[k], near)
+            if starts[k] >= near:
+                break
+            before = max(before, ends[k])
+            if b - a >= LEAST and a not in found and free(a, b) and is_key(a, b):
+                found[a] = b
+                if b == ends[k]:
+                    follow(a, b)
+        for k in range(bisect_right(ends, max(seen, end)), len(tokens)):
+            a, b = max(starts[k], end), ends[k]
+            if a > end + REACH:
                 break
             seen = max(seen, b)
-            token = m[0]
-            if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)) or any(x < b and a < y for x, y, _ in taken):
-                continue
-            if is_novel(novelty.cost(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token), token, per_char):
-                found.append((a, b, 3))
-    return sorted(found)
+            if b - a >= LEAST and a not in found and free(a, b) and is_key(a, b):
+                found[a] = b
+                follow(a, b)
+    for a, b, kind in taken:
+        if kind == 0 and b - a >= 32:
+            follow(_value(text, a, b), b)
+    # A token can be found both before one word and after another.
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found.items()):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _value(text: str, a: int, b: int) -> int:
+    """Where the value of an assignment starts."""
+    return ASSIGN.match(text, a, b).start(1)
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
