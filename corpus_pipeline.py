@@ -28,11 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; rows that repeat doc_id and text are kept once."""
+    """Keeps one row of each component: that of the smallest doc_id, then text_hash; null ids come last.
+
+    Rows that repeat doc_id and text are kept once.
+    """
     copies = checkpoint(simhash.near_copies(docs))
-    found = copies.join(copies.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
-    found = found.where("doc_id != component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = copies.groupBy("component").agg(F.min(order).alias("best"))
+    gone = copies.join(best, "component").where(order != F.col("best")).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("text_hash"))
+    kept = docs.join(gone, same, "left_anti")
     unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # far cheaper than dealing out all texts
     return kept if unique else kept.dropDuplicates(["doc_id", "text"])
 

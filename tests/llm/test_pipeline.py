@@ -56,3 +56,15 @@ def test_pipeline(spark):
         if r["bin_id"] is not None:
             used[r["bin_id"], r["bin_length"]] = used.get((r["bin_id"], r["bin_length"]), 0) + r["length"]
     assert all(b == min(c for c in packing.CAPACITIES if c >= n) for (_, b), n in used.items())
+
+
+def test_near_dedup_drops_rows_and_not_ids(spark):
+    """Null ids and repeated ones: only rows that are copies themselves go, and one of each component stays."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(1)), (None, near(1)), (None, text(2)), (5, text(3)), (9, near(3)), (9, text(4)), (None, text(5)), (None, near(5)), (7, text(6)), (7, text(6)), (None, text(7)), (None, text(7))]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    fives = [x for x in got if x in ((None, text(5)), (None, near(5)))]
+    assert len(fives) == 1
+    assert got == sorted([(1, text(1)), (None, text(2)), (5, text(3)), (9, text(4)), (7, text(6)), (None, text(7)), *fives], key=str)
