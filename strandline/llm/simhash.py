@@ -203,12 +203,14 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard: int =
     return cut.mapInArrow(run, "t int, a long, b long")
 
 
-def _edges(flat: DataFrame, radius: int, bands: int, shard: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes fp of (fp, t, x) whose fingerprints x link or are equal in a table t."""
+def _edges(flat: DataFrame, radius: int, bands: int, shard: int, equal: bool) -> DataFrame:
+    """Edges (a, b) that connect the nodes fp of (fp, t, x) whose fingerprints x link, or if asked are equal, in a table t."""
     first = checkpoint(flat.groupBy("t", "x").agg(F.min("fp").alias("rep")))
     stars = checkpoint(links(first.select("t", F.col("x").alias("fp")), radius, bands, shard))
     of = lambda c: first.select("t", F.col("x").alias(c), F.col("rep").alias(f"rep_{c}"))
     edges = stars.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    if not equal:
+        return edges
     return edges.unionByName(flat.join(first, ["t", "x"]).where("fp != rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
 
 
@@ -223,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     each = checkpoint(fingerprints(docs.select(F.col(key).alias(key), F.col(text).alias(text)), shingle, tables, text))
     # Texts that share the first fingerprint are linked by it, so it stands for all of them.
     distinct = checkpoint(each.groupBy("fps").agg(F.min(key).alias("least")).withColumn("fp", F.col("fps")[0]))
-    edges = _edges(distinct.select("fp", F.posexplode("fps").alias("t", "x")), radius, bands, shard)
+    edges = _edges(distinct.select("fp", F.posexplode("fps").alias("t", "x")), radius, bands, shard, tables > 1)
     found = components(edges)
     named = distinct.groupBy("fp").agg(F.min("least").alias("least")).join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = checkpoint(named)
@@ -318,6 +320,21 @@ def _confirmed(cut: DataFrame, likeness: float) -> DataFrame:
     return cut.mapInArrow(run, "a long, b long")
 
 
+def _bitmap(nodes: DataFrame, bits: int = 1 << 22) -> np.ndarray:
+    """For each remainder by `bits` whether a node has it; the size is fixed, whatever the number of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            has[batch.column(0).to_numpy() % bits] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(has).tobytes()])], names=["has"])
+
+    has = np.zeros(bits, dtype=bool)
+    for r in nodes.coalesce(8).mapInArrow(run, "has binary").collect():
+        has |= np.unpackbits(np.frombuffer(r["has"], dtype=np.uint8)).view(bool)
+    return has
+
+
 def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text_hash, component): a row for each row of docs; component is the same where links connect two texts.
 
@@ -331,7 +348,7 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
 
     def shingles(t: bytes | None) -> tuple:
         name, unique = _shingle_set(_hashes(t, shingle))
-        return name, unique.view(np.int64)
+        return (name, unique.view(np.int64)) if asked[name % len(asked)] else (None, None)
 
     each = checkpoint(_mapped(docs.select(F.col(key).alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), "id long, fps array<long>, bands array<long>, size long", sketch))
     # Texts of one set can repeat its shingles differently; one of their fingerprints speaks for all.
@@ -339,10 +356,11 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
     keys = distinct.select("id", F.explode("bands").alias("band"))
     shared = checkpoint(keys.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
     edges = keys.join(shared, "band").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.posexplode("fps").alias("t", "x")), RADIUS, BANDS, SHARD)).distinct()
+    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.posexplode("fps").alias("t", "x")), RADIUS, BANDS, SHARD, True)).distinct()
     group = checkpoint(components(edges).join(distinct.select(F.col("id").alias("node"), "fps", "size"), "node"))
     cuts = checkpoint(group.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("s")))
-    sets = _mapped(docs.select(F.col(text).alias("_text")), "id long, shingles array<long>", shingles).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    asked = _bitmap(group.select("node"))  # texts without candidates need not be dealt out; the join below is exact
+    sets = _mapped(docs.select(F.col(text).alias("_text")), "id long, shingles array<long>", shingles).where("id is not null").groupBy("id").agg(F.first("shingles").alias("shingles"))
     cut = sets.join(group.join(cuts, "component").withColumnRenamed("node", "id"), "id")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cut = cut.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "fps", "shingles")
