@@ -54,7 +54,7 @@ FROM told
 MIXING = rf"""
 WITH docs AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size,
-        -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':42'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+        -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':42'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
         / CASE WHEN length(text) > 0 THEN greatest(0.1::DOUBLE, 1::DOUBLE - 5::DOUBLE * ((length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / length(text)::DOUBLE)) ELSE 0.1::DOUBLE END AS rank_key
     FROM documents
 ), sources AS (
