@@ -3,16 +3,21 @@
 The base kinds are patterns. The method adds `novel`: a long token of letters and digits that ends within REACH characters
 before a sensitive word or starts within as many after it, with the lines and dotted parts that go on with it, whose
 marginal cost is high: the bytes that zstandard needs for the surroundings with the token, less those for the
-surroundings alone, where the compressor is primed with a dictionary of common identifiers. Names, paths and repeats
-of what stands around cost little; keys cost most of their length.
+surroundings alone, where the compressor is primed with a dictionary of identifiers. Names, paths and repeats of what
+stands around cost little; keys cost most of their length.
+
+The dictionary is the corpus' own: the runs of letters that most documents have, counted over all of them, as many as
+DICTIONARY bytes hold, and after them some names that code is full of. It holds runs and not whole names, so that a key
+that is in a thousand copies of a document does not become part of it.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -40,42 +45,86 @@ password passwd secret token api_key apikey access_key private_key auth authoriz
 credential environment getenv process.env os.environ localhost 127.0.0.1 example.com http:// https:// www. .com .org
 .net /usr/local/bin /var/log /etc/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """
-#: Random keys of 62 letters cost about 1.0 bytes a character, and long ones of fewer letters less: upper-case hex 0.73,
-#: a-z0-9 0.74. In trials all cost OWN times the entropy of their alphabet less SLACK bytes or more, as do many names, of
-#: which 95 of 100 cost under 0.9 bytes. Names have longer runs of one class, so what costs less than PER_CHAR counts only
-#: if its runs are shorter than RUN on average.
-AROUND, REACH, PER_CHAR, OWN, SLACK, RUN = 128, 64, 0.9, 0.95, 2, 4.2
+#: Bytes of the corpus' dictionary, the runs of letters in it, and how many of them a task counts before it passes them on.
+DICTIONARY, LETTERS, HELD = 1 << 16, re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 1 << 20
+#: A key costs about what its own characters cost in another order; a name costs less, as its parts are in the dictionary
+#: or around it. OWN and SLACK (bytes) leave room for chance; of TRIALS orders the cheapest counts. Names of rare parts are
+#: told from keys by their letters: a key's runs of one class are shorter than RUN on average, or of the pairs of letters
+#: in it a share of ODD or more is not among those that make up COMMON of the dictionary's.
+AROUND, REACH, OWN, SLACK, TRIALS, RUN, ODD, COMMON = 128, 64, 0.96, 1.5, 4, 4.2, 0.25, 0.99
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-HEXES = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-CLASSES = [(10, re.compile(r"[0-9]")), (26, re.compile(r"[a-z]")), (26, re.compile(r"[A-Z]")), (4, re.compile(r"[+/_=-]"))]
 
 
-def _letters(token: str) -> int:
-    """The size of the alphabet that the token seems to be drawn from."""
-    return 16 if HEXES.fullmatch(token) else sum(n for n, c in CLASSES if c.search(token))
+def _pairs(words: Iterable[str]) -> list[str]:
+    return [w[k : k + 2].lower() for w in words for k in range(len(w) - 1)]
+
+
+def identifiers(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> str:
+    """What the names in docs are made of: runs of letters by the number of documents that have them, the most frequent last.
 
+    All documents are counted, whole; of the result `size` bytes at most reach the driver. What only one document has is
+    left out. Equal counts are ordered by the runs themselves; null texts and empty tables give none.
+    """
 
-def is_novel(cost: int, token: str, per_char: float = PER_CHAR) -> bool:
-    """Whether a token of letters and digits costs what a random one would."""
-    if cost >= per_char * len(token):
-        return True
-    runs = RUNS.findall(token)
-    return sum(map(len, runs)) < RUN * len(runs) and cost + SLACK >= OWN * len(token) * math.log2(_letters(token)) / 8
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["run", "n"])
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(set(LETTERS.findall(t.as_py() or "")))
+                if len(held) > HELD:
+                    yield told()
+                    held.clear()
+        yield told()
+
+    counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+    chosen, left = [], size
+    for r in counts.orderBy(F.desc("n"), "run").limit(size // 4).collect():
+        left -= len(r["run"]) + 1
+        if left < 0:
+            break
+        chosen.append(r["run"])
+    return " ".join(reversed(chosen))
 
 
 class Novelty:
     """Marginal compressed bytes of a token in its surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS) -> None:
-        primed = zstandard.ZstdCompressionDict(" ".join(identifiers.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, corpus: str = "") -> None:
+        """corpus: the corpus' dictionary, as identifiers() gives it."""
+        primed = zstandard.ZstdCompressionDict(" ".join((corpus + IDENTIFIERS).split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        pairs, self.common = Counter(_pairs(corpus.split())), set()
+        left = COMMON * pairs.total()
+        for pair, n in pairs.most_common():
+            if left <= 0:
+                break
+            left -= n
+            self.common.add(pair)
         self.squeeze = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def cost(self, around: str, token: str) -> int:
-        whole = around.encode(errors="replace")
-        return len(self.squeeze.compress(whole + b"\n" + token.encode())) - len(self.squeeze.compress(whole + b"\n"))
-
-
-def scan_text(text: str | None, novelty: Novelty, per_char: float = PER_CHAR) -> list[tuple[int, int, int]]:
+    def cost(self, around: str, *tokens: str) -> list[int]:
+        """The bytes of each token by itself after the surroundings."""
+        whole = around.encode(errors="replace") + b"\n"
+        alone = len(self.squeeze.compress(whole))
+        return [len(self.squeeze.compress(whole + x.encode())) - alone for x in tokens]
+
+    def like_a_name(self, token: str) -> bool:
+        runs = RUNS.findall(token)
+        if sum(map(len, runs)) < RUN * len(runs):
+            return False
+        pairs = _pairs(re.findall("[A-Za-z]+", token))
+        return not self.common or sum(x not in self.common for x in pairs) < ODD * len(pairs)
+
+    def judge(self, around: str, token: str) -> bool:
+        """Whether the token is a key; the orders tried depend on the token alone."""
+        if self.like_a_name(token):
+            return False
+        draw = random.Random(token)
+        cost, *others = self.cost(around, token, *("".join(draw.sample(token, len(token))) for _ in range(TRIALS)))
+        return cost + SLACK >= OWN * min(others)
+
+
+def scan_text(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     """(start, end, kind's number) in code points, end exclusive, by start and kind. A null text has none."""
     if not text:
         return []
@@ -84,11 +133,11 @@ def scan_text(text: str | None, novelty: Novelty, per_char: float = PER_CHAR) ->
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    return sorted(found + [(a, b, 3) for a, b in _novel(text, sorted(found), novelty, per_char)])
+    return sorted(found + [(a, b, 3) for a, b in _novel(text, sorted(found), novelty)])
 
 
-def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_char: float) -> list[tuple[int, int]]:
-    """Spans of whole keys near a sensitive word, before or after it, that no other kind has taken."""
+def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
+    """Spans of whole keys near a sensitive word, before or after it, of which other kinds leave LEAST characters or more."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     if not words:
         return []
@@ -98,13 +147,19 @@ def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_c
     found: dict[int, int] = {}
 
     def free(a: int, b: int) -> bool:
+        """Whether enough of a token is in no span, or all of a short part."""
         k = bisect_left(begins, b)
-        return not k or reach[k - 1] <= a
-
-    def is_key(a: int, b: int) -> bool:
+        if not k or reach[k - 1] <= a:
+            return True
+        left, at = 0, a
+        for x, y, _ in taken[bisect_right(reach, a) : k]:
+            left += max(0, min(x, b) - at)
+            at = max(at, y)
+        return left + max(0, b - at) >= LEAST
+
+    def is_secret(a: int, b: int) -> bool:
         token = text[a:b]
-        mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-        return mixed and is_novel(novelty.cost(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token), token, per_char)
+        return any(c.isalpha() for c in token) and novelty.judge(text[max(0, a - AROUND) : a] + text[b : b + AROUND], token)
 
     def follow(a: int, b: int) -> None:
         """Parts after (a, b) that belong to the same key, up to the first that doesn't."""
@@ -118,7 +173,7 @@ def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_c
             short = any(c.isdigit() for c in text[x:y]) and any(c.isalpha() for c in text[x:y]) or "=" in text[x:y] or wrapped and lines > 1
             # Lines of a wrapped key are as long as the one before, but for the last.
             like = wrapped and y - x == b - a >= 32 and not text[x:y].isalpha() and not RUNS.fullmatch(text[x:y])
-            if not (like or (is_key(x, y) if y - x >= LEAST else short)):
+            if not (like or (is_secret(x, y) if y - x >= LEAST else short)):
                 return
             found[x] = y
             lines += wrapped
@@ -133,7 +188,7 @@ def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_c
             if starts[k] >= near:
                 break
             before = max(before, ends[k])
-            if b - a >= LEAST and a not in found and free(a, b) and is_key(a, b):
+            if b - a >= LEAST and a not in found and free(a, b) and is_secret(a, b):
                 found[a] = b
                 if b == ends[k]:
                     follow(a, b)
@@ -142,7 +197,7 @@ def _novel(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, per_c
             if a > end + REACH:
                 break
             seen = max(seen, b)
-            if b - a >= LEAST and a not in found and free(a, b) and is_key(a, b):
+            if b - a >= LEAST and a not in found and free(a, b) and is_secret(a, b):
                 found[a] = b
                 follow(a, b)
     for a, b, kind in taken:
@@ -167,7 +222,7 @@ SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end",
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
-def _apply(docs: DataFrame, text: str, column: str, kind: str, make) -> DataFrame:
+def _apply(docs: DataFrame, text: str, column: str, kind: str, make, corpus: str) -> DataFrame:
     """docs with `column` made of (text, spans of the text)."""
     schema = docs.drop(column).select("*", F.lit(None).cast(kind).alias(column)).schema
     for f in schema:
@@ -175,7 +230,7 @@ def _apply(docs: DataFrame, text: str, column: str, kind: str, make) -> DataFram
     arrow = SPAN if kind == SPANS else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(corpus)
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(text))
             new = pa.array([make(x, scan_text(x, novelty)) for x in (v.as_py() for v in values)], arrow)
@@ -185,13 +240,14 @@ def _apply(docs: DataFrame, text: str, column: str, kind: str, make) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus: str | None = None) -> DataFrame:
     """(key, spans): a row for each row of docs, repeated rows and null keys included.
 
-    spans: array of (kind, start, end) by start, then kind; empty for a null or empty text. Other columns are not read.
+    spans: array of (kind, start, end) by start, then kind; empty for a null or empty text. corpus: the dictionary, by
+    default that of docs. An empty table gives an empty result; other columns are not read.
     """
     told = lambda _, found: [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in found]
-    return _apply(docs.select(F.col(key).alias(key), F.col(text).alias(text)), text, "spans", SPANS, told).drop(text)
+    return _apply(docs.select(F.col(key).alias(key), F.col(text).alias(text)), text, "spans", SPANS, told, identifiers(docs, text) if corpus is None else corpus).drop(text)
 
 
 def _redacted(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
@@ -205,6 +261,9 @@ def _redacted(text: str | None, found: list[tuple[int, int, int]]) -> str | None
     return text if not found else "".join((*out, text[at:]))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of its text (overlapping ones as one) replaced by [secret]; all rows and columns stay."""
-    return _apply(docs, text, text, "string", _redacted).select(*docs.columns)
+def redact(docs: DataFrame, text: str = "text", corpus: str | None = None) -> DataFrame:
+    """docs with each span of its text (overlapping ones as one) replaced by [secret].
+
+    All rows and columns stay, whatever their names; a null or empty text stays as it is. Spans are those of scan().
+    """
+    return _apply(docs, text, text, "string", _redacted, identifiers(docs, text) if corpus is None else corpus).select(*docs.columns)
