@@ -1,16 +1,22 @@
 """Best-fit packing with variable capacity: documents into sequences of several permitted lengths.
 
 A sequence costs FIXED, its length and a share that grows with its square, as attention does. Pieces come longest
-first. Each goes where it leaves the least room; if no open sequence has room, one of the length whose full cost a word
-is least among those that hold the piece is opened. At the end every sequence is downsized to the shortest permitted
-length that holds what is in it. A document longer than the longest length is cut into pieces of that length and a rest.
+first. Each goes where it leaves the least room; if no open sequence has room, one is opened. Which length it gets is
+settled against what is still to be placed: each permitted length that holds the piece is filled up in thought with the
+longest pieces left that fit, downsized to what is then in it, and the one that costs least a word is opened, the
+shortest of those that tie. Pieces that one sequence counts on don't count for the next. So the distribution of lengths decides, and no length is fixed beforehand. At the end every
+sequence is downsized to the shortest permitted length that holds what is in it. The same is done with lengths chosen by
+their full cost a word alone; of the two, a shard keeps the packing that costs less in all. A document longer than the
+longest length is cut into pieces of that length and a rest.
 
 Documents are dealt by hash into shards of about SHARD documents, each packed by itself: a shard wastes a few partly
-filled sequences at most, and a task's memory is that of its shard's lengths. Texts are not sent.
+filled sequences at most, and a task's memory is that of its shard's lengths. The hash takes the row's number in, so
+that equal rows don't meet in one shard. Texts are not sent.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,27 +32,66 @@ def cost(capacity: int) -> float:
     return FIXED + capacity + capacity * capacity / SQUARE
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[tuple[int, int]], list[int]]:
-    """For each length, none over the largest capacity, (bin, offset); and each bin's capacity. Lengths are packed longest first, ties in order."""
+def _fits(sizes: list[int], words: int) -> int:
+    return next(c for c in sizes if c >= words)
+
+
+def _filled(piece: int, capacity: int, free: dict[int, int], lengths: int) -> tuple[int, list[tuple[int, int]]]:
+    """The words of a sequence that begins with a piece and takes the longest free pieces as long as any fits, and these as (length, how many).
+
+    free: how many pieces of each length there are; lengths: those lengths as bits.
+    """
+    words, took = piece, []
+    while fits := lengths & ((2 << (capacity - words)) - 1):
+        n = fits.bit_length() - 1
+        took.append((n, min(free[n], (capacity - words) // n)))
+        words += n * took[-1][1]
+        lengths &= (1 << n) - 1  # shorter ones only: of n there is none left, or no room
+    return words, took
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, joint: bool = True) -> tuple[list[tuple[int, int]], list[int]]:
+    """For each length, none over the largest capacity, (bin, offset); and each bin's capacity. Lengths are packed longest first, ties in order.
+
+    joint: whether what is still to be placed decides which capacity is opened, or its full cost a word alone.
+    """
     sizes = sorted(capacities)
-    opened = {}
+    left = Counter(n for n in lengths if n > 0)
+    free = left.copy()  # of these, the pieces that no open bin counts on
+    waiting = sum(1 << n for n in free)  # bit n: there is a free piece of length n
     where: list[tuple[int, int]] = [(-1, 0)] * len(lengths)
     filled: list[int] = []
     by_room: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # open bins by the room they have
     some = 0  # bit r: a bin with room r is open
+
+    def take(n: int, count: int) -> None:
+        nonlocal waiting
+        free[n] -= count
+        if not free[n]:
+            waiting &= ~(1 << n)
+
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         n = lengths[k]
         if n <= 0:
-            continue
+            break
+        left[n] -= 1
+        if free[n] > left[n]:
+            take(n, 1)
         if fits := some >> n:
             room = n + (fits & -fits).bit_length() - 1
             b = by_room[room].pop()
             if not by_room[room]:
                 some &= ~(1 << room)
         else:
-            if n not in opened:
-                opened[n] = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / c, c))
-            b, room = len(filled), opened[n]
+            hold = [c for c in sizes if c >= n]
+            if joint:
+                plans = {c: _filled(n, c, free, waiting) for c in hold}
+                room = min(hold, key=lambda c: (cost(_fits(sizes, plans[c][0])) / plans[c][0], c))
+                for x, count in plans[room][1]:
+                    take(x, count)
+            else:
+                room = min(hold, key=lambda c: (cost(c) / c, c))
+            b = len(filled)
             filled.append(0)
         where[k] = (b, filled[b])
         filled[b] += n
@@ -54,7 +99,12 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tu
         if room:
             by_room[room].append(b)
             some |= 1 << room
-    return where, [next(c for c in sizes if c >= x) for x in filled]
+    return where, [_fits(sizes, x) for x in filled]
+
+
+def cheapest(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[tuple[int, int]], list[int]]:
+    """The packing by best_fit() that costs less in all, of the joint choice of lengths and the fixed one."""
+    return min((best_fit(lengths, capacities, joint) for joint in (True, False)), key=lambda x: sum(map(cost, x[1])))
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: int = SHARD, key: str = "doc_id", text: str = "text", length: Column | None = None) -> DataFrame:
@@ -69,9 +119,9 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: int =
         raise ValueError("capacities must be over 0")
     kind, most = dict(docs.dtypes)[key], max(capacities)
     size = F.coalesce((words(F.col(text)) if length is None else length).cast("long"), F.lit(0))
-    rows = docs.select(F.col(key).alias("k"), F.greatest(size, F.lit(0)).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    rows = docs.select(F.col(key).alias("k"), F.greatest(size, F.lit(0)).alias("size"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"))
     shards = max(1, -(-docs.count() // shard))
-    rows = rows.repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions(F.desc("size"), "h", "k").select("k", "size", F.spark_partition_id().alias("shard"))
+    rows = rows.repartitionById(shards, F.pmod(F.xxhash64("h", "row"), F.lit(shards)).cast("int")).sortWithinPartitions(F.desc("size"), "h", "k").select("k", "size", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, number = [], [], 0
@@ -82,7 +132,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: int =
         if not keys:
             return
         pieces = [(k, p, p * most, min(most, n - p * most)) for k, n in enumerate(sizes) for p in range(max(1, -(-n // most)))]
-        where, made = best_fit([n for *_, n in pieces], capacities)
+        where, made = cheapest([n for *_, n in pieces], capacities)
         for j in range(0, len(pieces), 1 << 15):
             part, at = pieces[j : j + (1 << 15)], where[j : j + (1 << 15)]
             yield pa.RecordBatch.from_arrays(
