@@ -18,42 +18,88 @@ from strandline.llm._common import checkpoint, shared_folder
 LEAST_SCORE = 0.5
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named by their places, and these names: so no column can clash with an operator's own."""
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(new).alias(c) for c, new in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language; the model learns from four fifths of the labelled ones."""
+    """Drops documents without a recognisable language; the model learns from four fifths of the labelled ones.
+
+    A null text, an empty one or one without letters goes; so does a text whose best language is less likely than
+    LEAST_SCORE. Texts of any length are read whole. Each row is judged by itself, so repeated rows stay or go together,
+    and a null doc_id or lang doesn't matter. Without labels there is no model, and all rows stay; an empty table
+    stays empty. Columns stay as they are, also those named like the operator's own.
+    """
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(True))
     model = langid.fit(docs.where(learn))
-    found = langid.predict(docs, model)
-    # With no labels there is no model and so no ground to reject anything.
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns) if model.langs else docs
+    if not model.langs:
+        return docs
+    rows, names = _numbered(docs)
+    found = langid.predict(rows, model, names["text"])
+    return _named(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: that of the smallest doc_id, then text_hash; null ids come last.
+    """Keeps one row of each component of near copies: that of the smallest doc_id, then text hash; null ids come last.
 
-    Rows that repeat doc_id and text are kept once.
+    Only rows that are copies themselves go, never others of the same doc_id. Rows that repeat doc_id and text count as
+    one: that with the least hash of its other columns stays. Texts without words, null ones included, are copies of
+    each other. An empty table stays empty, and columns of any names stay.
     """
     copies = checkpoint(simhash.near_copies(docs))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = copies.groupBy("component").agg(F.min(order).alias("best"))
-    gone = copies.join(best, "component").where(order != F.col("best")).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("text_hash"))
-    kept = docs.join(gone, same, "left_anti")
-    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()  # far cheaper than dealing out all texts
-    return kept if unique else kept.dropDuplicates(["doc_id", "text"])
+    gone = copies.join(best, "component").where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows, names = _numbered(docs)
+    mine = F.col(names["doc_id"]), F.xxhash64(names["text"])
+    at = lambda df: mine[0].eqNullSafe(df["_id"]) & (mine[1] == df["_hash"])
+    kept = rows.join(gone, at(gone), "left_anti")
+    again = copies.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count")
+    again = checkpoint(again.join(gone.toDF("_i", "_h"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_anti"))
+    if again.isEmpty():
+        return _named(kept, names)
+    # Of the texts only those that repeat are dealt out: their first rows by a hash, then one of those that are equal in full.
+    rest = [c for c, (_, kind) in zip(rows.columns, rows.dtypes, strict=True) if "map<" not in kind and "variant" not in kind]
+    twice = kept.join(again, at(again)).withColumn("_row", F.xxhash64(*rest))
+    first = twice.groupBy("_id", "_hash").agg(F.min("_row").alias("_first"))
+    one = twice.join(first.toDF("_i", "_h", "_first"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")) & (F.col("_row") == F.col("_first")))
+    one = one.dropDuplicates(["_id", "_hash"]).select(*rows.columns)
+    return _named(kept.join(again, at(again), "left_anti").unionByName(one), names)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by [secret]; all documents stay."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Replaces secrets by [secret], and sets n_chars, if there is such a column, to the new length; all documents stay.
+
+    A null or empty text stays as it is, and texts of any length are read whole. Repeated rows stay, each with the same
+    result; ids, null or not, don't matter. An empty table stays empty, and all other columns stay as they are.
+    """
+    clean = secrets.redact(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    return clean.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns) if kind else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents until each source has its share of all words."""
+    """Repeats or drops documents until each source has its share of all words.
+
+    A null source is one, the last. A null or empty text has no words and is in once for each complete epoch of its
+    source. Ties are ordered by doc_id, rows repeated in full are taken alike, an empty table stays empty, and columns
+    of any names stay.
+    """
     return mixing.draw(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes.
+
+    A null or empty text has one row without a bin, a long one several pieces. Repeated rows and null ids are packed
+    each by itself, an empty table gives no rows, and other columns are not read.
+    """
     return packing.pack(docs)
 
 
