@@ -19,12 +19,12 @@ link if they do in any table.
 SimHash alone can't ask for a Jaccard similarity of 0.8, which leaves about 10 of 64 bits apart. near_copies() therefore
 takes SimHash links as candidates only, adds those of MinHash bands, and compares the shingle sets of what candidates
 connect: texts link if and only if the Jaccard similarity of these sets is LIKENESS or more. A candidate is lost if no
-band and no fingerprint tells of it: at 0.8 about 1 pair in 13,000.
+band and no fingerprint tells of it: at 0.8 about 1 pair in 13,000. As the bands see to that, it takes one SimHash table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,9 +40,9 @@ from strandline.llm._common import checkpoint, components
 SHINGLE, RADIUS, BANDS, TABLES, SHARD = 5, 3, 6, 4, 4096
 SEED = 42
 #: near_copies(): the similarity from which texts link; MinHash bands and the values in each; the most texts and shingles
-#: of a shard; the most of 256 bits apart at which sets of over SMALL shingles are compared (at 0.8: 39 expected, 5.7 the
+#: of a shard; the most of 192 bits apart at which sets of over SMALL shingles are compared (at 0.8: 29 expected, 5.0 the
 #: standard deviation).
-LIKENESS, MIN_BANDS, MIN_ROWS, TEXTS, SHINGLES, SMALL, APART = 0.8, 24, 5, 4096, 4 << 20, 64, 72
+LIKENESS, MIN_BANDS, MIN_ROWS, TEXTS, SHINGLES, SMALL, APART = 0.8, 24, 5, 4096, 4 << 20, 64, 59
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, MIN_BANDS * MIN_ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
 
@@ -244,13 +244,19 @@ def _min_bands(h: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(MIN_BANDS, MIN_ROWS))]
 
 
-def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
-    """Columns of docs but its last, a text, and those that make(text's bytes) gives as a tuple, by schema."""
+def _signature(unique: np.ndarray) -> list[int]:
+    """Three fingerprints of a set, from remixed hashes: 192 bits that tell at a glance how far two sets are apart."""
+    return [_fingerprints(_remixed(unique, k), 1)[0] for k in range(1, 4)]
+
+
+def _mapped(docs: DataFrame, schema: str, begin) -> DataFrame:
+    """Columns of docs but its last, a text, and those that make(text's bytes) gives as a tuple, by schema; begin() gives each task its make."""
     given = docs.withColumn(docs.columns[-1], F.col(docs.columns[-1]).cast("binary"))
     more = docs.sparkSession.createDataFrame([], schema).schema
     kinds = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.list_(pa.int64()) for f in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = begin()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -302,7 +308,7 @@ def _confirmed(cut: DataFrame, likeness: float) -> DataFrame:
             if at is None or (at[1] != at[2] and not (own and others)):
                 return []
             rows = own + others
-            return _alike([x[0] for x in rows], [x[2] for x in rows], np.array([x[1] for x in rows], dtype=np.int64).view(np.uint64), len(own), likeness)
+            return _alike([x[0] for x in rows], [x[2] for x in rows], np.array([x[1][1:] for x in rows], dtype=np.int64).view(np.uint64), len(own), likeness)
 
         def out(done: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(2)], names=["a", "b"])
@@ -339,16 +345,29 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
     """(key, text_hash, component): a row for each row of docs; component is the same where links connect two texts.
 
     Texts link if the Jaccard similarity of their sets of shingles is `likeness` or more, and all texts without words
-    do. text_hash is Spark's xxhash64 of the text.
+    do, null ones included. text_hash is Spark's xxhash64 of the text, null for a null text. Null keys and repeated rows
+    stay, each with its text's component; an empty table gives an empty result; other columns of docs are not read.
     """
-    def sketch(t: bytes | None) -> tuple:
-        h = _hashes(t, shingle)
-        name, unique = _shingle_set(h)
-        return name, [_signed(x) for x in _fingerprints(h, TABLES)], _min_bands(unique), len(unique)
 
-    def shingles(t: bytes | None) -> tuple:
-        name, unique = _shingle_set(_hashes(t, shingle))
-        return (name, unique.view(np.int64)) if asked[name % len(asked)] else (None, None)
+    def sketch() -> Callable:
+        def make(t: bytes | None) -> tuple:
+            h = _hashes(t, shingle)
+            name, unique = _shingle_set(h)
+            return name, [_signed(x) for x in (*_fingerprints(h, 1), *_signature(unique))], _min_bands(unique), len(unique)
+
+        return make
+
+    def shingles() -> Callable:
+        told: set[int] = set()  # a task gives each set once, however many copies it meets
+
+        def make(t: bytes | None) -> tuple:
+            name, unique = _shingle_set(_hashes(t, shingle))
+            if not asked[name % len(asked)] or name in told:
+                return None, None
+            told.add(name)
+            return name, unique.view(np.int64)
+
+        return make
 
     each = checkpoint(_mapped(docs.select(F.col(key).alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), "id long, fps array<long>, bands array<long>, size long", sketch))
     # Texts of one set can repeat its shingles differently; one of their fingerprints speaks for all.
@@ -356,7 +375,7 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
     keys = distinct.select("id", F.explode("bands").alias("band"))
     shared = checkpoint(keys.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
     edges = keys.join(shared, "band").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.posexplode("fps").alias("t", "x")), RADIUS, BANDS, SHARD, True)).distinct()
+    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.lit(0).alias("t"), F.col("fps")[0].alias("x")), RADIUS, BANDS, SHARD, True)).distinct()
     group = checkpoint(components(edges).join(distinct.select(F.col("id").alias("node"), "fps", "size"), "node"))
     cuts = checkpoint(group.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("s")))
     asked = _bitmap(group.select("node"))  # texts without candidates need not be dealt out; the join below is exact
