@@ -35,12 +35,18 @@ def intergenic(features: DataFrame) -> DataFrame:
     return rows.select("genome", "contig", "pos", (F.col("start") - F.col("_end") - 1).alias("gap"), kind.alias("kind"))
 
 
+def _neighbouring(features: DataFrame) -> DataFrame:
+    """adjacent() of genes whose neighbour before is of another family: tandem copies make no link."""
+    return adjacent(features).where("before is not null and before != family")
+
+
 def edges(features: DataFrame) -> DataFrame:
     """(src, src_side, dst, dst_side, weight): which end of a family meets which end of another, seen from both.
 
-    A gene on the forward strand ends downstream (D) and begins upstream (U); on the other strand the reverse.
+    A gene on the forward strand ends downstream (D) and begins upstream (U); on the other strand the reverse. A family
+    next to itself makes no edge.
     """
-    pairs = adjacent(features).where("before is not null")
+    pairs = _neighbouring(features)
     leave = F.when(F.col("strand_before") == "+", "D").otherwise("U")
     enter = F.when(F.col("strand") == "+", "U").otherwise("D")
     ways = F.array(
@@ -51,11 +57,24 @@ def edges(features: DataFrame) -> DataFrame:
 
 
 def canonical_links(features: DataFrame) -> DataFrame:
-    """(n1, n2, weight): each link once, from the smaller name; n2 has a `-` if the two lie in opposite directions."""
-    pairs = adjacent(features).where("before is not null")
-    turned = F.col("strand") != F.col("strand_before")
-    n2 = F.greatest("before", "family")
-    return pairs.groupBy(F.least("before", "family").alias("n1"), F.when(turned, F.concat(n2, F.lit("-"))).otherwise(n2).alias("n2")).agg(F.count("*").alias("weight"))
+    """(n1, n2, weight): each link once, a `-` behind a name that is read backwards.
+
+    Two genes of one strand keep their direction: A, B and B, A are two links, whichever strand both are on. If the
+    strands differ, the link has two spellings (A, B- is B, A- read from the other end, and A-, B is B-, A); the one that
+    begins with the smaller name stands for both.
+    """
+    pairs = _neighbouring(features)
+    first, second = F.least("before", "family"), F.greatest("before", "family")
+    here, there = F.col("strand"), F.col("strand_before")
+    minus = lambda c: F.concat(c, F.lit("-"))
+    n1 = F.when((there == "+") & (here == "+"), F.col("before")).when((there != "+") & (here != "+"), F.col("family")).when(there == "+", first).otherwise(minus(first))
+    n2 = F.when((there == "+") & (here == "+"), F.col("family")).when((there != "+") & (here != "+"), F.col("before")).when(there == "+", minus(second)).otherwise(second)
+    return pairs.groupBy(n1.alias("n1"), n2.alias("n2")).agg(F.count("*").alias("weight"))
+
+
+def edge_lines(edge_rows: DataFrame) -> DataFrame:
+    """(n1, n2, weight) of edges as files have them: n2 has a `-` if it is entered at its end, for each side of n1 a row."""
+    return edge_rows.select(F.col("src").alias("n1"), F.when(F.col("dst_side") == "D", F.concat("dst", F.lit("-"))).otherwise(F.col("dst")).alias("n2"), "weight")
 
 
 def node_weights(features: DataFrame) -> DataFrame:
@@ -135,6 +154,13 @@ def block_ends(paths: DataFrame) -> DataFrame:
     return first.unionByName(last.where("ord = _most").select("block", "family", F.when(F.col("reversed"), "U").otherwise("D").alias("side"), F.lit(1).alias("end")))
 
 
+def out_links(edge_rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block, end, family, to, to_side, other): links that leave a block at its ends, and the block that they lead into."""
+    at = block_ends(paths).select(F.col("family").alias("src"), F.col("side").alias("src_side"), "block", "end")
+    rows = edge_rows.select("src", "src_side", F.col("dst").alias("to"), F.col("dst_side").alias("to_side")).join(at, ["src", "src_side"])
+    return rows.join(paths.select(F.col("family").alias("to"), F.col("block").alias("other")), "to").select("block", "end", F.col("src").alias("family"), "to", "to_side", "other")
+
+
 def end_links(edge_rows: DataFrame, paths: DataFrame) -> DataFrame:
     """(block, end, other, other_end, weight): links between ends of blocks."""
     e = block_ends(paths)
@@ -147,79 +173,140 @@ def _block_genomes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return paths.join(nodes.select("family", "n_genomes"), "family").groupBy("block").agg(F.max("n_genomes").alias("n_genomes"), F.count("*").alias("length"))
 
 
-def _mutual(links: DataFrame) -> DataFrame:
-    """Links of distinct blocks that are the only one of their end on both sides."""
-    real = links.where("block != other")
-    one = real.groupBy("block", "end").agg(F.count("*").alias("n"), F.first("other").alias("other"), F.first("other_end").alias("other_end")).where("n = 1").drop("n")
-    back = one.select(F.col("block").alias("other"), F.col("end").alias("other_end"), F.col("other").alias("block"), F.col("other_end").alias("end"))
-    return one.join(back, ["block", "end", "other", "other_end"], "left_semi")
+def reciprocal(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block, end, other, other_end): ends of two blocks that have each other as the only one to go on to.
+
+    Of all links that leave an end, only those into other blocks of as many genomes count; there must be one, it must
+    lead to an end, and that end must in turn have this link only.
+    """
+    n = _block_genomes(paths, nodes).select("block", "n_genomes")
+    out = out_links(edge_rows, paths).where("block != other").join(n, "block").join(n.toDF("other", "n_other"), "other").where("n_genomes = n_other")
+    one = out.groupBy("block", "end").agg(F.count("*").alias("n"), F.first("other").alias("other"), F.first("to").alias("to"), F.first("to_side").alias("to_side")).where("n = 1").drop("n")
+    ends = block_ends(paths).select(F.col("block").alias("other"), F.col("family").alias("to"), F.col("side").alias("to_side"), F.col("end").alias("other_end"))
+    led = one.join(ends, ["other", "to", "to_side"]).select("block", "end", "other", "other_end")
+    back = led.toDF("other", "other_end", "block", "end")
+    return led.join(back, ["block", "end", "other", "other_end"], "left_semi")
 
 
 def joined_blocks(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """(block, joined): blocks of as many genomes whose ends name only each other, under their smallest block."""
-    n = _block_genomes(paths, nodes).select("block", "n_genomes")
-    same = _mutual(end_links(edge_rows, paths)).join(n, "block").join(n.toDF("other", "n_other"), "other").where("n_genomes = n_other")
-    found = components(same.select(F.col("block").alias("a"), F.col("other").alias("b")))
-    return n.select("block").join(found.withColumnRenamed("node", "block"), "block", "left").select("block", F.coalesce("component", "block").alias("joined"))
+    """(block, joined): blocks that reciprocal ends join, over any number of hops, under their smallest block."""
+    found = components(reciprocal(edge_rows, nodes, paths).select(F.col("block").alias("a"), F.col("other").alias("b")))
+    return paths.select("block").distinct().join(found.withColumnRenamed("node", "block"), "block", "left").select("block", F.coalesce("component", "block").alias("joined"))
 
 
-def connected_blocks(edge_rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(block, connected): blocks that reciprocal links between ends reach, in both directions and over any number of hops."""
-    found = components(_mutual(end_links(edge_rows, paths)).select(F.col("block").alias("a"), F.col("other").alias("b")))
-    return paths.select("block").distinct().join(found.withColumnRenamed("node", "block"), "block", "left").select("block", F.coalesce("component", "block").alias("connected"))
+def connected_paths(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block, family, ord, reversed): as block_paths(), of what reciprocal ends connect to one path, named by its smallest block.
+
+    A path begins at its smaller end, a ring at its smallest block, which keeps its direction. As each end has one link
+    at most, a group of the pandas step is one path of blocks.
+    """
+    ends = reciprocal(edge_rows, nodes, paths)
+    where = joined_blocks(edge_rows, nodes, paths)
+    size = paths.groupBy("block").agg(F.max("ord").alias("n"))
+    rows = where.join(size, "block").join(ends, "block", "left")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        step = {(r.block, int(r.end)): (r.other, int(r.other_end)) for r in part.itertuples() if isinstance(r.other, str)}
+        size = dict(zip(part["block"], part["n"], strict=True))
+        names = sorted(size)
+        open_ = [n for n in names if ((n, 0) in step) + ((n, 1) in step) < 2]
+        at = (open_ or names)[0]
+        leave = 0 if open_ and (at, 0) in step else 1
+        out, before, seen = [], 0, set()
+        while at not in seen:
+            seen.add(at)
+            out.append((part["joined"].iloc[0], at, before, int(size[at]), leave == 0))
+            before += int(size[at])
+            if (at, leave) not in step:
+                break
+            at, entered = step[at, leave]
+            leave = 1 - entered
+        return pd.DataFrame(out, columns=["joined", "block", "before", "n", "turned"])
+
+    placed = rows.groupBy("joined").applyInPandas(walk, "joined string, block string, before int, n int, turned boolean")
+    ord_ = F.col("before") + F.when(F.col("turned"), F.col("n") + 1 - F.col("ord")).otherwise(F.col("ord"))
+    return paths.join(placed, "block").select(F.col("joined").alias("block"), "family", ord_.cast("int").alias("ord"), (F.col("reversed") != F.col("turned")).alias("reversed"))
 
 
 def reversed_loops(edge_rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(block): those whose two ends link to each other."""
-    return end_links(edge_rows, paths).where("block = other and end != other_end").select("block").distinct()
+    """(block): those with a link from one end to the family at the other; a block of one family has none."""
+    ends = block_ends(paths).select(F.col("block").alias("other"), F.col("family").alias("to"), F.col("end").alias("to_end"))
+    return out_links(edge_rows, paths).where("block = other").join(ends, ["other", "to"]).where("end != to_end and family != to").select("block").distinct()
 
 
 def classify_blocks(edge_rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(block, n_links, n_blocks, kind): what a block is by the blocks that its ends link to.
+    """(block, n_up, n_down, kind): what a block is by the links that leave its first and its last family, wherever they lead.
 
-    self-loop: only itself; superconnector: over five links; multiconnector: over two; insertion: both ends to one block
-    (loop) or to two; end: one link or none.
+    One link to other blocks at each end: insertion(loop) if both lead to one block, else insertion. Over five at an end:
+    superconnector. All others: multiconnector. A block that also links to itself has `self-loop;` in front.
     """
-    links = end_links(edge_rows, paths)
-    own = links.where("block = other").select("block").distinct().withColumn("_self", F.lit(True))
-    out = links.where("block != other").groupBy("block").agg(F.count("*").alias("n_links"), F.count_distinct("other").alias("n_blocks"))
-    all_ = paths.select("block").distinct().join(out, "block", "left").na.fill(0, ["n_links", "n_blocks"]).join(own, "block", "left")
+    links = out_links(edge_rows, paths)
+    count = lambda end: F.sum(F.when((F.col("end") == end) & (F.col("block") != F.col("other")), 1).otherwise(0)).cast("long")
+    lead = lambda end: F.max(F.when((F.col("end") == end) & (F.col("block") != F.col("other")), F.col("other")))
+    each = links.groupBy("block").agg(count(0).alias("n_up"), count(1).alias("n_down"), lead(0).alias("_up"), lead(1).alias("_down"), F.max(F.col("block") == F.col("other")).alias("_self"))
+    all_ = paths.select("block").distinct().join(each, "block", "left").na.fill(0, ["n_up", "n_down"]).na.fill(False, ["_self"])
     kind = (
-        F.when((F.col("n_links") == 0) & F.col("_self"), "self-loop").when(F.col("n_links") > 5, "superconnector").when(F.col("n_links") > 2, "multiconnector")
-        .when((F.col("n_links") == 2) & (F.col("n_blocks") == 1), "insertion(loop)").when(F.col("n_links") == 2, "insertion").otherwise("end")
+        F.when((F.col("n_up") == 1) & (F.col("n_down") == 1), F.when(F.col("_up") == F.col("_down"), "insertion(loop)").otherwise("insertion"))
+        .when((F.col("n_up") > 5) | (F.col("n_down") > 5), "superconnector").otherwise("multiconnector")
     )
-    return all_.select("block", "n_links", "n_blocks", kind.alias("kind"))
+    return all_.select("block", "n_up", "n_down", F.concat(F.when(F.col("_self"), "self-loop;").otherwise(""), kind).alias("kind"))
 
 
 def order(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(family, block, ord): blocks ranked by genomes, then length, then name; the family's place in its block.
+    """(family, block, ord) of connected paths: ranked by genomes, then length, then name; the family's place in its path.
 
-    The rank is over blocks only, of which there are far fewer than loci.
+    The rank is over paths only, of which there are far fewer than loci.
     """
     ranked = ranked_blocks(paths, nodes)
     return paths.join(ranked.select("block", "rank"), "block").select("family", F.col("rank").cast("int").alias("block"), "ord")
 
 
+def block_lines(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block_number, number_isolates, number_clusters_in_block, clusters_in_block, number_upstream_links, number_downstream_links,
+    upstream_links, downstream_links): the table of blocks, numbered by rank; a `-` behind a family that is read backwards."""
+    signed = F.when(F.col("reversed"), F.concat("family", F.lit("-"))).otherwise(F.col("family"))
+    names = paths.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", signed.alias("x")))), lambda x: x["x"]), ",").alias("clusters_in_block"))
+    to = F.when(F.col("to_side") == "D", F.concat("to", F.lit("-"))).otherwise(F.col("to"))
+    side = lambda end: F.array_sort(F.collect_set(F.when(F.col("end") == end, to)))
+    links = out_links(edge_rows, paths).groupBy("block").agg(side(0).alias("up"), side(1).alias("down"))
+    rows = ranked_blocks(paths, nodes).join(names, "block").join(links, "block", "left")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    text = lambda c: F.when(n(c) > 0, F.array_join(c, ",")).otherwise("NA")
+    return rows.select(
+        F.col("rank").alias("block_number"), F.col("n_genomes").alias("number_isolates"), F.col("length").alias("number_clusters_in_block"), "clusters_in_block",
+        n("up").alias("number_upstream_links"), n("down").alias("number_downstream_links"), text("up").alias("upstream_links"), text("down").alias("downstream_links"))
+
+
+def numbered_kinds(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block_number, description, loops): the kind of each block by its rank, and whether it loops back on itself."""
+    loops = reversed_loops(edge_rows, paths).withColumn("_l", F.lit(True))
+    rows = ranked_blocks(paths, nodes).select("block", F.col("rank").alias("block_number")).join(classify_blocks(edge_rows, paths), "block").join(loops, "block", "left")
+    return rows.select("block_number", F.col("kind").alias("description"), F.coalesce("_l", F.lit(False)).alias("loops"))
+
+
 def gfa(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(part, name, line): S lines of all families, then L lines of canonical links."""
-    s = nodes.select(F.lit(1).alias("part"), F.col("family").alias("name"), F.concat_ws("\t", F.lit("S"), "family", F.lit("*"), F.concat(F.lit("RC:i:"), F.col("n_genomes").cast("string"))).alias("line"))
-    turned = F.col("n2").endswith("-")
-    to = F.regexp_replace("n2", "-$", "")
-    line = F.concat_ws("\t", F.lit("L"), "n1", F.lit("+"), to, F.when(turned, "-").otherwise("+"), F.lit("0M"), F.concat(F.lit("RC:i:"), F.col("weight").cast("string")))
-    return s.unionByName(links.select(F.lit(2).alias("part"), F.concat_ws("|", "n1", "n2").alias("name"), line.alias("line")))
+    """(part, name, line): S lines of all families, with a placeholder for the sequence, then L lines of canonical links."""
+    s = nodes.select(F.lit(1).alias("part"), F.col("family").alias("name"), F.concat_ws("\t", F.lit("S"), "family", F.lit("A"), F.concat(F.lit("RC:i:"), F.col("n_genomes").cast("string"))).alias("line"))
+    name = lambda c: F.regexp_replace(c, "-$", "")
+    sign = lambda c: F.when(F.col(c).endswith("-"), "-").otherwise("+")
+    line = F.concat_ws("\t", F.lit("L"), name("n1"), sign("n1"), name("n2"), sign("n2"), F.lit("0M"))
+    return s.unionByName(links.select(F.lit(2).alias("part"), F.concat_ws(":", "n1", "n2").alias("name"), line.alias("line")))
 
 
-def fastg(nodes: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """(name, line): a header for each family with those it leads to; sequences are not part of it."""
-    to = F.concat("dst", F.when(F.col("dst_side") == "D", F.lit("'")).otherwise(F.lit("")))
-    out = edge_rows.where("src_side = 'D'").groupBy(F.col("src").alias("family")).agg(F.array_join(F.array_sort(F.collect_set(to)), ",").alias("to"))
-    line = F.concat(F.lit(">"), F.col("family"), F.when(F.col("to") != "", F.concat(F.lit(":"), F.col("to"))).otherwise(F.lit("")), F.lit(";"))
-    return nodes.select("family").join(out, "family", "left").select(F.col("family").alias("name"), line.alias("line"))
+def fastg(nodes: DataFrame, links: DataFrame, length: int = 200) -> DataFrame:
+    """(name, line): a record for each canonical link: its two families with their genomes, and a placeholder sequence."""
+    n = nodes.select("family", "n_genomes")
+    plain = lambda c: F.regexp_replace(c, "-$", "")
+    rows = links.join(n.toDF("_a", "_na"), plain("n1") == F.col("_a")).join(n.toDF("_b", "_nb"), plain("n2") == F.col("_b"))
+    one = lambda c, k, m: F.concat(F.lit("EDGE_"), k, F.lit(f"_length_{length}_cov_"), F.col(m).cast("string"), F.when(F.col(c).endswith("-"), "'").otherwise(""))
+    line = F.concat(F.lit(">"), one("n1", "_a", "_na"), F.lit(":"), one("n2", "_b", "_nb"), F.lit(";\n" + "N" * length))
+    return rows.select(F.concat_ws(":", "n1", "n2").alias("name"), line.alias("line"))
 
 
 def sort_families(table: DataFrame, order_rows: DataFrame, by_genomes: bool = False) -> DataFrame:
-    """The family table with its order columns, sorted by block, then number of genomes if asked, then place; numbers as numbers."""
-    joined = table.join(order_rows.select(F.col("family").alias("gene_family"), F.col("block").alias("cluster"), F.col("ord").alias("cluster_order")), "gene_family")
-    return joined.orderBy("cluster", *([F.desc("number_genomes")] if by_genomes else []), "cluster_order")
-
+    """The family table with its order columns, sorted by block, then number of genomes if asked, then place; numbers as numbers.
 
+    Families that the graph doesn't have, as those over its dosage, keep their rows: they come last, without a place.
+    """
+    joined = table.join(order_rows.select(F.col("family").alias("gene_family"), F.col("block").alias("cluster"), F.col("ord").alias("cluster_order")), "gene_family", "left")
+    return joined.orderBy(F.asc_nulls_last("cluster"), *([F.desc("number_genomes")] if by_genomes else []), F.asc_nulls_last("cluster_order"), "gene_family")
