@@ -5,41 +5,94 @@ Both work on one family at a time, which is the unit of the pandas step.
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.families import copy_id, doses, with_categories
+from strandline.operators.filters import pair_coverage
 
-# Fixed values of the rules: least coverage, bonus for neighbours and how near they are, and how short a sum may fall.
-LEAST_COVERAGE, NEAR, NEAR_BONUS, WORST = 10, 2, 0.20, -0.25
-#: Of the family's genomes, by how much a round without a split lowers the demands.
-STEP = 0.05
+# Fixed values of the rules: least coverage, bonus for neighbours and how near they are, and how short a sum may fall;
+# the number of a locus whose name has none.
+LEAST_COVERAGE, NEAR, NEAR_BONUS, WORST, NO_NUMBER = 10, 2, 0.20, -0.25, 100
+# Of the family's genomes, by how much a round without a split lowers the demands.
+STEP, STEP_MORE, STEP_MOST = 0.05, 0.0125, 0.25
+ANY = 10_000_000  # copies: no limit
+ALIGNED_MOST = 0.75  # of either sequence's columns, that two fragments of one gene may share
 
 
-def covered(start: int, end: int, taken: set[int]) -> int:
-    return sum(1 for x in range(min(start, end), max(start, end) + 1) if x not in taken)
+def locus_number(locus: str) -> int:
+    """The number at the end of a locus' name, which says where in its genome it stands."""
+    found = re.search(r"_(\d+)$", locus)
+    return int(found[1]) if found else NO_NUMBER
+
+
+def _combinations(start: np.ndarray, end: np.ndarray, length: np.ndarray, number: np.ndarray, size: int, most: int) -> Iterator[tuple[float, tuple[int, ...]]]:
+    """(score, members) of all combinations of 2 to `most` parts whose sum does not fall under the limit.
+
+    A part that has new places of the reference gains nothing, but loses what its length differs from their number, and
+    gains the bonus if it stands near the part before. The score is the sum less the places that no part covers. What
+    cannot reach the limit, whatever follows, is not carried on.
+    """
+    worst, bonus, n = WORST * size, NEAR_BONUS * size, len(start)
+
+    def grow(members: tuple[int, ...], covered: list[tuple[int, int]], total: float) -> Iterator[tuple[float, tuple[int, ...]]]:
+        k = np.arange(members[-1] + 1, n)
+        new = np.maximum(end[k] - start[k] + 1, 0)
+        for a, b in covered:
+            new = new - np.maximum(np.minimum(end[k], b) - np.maximum(start[k], a) + 1, 0)
+        sums = total - np.abs(new - length[k]) + np.where(np.abs(number[k] - number[members[-1]]) <= NEAR, bonus, 0.0)
+        for j in np.flatnonzero(sums + bonus * (most - len(members) - 1) >= worst):
+            x, s = int(k[j]), float(sums[j])
+            union = _union([*covered, (int(start[x]), int(end[x]))])
+            if s >= worst:
+                yield s - (size - sum(b - a + 1 for a, b in union)), (*members, x)
+            if len(members) + 1 < most:
+                yield from grow((*members, x), union, s)
+
+    for x in range(n):
+        first = -abs(max(int(end[x]) - int(start[x]) + 1, 0) - float(length[x]))
+        if first + bonus * (most - 1) >= worst:
+            yield from grow((x,), _union([(int(start[x]), int(end[x]))]), first)
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(s for s in spans if s[0] <= s[1]):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def classify_family(rows: pd.DataFrame, hits: dict[tuple[str, str], tuple[int, int, float]], lengths: dict[str, int], most: int = 3) -> list[tuple[str, int, int, int]]:
     """(locus, mc, ff, ff_group) of one family. rows: locus, genome, rep; hits: (rep, rep) -> (start, end on the second, percent coverage).
 
-    Two representatives overlap if they have a hit with enough coverage; those that don't may be parts of one gene.
-    Within a genome, in locus order: a locus that overlaps all others is a copy. Else the longest representative that it
-    overlaps is the reference; of the others that overlap the reference but not the locus, none makes it a copy, one a
-    pair of fragments, and several are decided later by the best disjoint combinations.
+    Two representatives overlap if they have a hit and the smaller coverage of the two directions is enough; those that
+    don't may be parts of one gene. Within a genome, in locus order: a locus that overlaps all others is a copy. Else the
+    longest representative that it overlaps, which may be its own, is the reference; of the others that overlap the
+    reference but not the locus, none makes it a copy, one a pair of fragments, and several leave it for later. What is
+    left is scored in combinations of 2 to `most` loci by what they cover of the last such reference; the best ones that
+    share no locus are fragments, the rest are copies. A locus without a hit on the reference is in no combination.
     """
     reps = sorted(set(rows["rep"]), key=lambda r: (-lengths[r], r))
-    meet = lambda a, b: a == b or hits.get((a, b), (0, 0, 0))[2] >= LEAST_COVERAGE or hits.get((b, a), (0, 0, 0))[2] >= LEAST_COVERAGE
+
+    def meet(a: str, b: str) -> bool:
+        cover = [hits[x][2] for x in ((a, b), (b, a)) if x in hits]
+        return a == b or bool(cover) and min(cover) >= LEAST_COVERAGE
+
     apart = {a for a in reps for b in reps if not meet(a, b)}
+    own = lambda r: (1, lengths[r]) if r == reference else hits.get((r, reference), (0, -1))[:2]
     out: dict[str, tuple[int, int, int]] = {}
     for _, part in rows.groupby("genome", sort=True):
         loci = sorted(part["locus"])
         rep = dict(zip(part["locus"], part["rep"], strict=True))
-        number = {x: k for k, x in enumerate(loci)}
-        group, later, done = 0, {}, set()
+        group, reference, done = 0, None, set()
         for x in loci:
             if x in done:
                 continue
@@ -47,8 +100,8 @@ def classify_family(rows: pd.DataFrame, hits: dict[tuple[str, str], tuple[int, i
                 out[x] = (1, 0, 0)
                 done.add(x)
                 continue
-            reference = next((r for r in reps if r != rep[x] and meet(r, rep[x])), rep[x])
-            partners = [y for y in loci if y != x and y not in done and meet(rep[y], reference) and not meet(rep[y], rep[x])]
+            reference = next(r for r in reps if meet(r, rep[x]))
+            partners = [y for y in loci if y not in done and meet(rep[y], reference) and not meet(rep[y], rep[x])]
             if not partners:
                 out[x] = (1, 0, 0)
                 done.add(x)
@@ -56,36 +109,18 @@ def classify_family(rows: pd.DataFrame, hits: dict[tuple[str, str], tuple[int, i
                 group += 1
                 out[x] = out[partners[0]] = (0, 1, group)
                 done |= {x, partners[0]}
-            else:
-                later.setdefault(reference, []).append(x)
-        for reference, waiting in later.items():
-            size = lengths[reference]
-            scored = []
-            pool = [x for x in waiting if x not in done]
-            for n in range(2, most + 1):
-                for combo in combinations(pool, n):
-                    taken: set[int] = set()
-                    total, before = 0.0, None
-                    for x in sorted(combo, key=lambda y: hits.get((rep[y], reference), (0, 0, 0))[0]):
-                        start, end, _ = hits.get((rep[x], reference), (0, -1, 0))
-                        new = covered(start, end, taken) if end >= start or start > end > 0 else 0
-                        taken |= set(range(min(start, end), max(start, end) + 1)) if new else set()
-                        total -= abs(new - lengths[rep[x]])
-                        if before is not None and abs(number[x] - number[before]) <= NEAR:
-                            total += NEAR_BONUS * size
-                        before = x
-                    if total >= WORST * size:
-                        scored.append((-(total - (size - len(taken))), combo))
-            for _, combo in sorted(scored):
-                if not done & set(combo):
+        pool = [x for x in loci if x not in done]
+        fit = [x for x in pool if rep[x] == reference or (rep[x], reference) in hits]
+        if len(fit) > 1:
+            spans = np.array([own(rep[x]) for x in fit], dtype=np.int64)
+            sizes = np.array([lengths.get(x, lengths[rep[x]]) for x in fit], dtype=np.int64)
+            scored = _combinations(spans[:, 0], spans[:, 1], sizes, np.array([locus_number(x) for x in fit]), lengths[reference], most)
+            for _, members in sorted(scored, key=lambda c: (-c[0], c[1])):
+                combo = {fit[k] for k in members}
+                if not done & combo:
                     group += 1
-                    for x in combo:
-                        out[x] = (0, 1, group)
-                    done |= set(combo)
-            for x in pool:
-                if x not in done:
-                    out[x] = (1, 0, 0)
-                    done.add(x)
+                    out.update(dict.fromkeys(combo, (0, 1, group)))
+                    done |= combo
         for x in loci:
             out.setdefault(x, (1, 0, 0))
     return [(x, *v) for x, v in sorted(out.items())]
@@ -95,14 +130,15 @@ def classify(members: DataFrame, hits: DataFrame, lengths: DataFrame, threshold:
     """Paralog categories (locus, family, genome, mc, ff, ff_group, length_cluster).
 
     members: (family, locus, genome, rep), rep the locus of the same length cluster that stands for it; hits between
-    representatives in the columns of para_hits; lengths: (locus, length) of representatives. Only hits at or over the
-    threshold count.
+    representatives in the columns of para_hits; lengths: (locus, length) of representatives, and of other loci where
+    they are known. Only hits at or over the threshold count.
     """
     near = hits.where((F.col("pident") >= threshold) & (F.col("q") != F.col("s")))
     near = near.groupBy("q", "s").agg(F.min_by(F.struct("sstart", "send", "qcovs"), "qcovs").alias("h")).select("q", "s", "h.*")
     family = members.select("family", F.col("rep").alias("q")).distinct()
     near = near.join(family, "q").groupBy("family").agg(F.collect_list(F.struct("q", "s", "sstart", "send", "qcovs")).alias("hits"))
-    rows = members.join(lengths.select(F.col("locus").alias("rep"), F.col("length").alias("rep_length")), "rep").join(near, "family", "left")
+    sized = lengths.select("locus", F.col("length").alias("own_length"))
+    rows = members.join(lengths.select(F.col("locus").alias("rep"), F.col("length").alias("rep_length")), "rep").join(sized, "locus", "left").join(near, "family", "left")
     # A family's hits go with one of its rows only.
     first = rows.groupBy("family").agg(F.min("locus").alias("first"))
     rows = rows.join(first, "family").withColumn("hits", F.when(F.col("locus") == F.col("first"), F.col("hits"))).drop("first")
@@ -112,9 +148,11 @@ def classify(members: DataFrame, hits: DataFrame, lengths: DataFrame, threshold:
         for listed in part["hits"]:
             for h in listed if listed is not None else ():
                 found[h["q"], h["s"]] = (h["sstart"], h["send"], h["qcovs"])
-        sizes = dict(zip(part["rep"], part["rep_length"], strict=True))
+        sizes = dict(zip(part["rep"], part["rep_length"].astype(int), strict=True))
+        known = part[part["own_length"].notna()]
+        own = dict(zip(known["locus"], known["own_length"].astype(int), strict=True))
         order = {r: k + 1 for k, r in enumerate(sorted(sizes, key=lambda r: (-sizes[r], r)))}
-        got = {x: v for x, *v in classify_family(part, found, sizes, most)}
+        got = {x: v for x, *v in classify_family(part, found, own | sizes, most)}
         out = part[["locus", "family", "genome", "rep"]].copy()
         for k, c in enumerate(("mc", "ff", "ff_group")):
             out[c] = [got[x][k] for x in out["locus"]]
@@ -124,41 +162,68 @@ def classify(members: DataFrame, hits: DataFrame, lengths: DataFrame, threshold:
     return rows.groupBy("family").applyInPandas(run, "locus string, family string, genome string, mc int, ff int, ff_group int, length_cluster int")
 
 
+def aligned_groups(genes: list[tuple[str, int]], sites: dict[str, frozenset], cluster: dict[str, int]) -> dict[str, int]:
+    """Locus -> group of one genome's loci (locus, pos): those that stand nearest to another first, then by place.
+
+    The first one left opens a group. Each of the others left in turn: one of the same length cluster is another copy, in
+    a group of its own, which is the one that goes on; one that has more new columns than common ones, of which there are
+    at most ALIGNED_MOST of either, is a further fragment of the group; anything else ends the search.
+    """
+    nearest = {x: min((abs(p - q) for y, q in genes if y != x), default=0) for x, p in genes}
+    names = [x for x, _ in sorted(genes, key=lambda g: (nearest[g[0]], g[1], g[0]))]
+    out: dict[str, int] = {}
+    group = 0
+    for x in names:
+        if x in out:
+            continue
+        group += 1
+        out[x] = group
+        for y in names:
+            if y in out:
+                continue
+            both = len(sites[x] & sites[y])
+            if cluster[x] == cluster[y]:
+                group += 1
+            elif not len(sites[y]) - both > both or both > ALIGNED_MOST * len(sites[x]) or both > ALIGNED_MOST * len(sites[y]):
+                break
+            out[y] = group
+    return out
+
+
 def classify_aligned(alignment: DataFrame, positions: DataFrame, overlap: float = 0.9) -> DataFrame:
-    """As classify, from aligned families (family, locus, genome, aln) and places on contigs (locus, pos).
+    """As classify, from aligned families (family, locus, genome, aln) and places on contigs (locus, pos); a locus without one is at 0.
 
-    Sequences whose filled columns agree in 90 percent or more of both are one length cluster. Two loci of a genome
-    whose columns hardly meet are fragments if no third shares columns with both; neighbours come first.
+    Sequences whose filled columns agree in 90 percent or more of both are one length cluster, the shortest first. If all
+    are one, or all are equally long, each locus of a genome with several is a copy with a number of its own. Else each
+    genome's loci fall into groups: aligned_groups(). A genome of several groups is multicopy, a group of several loci is
+    one gene in fragments.
     """
-    rows = alignment.join(positions.select("locus", "pos"), "locus", "left")
+    rows = alignment.join(positions.select("locus", "pos"), "locus", "left").na.fill(0, ["pos"])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["genome", "locus"]).reset_index(drop=True)
         sites = {r.locus: frozenset(k for k, c in enumerate(r.aln) if c != "-") for r in part.itertuples()}
-        cluster, reps = {}, []
-        for x in sorted(sites, key=lambda y: (-len(sites[y]), y)):
-            for k, r in enumerate(reps):
-                both = len(sites[x] & sites[r])
-                if both >= overlap * len(sites[x]) and both >= overlap * len(sites[r]):
-                    cluster[x] = k + 1
-                    break
-            else:
-                reps.append(x)
-                cluster[x] = len(reps)
+        cluster: dict[str, int] = {}
+        order = sorted(sites, key=lambda y: (len(sites[y]), y))
+        for x in order:
+            if x not in cluster:
+                n = max(cluster.values(), default=0) + 1
+                for y in order:
+                    both = len(sites[x] & sites[y])
+                    if y not in cluster and (x == y or both >= overlap * len(sites[x]) and both >= overlap * len(sites[y])):
+                        cluster[y] = n
+        flush = len({len(s) for s in sites.values()}) == 1 or max(cluster.values()) == 1
         out = {}
         for _, own in part.groupby("genome"):
-            loci, done, group = list(own["locus"]), set(), 0
-            pos = dict(zip(own["locus"], own["pos"], strict=True))
-            pairs = [(abs((pos[a] or 0) - (pos[b] or 0)), a, b) for a, b in combinations(loci, 2) if len(sites[a] & sites[b]) < 0.1 * min(len(sites[a]), len(sites[b]))]
-            for _, a, b in sorted(pairs):
-                if a not in done and b not in done:
-                    group += 1
-                    out[a] = out[b] = (0, 1, group)
-                    done |= {a, b}
-            for x in loci:
-                out.setdefault(x, (1, 0, 0))
+            genes = list(zip(own["locus"], own["pos"].astype(int), strict=True))
+            if flush:
+                out |= {x: (1, 0, k + 1 if len(genes) > 1 else 0) for k, (x, _) in enumerate(genes)}
+                continue
+            groups = aligned_groups(genes, sites, cluster)
+            size = pd.Series(list(groups.values())).value_counts()
+            out |= {x: (int(len(size) > 1), int(size[g] > 1), g) for x, g in groups.items()}
         part["mc"], part["ff"], part["ff_group"] = zip(*(out[x] for x in part["locus"]), strict=True)
-        part["length_cluster"] = [cluster[x] for x in part["locus"]]
+        part["length_cluster"] = [1 if flush else cluster[x] for x in part["locus"]]
         return part[["locus", "family", "genome", "mc", "ff", "ff_group", "length_cluster"]]
 
     return rows.groupBy("family").applyInPandas(run, "locus string, family string, genome string, mc int, ff int, ff_group int, length_cluster int")
@@ -168,59 +233,66 @@ def split_family(rows: pd.DataFrame, cut_off: float = 0.75, strict: bool = False
     """Locus -> group from 1, of one family with columns locus, threshold, allele, genome, copy (what counts as one gene copy).
 
     An allele above the lowest threshold is taken if it has nearly as many genomes as asked for and hardly more copies
-    than genomes; the best score goes first. When none is left the demands are lowered step by step. The rest is the
-    last group.
+    than genomes; the best score goes first, and of equal ones the lower threshold. If genomes are gone after that, the
+    demands and the scores begin anew with the number left. A round that takes nothing lowers the demands by a step, down
+    to the cut-off; then they begin once more at the top, with any number of copies allowed. The rest is the last group.
     """
     base = rows[rows["threshold"] == rows["threshold"].min()]
     left = dict(zip(base["locus"], zip(base["genome"], base["copy"], strict=True), strict=True))
     count = lambda loci: (len({left[x][0] for x in loci}), len({left[x] for x in loci}))
-    org, copies = count(left)
-    if org == 1 or copies == org:
+    genomes, copies = count(left)
+    if genomes == 1 or copies == genomes:
         return dict.fromkeys(left, 1)
     above = rows[rows["threshold"] > rows["threshold"].min()]
-    alleles = sorted(((t, a), set(g["locus"])) for (t, a), g in above.groupby(["threshold", "allele"]))
+    alleles = sorted(((t, a), list(g["locus"])) for (t, a), g in above.groupby(["threshold", "allele"]))
     if strict:
         alleles = sorted(alleles, key=lambda x: (-x[0][0], x[0][1]))
     group_of: dict[str, int] = {}
-    n_cut = t_cut = org
-    group, relaxed = 0, False
+    org = n_cut = t_cut = genomes
+    group, before = 0, 0
     while True:
         scored = []
-        for name, loci in alleles:
+        for _, loci in alleles:
             here = [x for x in loci if x in left]
             if not here:
                 continue
             g, t = count(here)
             if strict:
                 if g == t == org:
-                    scored.append((0.0, name, here))
+                    scored.append((0.0, here))
             elif g >= n_cut and t <= t_cut and g != 1:
-                scored.append((1 + (1 - g / org) + (t - g) / org, name, here))
-        split = False
+                scored.append((1 + (1 - g / genomes) + (t - g) / genomes, here))
+        remain = genomes
         if scored:
-            least = min(s for s, *_ in scored)
-            for s, _, here in scored:
+            least = min(s for s, _ in scored)
+            for s, here in scored:
                 here = [x for x in here if x in left]
                 if s == least and here:
                     group += 1
                     for x in here:
                         group_of[x] = group
                         del left[x]
-                    split = True
-        if not left:
+            remain, copies = count(left)
+            if remain <= 1 or remain == copies:
+                break
+        if strict and not scored:
             break
-        g, t = count(left)
-        if g <= 1 or g == t or (strict and not split):
-            break
-        if split:
-            if g != n_cut:
-                n_cut = t_cut = g
-            continue
-        if relaxed:
-            break
-        n_cut, t_cut = max(1, int(n_cut - org * STEP)), int(n_cut + org * STEP)
-        if n_cut <= int(org * cut_off) or n_cut == 1:
-            t_cut, relaxed = 10_000_000, True
+        if remain != genomes:  # fewer genomes are left: the demands begin anew with their number
+            genomes = org = n_cut = t_cut = remain
+        elif group == before and not strict:
+            was, i = n_cut, STEP
+            while i <= STEP_MOST:
+                n_cut, new = int(was - org * i), int(was + org * i)
+                if n_cut < was:
+                    break
+                i += STEP_MORE
+            t_cut = t_cut if t_cut == ANY else new
+            low = n_cut <= int(org * cut_off)
+            if low and t_cut == ANY:
+                break
+            if low or n_cut == 1:  # once more from the top, with any number of copies
+                n_cut, t_cut = remain, ANY
+        before = group
     if left:
         group += 1
         group_of.update(dict.fromkeys(left, group))
@@ -228,29 +300,58 @@ def split_family(rows: pd.DataFrame, cut_off: float = 0.75, strict: bool = False
 
 
 def split(loci: DataFrame, categories: DataFrame | None = None, cut_off: float = 0.75, strict: bool = False) -> DataFrame:
-    """The loci list with families split: <family>_<group>, alleles <family>_<group>_<n>; a family of one group keeps its names."""
+    """The loci list with families split: <family>_<group>, alleles <family>_<group>_<n> with the allele's own n.
+
+    A family of one group keeps its names.
+    """
     rows = with_categories(loci, categories).withColumn("copy", copy_id())
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         group = split_family(part, cut_off, strict)
         out = part[["locus", "family", "threshold", "allele", "genome"]].copy()
         if max(group.values()) > 1:
-            low = part["threshold"].min()
-            g = out["locus"].map(group)
-            family = out["family"] + "_" + g.astype(str)
-            keys = sorted(set(zip(g, out["threshold"], out["allele"], strict=True)))
-            number, seen = {}, {}
-            for k in keys:
-                if k[1] > low:
-                    seen[k[0]] = seen.get(k[0], 0) + 1
-                    number[k] = seen[k[0]]
-            out["allele"] = [f if t == low else f"{f}_{number[n, t, a]}" for f, n, t, a in zip(family, g, out["threshold"], out["allele"], strict=True)]
-            out["family"] = family
+            out["family"] = out["family"] + "_" + out["locus"].map(group).astype(str)
+            number = [re.search(r"_(\d+)$", a) for a in out["allele"]]
+            out["allele"] = [f"{f}_{n[1]}" if n else f for f, n in zip(out["family"], number, strict=True)]
         return out
 
     return rows.select("locus", "family", "threshold", "allele", "genome", "copy").groupBy("family").applyInPandas(run, "locus string, family string, threshold int, allele string, genome string")
 
 
+def split_log(split_loci: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """(family, line) of split families: the old name, then each group as `name(loci/genomes/copies)` in order of its number."""
+    low = F.min("threshold").over(Window.partitionBy("family"))
+    base = with_categories(split_loci.withColumn("_low", low).where("threshold = _low").drop("_low"), categories).withColumn("copy", F.concat_ws("|", "genome", copy_id()))
+    each = base.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("genome").alias("g"), F.count_distinct("copy").alias("t"))
+    text = F.concat("family", F.lit("("), F.concat_ws("/", *(F.col(c).cast("string") for c in "ngt")), F.lit(")"))
+    number = F.coalesce(F.expr("try_cast(regexp_extract(family, '_([0-9]+)$', 1) as int)"), F.lit(0))
+    rows = each.groupBy(F.regexp_replace("family", r"_\d+$", "").alias("old")).agg(F.array_sort(F.collect_list(F.struct(number.alias("k"), text.alias("x")))).alias("groups"))
+    return rows.select(F.col("old").alias("family"), F.concat_ws("\t", F.col("old"), F.array_join(F.transform("groups", lambda x: x["x"]), "\t")).alias("line"))
+
+
+def best_scores(loci: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """(family, threshold, allele): of each family's alleles above its lowest threshold and of several genomes, those of the best score.
+
+    The score is that by which split_family() chooses: the share of the family's genomes that an allele lacks, and its
+    copies beyond one a genome.
+    """
+    each = doses(loci, categories).groupBy("family", "threshold", "allele").agg(F.count("*").alias("g"), F.sum("dose").alias("t"))
+    family = Window.partitionBy("family")
+    each = each.withColumn("n", F.max("g").over(family)).withColumn("low", F.min("threshold").over(family)).where("threshold > low and g > 1")
+    # Times n, so that whole numbers are compared: n * (1 + (1 - g / n) + (t - g) / n).
+    return each.withColumn("r", F.rank().over(family.orderBy(2 * F.col("n") + F.col("t") - 2 * F.col("g")))).where("r = 1").select("family", "threshold", "allele")
+
+
+def apart(representatives: DataFrame, hits: DataFrame) -> DataFrame:
+    """(a, b, apart): each two representatives (cluster, locus) of a cluster, and whether they may be parts of one gene.
+
+    They are apart without a hit, or if the smaller coverage of the two directions is under LEAST_COVERAGE percent.
+    """
+    r = representatives.select("cluster", "locus")
+    pairs = r.toDF("cluster", "a").join(r.toDF("cluster", "b"), "cluster").where("a < b").select("a", "b")
+    return pairs.join(pair_coverage(hits), ["a", "b"], "left").select("a", "b", F.coalesce(F.col("coverage") < LEAST_COVERAGE, F.lit(True)).alias("apart"))
+
+
 def replaced(loci: DataFrame, split_loci: DataFrame, families: DataFrame) -> DataFrame:
     """The loci list without `families` (family), and split_loci in their place."""
     return loci.join(families, "family", "left_anti").select(*loci.columns).unionByName(split_loci.select(*loci.columns))
