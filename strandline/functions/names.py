@@ -41,11 +41,20 @@ def cell_text(copies: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(copies, one)), ";")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder, but in a local session only: on a cluster executors would not share it."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df cut off from its lineage, in the folder in spark.checkpoint.dir that all executors share."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandline-checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

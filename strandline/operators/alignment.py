@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sequences of a block whose columns are held against each other; the most genomes of a tree.
+PAIRS, GENOMES = 1024, 5000
+
 
 def pair_gaps(a: str, b: str) -> tuple[str, str]:
     """Both sequences with gaps, aligned globally: match 2, mismatch -1, gap -2."""
@@ -94,11 +97,14 @@ def back_translate(rows: DataFrame, kernel=center_star) -> DataFrame:
     return rows.groupBy("family").applyInPandas(run, "family string, locus string, genome string, aln string")
 
 
-def longest_per_genome(aligned: DataFrame) -> DataFrame:
-    """(family, genome, locus, aln, n): the sequence with the most letters, the first locus of ties, and how many there are."""
-    size = F.length(F.replace("aln", F.lit("-"), F.lit("")))
+def _letters(aln: Column, gaps: str) -> Column:
+    return F.length(F.translate(aln, gaps, ""))
+
+
+def longest_per_genome(aligned: DataFrame, gaps: str = "-N") -> DataFrame:
+    """(family, genome, locus, aln, n): the sequence with the most letters but `gaps`, the first locus of ties, and how many there are."""
     order = Window.partitionBy("family", "genome").orderBy(F.desc("size"), "locus")
-    rows = aligned.withColumn("size", size).withColumn("n", F.count("*").over(Window.partitionBy("family", "genome")))
+    rows = aligned.withColumn("size", _letters(F.col("aln"), gaps)).withColumn("n", F.count("*").over(Window.partitionBy("family", "genome")))
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("family", "genome", "locus", "aln", "n")
 
 
@@ -110,10 +116,15 @@ def offsets(aligned: DataFrame, order: DataFrame) -> DataFrame:
     return width.select("family", (end - F.col("width") + 1).cast("long").alias("start"), end.cast("long").alias("end"))
 
 
-def concatenate(aligned: DataFrame, order: DataFrame, genomes: DataFrame, gap: str = "N", several: bool = False) -> DataFrame:
-    """(genome, aln): families end to end in graph order. A missing family is `gap`, one with several copies -, unless its longest is wanted."""
+def concatenate(aligned: DataFrame, order: DataFrame, genomes: DataFrame, gap: str = "N", several: bool = False, amino: bool = False) -> DataFrame:
+    """(genome, aln): families end to end in graph order.
+
+    In a sequence - and N, or - and * of amino acids, become `gap`. A missing family is all `gap`, one with several copies
+    is all -, unless its longest is wanted; their letters alone decide which is longest.
+    """
+    gaps = "-*" if amino else "-N"
     place = offsets(aligned, order)
-    best = longest_per_genome(aligned).select("family", "genome", "aln", "n")
+    best = longest_per_genome(aligned, gaps).select("family", "genome", F.translate("aln", gaps, gap * len(gaps)).alias("aln"), "n")
     grid = place.withColumn("width", F.col("end") - F.col("start") + 1).crossJoin(genomes.select("genome").distinct()).join(best, ["family", "genome"], "left")
     width = F.col("width").cast("int")
     text = F.when(F.col("aln").isNull(), F.repeat(F.lit(gap), width)).when((F.col("n") > 1) & F.lit(not several), F.repeat(F.lit("-"), width)).otherwise(F.rpad("aln", width, F.lit(gap)))
@@ -121,9 +132,9 @@ def concatenate(aligned: DataFrame, order: DataFrame, genomes: DataFrame, gap: s
     return grid.groupBy("genome").agg(F.array_join(F.transform(items, lambda x: x["text"]), "").alias("aln"))
 
 
-def offsets_gff(place: DataFrame, name: str = "pangenome") -> DataFrame:
+def offsets_gff(place: DataFrame, name: str = "Pangenome") -> DataFrame:
     """(family, line): a feature line for each family's span."""
-    line = F.concat_ws("\t", F.lit(name), F.lit("strandline"), F.lit("CDS"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("0"), F.concat(F.lit("ID="), "family", F.lit(";gene="), "family"))
+    line = F.concat_ws("\t", F.lit(name), F.lit("NA"), F.lit("CDS"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("0"), F.concat(F.lit("ID="), "family", F.lit(";gene="), "family"))
     return place.select("family", line.alias("line"))
 
 
@@ -152,12 +163,29 @@ def subset(aligned: DataFrame, loci: DataFrame, alleles: DataFrame, genomes: Dat
 
 
 def column_overlaps(aligned: DataFrame, share: float = 0.9) -> DataFrame:
-    """(family, a, b, both, similar): filled columns that each two sequences of a family have in common."""
-    sites = F.filter(F.transform(F.split("aln", ""), lambda x, k: F.when((x != "-") & (x != ""), k)), lambda k: k.isNotNull())
-    rows = aligned.select("family", "locus", sites.alias("sites"))
-    a, b = rows.toDF("family", "a", "x"), rows.toDF("family", "b", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    return a.join(b, "family").where("a < b").select("family", "a", "b", both.alias("both"), ((both >= share * F.size("x")) & (both >= share * F.size("y"))).alias("similar"))
+    """(family, a, b, both, similar): filled columns that each two sequences of a family have in common.
+
+    A family's sequences meet in blocks of PAIRS by PAIRS, each a product of their columns as ones and zeros.
+    """
+    count = aligned.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PAIRS)).cast("int").alias("s"))
+    rows = aligned.select("family", "locus", "aln").join(count, "family").withColumn("own", F.pmod(F.xxhash64("locus"), F.col("s")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "locus", "aln")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part] if (same := part["p"].iloc[0] == part["q"].iloc[0]) else [part[part["own"] == part["p"]], part[part["own"] != part["p"]]]
+        width = int(part["aln"].str.len().max())
+        filled = [np.array([np.frombuffer(x.ljust(width, "-").encode(), "u1") != 45 for x in side["aln"]], dtype=np.float32).reshape(len(side), width) for side in sides]
+        x, y = filled[0], filled[-1]
+        names, others = sides[0]["locus"].to_numpy(), sides[-1]["locus"].to_numpy()
+        both = np.rint(x @ y.T).astype(np.int64)
+        i, j = np.triu_indices(len(x), 1) if same else (k.ravel() for k in np.indices(both.shape))
+        m, n = x.sum(axis=1).astype(np.int64), y.sum(axis=1).astype(np.int64)
+        turn = names[i] > others[j]
+        similar = (both[i, j] >= share * m[i]) & (both[i, j] >= share * n[j])
+        return pd.DataFrame({"family": part["family"].iloc[0], "a": np.where(turn, others[j], names[i]), "b": np.where(turn, names[i], others[j]), "both": both[i, j], "similar": similar})
+
+    return rows.groupBy("family", "p", "q").applyInPandas(run, "family string, a string, b string, both long, similar boolean")
 
 
 def family_sequences(families: DataFrame, loci: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -165,33 +193,35 @@ def family_sequences(families: DataFrame, loci: DataFrame, seqs: DataFrame) -> D
     return loci.join(families.select("family"), "family", "left_semi").select("family", "locus", "genome").distinct().join(seqs.select("locus", "seq"), "locus")
 
 
-def neighbour_joining(names: list[str], d: dict[tuple[str, str], float]) -> str:
-    """A tree in Newick form from distances between genomes: few enough for the driver, as a genome is a file."""
+def neighbour_joining(names: list[str], m: np.ndarray) -> str:
+    """A tree in Newick form from a matrix of distances between names in order."""
     if not names:
         return ";"
-    label = {k: n for k, n in enumerate(sorted(names))}
-    ids = sorted(label)
-    m = {(a, b): float(d.get((label[a], label[b]), d.get((label[b], label[a]), 0))) for a in ids for b in ids}
-    new = len(ids)
-    while len(ids) > 2:
-        n = len(ids)
-        total = {a: sum(m[a, b] for b in ids if b != a) for a in ids}
-        _, a, b = min(((n - 2) * m[x, y] - total[x] - total[y], x, y) for k, x in enumerate(ids) for y in ids[k + 1 :])
+    label, m = list(names), m.astype(np.float64)
+    while len(label) > 2:
+        n, total = len(label), m.sum(axis=1)
+        score = (n - 2) * m - total[:, None] - total
+        score[np.tril_indices(n)] = np.inf
+        a, b = divmod(int(score.argmin()), n)
         to_a = m[a, b] / 2 + (total[a] - total[b]) / (2 * (n - 2))
-        label[new] = f"({label[a]}:{max(0.0, to_a):.6g},{label[b]}:{max(0.0, m[a, b] - to_a):.6g})"
-        for c in ids:
-            if c not in (a, b):
-                m[new, c] = m[c, new] = (m[a, c] + m[b, c] - m[a, b]) / 2
-        m[new, new] = 0.0
-        ids = [c for c in ids if c not in (a, b)] + [new]
-        new += 1
-    if len(ids) == 1:
-        return f"{label[ids[0]]};"
-    a, b = ids
-    return f"({label[a]}:{m[a, b] / 2:.6g},{label[b]}:{m[a, b] / 2:.6g});"
-
-
-def tree(distance_rows: DataFrame) -> str:
-    """The tree of (g1, g2, d)."""
-    rows = distance_rows.collect()
-    return neighbour_joining(sorted({r["g1"] for r in rows}), {(r["g1"], r["g2"]): r["d"] for r in rows})
+        joined = f"({label[a]}:{max(0.0, to_a):.6g},{label[b]}:{max(0.0, m[a, b] - to_a):.6g})"
+        rest = np.array([k for k in range(n) if k not in (a, b)], dtype=np.int64)
+        far = (m[a, rest] + m[b, rest] - m[a, b]) / 2
+        m = np.block([[m[np.ix_(rest, rest)], far[:, None]], [far[None], np.zeros((1, 1))]])
+        label = [*(label[k] for k in rest), joined]
+    if len(label) == 1:
+        return f"{label[0]};"
+    return f"({label[0]}:{m[0, 1] / 2:.6g},{label[1]}:{m[0, 1] / 2:.6g});"
+
+
+def tree(distance_rows: DataFrame, most: int = GENOMES) -> str:
+    """The tree of (g1, g2, d). The driver holds a matrix of all genomes, at most `most`; more is an error before anything is sent."""
+    names = [r[0] for r in distance_rows.select("g1").distinct().orderBy("g1").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} genomes; a tree takes the square of their number in the driver's memory")
+    at = {x: k for k, x in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in distance_rows.where("g1 < g2").groupBy("g1").agg(F.collect_list(F.struct("g2", "d")).alias("row")).toLocalIterator():
+        for x in r["row"]:
+            m[at[r["g1"]], at[x["g2"]]] = m[at[x["g2"]], at[r["g1"]]] = x["d"]
+    return neighbour_joining(names, m)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.names import cell_text, numbered, padded
+from strandline.functions.names import cell_text, checkpoint, numbered, padded
 
 FAMILY_WIDTH, ALLELE_WIDTH = 5, 4
 
@@ -36,6 +36,21 @@ def name_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.join(named, ["threshold", "cluster"]).select("locus", "family", "threshold", "allele", "genome")
 
 
+def with_genomes(rows: DataFrame, genomes: DataFrame) -> DataFrame:
+    """rows (locus, ...) with the genome that genome2loci (locus, genome) gives; loci that it lacks have no row."""
+    return rows.join(genomes.select("locus", "genome"), "locus")
+
+
+def with_info(rows: DataFrame, info: DataFrame, *columns: str) -> DataFrame:
+    """rows (locus, ...) with columns of info (locus, gene, product, length); null for loci that it lacks."""
+    return rows.join(info.select("locus", *columns), "locus", "left")
+
+
+def first_rows(loci: DataFrame) -> DataFrame:
+    """(family, threshold, allele): each family's first allele by threshold, then name."""
+    return loci.groupBy("family").agg(F.min(F.struct("threshold", "allele")).alias("m")).select("family", "m.threshold", "m.allele")
+
+
 def paralog_families(loci: DataFrame) -> DataFrame:
     """(family): those with two loci of a genome in some allele."""
     return loci.groupBy("family", "threshold", "allele", "genome").agg(F.count("*").alias("n")).where("n > 1").select("family").distinct()
@@ -93,17 +108,20 @@ def copy_id() -> Column:
 
 
 def doses(loci: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """(family, threshold, allele, genome, dose, n_loci, n_groups): gene copies, loci and fission groups of each genome."""
-    rows = with_categories(loci, categories)
-    return rows.groupBy("family", "threshold", "allele", "genome").agg(
-        F.count_distinct(copy_id()).alias("dose"), F.count("*").alias("n_loci"), F.count_distinct("ff_group").alias("n_groups"))
+    """(family, threshold, allele, genome, dose, n_loci, n_groups): gene copies, loci, and copies of several fragments, of each genome.
+
+    A fission group counts in an allele only if two of its loci or more are in that allele.
+    """
+    keys = ["family", "threshold", "allele", "genome"]
+    copies = with_categories(loci, categories).groupBy(*keys, copy_id().alias("copy")).agg(F.count("*").alias("n"))
+    return copies.groupBy(*keys).agg(F.count("*").alias("dose"), F.sum("n").alias("n_loci"), F.sum((F.col("n") > 1).cast("long")).alias("n_groups"))
 
 
 def allele_stats(loci: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """A row for each allele: genomes, average, least and largest dose, and what is split or duplicated.
 
-    number_fission_loci counts groups, number_duplicated_loci the copies of genomes with several, and no_loci copies;
-    n_true_loci counts loci.
+    number_fission_loci counts copies of several fragments, number_duplicated_loci the copies that genomes have beyond
+    their first, and no_loci copies; n_true_loci counts loci.
     """
     d = doses(loci, categories)
     return d.groupBy("family", "threshold", "allele").agg(
@@ -114,7 +132,7 @@ def allele_stats(loci: DataFrame, categories: DataFrame | None = None) -> DataFr
         F.sum(F.when(F.col("n_groups") > 0, 1).otherwise(0)).cast("long").alias("genomes_containing_fissions"),
         F.sum(F.when(F.col("dose") > 1, 1).otherwise(0)).cast("long").alias("genomes_containing_duplications"),
         F.sum("n_groups").alias("number_fission_loci"),
-        F.sum(F.when(F.col("dose") > 1, F.col("dose")).otherwise(0)).cast("long").alias("number_duplicated_loci"),
+        F.sum(F.col("dose") - 1).alias("number_duplicated_loci"),
         F.sum("dose").alias("no_loci"),
         F.sum("n_loci").alias("n_true_loci"),
     )
@@ -129,22 +147,29 @@ def lengths(loci: DataFrame, info: DataFrame) -> DataFrame:
 def name_counts(loci: DataFrame, info: DataFrame, column: str) -> DataFrame:
     """(threshold, allele, name, n): how often each value of info's column occurs; null for what is missing or empty."""
     name = F.when(F.col(column) != "", F.col(column))
-    return loci.join(info.select("locus", column), "locus", "left").groupBy("threshold", "allele", name.alias("name")).agg(F.count("*").alias("n"))
+    return with_info(loci, info, column).groupBy("threshold", "allele", name.alias("name")).agg(F.count("*").alias("n"))
+
+
+def named(loci: DataFrame, info: DataFrame, column: str) -> DataFrame:
+    """(threshold, allele, consensus, counted) by names' counts.
+
+    consensus: the most frequent name, the first by name of ties; null if none is known. counted: `name(n):name(n)` by
+    falling count, then name; missing ones as NA.
+    """
+    counts = name_counts(loci, info, column).select("threshold", "allele", F.struct((-F.col("n")).alias("m"), F.coalesce("name", F.lit("NA")).alias("name"), F.col("name").isNull().alias("none")).alias("x"))
+    items = counts.groupBy("threshold", "allele").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    text = F.array_join(F.transform("items", lambda x: F.concat(x["name"], F.lit("("), (-x["m"]).cast("string"), F.lit(")"))), ":")
+    return items.select("threshold", "allele", F.get(F.filter("items", lambda x: ~x["none"]), F.lit(0))["name"].alias("consensus"), text.alias("counted"))
 
 
 def consensus(loci: DataFrame, info: DataFrame, column: str) -> DataFrame:
-    """(threshold, allele, consensus): the most frequent name, the first by name of ties; null if none is known."""
-    counts = name_counts(loci, info, column)
-    order = Window.partitionBy("threshold", "allele").orderBy(F.col("name").isNull(), F.desc("n"), "name")
-    return counts.withColumn("r", F.row_number().over(order)).where("r = 1").select("threshold", "allele", F.col("name").alias("consensus"))
+    """(threshold, allele, consensus)."""
+    return named(loci, info, column).drop("counted")
 
 
 def counted_list(loci: DataFrame, info: DataFrame, column: str) -> DataFrame:
-    """(threshold, allele, counted): `name(n):name(n)` by falling count, then name; missing ones as NA."""
-    counts = name_counts(loci, info, column).withColumn("name", F.coalesce("name", F.lit("NA")))
-    items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "name")))
-    text = F.array_join(F.transform(items, lambda x: F.concat(x["name"], F.lit("("), (-x["m"]).cast("string"), F.lit(")"))), ":")
-    return counts.groupBy("threshold", "allele").agg(text.alias("counted"))
+    """(threshold, allele, counted)."""
+    return named(loci, info, column).drop("consensus")
 
 
 def alleles_at_maximum(loci: DataFrame) -> DataFrame:
@@ -183,11 +208,11 @@ def family_table(loci: DataFrame, info: DataFrame, categories: DataFrame | None
     info: (locus, gene, product, length). Genomes' cells stay apart, in cells(): a pivot belongs into the sink.
     """
     rows = family_rows(unique_alleles(loci)) if rows is None else rows
-    mine = loci.join(rows.select("allele", "threshold"), ["allele", "threshold"], "left_semi")
+    mine = checkpoint(loci.join(rows.select("allele", "threshold"), ["allele", "threshold"], "left_semi"))
     keys = ["threshold", "allele"]
     out = allele_stats(mine, categories).join(lengths(mine, info), keys, "left").join(alleles_at_maximum(loci), "family")
     for column, one, many in (("gene", "consensus_gene_name", "gene_names"), ("product", "consensus_product", "products")):
-        out = out.join(consensus(mine, info, column).withColumnRenamed("consensus", one), keys, "left").join(counted_list(mine, info, column).withColumnRenamed("counted", many), keys, "left")
+        out = out.join(named(mine, info, column).withColumnsRenamed({"consensus": one, "counted": many}), keys, "left")
     return out.select(
         F.col("allele").alias("allele_name"), F.col("family").alias("gene_family"), "consensus_gene_name", "consensus_product", "threshold", "alleles_at_maximum_threshold",
         "number_genomes", "average_dose", "min_dose", "max_dose", "genomes_containing_fissions", "genomes_containing_duplications", "number_fission_loci",

@@ -55,6 +55,13 @@ def normalise_hits(hits: DataFrame, representatives: DataFrame, hsp_length: floa
     return add_missing_self(hits, representatives)
 
 
+def pair_coverage(hits: DataFrame) -> DataFrame:
+    """(a, b, coverage, pident) of each two names: the least percent of the query that any hit covers, and that hit's identity."""
+    cover = F.lit(100.0) * F.col("length") / F.col("qlen")
+    best = F.min_by(F.struct(cover.alias("coverage"), "pident"), F.struct(cover.alias("c"), "pident"))
+    return hits.groupBy(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).agg(best.alias("m")).select("a", "b", "m.coverage", "m.pident")
+
+
 def in_same_cluster(hits: DataFrame, clusters: DataFrame) -> DataFrame:
     """Hits whose two ends share a cluster (cluster, locus), with it."""
     a = clusters.select(F.col("locus").alias("q"), F.col("cluster").alias("cluster"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import checkpoint, numbered
 from strandline.operators import families, filters
 
+#: Genomes of a tile, and alleles that a product of two tiles takes at once.
+TILE, ALLELES = 512, 8192
+
 
 def wide(rows: DataFrame, keys: list[str], column: str, value: str, names: list[str] | None = None, empty: object = 0) -> DataFrame:
     """Pivots long rows for a file; the new columns are named, or read off the data, in order."""
@@ -42,24 +49,68 @@ def paralog_rtab(loci: DataFrame, categories: DataFrame, kind: str = "ff", binar
     return counts.join(in_range.select("threshold", "allele"), ["threshold", "allele"], "left_semi")
 
 
-def distances(present: DataFrame, similarity: bool = False) -> DataFrame:
+def distances(present: DataFrame, similarity: bool = False, tile: int = TILE) -> DataFrame:
     """(g1, g2, d): for each two genomes how many alleles just one of them has, or with similarity how many both have.
 
-    Pairs meet on alleles; what only one has follows from the genomes' totals. Every pair of genomes has a row.
+    Genomes are dealt into tiles, and each two tiles are one product of their alleles as ones and zeros, some alleles at
+    a time; what only one has follows from the genomes' totals. Every pair of genomes has a row.
     """
     rows = present.select("genome", F.concat_ws("|", F.col("threshold").cast("string"), "allele").alias("a")).distinct()
-    a, b = rows.toDF("g1", "a"), rows.toDF("g2", "a")
-    both = a.join(b, "a").groupBy("g1", "g2").agg(F.count("*").alias("both"))
-    n = rows.groupBy("genome").agg(F.count("*").alias("n"))
-    pairs = n.toDF("g1", "n1").crossJoin(n.toDF("g2", "n2")).join(both, ["g1", "g2"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    return pairs.select("g1", "g2", (F.col("both") if similarity else F.col("n1") + F.col("n2") - 2 * F.col("both")).cast("long").alias("d"))
+    ids = numbered(rows.select("a").distinct(), "n", F.col("a"))
+    sets = rows.join(ids, "a").groupBy("genome").agg(F.array_sort(F.collect_list("n")).alias("ids"))
+    sets = checkpoint(numbered(sets, "_n", F.col("genome")).withColumn("own", F.floor((F.col("_n") - 1) / F.lit(tile)).cast("int")))
+    last = sets.agg(F.max("own")).first()[0]
+    if last is None:
+        return present.sparkSession.createDataFrame([], "g1 string, g2 string, d long")
+    both = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    both = both.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "genome", "ids").repartition("p", "q").sortWithinPartitions("p", "q", "own", "genome")
+
+    def ones(ids: list[np.ndarray], begin: int) -> np.ndarray:
+        out = np.zeros((len(ids), ALLELES), dtype=np.float32)
+        for k, x in enumerate(ids):
+            a, b = np.searchsorted(x, (begin, begin + ALLELES))
+            out[k, x[a:b] - begin] = 1
+        return out
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+
+        def told() -> Iterator[pa.RecordBatch]:
+            same = at[0] == at[1]
+            x, y = sides[0], sides[0] if same else sides[1]
+            shared = np.zeros((len(x), len(y)), dtype=np.int64)
+            most = max(int(r[1][-1]) for r in (*x, *y))
+            for begin in range(0, most + 1, ALLELES):
+                shared += np.rint(ones([r[1] for r in x], begin) @ ones([r[1] for r in y], begin).T).astype(np.int64)
+            m, n = (np.array([len(r[1]) for r in side]) for side in (x, y))
+            d = shared if similarity else m[:, None] + n - 2 * shared
+            g2 = pa.array([r[0] for r in y], pa.string())
+            for k in range(len(x)):  # a genome against all of the other tile, in both directions
+                one = pa.array([x[k][0]] * len(y), pa.string())
+                yield pa.RecordBatch.from_arrays([one, g2, pa.array(d[k])], names=["g1", "g2", "d"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays([g2, one, pa.array(d[k])], names=["g1", "g2", "d"])
+            sides[0].clear(), sides[1].clear()
+
+        for batch in batches:
+            lists = batch.column(4)
+            for k, (p, q, own, genome) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                if at is not None and (p, q) != at:
+                    yield from told()
+                at = (p, q)
+                sides[own != p].append((genome, lists[k].values.to_numpy(zero_copy_only=False).copy()))
+        if at is not None:
+            yield from told()
+
+    return both.mapInArrow(compared, "g1 string, g2 string, d long")
 
 
 def roary(table: DataFrame, n_loci: str = "no_loci") -> DataFrame:
     """The fixed columns, from the family table; lengths come from their own columns and the number of sequences is real."""
     return table.select(
-        F.col("allele_name").alias("gene"), F.coalesce("consensus_gene_name", F.lit("")).alias("non_unique_gene_name"), F.coalesce("consensus_product", F.lit("")).alias("annotation"), F.col("number_genomes").alias("n_isolates"),
-        F.col(n_loci).alias("n_sequences"), F.col("average_dose").alias("average_per_isolate"), "min_length", "max_length", "average_length")
+        F.concat_ws("__", "allele_name", "gene_family").alias("gene"), F.coalesce("consensus_gene_name", F.lit("")).alias("non_unique_gene_name"), F.coalesce("consensus_product", F.lit("")).alias("annotation"), F.col("number_genomes").alias("n_isolates"),
+        F.col(n_loci).alias("n_sequences"), F.col("average_dose").alias("average_per_isolate"), "min_length", "max_length", "average_length",
+        *(c for c in ("cluster", "cluster_order") if c in table.columns))
 
 
 def treewas(present: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -105,11 +156,15 @@ def position_features(positions: DataFrame, features: DataFrame, width: int = 40
     return positions.join(last, "pos", "left")
 
 
+def recounted(rows: DataFrame) -> DataFrame:
+    """(threshold, allele, number_genomes) of rows (threshold, allele, genome, ...)."""
+    return rows.groupBy("threshold", "allele").agg(F.count_distinct("genome").alias("number_genomes"))
+
+
 def subsample(cell_rows: DataFrame, samples: DataFrame) -> DataFrame:
     """Rows (threshold, allele, genome, cell) of the chosen samples, with number_genomes counted anew; alleles that none has go."""
     kept = filters.by_samples(cell_rows, samples)
-    n = kept.groupBy("threshold", "allele").agg(F.count_distinct("genome").alias("number_genomes"))
-    return kept.join(n, ["threshold", "allele"])
+    return kept.join(recounted(kept), ["threshold", "allele"])
 
 
 def rename_loci(loci: DataFrame, names: DataFrame) -> DataFrame:
