@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,6 @@ class Config:
     similarity_kernel: Callable | None = None
     cluster_kernel: Callable | None = None
     msa_kernel: Callable | None = None
-    kept: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         t = self.thresholds

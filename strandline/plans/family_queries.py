@@ -25,9 +25,9 @@ STATS = [*LIST, "categories", "doses", "stats"]
 LINKED = [*LIST, "children", "unique_alleles"]
 TABLE = [*STATS, "children", "unique_alleles", "family_rows", "names", "lengths", "at_top", "table"]
 
-query("join_locus_genome", ["loci"], "SELECT locus, genome, f AS family FROM loci")(lambda s, d: loci(s, d).select("locus", F.col("f").alias("family")).join(loci(s, d).select("locus", "genome"), "locus"))
+query("join_locus_genome", ["loci"], "SELECT locus, genome, f AS family FROM loci")(lambda s, d: fam.with_genomes(loci(s, d).select("locus", F.col("f").alias("family")), loci(s, d)))
 query("join_locus_info", LIST, "SELECT l.locus, l.allele, gene, product, length FROM loci_list l LEFT JOIN loci USING (locus) WHERE threshold = 90")(
-    lambda s, d: loci_list(s, d).where("threshold = 90").select("locus", "allele").join(info(s, d), "locus", "left"))
+    lambda s, d: fam.with_info(loci_list(s, d).where("threshold = 90").select("locus", "allele"), info(s, d), "gene", "product", "length"))
 query("distinct_genomes", ["loci"], "SELECT DISTINCT genome FROM loci")(lambda s, d: loci(s, d).select("genome").distinct())
 query("name_clusters", LIST, "SELECT * FROM loci_list")(loci_list)
 query("win_family_number", LIST, "SELECT DISTINCT cluster, family FROM clusters JOIN numbered USING (threshold, cluster) WHERE threshold = 50")(
@@ -50,8 +50,17 @@ def agg_core_clusters(s, d):
     return fam.core_clusters(one, n).select(F.col("cluster").cast("string").alias("cluster"))
 
 
-query("agg_cluster_alleles", LIST, """SELECT family, threshold, allele, genome, string_agg(locus, ' ' ORDER BY locus) AS loci, count(*) AS n_loci FROM loci_list
-WHERE family NOT IN (SELECT family FROM loci_list GROUP BY family, threshold, allele, genome HAVING count(*) > 1) GROUP BY ALL""")(lambda s, d: fam.cluster_alleles(loci_list(s, d)))
+def single_copies(s, d):
+    """The loci list where every second family has one locus of each genome only."""
+    rows = loci_list(s, d)
+    first = rows.where("threshold = 50").groupBy("family", "genome").agg(F.min("locus").alias("locus"))
+    odd = F.expr("cast(substring(family, 2) as int) % 2 = 1")
+    return rows.where(odd).unionByName(rows.where(~odd).join(first.select("locus"), "locus", "left_semi").select(*rows.columns))
+
+
+SINGLE = """, single AS (SELECT * FROM loci_list WHERE CAST(substr(family, 2) AS INT) % 2 = 1 OR locus IN (SELECT min(locus) FROM loci_list WHERE threshold = 50 GROUP BY family, genome))"""
+query("agg_cluster_alleles", LIST, SINGLE + """ SELECT family, threshold, allele, genome, string_agg(locus, ' ' ORDER BY locus) AS loci, count(*) AS n_loci FROM single
+WHERE family NOT IN (SELECT family FROM single GROUP BY family, threshold, allele, genome HAVING count(*) > 1) GROUP BY ALL""")(lambda s, d: fam.cluster_alleles(single_copies(s, d)))
 query("join_threshold_next", [*LIST, "children"], "SELECT locus, family, threshold, allele, genome, next_allele FROM linked")(lambda s, d: fam.next_alleles(loci_list(s, d)))
 query("agg_split_signature", [*LIST, "children"], "SELECT family, threshold, count(DISTINCT next_allele) AS n_children FROM linked WHERE next_allele IS NOT NULL GROUP BY ALL")(lambda s, d: fam.split_signature(loci_list(s, d)))
 query("link_alleles", LINKED, "SELECT * FROM unique_alleles")(lambda s, d: fam.unique_alleles(loci_list(s, d)))

@@ -96,12 +96,12 @@ CTE = {
     FROM clusters JOIN numbered USING (threshold, cluster))""",
     "categories": """categories AS (SELECT locus, CASE WHEN event_id % 5 = 0 THEN 1 END AS ff_group FROM loci)""",
     "doses": """doses AS (
-    SELECT family, threshold, allele, genome, count(DISTINCT coalesce('ff' || ff_group, locus)) AS dose, count(*) AS n_loci, count(DISTINCT ff_group) AS n_groups
-    FROM loci_list LEFT JOIN categories USING (locus) GROUP BY ALL)""",
+    SELECT family, threshold, allele, genome, count(*) AS dose, CAST(sum(n) AS BIGINT) AS n_loci, count(*) FILTER (n > 1) AS n_groups
+    FROM (SELECT family, threshold, allele, genome, coalesce('ff' || ff_group, locus) AS copy, count(*) AS n FROM loci_list LEFT JOIN categories USING (locus) GROUP BY ALL) GROUP BY ALL)""",
     "stats": """stats AS (
     SELECT family, threshold, allele, count(*) AS number_genomes, avg(dose) AS average_dose, min(dose) AS min_dose, max(dose) AS max_dose,
         count(*) FILTER (n_groups > 0) AS genomes_containing_fissions, count(*) FILTER (dose > 1) AS genomes_containing_duplications,
-        CAST(sum(n_groups) AS BIGINT) AS number_fission_loci, CAST(coalesce(sum(dose) FILTER (dose > 1), 0) AS BIGINT) AS number_duplicated_loci,
+        CAST(sum(n_groups) AS BIGINT) AS number_fission_loci, CAST(sum(dose - 1) AS BIGINT) AS number_duplicated_loci,
         CAST(sum(dose) AS BIGINT) AS no_loci, CAST(sum(n_loci) AS BIGINT) AS n_true_loci
     FROM doses GROUP BY ALL)""",
     "children": """linked AS (SELECT *, lead(allele) OVER (PARTITION BY locus ORDER BY threshold) AS next_allele FROM loci_list)""",
@@ -151,37 +151,35 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as alignment hits between 97 names, in the 14 columns."""
+    """Order lines as alignment hits between parts, in the 14 columns; a seventh line is a hit of a part on itself."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('c', l_partkey % 97) q", "concat('c', l_suppkey % 97) s", "cast(50 + 5 * round(l_discount * 100) as double) pident", "cast(l_quantity as int) length", "l_linenumber mismatch",
+        "concat('c', l_partkey) q", "concat('c', l_partkey + 7 - l_linenumber) s", "cast(50 + 5 * round(l_discount * 100) as double) pident", "cast(l_quantity as int) length", "l_linenumber mismatch",
         "0 gapopen", "1 qstart", "cast(l_quantity as int) qend", "l_linenumber sstart", "cast(l_quantity + 2 * l_linenumber as int) send", "0D evalue", "floor(l_extendedprice) * 1D bitscore",
         "cast(l_quantity as int) + 3 * l_linenumber qlen", "cast(l_quantity as int) + 9 slen")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(locus, length): the names of hits, and some that have none."""
-    return table(spark, sf_dir, "part").where("p_partkey <= 120").selectExpr("concat('c', p_partkey - 1) locus", "p_size length")
+    """(locus, length): all parts; not all have a hit on themselves."""
+    return table(spark, sf_dir, "part").selectExpr("concat('c', p_partkey) locus", "p_size length")
 
 
 CTE |= {
     "features": """features AS (
     SELECT locus, loci.genome, contig, pos, strand, family, length FROM loci JOIN (SELECT locus, family FROM loci_list WHERE threshold = 50) USING (locus))""",
     "edges": """pairs AS (
-    SELECT genome, before, family, strand, strand_before, CASE WHEN strand_before = '+' THEN 'D' ELSE 'U' END AS leave, CASE WHEN strand = '+' THEN 'U' ELSE 'D' END AS enter FROM adjacent WHERE before IS NOT NULL
+    SELECT genome, before, family, strand, strand_before, CASE WHEN strand_before = '+' THEN 'D' ELSE 'U' END AS leave, CASE WHEN strand = '+' THEN 'U' ELSE 'D' END AS enter FROM adjacent WHERE before <> family
 ), edges AS (
     SELECT src, src_side, dst, dst_side, count(*) AS weight FROM (
         SELECT before AS src, leave AS src_side, family AS dst, enter AS dst_side FROM pairs UNION ALL SELECT family, enter, before, leave FROM pairs) GROUP BY ALL
 ), nodes AS (SELECT family, count(DISTINCT genome) AS n_genomes, count(*) AS n_loci FROM features GROUP BY family)""",
     "hits": """hits AS (
-    SELECT 'c' || (l_partkey % 97) AS q, 'c' || (l_suppkey % 97) AS s, CAST(50 + 5 * round(l_discount * 100) AS DOUBLE) AS pident, CAST(l_quantity AS INT) AS length, l_linenumber AS mismatch, 0 AS gapopen, 1 AS qstart,
+    SELECT 'c' || l_partkey AS q, 'c' || (l_partkey + 7 - l_linenumber) AS s, CAST(50 + 5 * round(l_discount * 100) AS DOUBLE) AS pident, CAST(l_quantity AS INT) AS length, l_linenumber AS mismatch, 0 AS gapopen, 1 AS qstart,
         CAST(l_quantity AS INT) AS qend, l_linenumber AS sstart, CAST(l_quantity + 2 * l_linenumber AS INT) AS send, 0::DOUBLE AS evalue, floor(l_extendedprice) AS bitscore,
         CAST(l_quantity AS INT) + 3 * l_linenumber AS qlen, CAST(l_quantity AS INT) + 9 AS slen FROM lineitem)""",
-    "reps": """reps AS (SELECT 'c' || (p_partkey - 1) AS locus, p_size AS length FROM part WHERE p_partkey <= 120)""",
+    "reps": """reps AS (SELECT 'c' || p_partkey AS locus, p_size AS length FROM part)""",
     "links": """canonical AS (
-    SELECT least(before, family) AS n1, greatest(before, family) || CASE WHEN strand <> strand_before THEN '-' ELSE '' END AS n2, count(*) AS weight FROM pairs GROUP BY ALL)""",
-    "block_links": """single AS (SELECT src, src_side, first(dst) AS dst, first(dst_side) AS dst_side FROM small_edges WHERE src <> dst GROUP BY ALL HAVING count(*) = 1
-), block_links AS (
-    SELECT a.src, a.dst FROM single a JOIN single b ON a.src = b.dst AND a.src_side = b.dst_side AND a.dst = b.src AND a.dst_side = b.src_side
-    JOIN small_nodes x ON x.family = a.src JOIN small_nodes y ON y.family = a.dst WHERE x.n_genomes = y.n_genomes)""",
+    SELECT CASE WHEN strand_before = '+' AND strand = '+' THEN before WHEN strand_before <> '+' AND strand <> '+' THEN family WHEN strand_before = '+' THEN least(before, family) ELSE least(before, family) || '-' END AS n1,
+        CASE WHEN strand_before = '+' AND strand = '+' THEN family WHEN strand_before <> '+' AND strand <> '+' THEN before WHEN strand_before = '+' THEN greatest(before, family) || '-' ELSE greatest(before, family) END AS n2, count(*) AS weight
+    FROM pairs GROUP BY ALL)""",
 }
 FEATURES = [*LIST, "features", "adjacent"]

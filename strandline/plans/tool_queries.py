@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.names import numbered
 from strandline.operators import families as fam
-from strandline.operators import filters, tools
+from strandline.operators import clustering, filters, paralogs, tools
 from strandline.plans.projections import LIST, categories, clusters, hits, info, loci, loci_list, representatives, sql, table
 
 QUERIES, SQL = {}, {}
@@ -57,17 +57,16 @@ query("hits_normalise", ["hits", "reps"], f"SELECT * REPLACE (CASE WHEN q = s TH
 
 
 def hit_clusters(s, d):
-    return representatives(s, d).select("locus", F.expr("cast(substring(locus, 2) as int) % 10").alias("cluster"))
+    return representatives(s, d).select("locus", F.expr("cast(substring(locus, 2) as int) div 10").alias("cluster"))
 
 
-query("semi_both_endpoints_same_cluster", ["hits", "reps"], "SELECT h.*, CAST(substr(a.locus, 2) AS INT) % 10 AS cluster FROM hits h JOIN reps a ON a.locus = q JOIN reps b ON b.locus = s WHERE CAST(substr(a.locus, 2) AS INT) % 10 = CAST(substr(b.locus, 2) AS INT) % 10")(
+query("semi_both_endpoints_same_cluster", ["hits", "reps"], "SELECT h.*, CAST(substr(a.locus, 2) AS INT) // 10 AS cluster FROM hits h JOIN reps a ON a.locus = q JOIN reps b ON b.locus = s WHERE CAST(substr(a.locus, 2) AS INT) // 10 = CAST(substr(b.locus, 2) AS INT) // 10")(
     lambda s, d: filters.in_same_cluster(hits(s, d), hit_clusters(s, d)))
-query("agg_min_pair_coverage", ["hits"], """SELECT least(q, s) AS a, greatest(q, s) AS b, min(length / qlen) AS coverage, arg_min(pident, struct_pack(c := length / qlen, p := pident)) AS pident FROM hits GROUP BY ALL""")(
-    lambda s, d: hits(s, d).groupBy(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).agg(F.min(F.col("length") / F.col("qlen")).alias("coverage"), F.min_by("pident", F.struct((F.col("length") / F.col("qlen")).alias("c"), "pident")).alias("pident")))
-query("cross_rep_pairs", ["hits", "reps"], """, c AS (SELECT least(q, s) AS a, greatest(q, s) AS b, max(length) AS most FROM hits GROUP BY ALL)
-SELECT x.locus AS a, y.locus AS b, most IS NULL OR most < 10 AS apart FROM reps x JOIN reps y ON x.locus < y.locus AND CAST(substr(x.locus, 2) AS INT) % 10 = CAST(substr(y.locus, 2) AS INT) % 10 LEFT JOIN c ON c.a = x.locus AND c.b = y.locus""")(
-    lambda s, d: hit_clusters(s, d).toDF("a", "cluster").join(hit_clusters(s, d).toDF("b", "cluster"), "cluster").where("a < b")
-    .join(hits(s, d).groupBy(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).agg(F.max("length").alias("most")), ["a", "b"], "left").select("a", "b", F.expr("most is null or most < 10").alias("apart")))
+query("agg_min_pair_coverage", ["hits"], """SELECT least(q, s) AS a, greatest(q, s) AS b, min(100.0::DOUBLE * length / qlen) AS coverage, arg_min(pident, struct_pack(c := 100.0::DOUBLE * length / qlen, p := pident)) AS pident FROM hits GROUP BY ALL""")(
+    lambda s, d: filters.pair_coverage(hits(s, d)))
+query("cross_rep_pairs", ["hits", "reps"], """, c AS (SELECT least(q, s) AS a, greatest(q, s) AS b, min(100.0::DOUBLE * length / qlen) AS coverage FROM hits WHERE length < 20 GROUP BY ALL)
+SELECT x.locus AS a, y.locus AS b, coalesce(coverage < 10, true) AS apart FROM reps x JOIN reps y ON x.locus < y.locus AND CAST(substr(x.locus, 2) AS INT) // 10 = CAST(substr(y.locus, 2) AS INT) // 10 LEFT JOIN c ON c.a = x.locus AND c.b = y.locus""")(
+    lambda s, d: paralogs.apart(hit_clusters(s, d), hits(s, d).where("length < 20")))
 query("filter_dosage", STATS, "SELECT * FROM stats WHERE average_dose <= 1.1")(lambda s, d: filters.by_dosage(stats(s, d), 1.1))
 query("filter_prevalence", STATS, N + "SELECT * EXCLUDE n FROM stats, n WHERE 100.0 * number_genomes / n BETWEEN 20 AND 60")(lambda s, d: filters.by_prevalence(stats(s, d), genomes(s, d), 20, 60))
 query("filter_allele_freq", STATS, N + "SELECT * EXCLUDE n FROM stats, n WHERE number_genomes / n BETWEEN 0.05 AND 0.95")(lambda s, d: filters.by_allele_frequency(stats(s, d), genomes(s, d)))
@@ -84,7 +83,6 @@ def results(s, d):
 
 RESULTS = ", results AS (SELECT allele AS locus, count(*) % 100 / 100 AS pvalue FROM loci_list GROUP BY allele)"
 query("filter_pvalue", LIST, RESULTS + "SELECT * FROM results WHERE pvalue <= 0.05")(lambda s, d: filters.by_p_value(results(s, d), 0.05))
-query("scan_treewas_results", LIST, RESULTS + "SELECT * FROM results")(results)
 query("join_annotate", TABLE, RESULTS + "SELECT r.*, gene_family, consensus_gene_name, consensus_product FROM results r LEFT JOIN (SELECT allele AS locus, family AS gene_family, consensus_gene_name, consensus_product FROM family_table) USING (locus)")(
     lambda s, d: tools.annotate(results(s, d), _table(s, d)))
 query("tool_annotate", TABLE, RESULTS + "SELECT r.*, gene_family, consensus_gene_name, consensus_product FROM results r LEFT JOIN (SELECT allele AS locus, family AS gene_family, consensus_gene_name, consensus_product FROM family_table) USING (locus) WHERE pvalue <= 0.5")(
@@ -95,12 +93,13 @@ query("tool_paralog_rtab", [*LIST, "categories"], """, g AS (SELECT family, thre
 SELECT family, threshold, allele, genome, CAST(sum(m) AS BIGINT) AS n FROM g GROUP BY ALL HAVING sum(m) > 0""")(lambda s, d: tools.paralog_rtab(loci_list(s, d), categories(s, d)))
 SQL["agg_ff_count"], QUERIES["agg_ff_count"] = SQL["tool_paralog_rtab"], QUERIES["tool_paralog_rtab"]
 query("agg_dup_count", [*LIST, "categories", "doses"], "SELECT family, threshold, allele, genome, dose - 1 AS n FROM doses WHERE dose > 1")(lambda s, d: tools.paralog_rtab(loci_list(s, d), categories(s, d), "d"))
-DISTANCE = """, a AS (SELECT DISTINCT genome, threshold, allele FROM loci_list WHERE threshold = 70), b AS (SELECT x.genome AS g1, y.genome AS g2, count(*) AS n_both FROM a x JOIN a y USING (threshold, allele) GROUP BY ALL), c AS (SELECT genome, count(*) AS n FROM a GROUP BY genome)
+DISTANCE = """, a AS (SELECT DISTINCT genome, threshold, allele FROM loci_list), b AS (SELECT x.genome AS g1, y.genome AS g2, count(*) AS n_both FROM a x JOIN a y USING (threshold, allele) GROUP BY ALL), c AS (SELECT genome, count(*) AS n FROM a GROUP BY genome)
 SELECT x.genome AS g1, y.genome AS g2, """
-query("tool_distmat", LIST, DISTANCE + "x.n + y.n - 2 * coalesce(n_both, 0) AS d FROM c x CROSS JOIN c y LEFT JOIN b ON g1 = x.genome AND g2 = y.genome")(lambda s, d: tools.distances(loci_list(s, d).where("threshold = 70")))
-query("tool_distmat_sim", LIST, DISTANCE + "coalesce(n_both, 0) AS d FROM c x CROSS JOIN c y LEFT JOIN b ON g1 = x.genome AND g2 = y.genome")(lambda s, d: tools.distances(loci_list(s, d).where("threshold = 70"), True))
-SQL["cross_genome_pairs"], QUERIES["cross_genome_pairs"] = SQL["tool_distmat"], QUERIES["tool_distmat"]
-query("tool_roary", TABLE, """SELECT allele AS gene, coalesce(consensus_gene_name, '') AS non_unique_gene_name, coalesce(consensus_product, '') AS annotation, number_genomes AS n_isolates, no_loci AS n_sequences, average_dose AS average_per_isolate,
+query("tool_distmat", LIST, DISTANCE + "x.n + y.n - 2 * coalesce(n_both, 0) AS d FROM c x CROSS JOIN c y LEFT JOIN b ON g1 = x.genome AND g2 = y.genome")(lambda s, d: tools.distances(loci_list(s, d)))
+query("tool_distmat_sim", LIST, DISTANCE + "coalesce(n_both, 0) AS d FROM c x CROSS JOIN c y LEFT JOIN b ON g1 = x.genome AND g2 = y.genome")(lambda s, d: tools.distances(loci_list(s, d), True))
+query("cross_genome_pairs", LIST, DISTANCE.replace("FROM loci_list)", "FROM loci_list WHERE threshold = 50)") + "x.n + y.n - 2 * coalesce(n_both, 0) AS d FROM c x CROSS JOIN c y LEFT JOIN b ON g1 = x.genome AND g2 = y.genome")(
+    lambda s, d: tools.distances(loci_list(s, d).where("threshold = 50"), tile=100))
+query("tool_roary", TABLE, """SELECT allele || '__' || family AS gene, coalesce(consensus_gene_name, '') AS non_unique_gene_name, coalesce(consensus_product, '') AS annotation, number_genomes AS n_isolates, no_loci AS n_sequences, average_dose AS average_per_isolate,
     min_length, max_length, average_length FROM family_table""")(lambda s, d: tools.roary(_table(s, d)))
 query("tool_treewas", LIST, """, p AS (SELECT DISTINCT genome, allele FROM loci_list WHERE threshold = 50) SELECT genome, allele, CASE WHEN p.allele IS NULL THEN 0 ELSE 1 END AS value
 FROM (SELECT DISTINCT genome FROM loci) CROSS JOIN (SELECT DISTINCT allele FROM p) LEFT JOIN p USING (genome, allele)""")(lambda s, d: tools.treewas(fam.presence(loci_list(s, d)).where("threshold = 50"), loci(s, d)))
@@ -122,18 +121,28 @@ query("semi_paralog", LIST, "SELECT * FROM loci_list WHERE family IN (SELECT fam
 query("anti_paralog_union_split", LIST, """, p AS (SELECT DISTINCT family FROM loci_list WHERE family < 'g00010') SELECT * FROM loci_list WHERE family NOT IN (SELECT family FROM p)
 UNION ALL SELECT locus, family || '_1', threshold, allele, genome FROM loci_list WHERE family IN (SELECT family FROM p)""")(
     lambda s, d: (lambda l: l.join(l.where("family < 'g00010'").select("family").distinct(), "family", "left_anti").select(*l.columns).unionByName(l.where("family < 'g00010'").withColumn("family", F.concat("family", F.lit("_1")))))(loci_list(s, d)))
-query("anti_core", ["loci", "clusters"], "SELECT * FROM clusters WHERE threshold = 70 AND locus NOT IN (SELECT locus FROM loci WHERE f < 5)")(
-    lambda s, d: clusters(s, d).where("threshold = 70").join(loci(s, d).where("f < 5").select("locus"), "locus", "left_anti"))
-query("join_cdhit_expand", ["loci", "clusters"], ", r AS (SELECT cluster, min(locus) AS rep FROM clusters WHERE threshold = 90 GROUP BY cluster) SELECT rep, c.locus FROM r JOIN clusters c USING (cluster) WHERE threshold = 90")(
-    lambda s, d: (lambda c: c.groupBy("cluster").agg(F.min("locus").alias("rep")).join(c, "cluster").select("rep", "locus"))(clusters(s, d).where("threshold = 90")))
-query("union_core_clusters", ["loci", "clusters"], "SELECT threshold, cluster, locus FROM clusters WHERE locus NOT IN (SELECT locus FROM loci WHERE f < 5) UNION ALL SELECT unnest([50, 70, 90]), 'core' || f, locus FROM loci WHERE f < 5")(
-    lambda s, d: clusters(s, d).join(loci(s, d).where("f < 5").select("locus"), "locus", "left_anti").select("threshold", "cluster", "locus").unionByName(
-        loci(s, d).where("f < 5").select(F.explode(F.array(F.lit(50), F.lit(70), F.lit(90))).alias("threshold"), F.concat(F.lit("core"), F.col("f").cast("string")).alias("cluster"), "locus")))
+def cores(s, d):
+    """Some loci as cores: (cluster, locus)."""
+    return loci(s, d).where("f < 5").select(F.col("f").cast("string").alias("cluster"), "locus")
+
+
+def firsts(s, d):
+    """The highest clusters as members (cluster, locus) of their first locus."""
+    c = clusters(s, d).where("threshold = 90")
+    return c.join(c.groupBy("cluster").agg(F.min("locus").alias("rep")), "cluster").select(F.col("rep").alias("cluster"), "locus")
+
+
+query("anti_core", ["loci", "clusters"], "SELECT threshold, cluster, locus FROM clusters WHERE threshold = 70 AND locus NOT IN (SELECT locus FROM loci WHERE f < 5)")(
+    lambda s, d: clustering.without(clusters(s, d).where("threshold = 70"), cores(s, d)).select("threshold", "cluster", "locus"))
+query("join_cdhit_expand", ["loci", "clusters"], ", r AS (SELECT cluster, min(locus) AS rep FROM clusters WHERE threshold = 90 GROUP BY cluster) SELECT threshold, cluster, locus FROM clusters WHERE threshold < 90")(
+    lambda s, d: clustering.expanded(clusters(s, d).where("threshold < 90").join(firsts(s, d).select(F.col("cluster").alias("locus")).distinct(), "locus", "left_semi"), firsts(s, d)))
+query("union_core_clusters", ["loci", "clusters"], "SELECT threshold, cluster, locus FROM clusters WHERE locus NOT IN (SELECT locus FROM loci WHERE f < 5) UNION ALL SELECT unnest([50, 70, 90]), 'core_' || f, locus FROM loci WHERE f < 5")(
+    lambda s, d: clustering.with_cores(clustering.without(clusters(s, d), cores(s, d)).select("threshold", "cluster", "locus"), cores(s, d), (50, 70, 90)))
 query("except_check", LIST, "SELECT locus FROM loci EXCEPT SELECT locus FROM loci_list WHERE threshold = 50")(lambda s, d: loci(s, d).select("locus").join(loci_list(s, d).where("threshold = 50"), "locus", "left_anti"))
 query("win_first_row_of_family", LIST, "SELECT family, threshold, allele FROM (SELECT DISTINCT family, threshold, allele FROM loci_list) QUALIFY row_number() OVER (PARTITION BY family ORDER BY threshold, allele) = 1")(
-    lambda s, d: loci_list(s, d).groupBy("family").agg(F.min(F.struct("threshold", "allele")).alias("m")).select("family", "m.threshold", "m.allele"))
-query("agg_recount_genomes", [*LIST, "categories"], ", k AS (SELECT * FROM loci_list WHERE genome IN (SELECT DISTINCT genome FROM loci WHERE event_id % 97 = 0)) SELECT threshold, allele, count(DISTINCT genome) AS number_genomes FROM k GROUP BY ALL")(
-    lambda s, d: filters.by_samples(loci_list(s, d), loci(s, d).where("event_id % 97 = 0")).groupBy("threshold", "allele").agg(F.count_distinct("genome").alias("number_genomes")))
+    lambda s, d: fam.first_rows(loci_list(s, d)))
+query("agg_recount_genomes", [*LIST, "categories"], ", k AS (SELECT * FROM loci_list WHERE genome IN (SELECT DISTINCT genome FROM loci WHERE event_id % 97 = 0)) SELECT DISTINCT threshold, allele, count(DISTINCT genome) OVER (PARTITION BY threshold, allele) AS number_genomes FROM k")(
+    lambda s, d: tools.recounted(filters.by_samples(loci_list(s, d), loci(s, d).where("event_id % 97 = 0"))))
 query("tool_subsample", [*LIST, "categories"], """, k AS (SELECT * FROM loci_list WHERE genome IN (SELECT DISTINCT genome FROM loci WHERE event_id % 97 = 0)), n AS (SELECT threshold, allele, count(DISTINCT genome) AS number_genomes FROM k GROUP BY ALL),
 copies AS (SELECT family, threshold, allele, genome, coalesce('ff' || ff_group, locus) AS copy, string_agg(locus, ':' ORDER BY locus) AS x, count(*) AS m FROM k LEFT JOIN categories USING (locus) GROUP BY ALL)
 SELECT c.family, threshold, allele, genome, number_genomes, string_agg(CASE WHEN m > 1 THEN '(' || x || ')' ELSE x END, ';' ORDER BY CASE WHEN m > 1 THEN '(' || x || ')' ELSE x END) AS cell FROM copies c JOIN n USING (threshold, allele) GROUP BY ALL""")(

@@ -13,11 +13,16 @@ from strandline.functions.names import gene_root, genome_name, locus_name
 from strandline.functions.sequences import clean, one_stop, passes, piece, reverse_complement, translated
 
 
-def scan_dir(spark: SparkSession, path: str) -> DataFrame:
-    """(genome, text) of the *.gff files in a folder; a pangenome takes two at least."""
-    files = spark.read.option("pathGlobFilter", "*.gff").text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.gff$", "").alias("stem"), F.col("value").alias("text"))
+def scan_dir(spark: SparkSession, path: str, pattern: str = "*.gff") -> DataFrame:
+    """(genome, text) of the files in a folder; a pangenome takes two at least.
+
+    The genome is the file's name without .gff, or that of its folder, genome=<name>, as sinks.gff() writes them.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    stem = F.col("genome").cast("string") if "genome" in files.columns else F.regexp_replace(F.col("_metadata.file_name"), r"\.gff$", "")
+    files = files.select(stem.alias("stem"), F.col("value").alias("text"))
     if files.limit(2).count() < 2:
-        raise ValueError("two or more *.gff files are needed")
+        raise ValueError("two or more annotated genomes are needed")
     return files.select(genome_name(F.col("stem")).alias("genome"), "text")
 
 
@@ -65,10 +70,14 @@ def matching(feature_rows: DataFrame, contig_rows: DataFrame) -> DataFrame:
     return feature_rows.join(bad, "genome", "left_anti")
 
 
+def counted(feature_rows: DataFrame) -> DataFrame:
+    """Features with their number by genome and type, in file order."""
+    return feature_rows.withColumn("number", F.row_number().over(Window.partitionBy("genome", "type").orderBy("n")))
+
+
 def standardised(feature_rows: DataFrame) -> DataFrame:
     """Features with locus names, counted by genome and type in file order, in their attributes; what was there becomes prev_*."""
-    number = F.row_number().over(Window.partitionBy("genome", "type").orderBy("n"))
-    rows = feature_rows.withColumn("locus", locus_name(F.col("genome"), F.col("type"), number))
+    rows = counted(feature_rows).withColumn("locus", locus_name(F.col("genome"), F.col("type"), F.col("number"))).drop("number")
 
     def rewritten(a: Column) -> Column:
         name, value = F.regexp_extract(a, "^([^=]*)=", 1), F.regexp_extract(a, "^[^=]*=(.*)$", 1)
@@ -92,9 +101,14 @@ def genome2loci(coord_rows: DataFrame) -> DataFrame:
     return coord_rows.select(F.col("Name").alias("locus"), "genome", F.col("Gene").alias("gene"), F.col("Product").alias("product"))
 
 
+def inside(coord_rows: DataFrame, contig_rows: DataFrame) -> DataFrame:
+    """coords and seq, their contig's; features beyond their contig, or without one, have no row."""
+    return coord_rows.join(contig_rows.withColumnRenamed("contig", "Contig"), ["genome", "Contig"]).where(F.col("End") <= F.length("seq"))
+
+
 def feature_sequences(coord_rows: DataFrame, contig_rows: DataFrame) -> DataFrame:
     """coords and seq, on its own strand; features beyond their contig, or without one, have no row."""
-    rows = coord_rows.join(contig_rows.withColumnRenamed("contig", "Contig"), ["genome", "Contig"]).where(F.col("End") <= F.length("seq"))
+    rows = inside(coord_rows, contig_rows)
     cut = piece(F.col("seq"), F.col("Start"), F.col("End"))
     return rows.withColumn("seq", F.when(F.col("Strand") == "Reverse", reverse_complement(cut)).otherwise(cut))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -22,13 +22,13 @@ def tsv(df: DataFrame, path: str, header: bool = True) -> None:
 
 
 def gff(rows: DataFrame, path: str) -> None:
-    """(genome, text)."""
-    text(rows.repartition("genome"), F.col("text"), path, "genome")
+    """(genome, text): a folder for each genome."""
+    text(rows.repartition("genome"), F.regexp_replace("text", "\n$", ""), path, "genome")
 
 
 def coords(rows: DataFrame, path: str) -> None:
     names = [c.split()[0] for c in schemas.COORDS.split(", ")]
-    rows.select("genome", *names).repartition("genome").write.mode("overwrite").partitionBy("genome").csv(path, sep="\t", header=True)
+    rows.select("genome", *names).repartition("genome").write.mode("overwrite").partitionBy("genome").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
 
 
 def genome_list(rows: DataFrame, path: str) -> None:
@@ -40,22 +40,92 @@ def fasta(rows: DataFrame, path: str, name: str = "locus", seq: str = "seq", wid
 
 
 def clusters(rows: DataFrame, path: str) -> None:
-    """(threshold, cluster, locus): a line for each cluster, a folder for each threshold."""
+    """(threshold, cluster, locus): a line for each cluster, in order, and a folder for each threshold."""
     lines = rows.groupBy("threshold", "cluster").agg(F.array_join(F.array_sort(F.collect_list("locus")), "\t").alias("line"))
-    text(lines, F.col("line"), path, "threshold")
+    text(lines.orderBy("threshold", "cluster"), F.col("line"), path, "threshold")
+
+
+def genome2loci(rows: DataFrame, path: str) -> None:
+    tsv(rows.select("locus", "genome", "gene", "product"), path, header=False)
+
+
+def loci_list(rows: DataFrame, path: str) -> None:
+    tsv(rows.select("locus", "family", "threshold", "allele", "genome"), path, header=False)
+
+
+def paralog_clusters(families: DataFrame, path: str) -> None:
+    """(family): a name a line."""
+    text(families.orderBy("family"), F.col("family"), path)
+
+
+def cluster_alleles(rows: DataFrame, path: str) -> None:
+    """(family, threshold, allele, genome, loci, n_loci)."""
+    tsv(rows.select("family", "threshold", "allele", "genome", "loci", "n_loci"), path, header=False)
+
+
+def paralog_categories(rows: DataFrame, families: DataFrame, path: str) -> None:
+    """Categories by family under categories, and under errors the names of families (family) that have none."""
+    tsv(rows.select("locus", "family", "genome", "mc", "ff", "ff_group", "length_cluster").orderBy("family", "genome", "locus"), f"{path}/categories", header=False)
+    text(families.select("family").distinct().join(rows, "family", "left_anti").orderBy("family"), F.col("family"), f"{path}/errors")
+
+
+def split_loci(rows: DataFrame, log: DataFrame, path: str) -> None:
+    """The divided families' loci under loci, and a line for each family (family, line) under log."""
+    loci_list(rows, f"{path}/loci")
+    text(log.orderBy("family"), F.col("line"), f"{path}/log")
+
+
+def order(rows: DataFrame, path: str) -> None:
+    tsv(rows.select("family", "block", "ord").orderBy("block", "ord"), path, header=False)
+
+
+def blocks(syntenic: DataFrame, connected: DataFrame, reversed_: DataFrame, order_rows: DataFrame, path: str) -> None:
+    """Four tables, each in a folder: blocks, connected paths (with kind), those that loop back, and the order of families."""
+    for name, rows in (("syntenic_blocks", syntenic), ("connected_blocks", connected), ("reversed", reversed_)):
+        tsv(rows.orderBy("block_number"), f"{path}/{name}")
+    order(order_rows, f"{path}/order")
+
+
+def representatives(rows: DataFrame, path: str) -> None:
+    """(family, locus, genome, gene, product, number_genomes, seq, protein): nucleotides under ffn, amino acids under faa."""
+    parts = {"representative_genome": "genome", "locus_tag": "locus", "gene_name": "gene", "gene_product": "product", "number_genomes": "number_genomes"}
+    header = F.concat_ws(";", F.concat(F.lit(">"), "family"), *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for n, c in parts.items()))
+    for folder, column in (("ffn", "seq"), ("faa", "protein")):
+        text(rows.orderBy("family"), F.concat_ws("\n", header, F.col(column)), f"{path}/{folder}")
+
+
+def summary(bucket_rows: DataFrame, path: str) -> None:
+    """The report: a line for each bucket in order, `low-high%` and its counts."""
+    low = F.coalesce(F.lag("bucket_top").over(Window.orderBy("bucket_top")), F.lit(0))  # a handful of rows
+    name = F.concat(low.cast("string"), F.lit("-"), F.col("bucket_top").cast("string"), F.lit("%")).alias("%isolates")
+    columns = {"n_families": "#clusters", "n_multi_allele": ">1 allele", "n_fission": "fission/fusion", "n_duplication": "multicopy"}
+    tsv(bucket_rows.orderBy("bucket_top").select(name, *(F.col(c).alias(n) for c, n in columns.items())), path)
+
+
+def alignment(rows: DataFrame, features: DataFrame, path: str) -> None:
+    """(genome, aln) under fasta, and lines of offsets_gff() under gff."""
+    fasta(rows.orderBy("genome"), f"{path}/fasta", "genome", "aln")
+    text(features.orderBy("family"), F.col("line"), f"{path}/gff")
 
 
 def family_table(meta: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
-    """The wide table: metadata in the format's columns and order, then the genomes."""
+    """The wide table: metadata in the format's columns and order, columns of a graph's order if there, then the genomes."""
     names = dict(zip(["min_length", "max_length", "average_length"], schemas.FAMILY_META[-3:], strict=True))
     number = F.when(F.col("average_dose") == F.floor("average_dose"), F.format_string("%d", F.floor("average_dose"))).otherwise(F.format_string("%.2f", "average_dose"))
     rows = meta.withColumn("average_dose", number).withColumn("average_length", F.format_string("%.2f", "average_length")).withColumnsRenamed(names)
     grid = wide(cells.select(F.col("allele").alias("allele_name"), "threshold", "genome", "cell"), ["allele_name", "threshold"], "genome", "cell", genomes, "")
-    columns = [c for c in schemas.FAMILY_META if c in rows.columns]
+    columns = [c for c in (*schemas.FAMILY_META, *schemas.FAMILY_ORDER) if c in rows.columns]
     out = rows.join(grid, ["allele_name", "threshold"])
     tsv(out.select(*(F.col(f"`{c}`") for c in [*columns, *grid.columns[2:]])), path)
 
 
+def family_tables(families_: DataFrame, unique: DataFrame, all_: DataFrame, per_allele: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
+    """Four tables, each in a folder: families, unique alleles and all alleles with their cells, and genomes by allele."""
+    for name, meta in (("gene_families", families_), ("unique_alleles", unique), ("all_alleles", all_)):
+        family_table(meta, cells, f"{path}/{name}", genomes)
+    tsv(per_allele.select("allele", "family", "threshold", "n_genomes"), f"{path}/genomes_per_allele", header=False)
+
+
 def matrix(rows: DataFrame, keys: list[str], column: str, path: str, value: str | None = None, names: list[str] | None = None) -> None:
     """Long rows as a wide table: 1 for each row without a value column."""
     rows = rows if value else rows.withColumn("_one", F.lit(1))
@@ -63,11 +133,16 @@ def matrix(rows: DataFrame, keys: list[str], column: str, path: str, value: str
 
 
 def roary(rows: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
-    """The quoted table: fourteen columns, then the genomes."""
-    e = F.lit("")
-    fixed = [F.col("gene"), F.col("non_unique_gene_name"), F.col("annotation"), F.col("n_isolates"), F.col("n_sequences"), F.col("average_per_isolate"), e, e, e, e, e, F.col("min_length"), F.col("max_length"), F.col("average_length")]
+    """The quoted table: fourteen columns, then the genomes, whose fragments are listed like copies.
+
+    A family's place in the graph is the fragment's, if rows have cluster and cluster_order.
+    """
+    na = F.lit("NA")
+    place = [F.coalesce(F.col(c).cast("string"), na) if c in rows.columns else na for c in ("cluster", "cluster_order")]
+    fixed = [F.col("gene"), F.col("non_unique_gene_name"), F.col("annotation"), F.col("n_isolates"), F.col("n_sequences"), F.col("average_per_isolate"), *place, na, na, F.lit(""), F.col("min_length"), F.col("max_length"), F.col("average_length")]
     left = rows.select(*(c.cast("string").alias(n) for c, n in zip(fixed, schemas.ROARY, strict=True)))
-    grid = wide(cells.select(F.col("allele").alias("Gene"), "genome", "cell"), ["Gene"], "genome", "cell", genomes, "")
+    plain = F.replace(F.regexp_replace("cell", "[()]", ""), F.lit(":"), F.lit(";"))
+    grid = wide(cells.select(F.concat_ws("__", "allele", "family").alias("Gene"), "genome", plain.alias("cell")), ["Gene"], "genome", "cell", genomes, "")
     left.join(grid, "Gene").write.mode("overwrite").option("quoteAll", True).csv(path, header=True)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schemas
+from strandline.functions.names import numbered
 
 
 def _tsv(spark: SparkSession, path, schema: str, header: bool = False, strict: bool = False) -> DataFrame:
@@ -58,9 +59,13 @@ def sample_list(spark: SparkSession, path) -> DataFrame:
 
 
 def cluster_lines(spark: SparkSession, path, threshold: int) -> DataFrame:
-    """(threshold, cluster_ord, locus): a line is a cluster, numbered in file order. A whole file is one row, as order counts."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("p", "line"))
-    return rows.select(F.lit(threshold).alias("threshold"), (F.col("p") + 1).cast("long").alias("cluster_ord"), F.explode(F.split("line", "\t")).alias("locus")).where("locus != ''")
+    """(threshold, cluster_ord, locus): a line is a cluster, numbered in the order of files by name and of their lines.
+
+    A file is one row, as the order of its lines counts.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("p", "line"))
+    rows = numbered(rows, "cluster_ord", F.col("file"), F.col("p"))
+    return rows.select(F.lit(threshold).alias("threshold"), "cluster_ord", F.explode(F.split("line", "\t")).alias("locus")).where("locus != ''")
 
 
 def clstr(spark: SparkSession, path) -> DataFrame:
@@ -102,6 +107,14 @@ def family_table(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     return wide.select(*map(named, meta)), long.select(*keys, "x.genome", "x.cell").where("cell != ''")
 
 
+def matrix(spark: SparkSession, path, keys: int, name: str = "genome", value: str = "n") -> DataFrame:
+    """A wide table as long rows: its first columns, then name and value of each other column, as text."""
+    wide = spark.read.csv(path, sep="\t", header=True, quote="")
+    fixed = [F.col(f"`{c}`") for c in wide.columns[:keys]]
+    items = F.array(*(F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias(value)) for c in wide.columns[keys:]))
+    return wide.select(*fixed, F.explode(items).alias("_x")).select(*wide.columns[:keys], f"_x.{name}", f"_x.{value}")
+
+
 def roary(spark: SparkSession, path) -> DataFrame:
     """(gene, genome, cell) of a quoted table whose genomes begin at column 15."""
     wide = spark.read.csv(path, header=True, quote='"', escape='"')
