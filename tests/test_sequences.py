@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
 from strandline.functions.names import cell_copies, cell_text, genome_name, padded
-from strandline.operators import alignment, clustering, graph
+from strandline.operators import alignment, clustering, graph, tools
 from strandline.sources import gff, sinks, tables
 
 
@@ -134,8 +135,39 @@ def test_alignments():
     assert {k: v.replace("-", "") for k, v in got.items()} == {"a": "ACGTACGT", "b": "ACGACGT", "c": "TACGTACGT"}
     assert clustering.aligned_identity("ACGTTGCA" * 10, "ACGTTGCA" * 10)[0] == 100.0
     assert alignment.thread_codons("A-", "ATGGCTTAA") == "ATGGCT---TAA"
-    tree = alignment.neighbour_joining(["a", "b", "c", "d"], {("a", "b"): 2, ("c", "d"): 2, ("a", "c"): 6, ("a", "d"): 6, ("b", "c"): 6, ("b", "d"): 6})
+    tree = alignment.neighbour_joining(["a", "b", "c", "d"], np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 2], [6, 6, 2, 0]]))
     assert "(a:1,b:1)" in tree or "(c:1,d:1)" in tree
+    assert alignment.neighbour_joining(["a"], np.zeros((1, 1))) == "a;" and alignment.neighbour_joining([], np.zeros((0, 0))) == ";"
+
+
+def test_a_tree_of_too_many_genomes_is_an_error(spark):
+    rows = spark.createDataFrame([(a, b, 1) for a in "abc" for b in "abc"], "g1 string, g2 string, d long")
+    assert alignment.tree(rows).endswith(";")
+    with pytest.raises(ValueError, match="over 2 genomes"):
+        alignment.tree(rows, 2)
+
+
+def test_gaps_and_n_become_the_gap_character(spark):
+    """Which sequence is longest depends on its letters alone."""
+    rows = [("f", "x1", "x", "AC-N"), ("g", "x2", "x", "A---"), ("g", "y2", "y", "ANNN"), ("g", "y3", "y", "AC--")]
+    aligned = spark.createDataFrame(rows, "family string, locus string, genome string, aln string")
+    order = spark.createDataFrame([("f", 1, 1), ("g", 1, 2)], "family string, block int, ord int")
+    genomes = spark.createDataFrame([("x",), ("y",)], "genome string")
+    of = lambda **more: {r["genome"]: r["aln"] for r in alignment.concatenate(aligned, order, genomes, **more).collect()}
+    assert of() == {"x": "ACNNANNN", "y": "NNNN----"}
+    assert of(gap="?", several=True) == {"x": "AC??A???", "y": "????AC??"}
+    assert of(gap="X", amino=True)["x"] == "ACXNAXXX"
+
+
+def test_columns_in_common(spark):
+    r = random.Random(5)
+    rows = [("f" if k % 3 else "g", f"l{k:02}", "".join(r.choice("AC--") for _ in range(30))) for k in range(40)]
+    aligned = spark.createDataFrame(rows, "family string, locus string, aln string")
+    want = {(a[1], b[1]): sum(x != "-" != y for x, y in zip(a[2], b[2], strict=True)) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]}
+    alignment.PAIRS, was = 7, alignment.PAIRS
+    got = {(x["a"], x["b"]): x["both"] for x in alignment.column_overlaps(aligned).collect()}
+    alignment.PAIRS = was
+    assert got == want
 
 
 def test_markov_clusters_split_weak_bridges():
@@ -144,6 +176,87 @@ def test_markov_clusters_split_weak_bridges():
     assert len(set(got.values())) == 2
 
 
+def test_markov_clusters_are_those_of_a_dense_matrix(monkeypatch):
+    def dense(names, edges, inflation):
+        at = {x: k for k, x in enumerate(sorted(names))}
+        m = np.zeros((len(at), len(at)))
+        for a, b, w in edges:
+            m[at[a], at[b]] = m[at[b], at[a]] = max(m[at[a], at[b]], w)
+        np.fill_diagonal(m, np.maximum(m.max(axis=0), 1e-12))
+        m /= m.sum(axis=0)
+        for _ in range(100):
+            new = (m @ m) ** inflation
+            new[new < 1e-6] = 0
+            new /= new.sum(axis=0)
+            done = np.abs(new - m).max() < 1e-8
+            m = new
+            if done:
+                break
+        least = list(range(len(at)))
+        for a, b in zip(*np.nonzero(m > 1e-5), strict=True):
+            x, y = sorted((least[a], least[b]))
+            least = [x if v == y else v for v in least]
+        return {x: sorted(at)[least[k]] for x, k in at.items()}
+
+    for seed in range(25):
+        r = random.Random(seed)
+        monkeypatch.setattr(clustering, "PRODUCTS", r.choice((1, 50, 1 << 22)))
+        names = [f"n{k:02}" for k in range(r.randint(1, 25))]
+        edges = [(a, b, r.random()) for a in names for b in names if a < b and r.random() < (0.6 if a[1] == b[1] else 0.08)]
+        inflation = r.choice((1.5, 2.0, 4.0))
+        assert clustering.markov_clusters(names, edges, inflation) == dense(names, edges, inflation)
+
+
+def test_greedy_rounds_are_the_pandas_step(spark):
+    """Large components, settled in joins, come out as small ones do."""
+    r = random.Random(8)
+    names = [f"s{k:02}" for k in range(40)]
+    size = {x: r.randint(50, 60) for x in names}
+    seqs = spark.createDataFrame([(x, "A" * n) for x, n in size.items()], "locus string, seq string")
+    pairs = [(a, b, float(r.randint(90, 99))) for a in names for b in names if a < b and r.random() < 0.12]
+    rows = [(a, b, p, 60, size[a], size[b]) for x, y, p in pairs for a, b in ((x, y), (y, x))]
+    hits = spark.createDataFrame(rows, "q string, s string, pident double, length int, qlen int, slen int")
+    of = lambda most: sorted(map(tuple, clustering.greedy_clusters(seqs, hits, 92.0, most=most).collect()))
+    assert of(10**6) == of(0) and len(of(0)) == 40
+    shorter = dict(map(tuple, clustering.greedy_clusters(seqs, hits, 92.0, least_length=0.99).collect()))
+    assert all(min(size[x], size[c]) >= 0.99 * max(size[x], size[c]) for x, c in shorter.items())
+
+
+def test_diagonals_count_all_places():
+    """Repeats of one line, with a base changed in some: the shift is 0 although every k-mer has many places."""
+    r = random.Random(1)
+    line = "".join(r.choice("ACGT") for _ in range(50))
+    a = line * 60
+    b = "".join(line[:25] + ("A" if line[25] != "A" else "C") + line[26:] if k < 9 else line for k in range(60))
+    assert clustering.best_diagonal(a, b, 12) == 0
+    assert clustering.aligned_identity(a, b)[0] > 99 and clustering.aligned_identity(a, b)[1] == 3000
+    assert clustering.best_diagonal("A" * 3000, "A" * 3000) == 0 and clustering.best_diagonal("ACGT" * 5, "TTTTTTTTTT") is None
+
+
+def test_places_of_alignments():
+    r = random.Random(2)
+    core = "".join(r.choice("ACGT") for _ in range(200))
+    got = clustering.aligned_identity("T" * 30 + core, core[:100] + core[103:] + "G" * 40)
+    assert got[3] == 31 and got[5] == 1 and got[4] == 230 and got[6] == 197 and got[0] > 97
+    amino = "ACDEFGHIKLMNPQRSTVWY"
+    found = 0
+    for _ in range(40):
+        p = [r.choice(amino) for _ in range(200)]
+        q = "".join(r.choice(amino) for _ in range(40)) + "".join(x if r.random() < 0.65 else r.choice(amino) for x in p)
+        found += clustering.aligned_identity("".join(p), q, k=5)[1] > 150
+    assert found >= 38
+
+
+def test_distances_are_those_of_sets(spark):
+    r = random.Random(4)
+    has = {f"g{k}": {f"a{j}" for j in range(30) if r.random() < 0.4} | {"a0"} for k in range(17)}
+    present = spark.createDataFrame([(g, 50, a) for g, s in has.items() for a in s], "genome string, threshold int, allele string")
+    for tile in (512, 4):
+        assert {(x["g1"], x["g2"]): x["d"] for x in tools.distances(present, tile=tile).collect()} == {(a, b): len(has[a] ^ has[b]) for a in has for b in has}
+        assert {(x["g1"], x["g2"]): x["d"] for x in tools.distances(present, True, tile).collect()} == {(a, b): len(has[a] & has[b]) for a in has for b in has}
+    assert tools.distances(present.limit(0)).count() == 0
+
+
 def test_consistency(spark):
     c = spark.createDataFrame([(50, "1", "a"), (50, "2", "b"), (50, "3", "c"), (90, "m", "a"), (90, "m", "b"), (90, "n", "c")], "threshold int, cluster string, locus string")
     got = [(r["cluster"], r["kind"], r["error_group"]) for r in clustering.check_consistency(c).collect()]
