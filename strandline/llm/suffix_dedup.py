@@ -9,7 +9,9 @@ losing a match. Neighbouring windows mostly share their anchor and form a contex
 
 First only the anchors' hashes are dealt out, to find those that occur once: no window there can have a match. Then the
 other contexts are. In both rounds what a block of documents holds twice is sent once (contexts are compared byte by
-byte), so a passage that stands in a third of all documents reaches its bucket once for each block of BLOCK bytes.
+byte), so a passage that stands in a third of all documents reaches its bucket once for each block of BLOCK bytes. Where
+there are more than FAN blocks, they meet in groups of about FAN first, and a group sends on once what it holds twice: so
+a bucket gets each passage once for each group, and no task holds more than some FAN of one.
 
 The index. A bucket is an index family of logarithmic size: contexts come in batches; each batch gets a suffix array,
 which is merge-scanned against the existing levels; what is new becomes a level, and levels of like size merge. First
@@ -32,9 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import bytes_of, slices
+from strandline.llm._common import bytes_of, checkpoint, slices
 
-LENGTH, BLOCK, BATCH, WINDOWS = 100, 4 << 20, 1 << 13, 1 << 18
+LENGTH, BLOCK, BATCH, WINDOWS, FAN = 100, 4 << 20, 1 << 13, 1 << 18, 4096
 LAST = (1 << 63) - 1
 #: Bits of a window's place in a block, in which ties between gram hashes fall to the leftmost.
 PLACE = np.uint64((1 << 24) - 1)
@@ -208,8 +210,7 @@ def pack_anchors(block: Block, buckets: int, squeeze) -> Iterator[tuple[int, int
         yield int(bucket[np.argmax(twice)]), 1, np.stack((block.k[twice], block.h[twice], block.start[twice])).astype("<i8").tobytes()
 
 
-def repeated_anchors(blobs: list[bytes]) -> np.ndarray:
-    """(k, h, start) of a bucket's anchors that occur more than once, but for those that their block reports itself."""
+def _anchors(blobs: list[bytes]) -> dict[str, np.ndarray]:
     wide, width = zstandard.ZstdDecompressor(), sum(np.dtype(t).itemsize for _, t in ANCHOR)
     got: dict[str, list] = {name: [] for name, _ in ANCHOR}
     for blob in blobs:
@@ -218,11 +219,27 @@ def repeated_anchors(blobs: list[bytes]) -> np.ndarray:
         for name, kind in ANCHOR:
             got[name].append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-    c = {name: np.concatenate(x) for name, x in got.items()}
+    return {name: np.concatenate(x) for name, x in got.items()}
+
+
+def repeated_anchors(blobs: list[bytes]) -> np.ndarray:
+    """(k, h, start) of a bucket's anchors that occur more than once, but for those that their block reports itself."""
+    c = _anchors(blobs)
     pick = _shared(c["hash"]) & ~c["twice"]
     return np.stack([c[x][pick] for x in ("k", "h", "start")])
 
 
+def joined_anchors(blobs: list[bytes], squeeze) -> tuple[bytes, np.ndarray]:
+    """Of a group of blocks: each anchor hash once, as a block sends it, and (k, h, start) as repeated_anchors() gives them."""
+    c = _anchors(blobs)
+    found = repeated_anchors(blobs)
+    _, first, number, count = np.unique(c["hash"], return_index=True, return_inverse=True, return_counts=True)
+    twice = np.zeros(len(first), dtype=bool)
+    np.logical_or.at(twice, number, c["twice"])
+    c = {name: x[first] for name, x in c.items()} | {"twice": twice | (count > 1)}
+    return squeeze.compress(b"".join(c[name].astype(t).tobytes() for name, t in ANCHOR)), found
+
+
 class Levels:
     """Sorted distinct strings with their earliest places, in levels that merge when they are of like size."""
 
@@ -249,7 +266,7 @@ class Levels:
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
             both, places = np.concatenate((b, a)), np.concatenate((y, x))
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both, kind="stable")  # of two sorted runs: one merge
             self.levels.append((both[order], places[order]))
         none = np.zeros(0, dtype=np.int64)
         return (np.concatenate(lost), np.concatenate(whose)) if lost else (none, none)
@@ -299,6 +316,26 @@ def _shared(anchor: np.ndarray) -> np.ndarray:
     return count[number] > 1
 
 
+def joined_contexts(blobs: list[bytes], length: int, squeeze) -> tuple[bytes, np.ndarray]:
+    """Of a group of blocks: contexts that are wholly equal once, the earliest, as a block sends them, and the spans (k, h, start, end) of the others."""
+    c, data = Contexts.unpack(blobs)
+    size = c["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    rows = np.zeros((len(size), 2 * length - length // 4 + 2), dtype="u1")
+    rows[:, 0], rows[:, 1] = c["at"] >> 8, c["at"] & 255
+    rows[np.repeat(np.arange(len(size)), size), _ragged(np.full(len(size), 2), size)] = data[_ragged(begin, size)]
+    keys = rows.view(f"S{rows.shape[1]}").ravel()  # zeros at the end don't count, so sizes are compared as well
+    order = np.lexsort((c["start"], c["h"], c["k"], size, keys))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (size[order][1:] != size[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same_place = np.logical_and.reduce([c[x][order] == c[x][first] for x in ("k", "h", "start")])
+    lost, kept = order[~same_place], np.sort(order[new])
+    spans = np.stack([c["k"][lost], c["h"][lost], c["start"][lost], c["start"][lost] + size[lost]])
+    blob = Contexts.pack([c[name][kept] for name, _ in Contexts.FIELDS], data[_ragged(begin[kept], size[kept])], squeeze)
+    return blob, spans
+
+
 def bucket_spans(blobs: list[bytes], length: int, batch: int = BATCH, windows: int = WINDOWS) -> tuple[np.ndarray, ...]:
     """(k, h, start, end) of what is not the earliest of its string, among the contexts of one bucket."""
     c, data = Contexts.unpack(blobs)
@@ -404,7 +441,34 @@ def _by_bucket(dealt: DataFrame, parts: int, names: list[str], make) -> DataFram
     return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def _spans(docs: DataFrame, length: int, block: int, batch: int, windows: int, parts: int, buckets: int) -> DataFrame:
+def _joined(dealt: DataFrame, parts: int, groups: int, join) -> DataFrame:
+    """Blobs of kind 0 joined within groups of blocks, bucket by bucket; what join(blobs, squeeze) reports goes on as kind 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        at, blobs = None, []
+
+        def told() -> pa.RecordBatch:
+            blob, found = join(blobs, squeeze)
+            rows = [(at[0], 0, blob)] + ([(at[0], 1, found.astype("<i8").tobytes())] if found.size else [])
+            blobs.clear()
+            return next(_blobs(rows))
+
+        for rows in batches:
+            for bucket, group, blob in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if (bucket, group) != at and blobs:
+                    yield told()
+                at = (bucket, group)
+                blobs.append(blob)
+        if blobs:
+            yield told()
+
+    kind = "bucket long, kind int, blob binary"
+    mine = dealt.where("kind = 0").select("bucket", F.pmod(F.xxhash64("blob"), F.lit(groups)).alias("group"), "blob")
+    return mine.repartition(parts, "bucket", "group").sortWithinPartitions("bucket", "group").mapInArrow(run, kind).unionByName(dealt.where("kind = 1"))
+
+
+def _spans(docs: DataFrame, length: int, block: int, batch: int, windows: int, parts: int, buckets: int, groups: int) -> DataFrame:
     """(k, h, s, e): removed spans of documents (id, k, h, text as bytes); they may overlap."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -457,13 +521,18 @@ def _spans(docs: DataFrame, length: int, block: int, batch: int, windows: int, p
             yield from _blobs(rows)
 
     blob = "bucket long, kind int, blob binary"
-    twice = _by_bucket(docs.select("k", "h", "text").mapInArrow(anchors, blob), parts, ["k", "h", "start"], repeated_anchors)
+    once = docs.select("k", "h", "text").mapInArrow(anchors, blob)
+    if groups > 1:
+        once = _joined(checkpoint(once), parts, groups, joined_anchors)
+    twice = _by_bucket(once, parts, ["k", "h", "start"], repeated_anchors)
     wanted = twice.groupBy("k", "h").agg(F.collect_list("start").alias("starts"))
     again = docs.join(wanted, ["k", "h"]).select("id", "k", "h", "text", "starts").mapInArrow(contexts, blob)
+    if groups > 1:
+        again = _joined(checkpoint(again), parts, groups, lambda blobs, squeeze: joined_contexts(blobs, length, squeeze))
     return _by_bucket(again, parts, ["k", "h", "s", "e"], lambda blobs: bucket_spans(blobs, length, batch, windows))
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", block: int = BLOCK, batch: int = BATCH, windows: int = WINDOWS) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", block: int = BLOCK, batch: int = BATCH, windows: int = WINDOWS, fan: int = FAN) -> DataFrame:
     """(key, n_bytes, spans, kept): a row for each row of docs.
 
     spans: the maximal removed runs, as (start, end) in bytes of UTF-8, end exclusive; kept: the remaining bytes, which
@@ -474,6 +543,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     """
     if length < 4 or length % 4:
         raise ValueError("length must be a multiple of four")
+    if 2 * (block + length) >= 1 << 24 or 2 * length >= 1 << 12:
+        raise ValueError("block is over 8 MB, or length over 2000")  # places in a block have 24 bits, sizes and anchors 12
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     k = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     # Texts' hashes cost more to send than all else but the texts, and tell rows apart only if keys don't.
@@ -482,7 +553,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("id"), k.alias("k"), h.alias("h"), data.alias("text"))
     parts = slices(docs, 4)
     buckets = max(2 * parts, min(1 << 24, bytes_of(docs) // 1_000_000))
-    found = _spans(rows, length, block, batch, windows, parts, buckets).groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    groups = -(-bytes_of(docs) // (block * fan))
+    found = _spans(rows, length, block, batch, windows, parts, buckets, groups).groupBy("k", "h").agg(F.collect_list(F.struct("s", "e")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
