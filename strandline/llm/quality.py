@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.llm._common import pieces
 
 SYMBOLS = b"#*$%&|<>"
-#: The largest share of a text's characters in words that may stand in repeated n-grams of n words, and in repeated lines.
+#: The largest share of the characters in a text's words that may stand in repeated n-grams of n words, and in repeated lines.
 GRAMS = ((5, 0.30), (7, 0.25), (10, 0.20))
 LINES = 0.30
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
@@ -40,22 +40,25 @@ def _repeats(key: np.ndarray, first: bool) -> np.ndarray:
     return out
 
 
+def _points(x: bytes) -> int:
+    """Code points of UTF-8 bytes."""
+    return len(x) if x.isascii() else len(x.decode(errors="replace"))
+
+
 def measure(texts: list[bytes | None], grams: tuple[int, ...]) -> dict[str, np.ndarray]:
-    """For each text the COUNTS, and the shares of word bytes in repeated n-grams (gram_n) and of bytes in repeated lines (lines)."""
+    """For each text the COUNTS, and the shares of characters of words in repeated n-grams (gram_n) and of lines in repeated lines (lines)."""
     words = [t.split() if t else [] for t in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
     total = int(n.sum())
     h = np.fromiter((hash(x) for w in words for x in w), dtype=np.int64, count=total).view(np.uint64)
-    size = np.fromiter((len(x) for w in words for x in w), dtype=np.int64, count=total)
+    plain = [not t or t.isascii() for t in texts]
+    size = np.fromiter((len(x) if p else _points(x) for w, p in zip(words, plain, strict=True) for x in w), dtype=np.int64, count=total)
     doc = np.repeat(np.arange(len(texts)), n)
     salt = _mixed((doc + 1).astype(np.uint64) * ODD)
     place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     left = n[doc] - place
     out = {"n_words": n}
-    word_bytes = np.bincount(doc, size, len(texts)).astype(np.int64)
-    bytes_ = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    points = np.array([len(t.decode(errors="replace")) if t else 0 for t in texts], dtype=np.int64)
-    out["word_chars"] = points - (bytes_ - word_bytes)
+    out["word_chars"] = np.bincount(doc, size, len(texts)).astype(np.int64)
     out["n_symbols"] = np.array([len(t) - len(t.translate(None, SYMBOLS)) if t else 0 for t in texts], dtype=np.int64)
 
     def covered(k: int) -> np.ndarray:
@@ -74,12 +77,12 @@ def measure(texts: list[bytes | None], grams: tuple[int, ...]) -> dict[str, np.n
 
     out["n_repeat_words"] = np.bincount(doc[covered(3)], minlength=len(texts)).astype(np.int64)
     for k in grams:
-        out[f"gram_{k}"] = np.bincount(doc, size * covered(k), len(texts)) / np.maximum(word_bytes, 1)
+        out[f"gram_{k}"] = np.bincount(doc, size * covered(k), len(texts)) / np.maximum(out["word_chars"], 1)
     lines = [[x for x in t.split(b"\n") if x and not x.isspace()] if t else [] for t in texts]
     n = np.array([len(x) for x in lines], dtype=np.int64)
     doc = np.repeat(np.arange(len(texts)), n)
     h = np.fromiter((hash(x) for w in lines for x in w), dtype=np.int64, count=int(n.sum())).view(np.uint64)
-    size = np.fromiter((len(x) for w in lines for x in w), dtype=np.int64, count=int(n.sum()))
+    size = np.fromiter((len(x) if p else _points(x) for w, p in zip(lines, plain, strict=True) for x in w), dtype=np.int64, count=int(n.sum()))
     again = _repeats(_mixed(h) ^ _mixed((doc + 1).astype(np.uint64) * ODD), False)
     out["n_dup_lines"] = np.bincount(doc[again], minlength=len(texts)).astype(np.int64)
     out["lines"] = np.bincount(doc, size * again, len(texts)) / np.maximum(np.bincount(doc, size, len(texts)), 1)

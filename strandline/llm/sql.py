@@ -26,7 +26,7 @@ WITH docs AS (
 ), word AS (
     SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM docs
 ), gram AS (
-    SELECT id, p, strlen(x) AS size, {", ".join(f"CASE WHEN lead(x, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', x, {', '.join(f'lead(x, {k}) OVER o' for k in range(1, n))}) END AS g{n}" for n in (3, 5, 7, 10))}
+    SELECT id, p, length(x) AS size, {", ".join(f"CASE WHEN lead(x, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', x, {', '.join(f'lead(x, {k}) OVER o' for k in range(1, n))}) END AS g{n}" for n in (3, 5, 7, 10))}
     FROM word WINDOW o AS (PARTITION BY id ORDER BY p)
 ), twice AS (
     SELECT id, p, size, {", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY id, g{n}) > 1 AS t{n}" for n in (3, 5, 7, 10))} FROM gram
@@ -39,7 +39,7 @@ WITH docs AS (
 ), lines AS (
     SELECT id, x, count(*) AS n FROM line WHERE regexp_matches(x, '{WORDS}') GROUP BY id, x
 ), by_line AS (
-    SELECT id, sum(n - 1) AS n_dup_lines, sum((n - 1) * strlen(x)) / sum(n * strlen(x)) AS lines FROM lines GROUP BY id
+    SELECT id, sum(n - 1) AS n_dup_lines, sum((n - 1) * length(x)) / sum(n * length(x)) AS lines FROM lines GROUP BY id
 ), told AS (
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
