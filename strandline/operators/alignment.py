@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sequences of a block whose columns are held against each other; the most genomes of a tree.
-PAIRS, GENOMES = 1024, 5000
+#: Sequences of a block whose columns are held against each other, so many columns at once; the most genomes of a tree.
+PAIRS, COLUMNS, GENOMES = 512, 8192, 5000
 
 
 def pair_gaps(a: str, b: str) -> tuple[str, str]:
@@ -175,10 +175,12 @@ def column_overlaps(aligned: DataFrame, share: float = 0.9) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part] if (same := part["p"].iloc[0] == part["q"].iloc[0]) else [part[part["own"] == part["p"]], part[part["own"] != part["p"]]]
         width = int(part["aln"].str.len().max())
-        filled = [np.array([np.frombuffer(x.ljust(width, "-").encode(), "u1") != 45 for x in side["aln"]], dtype=np.float32).reshape(len(side), width) for side in sides]
+        filled = [np.array([np.frombuffer(x.ljust(width, "-").encode(), "u1") != 45 for x in side["aln"]]).reshape(len(side), width) for side in sides]
         x, y = filled[0], filled[-1]
         names, others = sides[0]["locus"].to_numpy(), sides[-1]["locus"].to_numpy()
-        both = np.rint(x @ y.T).astype(np.int64)
+        both = np.zeros((len(x), len(y)), dtype=np.int64)
+        for k in range(0, width, COLUMNS):
+            both += np.rint(x[:, k : k + COLUMNS].astype(np.float32) @ y[:, k : k + COLUMNS].astype(np.float32).T).astype(np.int64)
         i, j = np.triu_indices(len(x), 1) if same else (k.ravel() for k in np.indices(both.shape))
         m, n = x.sum(axis=1).astype(np.int64), y.sum(axis=1).astype(np.int64)
         turn = names[i] > others[j]

@@ -115,7 +115,12 @@ query("core_extraction_loop", [], None)(lambda s, d: (lambda x: x[0].select(F.li
 query("cluster_mcl", [], None)(lambda s, d: clustering.mcl(genes(s, d), found(s, d)))
 query("cluster_nested_ladder", [], None)(lambda s, d: clustering.nested_ladder(genes(s, d), found(s, d), (50, 80, 95)))
 query("reinflate", [], None)(lambda s, d: clustering.cluster_ladder(genes(s, d), (50, 80, 95), [100.0, 98.0], k=K, shared=SHARED))
-query("check_consistency", [], None)(lambda s, d: clustering.check_consistency(_twisted(s, d)))
+query("check_consistency", ["loci", "clusters"], """, c AS (SELECT threshold, locus, CASE WHEN threshold = 90 AND CAST(substr(locus, 2) AS BIGINT) % 50 = 0 THEN 'm' || CAST(cluster[:3] AS INT) // 30 WHEN threshold = 90 AND CAST(cluster[:3] AS INT) < 10 THEN 'n' ELSE cluster END AS cluster FROM clusters
+), r AS (SELECT *, first_value(cluster) OVER w AS root, lag(cluster) OVER w AS before FROM c WINDOW w AS (PARTITION BY locus ORDER BY threshold)
+), bad AS (SELECT threshold, cluster, list(DISTINCT root) AS roots, min(root) AS root FROM r GROUP BY ALL HAVING count(DISTINCT root) > 1 OR count(DISTINCT before) > 1
+), e AS (SELECT root AS a, unnest(roots) AS b FROM bad), edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT threshold, cluster, CASE WHEN len(roots) > 1 THEN 'mixed' ELSE 'merged' END AS kind, (SELECT min(b) FROM reach WHERE a = root) AS error_group FROM bad""", True)(lambda s, d: clustering.check_consistency(_twisted(s, d)))
 query("classify_paralogs", [], None)(lambda s, d: _classified(s, d))
 query("split_paralogs", [], None)(lambda s, d: paralogs.split(loci_list(s, d), categories(s, d)))
 query("split_paralogs_legacy", [], None)(lambda s, d: paralogs.split(loci_list(s, d), categories(s, d), strict=True))
@@ -128,9 +133,11 @@ SELECT family, threshold, allele FROM n WHERE g > 1 QUALIFY rank() OVER (PARTITI
 
 
 def _twisted(s, d):
-    """Clusters whose nesting is broken here and there."""
-    c = clusters(s, d)
-    return c.withColumn("cluster", F.when((F.col("threshold") == 90) & (F.crc32("locus") % 50 == 0), "mixed").otherwise(F.col("cluster")))
+    """Clusters whose nesting is broken: some loci of the highest threshold are in clusters across families, and some clusters are one."""
+    k = F.expr("cast(substring(cluster, 1, 3) as int)")
+    top = F.col("threshold") == 90
+    odd = F.when(top & F.expr("cast(substring(locus, 2) as long) % 50 = 0"), F.concat(F.lit("m"), F.floor(k / 30).cast("string"))).when(top & (k < 10), "n").otherwise(F.col("cluster"))
+    return clusters(s, d).withColumn("cluster", odd)
 
 
 def _classified(s, d):
