@@ -54,7 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     copies = checkpoint(simhash.near_copies(docs))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    best = copies.groupBy("component").agg(F.min(order).alias("best"))
+    # Cut off, so that the join deals out copies anew and Spark can split a large component.
+    best = checkpoint(copies.groupBy("component").agg(F.min(order).alias("best")))
     gone = copies.join(best, "component").where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows, names = _numbered(docs)
     mine = F.col(names["doc_id"]), F.xxhash64(names["text"])
