@@ -93,6 +93,66 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
     return Model(counts, longest)
 
 
+class Scorer:
+    """A model with the scores of what it has met lately: of a string between spaces, as texts repeat these."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        known = [x for x in model.tables[0] if any(map(str.isalpha, x))]
+        self.words = {x: k + 1 for k, x in enumerate(known)}  # row 0 is for strings without a letter
+        self.rows = np.zeros((len(known) + CACHE // 16, len(model.langs)))
+        for x, k in self.words.items():
+            self.rows[k] = model.tables[0][x]
+        self.grams = [{g: tuple(v.tolist()) for g, v in t.items()} for t in model.tables]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.used = len(self.words) + 1
+
+    def unknown(self, word: str) -> list[float]:
+        """As Model.word() of a word that the model doesn't know."""
+        for n in range(self.model.longest, 0, -1):
+            table = self.grams[n]
+            if got := [table[g] for g in grams_of(word, n) if g in table]:
+                return [sum(x) / n for x in zip(*got, strict=True)]
+        return [0.0] * len(self.model.langs)
+
+    def place(self, string: str) -> int:
+        """The row of a string's score: the sum of its words' scores; 0 if there is none."""
+        found = words_of(string)
+        if len(found) == 1 and found[0] in self.words:
+            k = self.words[found[0]]
+        elif not (found := [w for w in found if any(map(str.isalpha, w))]):
+            k = 0
+        else:
+            if self.used == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            k, self.used = self.used, self.used + 1
+            self.rows[k] = 0
+            for w in found:
+                self.rows[k] += self.rows[self.words[w]] if w in self.words else self.unknown(w)
+        self.number[string] = k
+        return k
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language and its probability."""
+        if not self.model.langs or not text:
+            return UNKNOWN, 0.0
+        if len(self.number) >= CACHE:
+            self.clear()
+        counts = Counter(text.split())
+        at = list(map(self.number.get, counts))
+        if None in at:
+            at = [self.place(x) if k is None else k for x, k in zip(counts, at, strict=True)]
+        if not any(at):
+            return UNKNOWN, 0.0
+        total = np.fromiter(counts.values(), dtype=np.float64, count=len(at)) @ self.rows[at]
+        p = np.exp(total - total.max())
+        best = int(np.argmax(total))
+        return self.model.langs[best], float(p[best] / p.sum())
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs, and lang_pred and score: the likeliest of the model's languages and its probability (0 to 1, equal priors).
 
@@ -107,32 +167,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, number = sent.value, {}
-        rows = np.zeros((1 << 12, len(m.langs)))
+        scores_of = Scorer(sent.value)
         for batch in batches:
-            names, scores = [], []
-            for t in batch.column(batch.schema.get_field_index(text)):
-                words = words_of(t.as_py())
-                if not m.langs or not any(c.isalpha() for w in words for c in w):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(m.langs))
-                for w, c in Counter(words).items():
-                    k = number.get(w)
-                    if k is None:
-                        if len(number) >= CACHE:
-                            number.clear()
-                        k = number[w] = len(number)
-                        if k == len(rows):
-                            rows = np.concatenate((rows, np.zeros_like(rows)))
-                        rows[k] = m.word(w)
-                    total += rows[k] * c
-                p = np.exp(total - total.max())
-                best = int(np.argmax(total))
-                names.append(m.langs[best])
-                scores.append(float(p[best] / p.sum()))
+            got = [scores_of.judge(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             keep = [batch.schema.get_field_index(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return docs.select(*rest).mapInArrow(run, schema)
