@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm._common import checkpoint
+
 # The base patterns, the least length of each kind, and the order of kinds.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,7 +65,8 @@ def identifiers(docs: DataFrame, text: str = "text", size: int = DICTIONARY) ->
     """What the names in docs are made of: runs of letters by the number of documents that have them, the most frequent last.
 
     All documents are counted, whole; of the result `size` bytes at most reach the driver. What only one document has is
-    left out. Equal counts are ordered by the runs themselves; null texts and empty tables give none.
+    left out. Equal counts are ordered by the runs themselves; of those that don't all fit, a hash decides. Null texts
+    and empty tables give none.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,13 +81,25 @@ def identifiers(docs: DataFrame, text: str = "text", size: int = DICTIONARY) ->
         yield told()
 
     counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
-    chosen, left = [], size
-    for r in counts.orderBy(F.desc("n"), "run").limit(size // 4).collect():
-        left -= len(r["run"]) + 1
-        if left < 0:
-            break
-        chosen.append(r["run"])
-    return " ".join(reversed(chosen))
+    # Where the dictionary is full shows from sums by level of frequency, and within the last level by hash.
+    counts = checkpoint(counts.withColumn("level", F.floor(16 * F.log2("n")).cast("int")).withColumn("part", F.pmod(F.xxhash64("run"), F.lit(1024)).cast("int")))
+    room = F.sum(F.length("run") + 1).alias("room")
+
+    def full(sums: list[tuple[int, int]], left: int) -> tuple[int | None, int]:
+        """The first of (key, bytes) that no longer fits, and what is left then."""
+        for key, n in sums:
+            if n > left:
+                return key, left
+            left -= n
+        return None, left
+
+    level, left = full(sorted(counts.groupBy("level").agg(room).collect(), reverse=True), size)
+    chosen = counts if level is None else counts.where(F.col("level") > level)
+    if level is not None:
+        last = counts.where(F.col("level") == level)
+        part, _ = full(sorted(last.groupBy("part").agg(room).collect()), left)
+        chosen = chosen.unionByName(last if part is None else last.where(F.col("part") < part))
+    return " ".join(r["run"] for r in sorted(chosen.select("n", "run").collect()))
 
 
 class Novelty:
