@@ -136,7 +136,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     else:
         raise ValueError(f"{count} vectors are too many for 64-bit numbers")
     numbered = distinct.select(number.alias("node"), "v", "copies")
-    pivots = pivots or min(PIVOTS, max(8, 2 * -(-count // tile)))
+    pivots = pivots or min(PIVOTS, max(8, -(-count // tile)))
     drawn: dict[int, list] = {}
     for r in numbered.orderBy("node").limit(pivots).collect():
         drawn.setdefault(len(r["v"]), []).append(r["v"])
