@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Turns:
+    """Tables written one after the other in the shared folder, each in place of that of `keep` tables before: what a loop leaves behind is bounded."""
+
+    def __init__(self, spark: SparkSession, keep: int) -> None:
+        self.at, self.keep, self.n = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}", keep, 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{self.n % self.keep}"
+        self.n += 1
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, column: str, *order: Column) -> DataFrame:
     """df with consecutive numbers from 1 in the given order, without a task that sees all rows.
 
