@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.components import components
-from strandline.functions.names import checkpoint
+from strandline.functions.names import checkpoint, shared_folder
 
 #: Characters that separate words, as a regular expression class for Java and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, a temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
-
-
 def bytes_of(df: DataFrame) -> int:
     """The input's size, which only sets how finely work is split: Spark's estimate, or what strings and rows add up to where it has none."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -20,6 +20,10 @@ SimHash alone can't ask for a Jaccard similarity of 0.8, which leaves about 10 o
 takes SimHash links as candidates only, adds those of MinHash bands, and compares the shingle sets of what candidates
 connect: texts link if and only if the Jaccard similarity of these sets is LIKENESS or more. A candidate is lost if no
 band and no fingerprint tells of it: at 0.8 about 1 pair in 13,000. As the bands see to that, it takes one SimHash table.
+What candidates connect is compared in one task if that can hold it. Else each text is first compared with one other, that
+which most of its bands name, then with the others that they name where the two are not connected yet; this alone settles
+a group of copies of any size, row by row. Only texts that share a band with one they are not connected with are then
+compared all with all, in shards.
 """
 
 from __future__ import annotations
@@ -278,10 +282,17 @@ def _shingle_set(h: np.ndarray) -> tuple[int, np.ndarray]:
     return _signed(xxhash.xxh3_64_intdigest(unique.tobytes(), SEED)), unique
 
 
-def _alike(ids: list[int], sets: list[np.ndarray], fps: np.ndarray, split: int, likeness: float) -> list[tuple[int, int]]:
-    """Stars of links between the first `split` sets and the others, or within them if there are no others."""
+def _linked(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= likeness * (len(x) + len(y) - both)
+
+
+def _alike(ids: list[int], sets: list[np.ndarray], fps: np.ndarray, groups: list[int], split: int, likeness: float) -> list[tuple[int, int]]:
+    """Stars of links between the first `split` sets and the others, or within them if there are no others; sets of a group are linked already."""
     n = len(ids)
-    sizes, root = np.array([len(x) for x in sets]), np.arange(n)
+    sizes = np.array([len(x) for x in sets])
+    _, first, number = np.unique(groups, return_index=True, return_inverse=True)
+    root = first[number]
     for i in range(split if split < n else 1, n):
         end = split if split < n else i
         small = np.minimum(sizes[:end], sizes[i])
@@ -290,15 +301,14 @@ def _alike(ids: list[int], sets: list[np.ndarray], fps: np.ndarray, split: int,
         ask = ask[np.argsort(apart[ask], kind="stable")]
         while len(ask):
             j, ask = ask[0], ask[1:]
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= likeness * (sizes[i] + sizes[j] - both):
+            if _linked(sets[i], sets[j], likeness):
                 root[root == root[i]] = root[j]
                 ask = ask[root[ask] != root[i]]  # what is connected already needs no comparison
     return [(ids[k], ids[root[k]]) for k in range(n) if root[k] != k]
 
 
 def _confirmed(cut: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): stars of links in each group of (component, p, q), whose rows have own, id, fps and shingles."""
+    """(a, b): stars of links in each group of (component, p, q), whose rows have own, id, fps, shingles and grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [])
@@ -308,24 +318,77 @@ def _confirmed(cut: DataFrame, likeness: float) -> DataFrame:
             if at is None or (at[1] != at[2] and not (own and others)):
                 return []
             rows = own + others
-            return _alike([x[0] for x in rows], [x[2] for x in rows], np.array([x[1][1:] for x in rows], dtype=np.int64).view(np.uint64), len(own), likeness)
+            return _alike([x[0] for x in rows], [x[2] for x in rows], np.array([x[1][1:] for x in rows], dtype=np.int64).view(np.uint64), [x[3] for x in rows], len(own), likeness)
 
         def out(done: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             sets = batch.column(batch.schema.get_field_index("shingles"))
-            rest = [batch.column(n).to_pylist() for n in ("component", "p", "q", "own", "id", "fps")]
-            for k, (component, p, q, own, i, fps) in enumerate(zip(*rest, strict=True)):
+            rest = [batch.column(n).to_pylist() for n in ("component", "p", "q", "own", "id", "fps", "grp")]
+            for k, (component, p, q, own, i, fps, grp) in enumerate(zip(*rest, strict=True)):
                 if (component, p, q) != at:
                     yield out(finish())
                     at, held = (component, p, q), ([], [])
-                held[own != p].append((i, fps, sets[k].values.to_numpy(zero_copy_only=False).copy()))
+                held[own != p].append((i, fps, sets[k].values.to_numpy(zero_copy_only=False).copy(), grp))
         yield out(finish())
 
     return cut.mapInArrow(run, "a long, b long")
 
 
+def _compared(edges: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Those of edges (a, b) whose sets (id, shingles) are alike: an edge at a time."""
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            value = lambda c, k: c[k].values.to_numpy(zero_copy_only=False)
+            yield batch.select([0, 1]).filter(pa.array([_linked(value(x, k), value(y, k), likeness) for k in range(batch.num_rows)], pa.bool_()))
+
+    return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    """Rows (component, id, fps, shingles, grp, s) dealt out to pairs of their component's s shards."""
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    cut = cut.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "fps", "shingles", "grp")
+    return cut.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+
+
+def _shards(members: DataFrame) -> DataFrame:
+    """(component, s): how many shards the members (component, size, ...) of each component take."""
+    return members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("s"))
+
+
+def _groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, grp): what links (a, b) connect, of all nodes (id)."""
+    found = components(links).withColumnRenamed("node", "id")
+    return checkpoint(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("grp")))
+
+
+def _large(held: DataFrame, keys: DataFrame, named: DataFrame, edges: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): links that connect what is alike among held (id, fps, size, shingles), of components too large for a task.
+
+    keys: (id, band); named: (a, b, n), how many of a's bands name b; edges: (a, b), all candidates.
+    """
+    nodes = held.select("id")
+    mine = lambda df: df.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+    most = mine(named).groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"), "b")).alias("x")).select("a", "x.b")
+    links = checkpoint(_compared(most, held, likeness))
+    grp = _groups(links, nodes)
+    of = lambda c: grp.select(F.col("id").alias(c), F.col("grp").alias(f"grp_{c}"))
+    open_ = checkpoint(mine(edges).join(most, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("grp_a != grp_b").select("a", "b"))
+    links = checkpoint(links.unionByName(_compared(open_, held, likeness)))
+    grp = _groups(links, nodes)
+    shared = keys.join(grp, "id")
+    several = checkpoint(shared.groupBy("band").agg(F.min("id").alias("least"), F.min("grp").alias("x"), F.max("grp").alias("y")).where("x != y").select("band", "least"))
+    met = checkpoint(keys.join(nodes, "id", "left_semi").join(several, "band").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    rest = _groups(met, met.select(F.col("a").alias("id")).distinct()).withColumnRenamed("grp", "component")
+    rows = held.drop("component", "s").join(rest, "id").join(grp, "id")
+    return links.unionByName(_confirmed(_sharded(rows.join(checkpoint(_shards(rows.select("component", "size"))), "component")), likeness))
+
+
 def _bitmap(nodes: DataFrame, bits: int = 1 << 22) -> np.ndarray:
     """For each remainder by `bits` whether a node has it; the size is fixed, whatever the number of nodes."""
 
@@ -345,7 +408,7 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
     """(key, text_hash, component): a row for each row of docs; component is the same where links connect two texts.
 
     Texts link if the Jaccard similarity of their sets of shingles is `likeness` or more, and all texts without words
-    do, null ones included. text_hash is Spark's xxhash64 of the text, null for a null text. Null keys and repeated rows
+    do, null ones included. text_hash is Spark's xxhash64 of the text. Null keys and repeated rows
     stay, each with its text's component; an empty table gives an empty result; other columns of docs are not read.
     """
 
@@ -374,15 +437,19 @@ def near_copies(docs: DataFrame, likeness: float = LIKENESS, shingle: int = SHIN
     distinct = checkpoint(each.groupBy("id").agg(F.min(F.struct("fps", "bands", "size")).alias("s")).select("id", "s.*"))
     keys = distinct.select("id", F.explode("bands").alias("band"))
     shared = checkpoint(keys.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    edges = keys.join(shared, "band").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    edges = edges.unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.lit(0).alias("t"), F.col("fps")[0].alias("x")), RADIUS, BANDS, SHARD, True)).distinct()
-    group = checkpoint(components(edges).join(distinct.select(F.col("id").alias("node"), "fps", "size"), "node"))
-    cuts = checkpoint(group.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("s")))
-    asked = _bitmap(group.select("node"))  # texts without candidates need not be dealt out; the join below is exact
+    named = checkpoint(keys.join(shared, "band").where("id != least").groupBy(F.col("id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n")))
+    edges = named.select("a", "b").unionByName(_edges(distinct.where("size > 0").select(F.col("id").alias("fp"), F.lit(0).alias("t"), F.col("fps")[0].alias("x")), RADIUS, BANDS, SHARD, True)).distinct()
+    edges = checkpoint(edges)
+    group = checkpoint(components(edges).join(distinct.select(F.col("id").alias("node"), "fps", "size"), "node").withColumnRenamed("node", "id"))
+    cuts = checkpoint(_shards(group))
+    asked = _bitmap(group.select("id"))  # texts without candidates need not be dealt out; the join below is exact
     sets = _mapped(docs.select(F.col(text).alias("_text")), "id long, shingles array<long>", shingles).where("id is not null").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    cut = sets.join(group.join(cuts, "component").withColumnRenamed("node", "id"), "id")
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    cut = cut.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "fps", "shingles")
-    cut = cut.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
-    found = components(checkpoint(_confirmed(cut, likeness))).withColumnRenamed("node", "id")
+    held = sets.join(group.join(cuts, "component"), "id")
+    if cuts.where("s > 1").isEmpty():
+        links = _confirmed(_sharded(held.withColumn("grp", F.col("id"))), likeness)
+    else:
+        held = checkpoint(held)
+        large = held.where("s > 1")
+        links = _confirmed(_sharded(held.where("s = 1").withColumn("grp", F.col("id"))), likeness).unionByName(_large(large, keys, named, edges, likeness))
+    found = components(checkpoint(links)).withColumnRenamed("node", "id")
     return each.join(checkpoint(found), "id", "left").select(key, "text_hash", F.coalesce("component", "id").alias("component"))
