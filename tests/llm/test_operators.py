@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, embed_dedup, langid, mixing, packing, quality, secrets, simhash, suffix_dedup, urls
+from strandline.llm import chat, embed_dedup, langid, mixing, packing, quality, queries, secrets, simhash, suffix_dedup, urls
 from strandline.llm._common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,9 +43,9 @@ def corpus():
     return rows
 
 
-def test_suffix_dedup(spark, corpus):
-    n = 20
-    got = suffix_dedup.repeated_strings(docs_of(spark, corpus), n, block=2000, batch=16, windows=500).collect()
+@pytest.mark.parametrize("n, fan", [(20, 4096), (20, 1), (20, 3), (100, 4096), (100, 2)])
+def test_suffix_dedup(spark, corpus, n, fan):
+    got = suffix_dedup.repeated_strings(docs_of(spark, corpus), n, block=2000, batch=16, windows=500, fan=fan).collect()
     unique = sorted({(suffix_dedup.LAST if i is None else i, (t or "").encode()) for i, t, *_ in corpus})
     seen, want = set(), {}
     for i, t in unique:
@@ -58,6 +61,8 @@ def test_suffix_dedup(spark, corpus):
         if r["doc_id"] is not None:
             assert (bytes(r["kept"]), len(r["spans"])) in options
     assert suffix_dedup.repeated_strings(docs_of(spark, corpus).limit(0), n).count() == 0
+    with pytest.raises(ValueError, match="8 MB"):
+        suffix_dedup.repeated_strings(docs_of(spark, corpus), n, block=9 << 20)
 
 
 def test_suffix_dedup_of_random_bytes():
@@ -156,28 +161,63 @@ def test_packing(spark, corpus):
     assert packing.pack(docs_of(spark, corpus).limit(0), caps).count() == 0
 
 
-def test_best_fit_is_best_fit():
-    """Against a search of all open bins for the least room left."""
+def plain_fill(piece, capacity, free):
+    """A sequence of a piece and the longest free pieces that fit."""
+    free, took = sorted(free), [piece]
+    while fits := [n for n in free if n <= capacity - sum(took)]:
+        took.append(fits[-1])
+        free.remove(fits[-1])
+    return took
+
+
+@pytest.mark.parametrize("joint", [True, False])
+def test_best_fit_is_best_fit(joint):
+    """Against a search of all open bins for the least room left, and of all capacities for the least cost a word."""
+    caps = (10, 20, 40)
+    fits = lambda n: min(c for c in caps if c >= n)
     for seed in range(30):
         r = random.Random(seed)
-        lengths = [r.randint(0, 40) for _ in range(60)]
-        where, made = packing.best_fit(lengths, (10, 20, 40))
-        bins = []
-        for k in sorted(range(60), key=lambda k: -lengths[k]):
+        lengths = [r.choice((r.randint(0, 40), 7, 13)) for _ in range(60)]
+        where, made = packing.best_fit(lengths, caps, joint)
+        bins, order = [], sorted(range(60), key=lambda k: -lengths[k])
+        free = [n for n in lengths if n]
+        for place, k in enumerate(order):
             n = lengths[k]
             if not n:
                 continue
-            fits = [b for b in bins if b[0] - b[1] >= n]
-            if fits:
-                b = min(fits, key=lambda b: b[0] - b[1])
+            if free.count(n) > sum(lengths[j] == n for j in order[place + 1 :]):
+                free.remove(n)
+            held = [b for b in bins if b[0] - b[1] >= n]
+            if held:
+                b = min(held, key=lambda b: b[0] - b[1])
             else:
-                b = [min((c for c in (10, 20, 40) if c >= n), key=lambda c: (packing.cost(c) / c, c)), 0]
+                filled = {c: plain_fill(n, c, free) if joint else [c] for c in caps if c >= n}
+                b = [min(filled, key=lambda c: (packing.cost(fits(sum(filled[c]))) / sum(filled[c]), c)), 0]
+                for x in filled[b[0]][1:]:
+                    free.remove(x)
                 bins.append(b)
             b[1] += n
-        assert sorted(min(c for c in (10, 20, 40) if c >= b[1]) for b in bins) == sorted(made)
+        assert sorted(fits(b[1]) for b in bins) == sorted(made)
         assert all(w[0] >= 0 for w, n in zip(where, lengths, strict=True) if n)
 
 
+def test_lengths_are_chosen_jointly():
+    """Pieces that leave half of a cheap sequence empty share a longer one; what ties costs the same."""
+    total = lambda made: sum(map(packing.cost, made))
+    for lengths in ([700] * 600, [600] * 300 + [900] * 300, [1100] * 200 + [300] * 50):
+        assert total(packing.best_fit(lengths)[1]) < 0.9 * total(packing.best_fit(lengths, joint=False)[1])
+    r = random.Random(3)
+    for _ in range(20):
+        lengths = [r.randint(1, r.choice((300, 3000, 8192))) for _ in range(300)]
+        assert total(packing.cheapest(lengths)[1]) <= min(total(packing.best_fit(lengths, joint=j)[1]) for j in (True, False))
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    docs = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    found = packing.pack(docs, shard=100).groupBy(F.expr("bin_id >> 32").alias("shard")).count().collect()
+    assert len(found) == 40 and max(r["count"] for r in found) < 200
+
+
 def test_chat(spark):
     hard = r"\### Assistant: </turn> ok <turn user>" + "\n\\\\<"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 0, "a>\\b", "y"), (None, 3, "assistant", "z"), (None, 3, "assistant", "z"), (3, None, "assistant", "q" * 100_000)]
@@ -241,6 +281,61 @@ def test_language(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def plain_language(counts, text):
+    """Scores of each language, word by word: a known word's, else those of the longest n-grams known."""
+    langs = sorted(counts)
+    total = dict.fromkeys(langs, 0.0)
+    known = [set().union(*(counts[x].get(n, {}) for x in langs)) for n in range(langid.LONGEST + 1)]
+    size = [{x: sum(counts[x].get(n, {}).values()) + len(known[n]) + 1 for x in langs} for n in range(langid.LONGEST + 1)]
+    log = lambda x, n, s: math.log(counts[x].get(n, {}).get(s, 0) + 1) - math.log(size[n][x])
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in known[0]:
+            for x in langs:
+                total[x] += log(x, 0, w)
+            continue
+        for n in range(langid.LONGEST, 0, -1):
+            marked = f"<{w}>" if n > 1 else w
+            grams = [marked[k : k + n] for k in range(len(marked) - n + 1) if marked[k : k + n] in known[n]]
+            if grams:
+                for x in langs:
+                    total[x] += sum(log(x, n, g) for g in grams) / n
+                break
+    return total
+
+
+def test_language_scores_are_those_of_a_plain_scorer():
+    """Known and unknown words, digits, other scripts, repeats and spaces of all kinds."""
+    r = random.Random(3)
+    vocab = {x: ["".join(r.choice(a) for _ in range(r.randint(1, 7))) for _ in range(60)] for x, a in (("en", "abcdef"), ("fr", "cdefgé"), ("xx", "efghß"))}
+    counts = {}
+    for x, words in vocab.items():
+        seen = Counter(r.choice(words) for _ in range(400))
+        counts[x] = {0: dict(seen.most_common(40))}
+        for n in range(1, langid.LONGEST + 1):
+            counts[x][n] = dict(Counter(g for w, c in seen.items() for g in langid.grams_of(w, n) * c).most_common(80))
+    model = langid.Model(counts)
+    scorer = langid.Scorer(model)
+    for _ in range(200):
+        x = r.choice(list(vocab))
+        text = "".join(r.choice((r.choice(vocab[x]), r.choice(vocab["en"]).upper(), "zzé", "12", "_", "Ünïted-x")) + r.choice((" ", "\n", ", ", "\u00a0", "7", "\u2003")) for _ in range(r.randint(1, 60)))
+        want = plain_language(counts, text)
+        if not re.search(r"[^\W\d_]", text):
+            assert scorer.judge(text) == ("und", 0.0)
+            continue
+        best = max(sorted(want), key=lambda k: want[k])
+        lang, score = scorer.judge(text)
+        assert want[lang] == pytest.approx(want[best]) and score == pytest.approx(1 / sum(math.exp(v - want[lang]) for v in want.values()))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_on_held_out_documents(spark):
+    """Of documents that the model has not learned from, nearly all get their label."""
+    found = queries.op7_language_id(spark, "/root/testdata/sf0.01").where("held_out")
+    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text rlike '[A-Za-z]'").select("doc_id", "lang")
+    rows = found.join(labelled, "doc_id").collect()
+    assert len(rows) > 100 and sum(x["lang"] == x["lang_pred"] for x in rows) >= 0.98 * len(rows)
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda x: (x is None, x or ""))
     w = {x: weights[k % 3] for k, x in enumerate(names)}
@@ -279,10 +374,28 @@ def test_mixing(spark, corpus, bin_, monkeypatch):
     for r in mixing.draw(docs).collect():
         times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
     one = {r["doc_id"]: r for r in got if r["doc_id"] not in (None, 404)}
+    clash = docs.withColumns({c: F.lit(k) for k, c in enumerate(("s", "cut", "epochs", "target", "source_size", "part", "_size", "_at", "_row", "_n", "place", "base"))})
+    assert mixing.draw(clash).columns == clash.columns and mixing.draw(clash).count() == mixing.draw(docs).count()
     assert all(times.get(i, 0) == r["epochs"] + (r["part"] > 0 and 2 * r["part"] >= r["size"]) for i, r in one.items())
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_uneven_weights(spark, monkeypatch):
+    """Sampling keys far from the first cut's distribution, and a third of the rows without key or repeated in full."""
+    monkeypatch.setattr(mixing, "BIN", 5)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    r = random.Random(6)
+    rows = [(k if k % 3 else None, "w " * r.randint(1, 9), None, "a" if k % 4 else "b") for k in range(300)] + [(7, "x y z", None, "a")] * 60
+    docs = docs_of(spark, rows)
+    for weight in (F.lit(0.001), F.lit(1000.0), None):
+        got = mixing.mix(docs, weight=weight).collect()
+        sums = {}
+        for x in got:
+            sums.setdefault(x["target"], []).append(x["taken"])
+        assert all(target - sum(taken) < 60 and sum(taken) <= target + 1e-6 for target, taken in sums.items())
+        assert len({(x["taken"]) for x in got if x["doc_id"] == 7 and x["size"] == 3}) == 1
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
 
 
@@ -328,13 +441,40 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_many_and_large_components(spark):
+    """Over the number of components whose products are exact at once, near the ends of a double's range, and tiles of many groups."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal((20, 2100))
+    v = [*base, *(base[:6] + 0.2 * r.standard_normal((6, 2100))), *(base[6:9] * 1e200), *(base[9:12] * 1e-200), *(base[12:14] + 0.34 * r.standard_normal((2, 2100)))]
+    df = spark.createDataFrame([(k, [float(x) for x in x_]) for k, x_ in enumerate(v)], "vec_id long, embedding array<double>")
+    x = embed_dedup.unit(np.array(v))
+    c = x @ x.T >= 0.95
+    got = {r_["vec_id"]: (r_["n_links"], r_["component_id"]) for r_ in embed_dedup.near_duplicates(df, tile=4).collect()}
+    of = plain_components(len(v), lambda a, b: c[a, b])
+    assert got == {k: (int(c[k].sum()) - 1, of[k]) for k in range(len(v))}
+
+
+def test_quantisation_bounds_hold():
+    """No pair at the threshold is settled by its estimate, and the estimate settles most others."""
+    r = np.random.default_rng(9)
+    x = embed_dedup.unit(r.standard_normal((300, 48)) * r.choice([1, 30], (300, 48)))
+    y = embed_dedup.unit(x + 0.08 * r.standard_normal((300, 48)))
+    exact = x @ y.T >= 0.9
+    pairs = np.concatenate([p for _, p in embed_dedup._open(embed_dedup.quantised(x), embed_dedup.quantised(y), 0.9)])
+    assert not (exact & ~pairs).any() and pairs.mean() < exact.mean() + 0.05
+    a, b = embed_dedup.asked(embed_dedup.quantised(x), embed_dedup.quantised(y), 0.9, False)
+    assert set(np.nonzero(exact)[0]) <= set(a) and set(np.nonzero(exact)[1]) <= set(b)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (40, 45), (7, 7)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 45: 40, 50: 40}
 
 
-def test_near_copies_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("most", [4096, 5])
+def test_near_copies_are_those_of_brute_force(spark, most, monkeypatch):
     """All pairs of five-word Jaccard similarity 0.8 or more, and no others, link: against a comparison of all pairs."""
+    monkeypatch.setattr(simhash, "TEXTS", most)
     r = random.Random(11)
     vocab = [f"w{k}" for k in range(2000)]
     texts = []
@@ -375,7 +515,45 @@ def test_secrets_of_small_alphabets():
             assert found >= (54 if n == 20 else 57), (letters, n, found)
     words = "session account manager handler request service version release windows python server client master sample layer region stage backup primary column schema".split()
     names = ["_".join(r.choice(words) for _ in range(4)) + f"_{r.randint(1, 99)}" for _ in range(200)]
-    assert sum(bool(secrets.scan_text(around[0] + "api key is " + x + "\n" + around[1], novelty)) for x in names) <= 10
+    false = lambda scorer, names: sum(bool(secrets.scan_text(around[0] + "api key is " + x + "\n" + around[1], scorer)) for x in names)
+    assert false(novelty, names) <= 10
+    camel = ["".join(r.choice(words).title() for _ in range(4)) for _ in range(200)]
+    assert false(novelty, camel) <= 2
+    primed = secrets.Novelty(" ".join((*words, *(w.title() for w in words))))
+    assert false(primed, names) <= 1 and false(primed, camel) == 0
+
+
+def test_planted_secrets_are_found(spark):
+    """Keys of 16 to 4000 characters in documents of a corpus whose dictionary primes the compressor; its other documents have none."""
+    r = random.Random(12)
+    words = "session account manager handler request service version release windows python server client master sample layer region stage backup primary column".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    kinds = {"base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "HEX": "0123456789ABCDEF", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    rows, keys = [], {}
+    for kind, letters in kinds.items():
+        for n in (16, 20, 32, 40, 64, 128, 200, 300, 800, 2000, 4000):
+            for k in range(10):
+                i = len(rows)
+                keys[i] = (kind, n, "".join(r.choice(letters) for _ in range(n)))
+                rows.append((i, f"{text(30)} the api key is {keys[i][2]} {text(30)}" if k % 2 else f"{text(30)}\n{keys[i][2]} # secret of the {text(30)}", None, None))
+    rows += [(i, text(60) + " the session token is " + "_".join(r.choice(words) for _ in range(4)), None, None) for i in range(len(rows), len(rows) + 300)]
+    docs = docs_of(spark, rows)
+    corpus = secrets.identifiers(docs).split()
+    assert set(words) == set(corpus) - {"token", "secret"} - {c for c in corpus if c not in words}
+    found: dict = {}
+    false = 0
+    for x in secrets.scan(docs).collect():
+        if x["doc_id"] in keys:
+            kind, n, key = keys[x["doc_id"]]
+            at = rows[x["doc_id"]][1].index(key)
+            found.setdefault((kind, n), []).append(any(s["start"] <= at and at + n <= s["end"] for s in x["spans"]))
+        else:
+            false += bool(x["spans"])
+    assert sum(map(sum, found.values())) >= 0.95 * sum(map(len, found.values())), {k: sum(v) for k, v in found.items()}
+    assert all(sum(v) >= 9 for (_, n), v in found.items() if n >= 32), {k: sum(v) for k, v in found.items()}
+    assert false == 0
+    few = secrets.identifiers(docs, size=60)
+    assert secrets.identifiers(docs.limit(0)) == "" and 30 < len(few) <= 60 and set(few.split()) <= set(corpus)
 
 
 def test_secrets_are_whole():
