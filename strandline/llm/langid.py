@@ -25,7 +25,7 @@ SAMPLE, VOCABULARY, GRAMS, LONGEST = 3000, 20_000, 10_000, 4
 LEAST_COUNT = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 
 def words_of(text: str | None) -> list[str]:

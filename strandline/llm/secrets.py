@@ -48,7 +48,7 @@ credential environment getenv process.env os.environ localhost 127.0.0.1 example
 .net /usr/local/bin /var/log /etc/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """
 #: Bytes of the corpus' dictionary, the runs of letters in it, and how many of them a task counts before it passes them on.
-DICTIONARY, LETTERS, HELD = 1 << 16, re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 1 << 20
+DICTIONARY, LETTERS, HELD = 1 << 16, re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 1 << 17
 #: A key costs about what its own characters cost in another order; a name costs less, as its parts are in the dictionary
 #: or around it. OWN and SLACK (bytes) leave room for chance; of TRIALS orders the cheapest counts. Names of rare parts are
 #: told from keys by their letters: a key's runs of one class are shorter than RUN on average, or of the pairs of letters
@@ -80,7 +80,9 @@ def identifiers(docs: DataFrame, text: str = "text", size: int = DICTIONARY) ->
                     held.clear()
         yield told()
 
-    counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "run string, n long")
+    # Tasks have summed up what they can: dealt out first, it is not held in a second table on its way.
+    counts = counts.repartition("run").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
     # Where the dictionary is full shows from sums by level of frequency, and within the last level by hash.
     counts = checkpoint(counts.withColumn("level", F.floor(16 * F.log2("n")).cast("int")).withColumn("part", F.pmod(F.xxhash64("run"), F.lit(1024)).cast("int")))
     room = F.sum(F.length("run") + 1).alias("room")
