@@ -18,6 +18,18 @@ from strandline.llm._common import checkpoint, shared_folder
 LEAST_SCORE = 0.5
 
 
+#: What a batch of rows on its way to a Python worker holds at most, where the session says nothing else. A task holds
+#: several batches at once, on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets BATCHES for the session, as a stage's result is written after the stage returns."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named by their places, and these names: so no column can clash with an operator's own."""
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
@@ -36,6 +48,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and a null doc_id or lang doesn't matter. Without labels there is no model, and all rows stay; an empty table
     stays empty. Columns stay as they are, also those named like the operator's own.
     """
+    _small_batches(spark)
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(True))
     model = langid.fit(docs.where(learn))
     if not model.langs:
@@ -52,6 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one: that with the least hash of its other columns stays. Texts without words, null ones included, are copies of
     each other. An empty table stays empty, and columns of any names stay.
     """
+    _small_batches(spark)
     copies = checkpoint(simhash.near_copies(docs))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     # Cut off, so that the join deals out copies anew and Spark can split a large component.
@@ -80,6 +94,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text stays as it is, and texts of any length are read whole. Repeated rows stay, each with the same
     result; ids, null or not, don't matter. An empty table stays empty, and all other columns stay as they are.
     """
+    _small_batches(spark)
     clean = secrets.redact(docs)
     kind = dict(docs.dtypes).get("n_chars")
     return clean.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns) if kind else clean
