@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import chat, embed_dedup, langid, mixing, packing, quality, secrets, simhash, sql, suffix_dedup, urls
+from strandline.llm import chat, embed_dedup, exact_dedup, langid, mixing, packing, patterns, quality, resampling, secrets, simhash, sql, suffix_dedup, urls
 from strandline.llm._common import table
 
 # The rules of op9, and the conversation that op5 adds.
@@ -72,8 +72,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_row_pattern_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patterns.match(table(spark, sf_dir, "clicks"))
+    return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2("labels", 256).alias("labels_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return exact_dedup.dedup(docs, carry=("text_sha256",)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = [op1_suffix_array_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_best_fit_packing, op5_chat_formatting, op6_quality_rules, op7_language_id, op8_mixing_to_weights, op9_url_filters, op10_embedding_near_dedup]
+    of = [op1_suffix_array_dedup, op2_secret_scan, op3_simhash_near_dedup, op4_best_fit_packing, op5_chat_formatting, op6_quality_rules, op7_language_id, op8_mixing_to_weights, op9_url_filters, op10_embedding_near_dedup, op11_importance_resampling, op12_row_pattern_matching, op13_exact_dedup]
     return {**{f.__name__: f for f in of}, "pipeline": corpus_pipeline.run}
 
 

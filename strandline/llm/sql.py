@@ -130,4 +130,69 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
 FROM v
 """
 
-QUERIES = {"op5_chat_formatting": CHAT, "op6_quality_rules": QUALITY, "op8_mixing_to_weights": MIXING, "op9_url_filters": URLS, "op10_embedding_near_dedup": EMBEDDINGS}
+RESAMPLING = r"""
+WITH word AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, 0 AS side, row_number() OVER () AS id FROM documents
+    UNION ALL SELECT NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1, row_number() OVER () FROM benchmark
+), feature AS (
+    SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM word
+), counted AS (
+    SELECT side, id, f, count(*) AS n FROM feature GROUP BY ALL
+), steps AS (  -- of CRC-32: a byte comes in, then eight bits go out
+    SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), crc AS (
+    SELECT f, xor(4294967295, list_reduce(flatten(list_transform(range(0, len(h) // 2), lambda i: [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT)) % 10000 AS bucket FROM steps
+), bucketed AS (
+    SELECT side, id, bucket, sum(n) AS n FROM counted JOIN crc USING (f) GROUP BY ALL
+), total AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM bucketed GROUP BY bucket
+), gain AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT coalesce(sum(s), 0) FROM total) + 10000)) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM total) + 10000)))) AS BIGINT) AS g FROM total
+), weighed AS (
+    SELECT id, sum(n) AS n, sum(n * g) AS weight FROM bucketed JOIN gain USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+    SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM word LEFT JOIN weighed USING (id) WHERE side = 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, sum((n_words >= 20)::INT) OVER () AS many FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * many // 100 THEN r END AS rank FROM placed
+"""
+
+PATTERNS = r"""
+WITH RECURSIVE amount AS (
+    SELECT DISTINCT *, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL
+), placed AS (
+    SELECT client_id, click_id, kind, cents, ts, row_number() OVER o AS p, lag(cents) OVER o AS cents_0, lag(ts) OVER o AS ts_0
+    FROM amount WINDOW o AS (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST, cents NULLS FIRST, coalesce(kind = 'purchase', false), coalesce(kind <> 'error', false))
+), flagged AS (
+    SELECT *, coalesce(ts - ts_0 <= INTERVAL 10 MINUTE AND cents IS NOT NULL AND cents_0 IS NOT NULL AND kind = 'purchase', false) AS goal,
+        coalesce(ts - ts_0 <= INTERVAL 10 MINUTE AND cents <> cents_0 AND kind <> 'error', false) AS passes FROM placed
+), run AS (
+    SELECT *, sum((NOT goal AND NOT passes)::INT) OVER (PARTITION BY client_id ORDER BY p) AS run,
+        min(CASE WHEN NOT passes THEN p END) OVER (PARTITION BY client_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM flagged
+), ended AS (
+    SELECT a.client_id, a.run, a.p, min(b.p) AS e FROM run a JOIN run b ON a.client_id = b.client_id AND a.run = b.run
+    WHERE b.p > a.p AND b.goal AND b.cents >= a.cents AND (a.stop IS NULL OR b.p <= a.stop) GROUP BY ALL
+), taken(client_id, run, p, e) AS (
+    SELECT client_id, run, min(p), arg_min(e, p) FROM ended GROUP BY ALL
+    UNION ALL
+    SELECT t.client_id, t.run, min(n.p), arg_min(n.e, n.p) FROM taken t JOIN ended n ON t.client_id = n.client_id AND t.run = n.run AND n.p > t.e GROUP BY t.client_id, t.run
+)
+SELECT t.client_id, CAST(row_number() OVER (PARTITION BY t.client_id ORDER BY t.p) AS BIGINT) AS match_no, first(r.click_id) FILTER (r.p = t.p) AS first_id, first(r.click_id) FILTER (r.p = t.e) AS last_id,
+    CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(r.cents) AS BIGINT) AS sum_cents,
+    sha256(string_agg(CASE WHEN r.p = t.p THEN 'A' WHEN r.p = t.e THEN 'P' WHEN r.cents < r.cents_0 THEN 'D' ELSE 'U' END, '' ORDER BY r.p)) AS labels_sha256
+FROM taken t JOIN run r ON t.client_id = r.client_id AND r.p BETWEEN t.p AND t.e GROUP BY t.client_id, t.p
+"""
+
+EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) WINDOW same AS (PARTITION BY x)
+"""
+
+QUERIES = {
+    "op5_chat_formatting": CHAT, "op6_quality_rules": QUALITY, "op8_mixing_to_weights": MIXING, "op9_url_filters": URLS, "op10_embedding_near_dedup": EMBEDDINGS, "op11_importance_resampling": RESAMPLING,
+    "op12_row_pattern_matching": PATTERNS, "op13_exact_dedup": EXACT,
+}
