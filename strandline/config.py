@@ -19,6 +19,7 @@ class Config:
     cd_coverage: float = 0.9
     cd_cores: bool = True
     inflation: float = 1.5
+    evalue: float = 1e-6
     hsp_length: float = 0.0
     hsp_proportion: float = 0.0
     paralogs: bool = True

@@ -20,6 +20,9 @@ FILES = {
     2: ("gff", "sequences", "clusters"),
 }
 
+#: The largest evalue of a hit between sequences of a family.
+PARALOG_EVALUE = 1e-2
+
 
 def _categories(loci: DataFrame, several: DataFrame, used: DataFrame, cfg: Config, k: int) -> DataFrame:
     """Paralog categories of the families (family) with several loci of a genome.
@@ -32,7 +35,7 @@ def _categories(loci: DataFrame, several: DataFrame, used: DataFrame, cfg: Confi
     mine = checkpoint(used.select("locus", "seq").join(base.select("locus", "family"), "locus"))
     first = clustering.same_sequences(mine.withColumn("seq", F.concat_ws("|", "family", "seq")))
     reps = mine.join(first.where("locus = rep").select("locus"), "locus", "left_semi")
-    hits = checkpoint(clustering.homology(reps, k, kernel=cfg.similarity_kernel, by="family"))
+    hits = checkpoint(clustering.homology(reps, k, kernel=cfg.similarity_kernel, by="family", protein=not cfg.nucleotide, evalue=PARALOG_EVALUE))
     alike = clustering.greedy_clusters(reps, hits, low, least_length=cfg.paralog_length).withColumnsRenamed({"locus": "rep", "cluster": "top"})
     members = base.join(first, "locus").join(alike, "rep").select("family", "locus", "genome", F.col("top").alias("rep"))
     tops = members.select("rep").distinct()
@@ -56,7 +59,7 @@ def run(spark: SparkSession, folder: str, cfg: Config | None = None) -> dict[str
     k = 12 if cfg.nucleotide else 5
     used = seqs.select("locus", "genome", F.col("seq") if cfg.nucleotide else F.regexp_replace("protein", r"\*$", "").alias("seq"))
     clusters = checkpoint(clustering.cluster_ladder(
-        used, cfg.thresholds, cfg.identities(), cfg.inflation, k, coverage=cfg.cd_coverage, cores=cfg.cd_cores, normalise=partial(_normalised, cfg=cfg), similarity=cfg.similarity_kernel, clustered=cfg.cluster_kernel))
+        used, cfg.thresholds, cfg.identities(), cfg.inflation, k, coverage=cfg.cd_coverage, cores=cfg.cd_cores, normalise=partial(_normalised, cfg=cfg), similarity=cfg.similarity_kernel, clustered=cfg.cluster_kernel, protein=not cfg.nucleotide, evalue=cfg.evalue))
     loci = checkpoint(families.name_clusters(clusters))
     low = min(cfg.thresholds)
     info = coords.select(F.col("Name").alias("locus"), F.col("Gene").alias("gene"), F.col("Product").alias("product"), F.col("Length").alias("length"))

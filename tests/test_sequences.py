@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
 from strandline.functions.names import cell_copies, cell_text, genome_name, padded
-from strandline.operators import alignment, clustering, graph, tools
+from strandline.operators import alignment, clustering, graph, pairwise, tools
 from strandline.sources import gff, sinks, tables
 
 
@@ -228,9 +228,10 @@ def test_diagonals_count_all_places():
     line = "".join(r.choice("ACGT") for _ in range(50))
     a = line * 60
     b = "".join(line[:25] + ("A" if line[25] != "A" else "C") + line[26:] if k < 9 else line for k in range(60))
-    assert clustering.best_diagonal(a, b, 12) == 0
+    numbers = lambda x, k=12: pairwise._packed(pairwise.codes(x), k)
+    assert pairwise.diagonal(numbers(a), numbers(b)) == 0
     assert clustering.aligned_identity(a, b)[0] > 99 and clustering.aligned_identity(a, b)[1] == 3000
-    assert clustering.best_diagonal("A" * 3000, "A" * 3000) == 0 and clustering.best_diagonal("ACGT" * 5, "TTTTTTTTTT") is None
+    assert pairwise.diagonal(numbers("A" * 3000), numbers("A" * 3000)) == 0 and pairwise.diagonal(numbers("ACGT" * 5), numbers("T" * 20)) is None
 
 
 def test_places_of_alignments():
@@ -243,7 +244,7 @@ def test_places_of_alignments():
     for _ in range(40):
         p = [r.choice(amino) for _ in range(200)]
         q = "".join(r.choice(amino) for _ in range(40)) + "".join(x if r.random() < 0.65 else r.choice(amino) for x in p)
-        found += clustering.aligned_identity("".join(p), q, k=5)[1] > 150
+        found += clustering.aligned_identity("".join(p), q, 5, pairwise.PROTEIN)[1] > 150
     assert found >= 38
 
 
