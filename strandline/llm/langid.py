@@ -3,7 +3,7 @@
 A text's words are scored by language: a known word by its log frequency in each language, any other by the longest
 character n-grams of it that are known, from LONGEST down to single characters. Scores add up over the whole text.
 
-The model is fitted on at most about SAMPLE labelled documents of each language, chosen by a hash of their key, and
+The model is fitted on at most about SAMPLE labelled documents of each language, chosen by a hash of key and text, and
 keeps the VOCABULARY most frequent words and GRAMS most frequent n-grams of each language. So what reaches the driver
 and every executor is bounded by these numbers times the number of languages, whatever the corpus holds.
 """
@@ -62,13 +62,17 @@ class Model:
 
 
 def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, vocabulary: int = VOCABULARY, grams: int = GRAMS, longest: int = LONGEST) -> Model:
-    """A model of the rows of docs whose text and lang are not null, from at most about `sample` rows of each language."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("at"))
-    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A model of the rows of docs whose text and lang are not null, from at most about `sample` rows of each language.
+
+    Rows are drawn by a hash of key and text, so a missing or repeated key draws no others with it; rows that repeat both
+    count once, here and in the number of rows that the share is of.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("hash"))
+    size = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not size:
         return Model({}, longest)
     share = F.create_map(*(x for k, n in size.items() for x in (F.lit(k), F.lit(min(1 << 30, math.ceil((1 << 30) * sample / n))))))
-    chosen = rows.where(F.col("at") < share[F.col("lang")]).select("lang", "text")
+    chosen = rows.where(F.pmod("hash", F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -88,8 +92,9 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
     best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "s")
     top = counted.withColumn("r", F.row_number().over(best)).where(f"r <= if(n = 0, {vocabulary}, {grams})")
     counts: dict[str, dict[int, dict[str, int]]] = {x: {} for x in size}
-    for r in top.select("lang", "n", "s", "c").toLocalIterator():
-        counts[r["lang"]].setdefault(r["n"], {})[r["s"]] = r["c"]
+    for batch in top.select("lang", "n", "s", "c").toArrow().to_batches():
+        for x, size_, string, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            counts[x].setdefault(size_, {})[string] = c
     return Model(counts, longest)
 
 

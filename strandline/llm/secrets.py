@@ -13,6 +13,7 @@ that is in a thousand copies of a document does not become part of it.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from bisect import bisect_left, bisect_right
@@ -50,11 +51,18 @@ credential environment getenv process.env os.environ localhost 127.0.0.1 example
 #: Bytes of the corpus' dictionary, the runs of letters in it, and how many of them a task counts before it passes them on.
 DICTIONARY, LETTERS, HELD = 1 << 16, re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 1 << 17
 #: A key costs about what its own characters cost in another order; a name costs less, as its parts are in the dictionary
-#: or around it. OWN and SLACK (bytes) leave room for chance; of TRIALS orders the cheapest counts. Names of rare parts are
-#: told from keys by their letters: a key's runs of one class are shorter than RUN on average, or of the pairs of letters
-#: in it a share of ODD or more is not among those that make up COMMON of the dictionary's.
-AROUND, REACH, OWN, SLACK, TRIALS, RUN, ODD, COMMON = 128, 64, 0.96, 1.5, 4, 4.2, 0.25, 0.99
+#: or around it. OWN and SLACK (bytes) leave room for chance; of TRIALS orders the cheapest counts. Names of parts that the
+#: dictionary lacks are told from keys by their letters: a key's runs of one class are shorter than RUN on average, or its
+#: letters follow each other as if drawn by lot rather than as in words.
+AROUND, REACH, OWN, SLACK, TRIALS, RUN = 128, 64, 0.96, 1.5, 4, 4.2
 RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Parts between separators that names are made of: numbers and times, words with a number, and short folders of a path.
+NUMBER, NAMED = re.compile(r"[0-9]{1,8}|[0-9]{1,4}T[0-9]{1,6}Z?"), re.compile(r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,3}|[A-Z]+[0-9]{0,3}|[a-z][0-9]{0,3}")
+FOLDER, SEPARATOR = re.compile(r"[a-z]{1,4}|[A-Z]{1,4}"), re.compile(r"[^A-Za-z0-9]+")
+# Percent of the letters a to z in texts, about the mean of English, French, German and Spanish.
+FREQUENCY = (8.5, 1.6, 3.3, 4.4, 14.5, 1.5, 1.9, 3.2, 7.2, 0.4, 0.7, 4.3, 2.8, 7.5, 5.9, 2.4, 0.7, 6.7, 7.3, 6.9, 4.6, 1.4, 1.1, 0.3, 0.9, 0.7)
+#: How much these count among the letters that follow one in the dictionary: a share of what was seen, and so many more.
+UNSEEN = (1.0, 20)
 
 
 def _pairs(words: Iterable[str]) -> list[str]:
@@ -110,13 +118,14 @@ class Novelty:
     def __init__(self, corpus: str = "") -> None:
         """corpus: the corpus' dictionary, as identifiers() gives it."""
         primed = zstandard.ZstdCompressionDict(" ".join((corpus + IDENTIFIERS).split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        pairs, self.common = Counter(_pairs(corpus.split())), set()
-        left = COMMON * pairs.total()
-        for pair, n in pairs.most_common():
-            if left <= 0:
-                break
-            left -= n
-            self.common.add(pair)
+        pairs = Counter(_pairs(corpus.split()))
+        after = Counter()
+        for pair, n in pairs.items():
+            after[pair[0]] += n
+        letters = {chr(97 + k): f / sum(FREQUENCY) for k, f in enumerate(FREQUENCY)}
+        #: For each pair of letters, in bits, how much likelier the second one is after the first in words than by lot.
+        self.wordly = {x + y: math.log2(26 * (pairs[x + y] + (UNSEEN[0] * after[x] + UNSEEN[1]) * p) / (after[x] + UNSEEN[0] * after[x] + UNSEEN[1])) for x in letters for y, p in letters.items()}
+        self.known = bool(pairs)
         self.squeeze = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
     def cost(self, around: str, *tokens: str) -> list[int]:
@@ -125,12 +134,18 @@ class Novelty:
         alone = len(self.squeeze.compress(whole))
         return [len(self.squeeze.compress(whole + x.encode())) - alone for x in tokens]
 
+    def wordy(self, parts: Iterable[str]) -> bool:
+        """Whether letters follow each other as in words, in all parts together; without a dictionary nothing speaks against it."""
+        return not self.known or sum(self.wordly[x] for x in _pairs(y for part in parts for y in re.findall("[A-Za-z]+", part))) > 0
+
     def like_a_name(self, token: str) -> bool:
         runs = RUNS.findall(token)
-        if sum(map(len, runs)) < RUN * len(runs):
-            return False
-        pairs = _pairs(re.findall("[A-Za-z]+", token))
-        return not self.common or sum(x not in self.common for x in pairs) < ODD * len(pairs)
+        if sum(map(len, runs)) >= RUN * len(runs) and self.wordy([token]):
+            return True
+        parts = [x for x in SEPARATOR.split(token) if x and not NUMBER.fullmatch(x)]
+        if token.count("/") >= max(2, len(parts) // 2):
+            parts = [x for x in parts if not FOLDER.fullmatch(x)]
+        return SEPARATOR.search(token) is not None and all(map(NAMED.fullmatch, parts)) and (not parts or self.wordy(parts))
 
     def judge(self, around: str, token: str) -> bool:
         """Whether the token is a key; the orders tried depend on the token alone."""
