@@ -61,6 +61,8 @@ NUMBER, NAMED = re.compile(r"[0-9]{1,8}|[0-9]{1,4}T[0-9]{1,6}Z?"), re.compile(r"
 FOLDER, SEPARATOR = re.compile(r"[a-z]{1,4}|[A-Z]{1,4}"), re.compile(r"[^A-Za-z0-9]+")
 # Percent of the letters a to z in texts, about the mean of English, French, German and Spanish.
 FREQUENCY = (8.5, 1.6, 3.3, 4.4, 14.5, 1.5, 1.9, 3.2, 7.2, 0.4, 0.7, 4.3, 2.8, 7.5, 5.9, 2.4, 0.7, 6.7, 7.3, 6.9, 4.6, 1.4, 1.1, 0.3, 0.9, 0.7)
+#: Bits a pair of letters that speak for words at least; letters drawn by lot have about -1, words of the dictionary about 1.
+LIKE = -0.2
 #: How much these count among the letters that follow one in the dictionary: a share of what was seen, and so many more.
 UNSEEN = (1.0, 20)
 
@@ -136,7 +138,8 @@ class Novelty:
 
     def wordy(self, parts: Iterable[str]) -> bool:
         """Whether letters follow each other as in words, in all parts together; without a dictionary nothing speaks against it."""
-        return not self.known or sum(self.wordly[x] for x in _pairs(y for part in parts for y in re.findall("[A-Za-z]+", part))) > 0
+        pairs = _pairs(y for part in parts for y in re.findall("[A-Za-z]+", part))
+        return not self.known or sum(self.wordly[x] for x in pairs) > LIKE * len(pairs)
 
     def like_a_name(self, token: str) -> bool:
         runs = RUNS.findall(token)
