@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import family_queries, graph_queries, io_queries, sequence_queries, tool_queries
+from strandline.plans import family_queries, graph_queries, io_queries, planted_queries, sequence_queries, tool_queries
 
-MODULES = (family_queries, graph_queries, tool_queries, sequence_queries, io_queries)
+MODULES = (family_queries, graph_queries, tool_queries, sequence_queries, planted_queries, io_queries)
 
 
 def queries() -> dict:

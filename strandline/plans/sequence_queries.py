@@ -92,10 +92,6 @@ def genes(s, d):
     return rows.select("family", "locus", each).select("family", F.concat("locus", F.lit("_"), "x.genome").alias("locus"), "x.genome", "x.seq")
 
 
-def found(s, d):
-    return clustering.checkpoint(clustering.homology(genes(s, d), K, SHARED))
-
-
 def items(s, d):
     """The benchmark's texts as bases: sequences of a size that is aligned in full. (family, locus, genome, seq)."""
     letters, bases = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -109,12 +105,6 @@ GENES = """, i AS (
     SELECT locus || '_u0' AS locus, seq FROM i UNION ALL SELECT locus || '_u1', replace(seq, 'GATC', 'GTTC') FROM i UNION ALL SELECT locus || '_u2', replace(seq, 'TCA', 'TGA') FROM i UNION ALL SELECT locus || '_u3', substr(seq, 1, length(seq) // 2) FROM i) """
 query("homology_candidates", ["dna"], GENES + """, k AS (SELECT DISTINCT locus, substr(seq, i, 12) AS kmer FROM (SELECT locus, seq, unnest(range(1, length(seq) - 10)) AS i FROM genes))
 SELECT a.locus AS q, b.locus AS s, count(*) AS n FROM k a JOIN k b USING (kmer) WHERE a.locus < b.locus GROUP BY ALL HAVING count(*) >= 2""")(lambda s, d: clustering.candidates(genes(s, d), K, SHARED))
-query("homology_all_vs_all", [], None)(lambda s, d: found(s, d))
-query("cluster_greedy", [], None)(lambda s, d: clustering.greedy_clusters(genes(s, d), found(s, d), 98.0))
-query("core_extraction_loop", [], None)(lambda s, d: (lambda x: x[0].select(F.lit("core").alias("kind"), "cluster", "locus").unionByName(x[1].select(F.lit("rest").alias("kind"), "cluster", "locus")))(clustering.core_rounds(genes(s, d), found(s, d), [100.0, 98.0, 90.0])))
-query("cluster_mcl", [], None)(lambda s, d: clustering.mcl(genes(s, d), found(s, d)))
-query("cluster_nested_ladder", [], None)(lambda s, d: clustering.nested_ladder(genes(s, d), found(s, d), (50, 80, 95)))
-query("reinflate", [], None)(lambda s, d: clustering.cluster_ladder(genes(s, d), (50, 80, 95), [100.0, 98.0], k=K, shared=SHARED))
 query("check_consistency", ["loci", "clusters"], """, c AS (SELECT threshold, locus, CASE WHEN threshold = 90 AND CAST(substr(locus, 2) AS BIGINT) % 50 = 0 THEN 'm' || CAST(cluster[:3] AS INT) // 30 WHEN threshold = 90 AND CAST(cluster[:3] AS INT) < 10 THEN 'n' ELSE cluster END AS cluster FROM clusters
 ), r AS (SELECT *, first_value(cluster) OVER w AS root, lag(cluster) OVER w AS before FROM c WINDOW w AS (PARTITION BY locus ORDER BY threshold)
 ), bad AS (SELECT threshold, cluster, list(DISTINCT root) AS roots, min(root) AS root FROM r GROUP BY ALL HAVING count(DISTINCT root) > 1 OR count(DISTINCT before) > 1
