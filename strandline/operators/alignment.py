@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,6 +193,46 @@ def column_overlaps(aligned: DataFrame, share: float = 0.9) -> DataFrame:
     return rows.groupBy("family", "p", "q").applyInPandas(run, "family string, a string, b string, both long, similar boolean")
 
 
+def column_counts(aligned: DataFrame) -> DataFrame:
+    """(family, place, letter, n): how many sequences of a family have each letter A to Z at each place, from 1; other characters are gaps.
+
+    Tasks sum up their own rows first, so what is dealt out follows the widths of families, not their sequences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, np.ndarray] = {}
+            for family, aln in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(aln.upper().encode("ascii", "replace"), "u1")
+                counts = held.get(family)
+                if counts is None or len(counts) < len(x):
+                    grown = np.zeros((len(x), 26), dtype=np.int32)
+                    if counts is not None:
+                        grown[: len(counts)] = counts
+                    held[family] = counts = grown
+                at = np.flatnonzero((x >= 65) & (x <= 90))
+                counts[at, x[at] - 65] += 1
+            for family, counts in held.items():
+                place, letter = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([family] * len(place), pa.string()), pa.array(place + 1, pa.int32()), pa.array(letter + 65, pa.int32()), pa.array(counts[place, letter], pa.int64())], names=["family", "place", "code", "n"])
+
+    found = aligned.select("family", "aln").mapInArrow(run, "family string, place int, code int, n long")
+    return found.groupBy("family", "place", "code").agg(F.sum("n").alias("n")).select("family", "place", F.char("code").alias("letter"), "n")
+
+
+def percent_identity(aligned: DataFrame) -> DataFrame:
+    """(family, sequences, width, average, overall): percent identity of aligned families, from the letters of their columns.
+
+    average: of all pairs of sequences and places at which both have a letter, those with equal letters; 0 if there are
+    none. overall: of all places, those at which every sequence has the same letter. Pairs are counted, not made.
+    """
+    place = column_counts(aligned).groupBy("family", "place").agg(F.sum("n").alias("filled"), F.max("n").alias("top"), F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"))
+    size = aligned.groupBy("family").agg(F.count("*").alias("sequences"), F.max(F.length("aln")).cast("long").alias("width"))
+    rows = size.join(place, "family", "left").groupBy("family", "sequences", "width")
+    sums = rows.agg(F.sum("equal").alias("equal"), F.sum(F.col("filled") * (F.col("filled") - 1)).alias("pairs"), F.count_if(F.col("top") == F.col("sequences")).alias("whole"))
+    return sums.select("family", "sequences", "width", F.when(F.col("pairs") > 0, 100.0 * F.col("equal") / F.col("pairs")).otherwise(0.0).alias("average"), F.when(F.col("width") > 0, 100.0 * F.col("whole") / F.col("width")).otherwise(0.0).alias("overall"))
+
+
 def family_sequences(families: DataFrame, loci: DataFrame, seqs: DataFrame) -> DataFrame:
     """(family, locus, genome, seq) of the chosen families; a locus without a sequence is an error to look for with left_anti."""
     return loci.join(families.select("family"), "family", "left_semi").select("family", "locus", "genome").distinct().join(seqs.select("locus", "seq"), "locus")

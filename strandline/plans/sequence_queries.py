@@ -187,6 +187,12 @@ FROM aligned WINDOW o AS (PARTITION BY family, CAST(substr(locus, 2) AS BIGINT)
 query("aln_overlap_sites", ["dna"], A + """, s AS (SELECT family, locus, list_filter(list_transform(string_split(aln, ''), lambda x, i: CASE WHEN x NOT IN ('-', '') THEN i END), lambda i: i IS NOT NULL) AS s FROM aligned)
 SELECT a.family, a.locus AS a, b.locus AS b, len(list_intersect(a.s, b.s)) AS both_, len(list_intersect(a.s, b.s)) >= 0.9 * len(a.s) AND len(list_intersect(a.s, b.s)) >= 0.9 * len(b.s) AS similar FROM s a JOIN s b ON a.family = b.family AND a.locus < b.locus""")(
     lambda s, d: alignment.column_overlaps(aligned(s, d)).withColumnRenamed("both", "both_"))
+query("aln_percent_identity", ["dna"], A + """, c AS (SELECT family, unnest(string_split(aln, '')) AS x, unnest(range(1, length(aln) + 1)) AS p FROM aligned
+), l AS (SELECT family, p, x, count(*) AS n FROM c WHERE x BETWEEN 'A' AND 'Z' AND length(x) = 1 GROUP BY ALL
+), k AS (SELECT family, p, sum(n) AS f, max(n) AS top, sum(n * (n - 1)) AS e FROM l GROUP BY ALL
+), s AS (SELECT family, count(*) AS sequences, max(length(aln)) AS width FROM aligned GROUP BY family)
+SELECT family, sequences, width, CASE WHEN sum(f * (f - 1)) > 0 THEN 100::DOUBLE * sum(e) / sum(f * (f - 1)) ELSE 0 END AS average, CASE WHEN width > 0 THEN 100::DOUBLE * count(*) FILTER (top = sequences) / width ELSE 0 END AS overall
+FROM s LEFT JOIN k USING (family) GROUP BY family, sequences, width""")(lambda s, d: alignment.percent_identity(aligned(s, d)))
 query("aggregate_multigene", ["dna"], A + "SELECT family, locus, genome, dna AS seq FROM aligned JOIN (SELECT locus, dna FROM dna) USING (locus) WHERE family < 'g00003'")(
     lambda s, d: alignment.family_sequences(aligned(s, d).where("family < 'g00003'").select("family").distinct(), aligned(s, d), documents(s, d).withColumnRenamed("dna", "seq")))
 query("seq_align_msa", [], None)(lambda s, d: alignment.align_families(items(s, d)))

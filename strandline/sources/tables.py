@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -58,20 +58,39 @@ def sample_list(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("genome")).where("genome != ''")
 
 
-def cluster_lines(spark: SparkSession, path, threshold: int) -> DataFrame:
-    """(threshold, cluster_ord, locus): a line is a cluster, numbered in the order of files by name and of their lines.
+#: Lines that one task looks through at once for the last value before a line.
+STRETCH = 1 << 16
+
 
-    A file is one row, as the order of its lines counts.
+def ordered_lines(spark: SparkSession, path, keep: Column | None = None) -> DataFrame:
+    """(file, number, line): the lines to keep, by default those that are not empty, numbered from 1 in the order of files by name and of their lines.
+
+    Spark splits files as always: a line's place is its file, its split and its place there.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("p", "line"))
-    rows = numbered(rows, "cluster_ord", F.col("file"), F.col("p"))
-    return rows.select(F.lit(threshold).alias("threshold"), "cluster_ord", F.explode(F.split("line", "\t")).alias("locus")).where("locus != ''")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    kept = rows.where(F.col("line") != "" if keep is None else keep)
+    return numbered(kept, "number", F.col("file"), F.col("_block"), F.col("_at")).select("file", "number", "line")
+
+
+def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """lines (number, ...), and name: the value of the line, or of the last one before it that has any, without a task that sees all lines."""
+    rows = lines.withColumns({name: value, "_stretch": F.expr(f"number div {STRETCH}")})
+    ends = rows.groupBy("_stretch").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("number"))).alias("_end"))
+    before = ends.select("_stretch", F.last("_end", True).over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    here = F.last(name, True).over(Window.partitionBy("_stretch").orderBy("number"))
+    return rows.withColumn(name, here).join(before, "_stretch").withColumn(name, F.coalesce(name, "_before")).drop("_stretch", "_before")
+
+
+def cluster_lines(spark: SparkSession, path, threshold: int) -> DataFrame:
+    """(threshold, cluster_ord, locus): a line is a cluster, numbered in the order of files by name and of their lines."""
+    rows = ordered_lines(spark, path)
+    return rows.select(F.lit(threshold).alias("threshold"), F.col("number").alias("cluster_ord"), F.explode(F.split("line", "\t")).alias("locus")).where("locus != ''")
 
 
 def clstr(spark: SparkSession, path) -> DataFrame:
-    """(cluster, locus, length, is_rep): clusters from 1; a representative has a *."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n>Cluster |^>Cluster ")).alias("p", "part")).where("trim(part) != ''")
-    lines = rows.select(F.regexp_extract("part", r"^(\d+)", 1).cast("int").alias("c"), F.explode(F.split("part", "\r?\n")).alias("line")).where(F.col("line").contains(">"))
+    """(cluster, locus, length, is_rep): clusters from 1, by the last headline before a sequence; a representative has a *."""
+    head = F.regexp_extract("line", r"^>Cluster (\d+)", 1)
+    lines = carried(ordered_lines(spark, path), F.when(head != "", head.cast("int")), "c").where(~F.col("line").startswith(">") & F.col("line").contains(">"))
     return lines.select((F.col("c") + 1).alias("cluster"), F.regexp_extract("line", r">(.+?)\.\.\.", 1).alias("locus"), F.regexp_extract("line", r"(\d+)(?:aa|nt),", 1).cast("int").alias("length"), F.col("line").endswith("*").alias("is_rep"))
 
 
@@ -125,8 +144,8 @@ def roary(spark: SparkSession, path) -> DataFrame:
 
 def vcf_positions(spark: SparkSession, path) -> DataFrame:
     """(record, pos): records numbered in file order from 1."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: (x != "") & ~x.startswith("#"))).alias("p", "line"))
-    return rows.select((F.col("p") + 1).alias("record"), F.split("line", "\t").getItem(1).cast("long").alias("pos"))
+    rows = ordered_lines(spark, path, (F.col("line") != "") & ~F.col("line").startswith("#"))
+    return rows.select(F.col("number").alias("record"), F.split("line", "\t").getItem(1).cast("long").alias("pos"))
 
 
 def treewas_results(spark: SparkSession, path) -> DataFrame:

@@ -262,3 +262,37 @@ def test_consistency(spark):
     c = spark.createDataFrame([(50, "1", "a"), (50, "2", "b"), (50, "3", "c"), (90, "m", "a"), (90, "m", "b"), (90, "n", "c")], "threshold int, cluster string, locus string")
     got = [(r["cluster"], r["kind"], r["error_group"]) for r in clustering.check_consistency(c).collect()]
     assert got == [("m", "mixed", "1")]
+
+
+def test_identity_of_columns_is_that_of_pairs(spark):
+    r = random.Random(7)
+    rows = [(f"f{k % 3}", f"l{k}", "".join(r.choice("AACGT-n") for _ in range(20)) + "GG") for k in range(25)] + [("one", "x", "ACG"), ("gaps", "y", "--"), ("gaps", "z", "--")]
+    got = {x["family"]: x for x in alignment.percent_identity(spark.createDataFrame(rows, "family string, locus string, aln string")).collect()}
+    for f in {x[0] for x in rows}:
+        own = [x[2].upper() for x in rows if x[0] == f]
+        pairs = [(a, b) for k, x in enumerate(own) for y in own[:k] for a, b in zip(x, y, strict=True) if a.isalpha() and b.isalpha()]
+        assert got[f]["average"] == pytest.approx(100 * sum(a == b for a, b in pairs) / len(pairs) if pairs else 0)
+        whole = sum(len(set(c)) == 1 and c[0].isalpha() for c in zip(*own, strict=True))
+        assert got[f]["overall"] == pytest.approx(100 * whole / len(own[0])) and got[f]["sequences"] == len(own)
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path, monkeypatch):
+    """Files cut into many splits: numbers and headlines are those of the whole files."""
+    monkeypatch.setattr(tables, "STRETCH", 7)
+    names = [[f"l{f}_{k}" for k in range(r)] for f, r in ((0, 400), (1, 3), (2, 250))]
+    for f, x in enumerate(names):
+        (tmp_path / f"part-{f}.tsv").write_text("".join(f"{n}\t{n}b\n{'' if k % 5 else chr(10)}" for k, n in enumerate(x)))
+    (tmp_path / "c.clstr").write_text("".join(f">Cluster {c}\n" + "".join(f"{k}\t{c + k}aa, >s{c}_{k}... {'*' if k == 0 else 'at 98%'}\n" for k in range(1 + c * 7 % 30)) for c in range(60)))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        assert spark.read.text(str(tmp_path / "c.clstr")).rdd.getNumPartitions() > 10
+        got = {r["locus"]: r["cluster_ord"] for r in tables.cluster_lines(spark, str(tmp_path / "*.tsv"), 50).collect()}
+        found = sorted((r["cluster"], r["locus"], r["length"], r["is_rep"]) for r in tables.clstr(spark, str(tmp_path / "c.clstr")).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    flat = [n for x in names for n in x]
+    assert got == {m: k + 1 for k, n in enumerate(flat) for m in (n, n + "b")}
+    assert found == sorted((c + 1, f"s{c}_{k}", c + k, k == 0) for c in range(60) for k in range(1 + c * 7 % 30))
