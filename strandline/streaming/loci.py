@@ -1,4 +1,4 @@
-"""Loci lists that arrive as files: Structured Streaming into Parquet by family, so that later reads prune."""
+"""Loci lists that arrive as files: Structured Streaming into Parquet by threshold, so that reads of one threshold prune."""
 
 from __future__ import annotations
 
