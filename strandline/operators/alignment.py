@@ -10,33 +10,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import checkpoint
+
 #: Sequences of a block whose columns are held against each other, so many columns at once; the most genomes of a tree.
 PAIRS, COLUMNS, GENOMES = 512, 8192, 5000
+#: Distinct sequences of a family that one task aligns, and places of a matrix that it holds for a pair.
+ROWS, CELLS = 1024, 1 << 22
+
+
+def _score_row(above: np.ndarray, hit: np.ndarray, ramp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next row of a matrix of scores, and what each place gets from the diagonal; hit is 2 where letters are equal, else -1."""
+    diag = above[:-1] + hit
+    best = np.concatenate((above[:1] - 2, np.maximum(diag, above[1:] - 2)))
+    return np.maximum.accumulate(best + ramp) - ramp, diag
+
 
+def _last_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    ramp = 2 * np.arange(len(y) + 1)
+    row = -ramp
+    for c in x:
+        row = _score_row(row, np.where(y == c, 2, -1), ramp)[0]
+    return row
 
-def pair_gaps(a: str, b: str) -> tuple[str, str]:
-    """Both sequences with gaps, aligned globally: match 2, mismatch -1, gap -2."""
-    x, y = np.frombuffer(a.encode(), "u1"), np.frombuffer(b.encode(), "u1")
+
+def _steps(x: np.ndarray, y: np.ndarray, cells: int) -> list[int]:
+    """The steps of a best alignment: 1 a letter of both, 2 of x alone, 3 of y alone."""
     n, m = len(x), len(y)
+    short = min(n, m)
+    head = int(np.argmin(np.append(x[:short] == y[:short], False)))
+    tail = int(np.argmin(np.append(x[::-1][: short - head] == y[::-1][: short - head], False)))
+    if head or tail:
+        return [1] * head + _steps(x[head : n - tail], y[head : m - tail], cells) + [1] * tail
+    if not n or not m:
+        return [2] * n + [3] * m
+    if n * m > cells and n > 1:
+        half = n // 2
+        cut = int(np.argmax(_last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]))
+        return _steps(x[:half], y[:cut], cells) + _steps(x[half:], y[cut:], cells)
     ramp = 2 * np.arange(m + 1)
-    score = -ramp.copy()
-    back = np.full((n + 1, m + 1), 3, dtype=np.int8)
-    for i in range(1, n + 1):
-        diag = score[:-1] + np.where(y == x[i - 1], 2, -1)
-        here = np.concatenate(([-2 * i], np.maximum(diag, score[1:] - 2)))
-        run = np.maximum.accumulate(here + ramp) - ramp
-        back[i, 0] = 2
-        back[i, 1:] = np.where(run[1:] == diag, 1, np.where(run[1:] == score[1:] - 2, 2, 3))
-        score = run
-    i, j, p, q = n, m, [], []
+    row, back = -ramp, np.full((n + 1, m + 1), 3, dtype=np.int8)
+    back[1:, 0] = 2
+    for i in range(n):
+        up = row[1:] - 2
+        row, diag = _score_row(row, np.where(y == x[i], 2, -1), ramp)
+        back[i + 1, 1:] = np.where(row[1:] == diag, 1, np.where(row[1:] == up, 2, 3))
+    i, j, out = n, m, []
     while i or j:
-        step = back[i, j]
-        up = step in (1, 2)
-        along = step in (1, 3)
-        p.append(a[i - 1] if up else "-")
-        q.append(b[j - 1] if along else "-")
-        i, j = i - up, j - along
-    return "".join(reversed(p)), "".join(reversed(q))
+        out.append(step := int(back[i, j]))
+        i, j = i - (step != 3), j - (step != 2)
+    return out[::-1]
+
+
+def pair_gaps(a: str, b: str, cells: int = CELLS) -> tuple[str, str]:
+    """Both sequences with gaps, aligned globally: match 2, mismatch -1, gap -2.
+
+    A matrix has `cells` places at most, or a row: beyond that the first half of a goes with the part of b that gives the
+    best sum of both halves' scores, so memory follows the lengths and not their product.
+    """
+    p, q, i, j = [], [], 0, 0
+    for step in _steps(np.frombuffer(a.encode("utf-32-le"), "<u4"), np.frombuffer(b.encode("utf-32-le"), "<u4"), cells):
+        p.append(a[i] if step != 3 else "-")
+        q.append(b[j] if step != 2 else "-")
+        i, j = i + (step != 3), j + (step != 2)
+    return "".join(p), "".join(q)
 
 
 def center_star(seqs: dict[str, str]) -> dict[str, str]:
@@ -72,8 +108,65 @@ def center_star(seqs: dict[str, str]) -> dict[str, str]:
     return out
 
 
-def align_families(rows: DataFrame, kernel=center_star) -> DataFrame:
-    """(family, locus, genome, aln) of (family, locus, genome, seq): a family at a time."""
+def against_center(center: str, seq: str) -> tuple[str, list[int], list[int]]:
+    """seq aligned with center, the places of center before which it has letters of its own, and how many."""
+    own, aligned = pair_gaps(center, seq)
+    x = np.frombuffer(own.encode("utf-32-le"), "<u4") == ord("-")
+    place = np.cumsum(~x)[x]  # letters of center before each gap in it
+    at, n = np.unique(place, return_counts=True)
+    return aligned, at.tolist(), n.tolist()
+
+
+def widened(aligned: str, own: dict[int, int], gaps: list[tuple[int, int]]) -> str:
+    """A sequence of against_center() with room at all places of a family's gaps, (place, letters) in order."""
+    parts, last, letters = [], 0, 0
+    for place, most in gaps:
+        letters += (n := own.get(place, 0))
+        parts += [aligned[last : place + letters], "-" * (most - n)]
+        last = place + letters
+    return "".join(parts) + aligned[last:]
+
+
+def aligned_rows(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with aln, as center_star() of each family's text, but with no task that holds a family; null counts as empty.
+
+    A family's distinct texts are aligned with its longest in parts of ROWS. What comes back to a family is the most
+    letters before each place of its longest text; with that, each text is widened by itself. Rows without a family are one.
+    """
+    rows = rows.withColumn("_text", F.coalesce(text, F.lit("")))
+    each = rows.groupBy(F.col("family").alias("_family"), "_text").agg(F.min("locus").alias("_first"))
+    order = F.struct(-F.length("_text"), "_first", "_text")
+    center = each.groupBy(F.col("_family").alias("_of")).agg(F.min_by("_text", order).alias("_center"), F.ceil(F.count("*") / F.lit(ROWS)).alias("_parts"))
+    dealt = each.join(center, F.col("_family").eqNullSafe(F.col("_of"))).withColumn("_part", F.pmod(F.xxhash64("_text"), F.col("_parts")))
+    dealt = dealt.repartition("_family", "_part").select("_family", "_text", "_center")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family, texts, centers = batch.columns
+            got = [against_center(c, t) for t, c in zip(texts.to_pylist(), centers.to_pylist(), strict=True)]
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([family, texts, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], ints), pa.array([x[2] for x in got], ints)], names=["_family", "_text", "_aln", "_at", "_n"])
+
+    kind = each.schema["_family"].dataType.simpleString()
+    pairs = checkpoint(dealt.mapInArrow(pair, f"_family {kind}, _text string, _aln string, _at array<int>, _n array<int>"))
+    runs = pairs.select("_family", F.explode(F.arrays_zip("_at", "_n")).alias("x")).groupBy("_family", F.col("x._at").alias("at")).agg(F.max("x._n").alias("n"))
+    gaps = runs.groupBy(F.col("_family").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_gaps"))
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family, texts, aligned, at, n, gaps = batch.columns
+            rooms = ([(x["at"], x["n"]) for x in g or ()] for g in gaps.to_pylist())
+            out = [widened(x, dict(zip(p, k, strict=True)), g) for x, p, k, g in zip(aligned.to_pylist(), at.to_pylist(), n.to_pylist(), rooms, strict=True)]
+            yield pa.RecordBatch.from_arrays([family, texts, pa.array(out, pa.string())], names=["_of", "_texts", "aln"])
+
+    wide = pairs.join(gaps, F.col("_family").eqNullSafe(F.col("_of")), "left").drop("_of").mapInArrow(widen, f"_of {kind}, _texts string, aln string")
+    return rows.drop("aln").join(wide, F.col("family").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_texts"))).drop("_text", "_of", "_texts")
+
+
+def align_families(rows: DataFrame, kernel=None) -> DataFrame:
+    """(family, locus, genome, aln) of (family, locus, genome, seq). Another kernel, from names to sequences, takes a family at a time."""
+    if kernel is None:
+        return aligned_rows(rows.select("family", "locus", "genome", "seq"), F.col("seq")).select("family", "locus", "genome", "aln")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         got = kernel(dict(zip(part["locus"], part["seq"], strict=True)))
@@ -83,21 +176,23 @@ def align_families(rows: DataFrame, kernel=center_star) -> DataFrame:
 
 
 def thread_codons(aligned: str, nucleotides: str) -> str:
-    """Codons in place of an aligned protein's letters, which leaves out the first codon and the stop; those frame the result."""
+    """Codons in place of an aligned protein's letters, which leaves out the first codon and the stop; those frame the result. Under two codons: as it is."""
     codons = [nucleotides[k : k + 3] for k in range(0, len(nucleotides), 3)]
+    if len(codons) < 2:
+        return nucleotides
     inner = iter(codons[1:-1])
     return codons[0] + "".join("---" if a == "-" else next(inner) for a in aligned) + codons[-1]
 
 
-def back_translate(rows: DataFrame, kernel=center_star) -> DataFrame:
+def back_translate(rows: DataFrame, kernel=None) -> DataFrame:
     """(family, locus, genome, aln) of (family, locus, genome, seq, protein): proteins are aligned, then codons threaded back in. Without gaps it is seq."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        inner = {x: p[1:-1] for x, p in zip(part["locus"], part["protein"], strict=True)}
-        got = kernel(inner)
-        return part[["family", "locus", "genome"]].assign(aln=[thread_codons(got[x], s) for x, s in zip(part["locus"], part["seq"], strict=True)])
-
-    return rows.groupBy("family").applyInPandas(run, "family string, locus string, genome string, aln string")
+    rows = rows.select("family", "locus", "genome", F.coalesce("seq", F.lit("")).alias("_codons"), F.expr("substring(coalesce(protein, ''), 2, greatest(length(protein) - 2, 0))").alias("seq"))
+    if kernel is None:
+        got = aligned_rows(rows, F.col("seq"))
+    else:
+        got = align_families(rows, kernel).join(rows.select("family", "locus", "genome", "_codons").distinct(), ["family", "locus", "genome"])
+    thread = F.pandas_udf(lambda aligned, seqs: pd.Series([thread_codons(a, x) for a, x in zip(aligned, seqs, strict=True)], dtype=object), "string")
+    return got.select("family", "locus", "genome", thread("aln", "_codons").alias("aln"))
 
 
 def _letters(aln: Column, gaps: str) -> Column:

@@ -102,8 +102,8 @@ def _alignments(made: dict[str, DataFrame], root: DataFrame, seqs: DataFrame, cf
     weights = graph.node_weights(root)
     chosen = weights.where(F.col("dosage") <= cfg.align_dosage) if cfg.align_dosage else weights
     rows = root.join(chosen.select("family"), "family", "left_semi").join(seqs.select("locus", "seq", "protein"), "locus")
-    kernel = cfg.msa_kernel or alignment.center_star
-    aligned = checkpoint(alignment.align_families(rows, kernel) if cfg.nucleotide else alignment.back_translate(rows, kernel))
+    align = alignment.align_families if cfg.nucleotide else alignment.back_translate
+    aligned = checkpoint(align(rows, cfg.msa_kernel))
     genomes = seqs.select("genome").distinct()
     n = genomes.count()
     core = made["order"].join(filters.by_prevalence(weights.withColumnRenamed("n_genomes", "number_genomes"), n, cfg.core_percent).select("family"), "family", "left_semi")
