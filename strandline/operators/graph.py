@@ -261,20 +261,33 @@ def order(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return paths.join(ranked.select("block", "rank"), "block").select("family", F.col("rank").cast("int").alias("block"), "ord")
 
 
-def block_lines(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def block_lines(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame, led: bool = False) -> DataFrame:
     """(block_number, number_isolates, number_clusters_in_block, clusters_in_block, number_upstream_links, number_downstream_links,
-    upstream_links, downstream_links): the table of blocks, numbered by rank; a `-` behind a family that is read backwards."""
+    upstream_links, downstream_links): the table of blocks, numbered by rank; a `-` behind a family that is read backwards.
+
+    With `led`, upstream_blocks and downstream_blocks too: for each link in its order, the number of the block that it leads into.
+    """
     signed = F.when(F.col("reversed"), F.concat("family", F.lit("-"))).otherwise(F.col("family"))
     names = paths.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", signed.alias("x")))), lambda x: x["x"]), ",").alias("clusters_in_block"))
     to = F.when(F.col("to_side") == "D", F.concat("to", F.lit("-"))).otherwise(F.col("to"))
-    side = lambda end: F.array_sort(F.collect_set(F.when(F.col("end") == end, to)))
-    links = out_links(edge_rows, paths).groupBy("block").agg(side(0).alias("up"), side(1).alias("down"))
-    rows = ranked_blocks(paths, nodes).join(names, "block").join(links, "block", "left")
+    ranked = ranked_blocks(paths, nodes)
+    links = out_links(edge_rows, paths).withColumn("x", to)
+    links = links.join(ranked.select(F.col("block").alias("other"), F.col("rank").alias("at")), "other") if led else links.withColumn("at", F.lit(0))
+    side = lambda end: F.array_sort(F.collect_set(F.when(F.col("end") == end, F.struct("x", "at"))))
+    rows = ranked.join(names, "block").join(links.groupBy("block").agg(side(0).alias("up"), side(1).alias("down")), "block", "left")
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    text = lambda c: F.when(n(c) > 0, F.array_join(c, ",")).otherwise("NA")
+    text = lambda c, k="x": F.when(n(c) > 0, F.array_join(F.transform(c, lambda x: x[k].cast("string")), ",")).otherwise("NA")
+    into = [text("up", "at").alias("upstream_blocks"), text("down", "at").alias("downstream_blocks")] if led else []
     return rows.select(
         F.col("rank").alias("block_number"), F.col("n_genomes").alias("number_isolates"), F.col("length").alias("number_clusters_in_block"), "clusters_in_block",
-        n("up").alias("number_upstream_links"), n("down").alias("number_downstream_links"), text("up").alias("upstream_links"), text("down").alias("downstream_links"))
+        n("up").alias("number_upstream_links"), n("down").alias("number_downstream_links"), *into, text("up").alias("upstream_links"), text("down").alias("downstream_links"))
+
+
+def block_files(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame, connected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of blocks, of connected paths with where their links lead and what kind they are, and of those that loop back."""
+    kinds = numbered_kinds(edge_rows, nodes, connected)
+    whole = checkpointed(block_lines(edge_rows, nodes, connected, True).join(kinds, "block_number"))
+    return block_lines(edge_rows, nodes, paths), whole.drop("loops"), whole.where("loops").drop("loops", "description", "upstream_blocks", "downstream_blocks")
 
 
 def numbered_kinds(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from strandline.functions.names import shared_folder
 from strandline.operators import families as fam
 from strandline.operators import graph
 from strandline.plans.projections import FEATURES, LIST, categories, features, info, loci_list, sql, table
+from strandline.sources import sinks
 
 QUERIES, SQL = {}, {}
 
@@ -162,6 +166,40 @@ SELECT rank AS block_number, n_genomes AS number_isolates, length AS number_clus
     coalesce(up, 'NA') AS upstream_links, coalesce(down, 'NA') AS downstream_links FROM ranked JOIN named USING (block) LEFT JOIN sides USING (block)""")(lambda s, d: graph.block_lines(*(lambda e, n, p: (e, n, p))(*_connected(s, d))))
 
 
+
+def _block_text(paths: str, leaving: str) -> str:
+    """The tables ranked_, named_ and sides_ of blocks by their paths and the links that leave them."""
+    return RANKED.format(paths).replace("ranked", f"ranked_{paths}") + f""", named_{paths} AS (
+    SELECT block, string_agg(family || CASE WHEN reversed THEN '-' ELSE '' END, ',' ORDER BY ord) AS clusters FROM {paths} GROUP BY block
+), sides_{paths} AS (
+    SELECT l.block, count(*) FILTER (stop = 0) AS n_up, count(*) FILTER (stop = 1) AS n_down, string_agg(x, ',' ORDER BY x) FILTER (stop = 0) AS up, string_agg(x, ',' ORDER BY x) FILTER (stop = 1) AS down,
+        string_agg(CAST(rank AS VARCHAR), ',' ORDER BY x) FILTER (stop = 0) AS up_blocks, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY x) FILTER (stop = 1) AS down_blocks
+    FROM (SELECT DISTINCT block, stop, other, to_family || CASE WHEN to_side = 'D' THEN '-' ELSE '' END AS x FROM {leaving}) l JOIN ranked_{paths} r ON r.block = l.other GROUP BY l.block
+), text_{paths} AS (
+    SELECT block, rank, concat_ws(chr(9), rank, n_genomes, length, clusters, coalesce(n_up, 0), coalesce(n_down, 0)) AS head, coalesce(up_blocks, 'NA') || chr(9) || coalesce(down_blocks, 'NA') AS led, coalesce(up, 'NA') || chr(9) || coalesce(down, 'NA') AS links
+    FROM ranked_{paths} JOIN named_{paths} USING (block) LEFT JOIN sides_{paths} USING (block))"""
+
+
+@blocks_query("sink_block_files", CONNECTED + _block_text("paths", "leaving") + _block_text("connected", "last_leaving") + """, loops AS (
+    SELECT DISTINCT l.block FROM last_leaving l JOIN last_ends e ON e.block = l.block AND e.family = to_family AND e.stop <> l.stop WHERE l.block = l.other AND l.family <> to_family
+), counted AS (
+    SELECT b.block, count(*) FILTER (stop = 0 AND other <> b.block) AS n_up, count(*) FILTER (stop = 1 AND other <> b.block) AS n_down, max(other) FILTER (stop = 0 AND other <> b.block) AS up, max(other) FILTER (stop = 1 AND other <> b.block) AS down,
+        count(*) FILTER (other = b.block) > 0 AS own FROM (SELECT DISTINCT block FROM connected) b LEFT JOIN last_leaving l ON l.block = b.block GROUP BY b.block
+), kinds AS (
+    SELECT block, CASE WHEN own THEN 'self-loop;' ELSE '' END || CASE WHEN n_up = 1 AND n_down = 1 THEN CASE WHEN up = down THEN 'insertion(loop)' ELSE 'insertion' END WHEN n_up > 5 OR n_down > 5 THEN 'superconnector' ELSE 'multiconnector' END AS kind FROM counted)
+SELECT 'syntenic_blocks' AS file, head || chr(9) || links AS line FROM text_paths
+UNION ALL SELECT 'connected_blocks', concat_ws(chr(9), head, led, links, kind) FROM text_connected JOIN kinds USING (block)
+UNION ALL SELECT 'reversed', head || chr(9) || links FROM text_connected JOIN loops USING (block)
+UNION ALL SELECT 'order', concat_ws(chr(9), family, rank, ord) FROM connected JOIN ranked_connected USING (block)""")
+def sink_block_files(s, d):
+    """(file, line): the four files of blocks, read back without their headers."""
+    e, n, p = _paths(s, d)
+    c = graph.checkpointed(graph.connected_paths(e, n, p))
+    sinks.blocks(*graph.block_files(e, n, p, c), graph.order(c, n), at := f"{shared_folder(s)}/blocks-{uuid.uuid4().hex}")
+    each = s.read.option("recursiveFileLookup", True).text(at).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("file"), F.col("value").alias("line"))
+    return each.where("line not like 'block_number%'")
+
+
 def _order(s, d):
     f = features(s, d).select("family").distinct()
     return f.select("family", F.expr("cast(substring(family, 2) as int) % 5").cast("int").alias("block"), F.expr("cast(substring(family, 2) as int) div 5").cast("int").alias("ord"))

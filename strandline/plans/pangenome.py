@@ -128,10 +128,7 @@ def write(made: dict[str, DataFrame], path: str, cfg: Config | None = None) -> l
         sinks.family_tables(table, of(unique), of(every), families.genomes_per_allele(loci), cells, at, genomes)
 
     def blocks(at: str) -> None:
-        lines = lambda p: graph.block_lines(made["edges"], made["nodes"], p)
-        kinds = graph.numbered_kinds(made["edges"], made["nodes"], made["connected"])
-        whole = lines(made["connected"]).join(kinds, "block_number")
-        sinks.blocks(lines(made["paths"]), whole.drop("loops"), whole.where("loops").drop("loops", "description"), made["order"], at)
+        sinks.blocks(*graph.block_files(made["edges"], made["nodes"], made["paths"], made["connected"]), made["order"], at)
 
     def alignments(at: str) -> None:
         for name in ("pangenome", "core"):
