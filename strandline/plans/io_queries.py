@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
 from strandline.functions.names import shared_folder
-from strandline.operators import alignment, filters, paralogs, summary, tools
+from strandline.operators import alignment, filters, paralogs, summary, tools, trees
 from strandline.operators import families as fam
 from strandline.plans.family_queries import SINGLE, single_copies
 from strandline.plans.projections import LIST, categories, clusters, hits, info, loci, loci_list, sql, table
@@ -197,7 +197,33 @@ query("scan_treewas_results", LIST, RESULTS + "SELECT * FROM results")(
 query("scan_metadata_header", ["loci"], "SELECT unnest(['gene', 'product', 'length']) AS phenotype")(
     lambda s, d: s.createDataFrame([(c,) for c in read(s, lambda at: sinks.tsv(info(s, d), at), lambda at: tables.metadata_columns(s, at))], "phenotype string"))
 query("scan_newick", [], "SELECT 'n' || n_nationkey AS leaf, CAST(n_nationkey + 0.5 AS DOUBLE) AS length FROM nation")(
-    lambda s, d: s.createDataFrame(list(tables.newick("(" + ",".join(f"n{r[0]}:-{r[0]}.5" for r in table(s, d, "nation").select("n_nationkey").collect()) + ");").items()), "leaf string, length double"))
+    lambda s, d: trees.nodes(read(s, lambda at: sinks.text(table(s, d, "nation").agg(F.concat(F.lit("("), F.array_join(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(":-"), F.col("n_nationkey").cast("string"), F.lit(".5"))), ","), F.lit(");")).alias("x")), F.col("x"), at), lambda at: tables.trees(s, at))).where("leaf").select(F.col("name").alias("leaf"), "length"))
+
+
+def order_trees(s, d) -> DataFrame:
+    """(tree, text): for each customer a tree of orders with their lines, whose lengths are whole numbers; an order's name is quoted."""
+    text = lambda c: F.col(c).cast("string")
+    each = F.concat(F.lit("l"), text("l_orderkey"), F.lit("_"), text("l_linenumber"), F.lit(":"), F.col("l_quantity").cast("long").cast("string"))
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(each)), ",").alias("x"))
+    rows = table(s, d, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").cast("long").alias("tree"), F.concat(F.lit("("), "x", F.lit(")'o''"), text("o_orderkey"), F.lit("':-"), (F.col("o_orderkey") % 50).cast("string"), F.lit("[an order]")).alias("x"))
+    return rows.groupBy("tree").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("x")), " , "), F.lit(")c"), F.first("tree").cast("string"), F.lit(";")).alias("text"))
+
+
+@query("newick_nodes", [], """SELECT CAST(o_custkey AS BIGINT) AS tree, 'l' || l_orderkey || '_' || l_linenumber AS name, 'o''' || o_orderkey AS above, floor(l_quantity)::DOUBLE AS length, true AS leaf FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT o_custkey, 'o''' || o_orderkey, 'c' || o_custkey, (o_orderkey % 50)::DOUBLE, false FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT DISTINCT o_custkey, 'c' || o_custkey, NULL, NULL::DOUBLE, false FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def newick_nodes(s, d) -> DataFrame:
+    rows = trees.nodes(order_trees(s, d))
+    named = rows.select("tree", F.col("node").alias("parent"), F.col("name").alias("above"))
+    return rows.join(named, ["tree", "parent"], "left").select("tree", "name", "above", "length", "leaf")
+
+
+query("newick_midpoint", [], """WITH line AS (
+    SELECT o_custkey AS tree, o_orderkey AS o, floor(l_quantity) AS q, o_orderkey % 50 + floor(l_quantity) AS way, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+), within AS (SELECT tree, max(d) AS d FROM (SELECT tree, o, sum(q) AS d FROM line WHERE r <= 2 GROUP BY tree, o HAVING count(*) = 2) GROUP BY tree
+), across AS (SELECT tree, sum(way) AS d FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY way DESC) AS k FROM line WHERE r = 1) WHERE k <= 2 GROUP BY tree HAVING count(*) = 2)
+SELECT CAST(tree AS BIGINT) AS tree, (greatest(coalesce(w.d, 0), coalesce(a.d, 0)) / 2)::DOUBLE AS half FROM within w FULL JOIN across a USING (tree)""")(
+    lambda s, d: trees.midpoints(trees.nodes(order_trees(s, d))).select("tree", "half"))
 PRESENT = "SELECT DISTINCT allele, genome FROM loci_list WHERE threshold = 50"
 GRID = f", here AS ({PRESENT}), grid AS (SELECT a.allele, g.genome, h.genome IS NOT NULL AS has FROM (SELECT DISTINCT allele FROM here) a CROSS JOIN (SELECT DISTINCT genome FROM here) g LEFT JOIN here h ON h.allele = a.allele AND h.genome = g.genome) "
 

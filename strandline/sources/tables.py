@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,23 +60,23 @@ def sample_list(spark: SparkSession, path) -> DataFrame:
 STRETCH = 1 << 16
 
 
-def ordered_lines(spark: SparkSession, path, keep: Column | None = None) -> DataFrame:
+def ordered_lines(spark: SparkSession, path, keep: Column | None = None, sep: str = "\n") -> DataFrame:
     """(file, number, line): the lines to keep, by default those that are not empty, numbered from 1 in the order of files by name and of their lines.
 
     Spark splits files as always: a line's place is its file, its split and its place there.
     """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    rows = (spark.read.text(path) if sep == "\n" else spark.read.option("lineSep", sep).text(path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
     kept = rows.where(F.col("line") != "" if keep is None else keep)
     return numbered(kept, "number", F.col("file"), F.col("_block"), F.col("_at")).select("file", "number", "line")
 
 
-def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
-    """lines (number, ...), and name: the value of the line, or of the last one before it that has any, without a task that sees all lines."""
+def carried(lines: DataFrame, value: Column, name: str, *keys: str) -> DataFrame:
+    """lines (number, ...), and name: the value of the line, or of the last one of its keys before it that has any, without a task that sees all lines."""
     rows = lines.withColumns({name: value, "_stretch": F.expr(f"number div {STRETCH}")})
-    ends = rows.groupBy("_stretch").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("number"))).alias("_end"))
-    before = ends.select("_stretch", F.last("_end", True).over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    here = F.last(name, True).over(Window.partitionBy("_stretch").orderBy("number"))
-    return rows.withColumn(name, here).join(before, "_stretch").withColumn(name, F.coalesce(name, "_before")).drop("_stretch", "_before")
+    ends = rows.groupBy(*keys, "_stretch").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("number"))).alias("_end"))
+    before = ends.select(*keys, "_stretch", F.last("_end", True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    here = F.last(name, True).over(Window.partitionBy(*keys, "_stretch").orderBy("number"))
+    return rows.withColumn(name, here).join(before, [*keys, "_stretch"]).withColumn(name, F.coalesce(name, "_before")).drop("_stretch", "_before")
 
 
 def cluster_lines(spark: SparkSession, path, threshold: int) -> DataFrame:
@@ -160,8 +158,7 @@ def metadata_columns(spark: SparkSession, path) -> list[str]:
     return spark.read.csv(path, sep="\t", header=True).columns[1:]
 
 
-def newick(text: str) -> dict[str, float]:
-    """Leaf -> absolute branch length."""
-    return {m[1]: abs(float(m[2])) for m in re.finditer(r"[(,]\s*([^(),:;]+):(-?[0-9.eE+-]+)", text)}
-
-
+def trees(spark: SparkSession, path) -> DataFrame:
+    """(tree, text): trees in Newick form, numbered in the order of files by name and of their lines. A ; ends one, so names have none."""
+    rows = ordered_lines(spark, path, F.trim(F.regexp_replace("value", r"\s", " ")) != "", ";")
+    return rows.select(F.col("number").alias("tree"), F.col("line").alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
 from strandline.functions.names import cell_copies, cell_text, genome_name, padded
-from strandline.operators import alignment, clustering, graph, pairwise, tools
+from strandline.operators import trees, alignment, clustering, graph, pairwise, tools
 from strandline.sources import gff, sinks, tables
 
 
@@ -76,7 +76,9 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "s").write_text("a b\n\n c\n")
     assert sorted(r["genome"] for r in tables.sample_list(spark, str(tmp_path / "s")).collect()) == ["a", "c"]
     assert [tables.meta_width(h) for h in (["x"], ["no_loci"], ["no_loci", "cluster", "cluster_order"])] == [19, 20, 22]
-    assert tables.newick("(a:1,b:-2.5);") == {"a": 1.0, "b": 2.5}
+    (tmp_path / "n.nwk").write_text("(a:1,b:-2.5);\n(c\n:3,d);\n")
+    got = trees.nodes(tables.trees(spark, str(tmp_path / "n.nwk"))).where("leaf").collect()
+    assert sorted((r["tree"], r["name"], r["length"]) for r in got) == [(1, "a", 1.0), (1, "b", 2.5), (2, "c", 3.0), (2, "d", None)]
 
 
 def graph_of(spark, genomes):
