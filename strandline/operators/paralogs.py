@@ -1,6 +1,6 @@
 """Paralogs: which loci of a genome are copies and which are fragments, and how a family splits into single-copy alleles.
 
-Both work on one family at a time, which is the unit of the pandas step.
+From hits, and when it is split, a family is the unit of the pandas step; aligned families are not held by any task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import checkpoint
+from strandline.operators import sites
 from strandline.operators.families import copy_id, doses, with_categories
 from strandline.operators.filters import pair_coverage
 
@@ -162,71 +164,32 @@ def classify(members: DataFrame, hits: DataFrame, lengths: DataFrame, threshold:
     return rows.groupBy("family").applyInPandas(run, "locus string, family string, genome string, mc int, ff int, ff_group int, length_cluster int")
 
 
-def aligned_groups(genes: list[tuple[str, int]], sites: dict[str, frozenset], cluster: dict[str, int]) -> dict[str, int]:
-    """Locus -> group of one genome's loci (locus, pos): those that stand nearest to another first, then by place.
-
-    The first one left opens a group. Each of the others left in turn: one of the same length cluster is another copy, in
-    a group of its own, which is the one that goes on; one that has more new columns than common ones, of which there are
-    at most ALIGNED_MOST of either, is a further fragment of the group; anything else ends the search.
-    """
-    nearest = {x: min((abs(p - q) for y, q in genes if y != x), default=0) for x, p in genes}
-    names = [x for x, _ in sorted(genes, key=lambda g: (nearest[g[0]], g[1], g[0]))]
-    out: dict[str, int] = {}
-    group = 0
-    for x in names:
-        if x in out:
-            continue
-        group += 1
-        out[x] = group
-        for y in names:
-            if y in out:
-                continue
-            both = len(sites[x] & sites[y])
-            if cluster[x] == cluster[y]:
-                group += 1
-            elif not len(sites[y]) - both > both or both > ALIGNED_MOST * len(sites[x]) or both > ALIGNED_MOST * len(sites[y]):
-                break
-            out[y] = group
-    return out
-
-
 def classify_aligned(alignment: DataFrame, positions: DataFrame, overlap: float = 0.9) -> DataFrame:
     """As classify, from aligned families (family, locus, genome, aln) and places on contigs (locus, pos); a locus without one is at 0.
 
     Sequences whose filled columns agree in 90 percent or more of both are one length cluster, the shortest first. If all
     are one, or all are equally long, each locus of a genome with several is a copy with a number of its own. Else each
-    genome's loci fall into groups: aligned_groups(). A genome of several groups is multicopy, a group of several loci is
-    one gene in fragments.
+    genome's loci fall into groups, those that stand nearest to another first (sites.gene_groups()). A genome of several
+    groups is multicopy, a group of several loci is one gene in fragments. No task holds a family or a genome.
+    A null family or genome is one like any other, a null sequence has no filled column.
     """
-    rows = alignment.join(positions.select("locus", "pos"), "locus", "left").na.fill(0, ["pos"])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["genome", "locus"]).reset_index(drop=True)
-        sites = {r.locus: frozenset(k for k, c in enumerate(r.aln) if c != "-") for r in part.itertuples()}
-        cluster: dict[str, int] = {}
-        order = sorted(sites, key=lambda y: (len(sites[y]), y))
-        for x in order:
-            if x not in cluster:
-                n = max(cluster.values(), default=0) + 1
-                for y in order:
-                    both = len(sites[x] & sites[y])
-                    if y not in cluster and (x == y or both >= overlap * len(sites[x]) and both >= overlap * len(sites[y])):
-                        cluster[y] = n
-        flush = len({len(s) for s in sites.values()}) == 1 or max(cluster.values()) == 1
-        out = {}
-        for _, own in part.groupby("genome"):
-            genes = list(zip(own["locus"], own["pos"].astype(int), strict=True))
-            if flush:
-                out |= {x: (1, 0, k + 1 if len(genes) > 1 else 0) for k, (x, _) in enumerate(genes)}
-                continue
-            groups = aligned_groups(genes, sites, cluster)
-            size = pd.Series(list(groups.values())).value_counts()
-            out |= {x: (int(len(size) > 1), int(size[g] > 1), g) for x, g in groups.items()}
-        part["mc"], part["ff"], part["ff_group"] = zip(*(out[x] for x in part["locus"]), strict=True)
-        part["length_cluster"] = [1 if flush else cluster[x] for x in part["locus"]]
-        return part[["locus", "family", "genome", "mc", "ff", "ff_group", "length_cluster"]]
-
-    return rows.groupBy("family").applyInPandas(run, "locus string, family string, genome string, mc int, ff int, ff_group int, length_cluster int")
+    rows = alignment.select("family", "locus", "genome", sites.packed(F.col("aln")).alias("s")).select("family", "locus", "genome", "s.bits", "s.n")
+    rows = checkpoint(rows.join(positions.select("locus", "pos"), "locus", "left").na.fill(0, ["pos"]))
+    found = checkpoint(sites.length_clusters(rows, overlap))
+    plain = found.groupBy("family").agg(((F.min("n") == F.max("n")) | (F.max("length_cluster") == 1)).alias("plain"))
+    same = lambda x, y, *names: [x[c].eqNullSafe(y[c]) for c in names]
+    rows = rows.join(found, same(rows, found, "family", "bits")).select(*(rows[c] for c in rows.columns), "length_cluster")
+    genome = Window.partitionBy("family", "genome")
+    along = genome.orderBy("pos", "locus")
+    near = F.least(F.col("pos") - F.lag("pos").over(along), F.lead("pos").over(along) - F.col("pos"))  # of what is there
+    rows = sites.gene_groups(rows.withColumn("near", F.coalesce(near, F.lit(0))), ALIGNED_MOST)
+    rows = rows.join(plain, same(rows, plain, "family")).select(*(rows[c] for c in rows.columns), "plain")
+    copies, fragments = F.max("genes").over(genome) > 1, F.count("*").over(Window.partitionBy("family", "genome", "genes")) > 1
+    number = F.when(F.count("*").over(genome) > 1, F.row_number().over(genome.orderBy("locus"))).otherwise(0)
+    choose = lambda x, y: F.when(F.col("plain"), x).otherwise(y).cast("int")
+    return rows.select(
+        "locus", "family", "genome", choose(F.lit(1), copies.cast("int")).alias("mc"), choose(F.lit(0), fragments.cast("int")).alias("ff"),
+        choose(number, F.col("genes")).alias("ff_group"), choose(F.lit(1), F.col("length_cluster")).alias("length_cluster"))
 
 
 def split_family(rows: pd.DataFrame, cut_off: float = 0.75, strict: bool = False) -> dict[str, int]:

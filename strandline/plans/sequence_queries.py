@@ -197,7 +197,25 @@ query("aggregate_multigene", ["dna"], A + "SELECT family, locus, genome, dna AS
     lambda s, d: alignment.family_sequences(aligned(s, d).where("family < 'g00003'").select("family").distinct(), aligned(s, d), documents(s, d).withColumnRenamed("dna", "seq")))
 query("seq_align_msa", [], None)(lambda s, d: alignment.align_families(items(s, d)))
 query("seq_back_translate", [], None)(lambda s, d: alignment.back_translate(_coding(s, d)))
-query("classify_paralogs_aligned", [], None)(lambda s, d: paralogs.classify_aligned(aligned(s, d), documents(s, d).select("locus", F.expr("cast(substring(locus, 2) as long) pos"))))
+query("classify_paralogs_aligned", ["dna"], f""", {ALIGNED}, bit AS (SELECT family, locus, genome, CAST(substr(locus, 2) AS BIGINT) AS pos, CAST(translate(regexp_replace(aln, '[^-]', '1', 'g'), '-', '0') || '0' AS BIT) AS s FROM aligned
+), pat AS (SELECT family, s, bit_count(s)::BIGINT AS n, row_number() OVER (PARTITION BY family ORDER BY bit_count(s), min(locus)) AS i FROM bit GROUP BY family, s
+), lead_(family, i, bank, c) AS (
+    SELECT family, i, [s], 1::BIGINT FROM pat WHERE i = 1
+    UNION ALL SELECT family, i, CASE WHEN k IS NULL THEN list_append(bank, s) ELSE bank END, coalesce(k, len(bank) + 1)
+    FROM (SELECT p.family, p.i, p.s, bank, list_filter(range(1, len(bank) + 1), lambda j: bit_count(bank[j] & p.s) >= 0.9::DOUBLE * p.n AND bit_count(bank[j] & p.s) >= 0.9::DOUBLE * bit_count(bank[j]))[1] AS k
+        FROM lead_ l JOIN pat p ON p.family = l.family AND p.i = l.i + 1)
+), kind AS (SELECT family, min(n) = max(n) OR max(c) = 1 AS plain FROM pat JOIN lead_ USING (family, i) GROUP BY family
+), near AS (SELECT family, locus, genome, pos, s, n, c, coalesce(least(pos - lag(pos) OVER w, lead(pos) OVER w - pos), 0) AS near FROM bit JOIN pat USING (family, s) JOIN lead_ USING (family, i) WINDOW w AS (PARTITION BY family, genome ORDER BY pos, locus)
+), row_ AS (SELECT *, row_number() OVER (PARTITION BY family, genome ORDER BY near, pos, locus) AS i FROM near
+), walk(family, genome, i, locus, g, s, n, c) AS (
+    SELECT family, genome, i, locus, 1, s, n, c FROM row_ WHERE i = 1
+    UNION ALL SELECT family, genome, i, locus, CASE WHEN same OR ends THEN g + 1 ELSE g END, CASE WHEN ends THEN s ELSE hs END, CASE WHEN ends THEN n ELSE hn END, CASE WHEN ends THEN c ELSE hc END
+    FROM (SELECT *, NOT same AND (n - both_ <= both_ OR both_ > 0.75 * hn OR both_ > 0.75 * n) AS ends
+        FROM (SELECT r.*, g, w.s AS hs, w.n AS hn, w.c AS hc, r.c = w.c AS same, bit_count(r.s & w.s)::BIGINT AS both_ FROM walk w JOIN row_ r ON r.family = w.family AND r.genome = w.genome AND r.i = w.i + 1)))
+SELECT r.locus, family, genome, CASE WHEN plain OR max(g) OVER (PARTITION BY family, genome) > 1 THEN 1 ELSE 0 END AS mc, CASE WHEN NOT plain AND count(*) OVER (PARTITION BY family, genome, g) > 1 THEN 1 ELSE 0 END AS ff,
+    CAST(CASE WHEN NOT plain THEN g WHEN count(*) OVER (PARTITION BY family, genome) > 1 THEN row_number() OVER (PARTITION BY family, genome ORDER BY r.locus) ELSE 0 END AS INT) AS ff_group, CAST(CASE WHEN plain THEN 1 ELSE r.c END AS INT) AS length_cluster
+FROM row_ r JOIN walk w USING (family, genome, i) JOIN kind USING (family)""", True)(
+    lambda s, d: paralogs.classify_aligned(aligned(s, d), documents(s, d).select("locus", F.expr("cast(substring(locus, 2) as long) pos"))))
 query("sink_multicopy_dosage", [*LIST, "categories", "doses"], "SELECT family, genome, dose FROM doses WHERE threshold = 50 AND dose > 1")(
     lambda s, d: families.doses(loci_list(s, d), categories(s, d)).where("threshold = 50 and dose > 1").select("family", "genome", "dose"))
 
