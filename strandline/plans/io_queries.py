@@ -14,7 +14,7 @@ from strandline.operators import families as fam
 from strandline.plans.family_queries import SINGLE, single_copies
 from strandline.plans.projections import LIST, categories, clusters, hits, info, loci, loci_list, sql, table
 from strandline.plans.sequence_queries import ALIGNED, CODE, GFF, aligned, documents, gff_lines
-from strandline.sources import gff, sinks, tables
+from strandline.sources import gff, sinks, store, tables
 
 QUERIES, SQL = {}, {}
 STATS = [*LIST, "categories", "doses", "stats"]
@@ -107,6 +107,14 @@ query("scan_para_blast", ["hits"], "SELECT q, s, qlen, slen, length, floor(100.0
     lambda s, d: read(s, lambda at: sinks.tsv(hits(s, d).selectExpr("q", "s", "qlen", "slen", "length", "floor(100 * length / qlen) qcovs", "pident", "sstart", "send"), at, False), lambda at: tables.para_hits(s, at)))
 query("sink_loci_list", LIST, f"SELECT concat_ws({TAB}, locus, family, threshold, allele, genome) AS line FROM loci_list")(lambda s, d: back(s, lambda at: sinks.loci_list(loci_list(s, d), at)))
 query("scan_loci_list", LIST, "SELECT * FROM loci_list")(lambda s, d: read(s, lambda at: sinks.loci_list(loci_list(s, d), at), lambda at: tables.loci_list(s, at)))
+@query("line_index_lookup", LIST, "SELECT * FROM loci_list WHERE CAST(substr(family, 2) AS BIGINT) % 20 = 0")
+def line_index_lookup(s, d) -> DataFrame:
+    """The lines of every twentieth family, from a store of all."""
+    rows = loci_list(s, d)
+    store.put(rows, path := folder(s, "store"), "family", files=int(s.conf.get("spark.sql.shuffle.partitions")))
+    return store.lookup(rows.where("cast(substring(family, 2) as long) % 20 = 0"), path, "family")
+
+
 query("sink_paralog_clusters", LIST, SINGLE + "SELECT DISTINCT family AS line FROM (SELECT family FROM single GROUP BY family, threshold, allele, genome HAVING count(*) > 1)")(
     lambda s, d: back(s, lambda at: sinks.paralog_clusters(fam.paralog_families(single_copies(s, d)), at)))
 query("sink_cluster_alleles", LIST, SINGLE + f"""SELECT concat_ws({TAB}, family, threshold, allele, genome, string_agg(locus, ' ' ORDER BY locus), count(*)) AS line FROM single

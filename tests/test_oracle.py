@@ -11,7 +11,7 @@ import pytest
 from strandline.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["name_clusters", "link_alleles", "agg_allele_stats", "agg_consensus", "gene_families", "family_cells", "agg_summary_buckets", "tool_rtab", "tool_paralog_rtab", "tool_distmat", "tool_variants_treewas", "graph_edges", "sink_gfa1", "graph_canonical_links", "graph_connect_blocks", "graph_classify_blocks", "graph_reversed_loops", "graph_order", "sink_blocks", "sink_block_files", "hits_normalise", "scan_gff_raw", "scan_family_table", "sink_family_tables", "scan_cluster_lines", "sink_split_loci", "sink_representatives", "sink_summary", "scan_roary_csv", "tool_pan_alignment_aa", "top1_best_score", "agg_cluster_alleles", "attr_rewrite", "seq_translate", "aln_concat", "classify_paralogs_aligned", "range_join_pos_feature", "homology_all_vs_all", "cluster_greedy", "planted_alignment", "scan_newick", "newick_nodes", "newick_midpoint"]
+NAMES = ["name_clusters", "link_alleles", "agg_allele_stats", "agg_consensus", "gene_families", "family_cells", "agg_summary_buckets", "tool_rtab", "tool_paralog_rtab", "tool_distmat", "tool_variants_treewas", "graph_edges", "sink_gfa1", "graph_canonical_links", "graph_connect_blocks", "graph_classify_blocks", "graph_reversed_loops", "graph_order", "sink_blocks", "sink_block_files", "hits_normalise", "scan_gff_raw", "scan_family_table", "sink_family_tables", "scan_cluster_lines", "line_index_lookup", "sink_split_loci", "sink_representatives", "sink_summary", "scan_roary_csv", "tool_pan_alignment_aa", "top1_best_score", "agg_cluster_alleles", "attr_rewrite", "seq_translate", "aln_concat", "classify_paralogs_aligned", "range_join_pos_feature", "homology_all_vs_all", "cluster_greedy", "planted_alignment", "scan_newick", "newick_nodes", "newick_midpoint"]
 
 
 def plain(v):
