@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.names import checkpoint
 
-#: Sequences of a block whose columns are held against each other, so many columns at once; the most genomes of a tree.
-PAIRS, COLUMNS, GENOMES = 512, 8192, 5000
+#: Sequences of a block whose columns are held against each other, so many columns at once.
+PAIRS, COLUMNS = 512, 8192
 #: Distinct sequences of a family that one task aligns, and places of a matrix that it holds for a pair.
 ROWS, CELLS = 1024, 1 << 22
 
@@ -331,37 +331,3 @@ def percent_identity(aligned: DataFrame) -> DataFrame:
 def family_sequences(families: DataFrame, loci: DataFrame, seqs: DataFrame) -> DataFrame:
     """(family, locus, genome, seq) of the chosen families; a locus without a sequence is an error to look for with left_anti."""
     return loci.join(families.select("family"), "family", "left_semi").select("family", "locus", "genome").distinct().join(seqs.select("locus", "seq"), "locus")
-
-
-def neighbour_joining(names: list[str], m: np.ndarray) -> str:
-    """A tree in Newick form from a matrix of distances between names in order."""
-    if not names:
-        return ";"
-    label, m = list(names), m.astype(np.float64)
-    while len(label) > 2:
-        n, total = len(label), m.sum(axis=1)
-        score = (n - 2) * m - total[:, None] - total
-        score[np.tril_indices(n)] = np.inf
-        a, b = divmod(int(score.argmin()), n)
-        to_a = m[a, b] / 2 + (total[a] - total[b]) / (2 * (n - 2))
-        joined = f"({label[a]}:{max(0.0, to_a):.6g},{label[b]}:{max(0.0, m[a, b] - to_a):.6g})"
-        rest = np.array([k for k in range(n) if k not in (a, b)], dtype=np.int64)
-        far = (m[a, rest] + m[b, rest] - m[a, b]) / 2
-        m = np.block([[m[np.ix_(rest, rest)], far[:, None]], [far[None], np.zeros((1, 1))]])
-        label = [*(label[k] for k in rest), joined]
-    if len(label) == 1:
-        return f"{label[0]};"
-    return f"({label[0]}:{m[0, 1] / 2:.6g},{label[1]}:{m[0, 1] / 2:.6g});"
-
-
-def tree(distance_rows: DataFrame, most: int = GENOMES) -> str:
-    """The tree of (g1, g2, d). The driver holds a matrix of all genomes, at most `most`; more is an error before anything is sent."""
-    names = [r[0] for r in distance_rows.select("g1").distinct().orderBy("g1").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"over {most} genomes; a tree takes the square of their number in the driver's memory")
-    at = {x: k for k, x in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in distance_rows.where("g1 < g2").groupBy("g1").agg(F.collect_list(F.struct("g2", "d")).alias("row")).toLocalIterator():
-        for x in r["row"]:
-            m[at[r["g1"]], at[x["g2"]]] = m[at[x["g2"]], at[r["g1"]]] = x["d"]
-    return neighbour_joining(names, m)

@@ -137,16 +137,6 @@ def test_alignments():
     assert {k: v.replace("-", "") for k, v in got.items()} == {"a": "ACGTACGT", "b": "ACGACGT", "c": "TACGTACGT"}
     assert clustering.aligned_identity("ACGTTGCA" * 10, "ACGTTGCA" * 10)[0] == 100.0
     assert alignment.thread_codons("A-", "ATGGCTTAA") == "ATGGCT---TAA"
-    tree = alignment.neighbour_joining(["a", "b", "c", "d"], np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 2], [6, 6, 2, 0]]))
-    assert "(a:1,b:1)" in tree or "(c:1,d:1)" in tree
-    assert alignment.neighbour_joining(["a"], np.zeros((1, 1))) == "a;" and alignment.neighbour_joining([], np.zeros((0, 0))) == ";"
-
-
-def test_a_tree_of_too_many_genomes_is_an_error(spark):
-    rows = spark.createDataFrame([(a, b, 1) for a in "abc" for b in "abc"], "g1 string, g2 string, d long")
-    assert alignment.tree(rows).endswith(";")
-    with pytest.raises(ValueError, match="over 2 genomes"):
-        alignment.tree(rows, 2)
 
 
 def test_gaps_and_n_become_the_gap_character(spark):
