@@ -17,10 +17,29 @@ from strandline.operators import families, filters
 TILE, ALLELES = 512, 8192
 
 
-def wide(rows: DataFrame, keys: list[str], column: str, value: str, names: list[str] | None = None, empty: object = 0) -> DataFrame:
-    """Pivots long rows for a file; the new columns are named, or read off the data, in order."""
-    names = names or [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
-    return rows.groupBy(*keys).pivot(column, names).agg(F.first(value)).na.fill(empty, subset=names)
+def names_of(rows: DataFrame, column: str) -> list[str]:
+    """The values of a column in order: the names of a wide table's columns, which its header has in one line."""
+    return [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+
+
+def wide(rows: DataFrame, keys: list[str], column: str, value: str, names: list[str] | None = None, empty: object = 0, sep: str = "\t") -> tuple[DataFrame, list[str]]:
+    """(keys, line) of long rows, and the names of the columns that a line has: named, or read off the data, in order.
+
+    A line is put together from the places of its values, with `empty` between them, so that no plan has a column for each
+    name. Of several values for a place the smallest stands; names that are not asked for have none.
+    """
+    names = names or names_of(rows, column)
+    at = rows.sparkSession.createDataFrame(list(zip(names, range(1, len(names) + 1), strict=True)), "_name string, _at int")
+    none = F.lit(str(empty))
+    text = F.coalesce(F.col(value).cast("string"), none)
+    found = rows.select(*keys, F.col(column).cast("string").alias("_name"), text.alias("_text")).join(at, "_name", "left")
+    each = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_text")))).alias("_x"))
+    before = lambda i: F.when(i > 0, F.get("_x", i - 1)["_at"]).otherwise(0)
+    each = each.withColumn("_x", F.filter("_x", lambda x, i: x["_at"] > before(i)))
+    parts = F.transform("_x", lambda x, i: F.concat(F.repeat(F.concat(none, F.lit(sep)), x["_at"] - before(i) - 1), x["_text"]))
+    last = F.coalesce(F.get("_x", F.size("_x") - 1)["_at"], F.lit(0))
+    rest = F.when(last == 0, F.concat(none, F.repeat(F.concat(F.lit(sep), none), F.lit(len(names) - 1)))).otherwise(F.concat(F.array_join(parts, sep), F.repeat(F.concat(F.lit(sep), none), F.lit(len(names)) - last)))
+    return each.select(*keys, rest.alias("line")), names
 
 
 def rtab(loci: DataFrame, low: float = 0.05, high: float = 0.95, family_low: float = 0, family_high: float = 1, dosage: float = 0, keep_all: bool = False, categories: DataFrame | None = None, n_genomes: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
-from strandline.functions.names import shared_folder
+from strandline.functions.names import checkpoint, shared_folder
 from strandline.operators import alignment, filters, paralogs, summary, tools, trees
 from strandline.operators import families as fam
 from strandline.plans.family_queries import SINGLE, single_copies
@@ -143,15 +143,17 @@ SELECT concat_ws({TAB}, locus, family, threshold, allele, genome) AS line FROM h
     lambda s, d: back(s, lambda at: sinks.split_loci(halves(s, d), paralogs.split_log(halves(s, d), categories(s, d)), at)))
 
 
-def table_of(s, d, rows: DataFrame | None = None) -> DataFrame:
-    return fam.family_table(loci_list(s, d), info(s, d), categories(s, d), rows)
+def table_of(s, d, rows: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
+    return fam.family_table(loci_list(s, d) if every is None else every, info(s, d), categories(s, d), rows)
 
 
 def family_files(s, d) -> str:
-    every, unique = loci_list(s, d), fam.unique_alleles(loci_list(s, d))
+    every = checkpoint(loci_list(s, d))
+    unique = checkpoint(fam.unique_alleles(every))
     path = folder(s, "families")
     all_ = every.select("family", "allele", "threshold").distinct()
-    sinks.family_tables(table_of(s, d), table_of(s, d, unique), table_of(s, d, all_), fam.genomes_per_allele(every), fam.cells(every, categories(s, d)), path)
+    cells = checkpoint(fam.cells(every, categories(s, d)))
+    sinks.family_tables(table_of(s, d, every=every), table_of(s, d, unique, every), table_of(s, d, all_, every), fam.genomes_per_allele(every), cells, path)
     return path
 
 
@@ -183,14 +185,15 @@ ROARY = CELLS + "SELECT allele || '__' || family AS gene, genome, replace(regexp
 
 
 def roary_files(s, d, at: str) -> None:
-    rows = fam.family_rows(fam.unique_alleles(loci_list(s, d)))
-    cells = fam.cells(loci_list(s, d), categories(s, d)).join(rows, ["family", "allele", "threshold"], "left_semi")
-    sinks.roary(tools.roary(table_of(s, d)), cells, at)
+    every = checkpoint(loci_list(s, d))
+    rows = checkpoint(fam.family_rows(fam.unique_alleles(every)))
+    cells = checkpoint(fam.cells(every.join(rows, ["family", "allele", "threshold"], "left_semi"), categories(s, d)))
+    sinks.roary(tools.roary(table_of(s, d, rows, every)), cells, at)
 
 
 query("scan_roary_csv", TABLE, ROARY)(lambda s, d: read(s, lambda at: roary_files(s, d, at), lambda at: tables.roary(s, at)))
 query("sink_roary", TABLE, "SELECT allele || '__' || family AS \"Gene\", coalesce(consensus_product, '') AS \"Annotation\", CAST(number_genomes AS VARCHAR) AS \"No. isolates\", 'NA' AS \"Genome Fragment\" FROM family_table")(
-    lambda s, d: read(s, lambda at: roary_files(s, d, at), lambda at: s.read.csv(at, header=True, quote='"', escape='"').select("Gene", F.coalesce("Annotation", F.lit("")).alias("Annotation"), F.col("`No. isolates`"), "Genome Fragment")))
+    lambda s, d: read(s, lambda at: roary_files(s, d, at), lambda at: tables.roary_meta(s, at).select("Gene", F.coalesce("Annotation", F.lit("")).alias("Annotation"), F.col("`No. isolates`"), "Genome Fragment")))
 query("scan_vcf_pos", [], "SELECT row_number() OVER (ORDER BY p_partkey) AS record, p_partkey * 11 AS pos FROM part")(
     lambda s, d: read(s, lambda at: sinks.text(table(s, d, "part").agg(F.concat(F.lit("##fileformat=VCFv4.2\n#CHROM\tPOS\n"), F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: F.concat(F.lit("c1\t"), (x * 11).cast("string"), F.lit("\t.\tA"))), "\n")).alias("x")), F.col("x"), at), lambda at: tables.vcf_positions(s, at)))
 

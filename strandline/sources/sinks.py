@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import schemas
 from strandline.functions.sequences import wrapped
-from strandline.operators.tools import wide
+from strandline.operators.tools import names_of, wide
 
 
 def text(df: DataFrame, line, path: str, *by: str) -> None:
@@ -21,6 +24,33 @@ def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="")
 
 
+def headed(rows: DataFrame, line: Column, header: str, path: str) -> None:
+    """One text line for each row, under the header in every file. Without a row there is a file with the header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = False
+        for batch in batches:
+            lines = batch.column(0).drop_null()
+            if not told:
+                told = True
+                yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([lines], names=["value"])
+
+    none = rows.sparkSession.createDataFrame([(None,)], "value string")
+    rows.select(line.alias("value")).unionByName(none).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def field(column: Column | str) -> Column:
+    """A value as it stands between tabs: empty for null. One that has a tab or ends a line would shift what follows and is an error."""
+    text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+    return F.when(text.rlike("[\\t\\n\\r]"), F.raise_error(F.concat(F.lit("a tab or line end in: "), text))).otherwise(text)
+
+
+def quoted(column: Column) -> Column:
+    """A value in quotes, its own ones doubled."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(column, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def gff(rows: DataFrame, path: str) -> None:
     """(genome, text): a folder for each genome."""
     text(rows.repartition("genome"), F.regexp_replace("text", "\n$", ""), path, "genome")
@@ -113,14 +143,17 @@ def family_table(meta: DataFrame, cells: DataFrame, path: str, genomes: list[str
     names = dict(zip(["min_length", "max_length", "average_length"], schemas.FAMILY_META[-3:], strict=True))
     number = F.when(F.col("average_dose") == F.floor("average_dose"), F.format_string("%d", F.floor("average_dose"))).otherwise(F.format_string("%.2f", "average_dose"))
     rows = meta.withColumn("average_dose", number).withColumn("average_length", F.format_string("%.2f", "average_length")).withColumnsRenamed(names)
-    grid = wide(cells.select(F.col("allele").alias("allele_name"), "threshold", "genome", "cell"), ["allele_name", "threshold"], "genome", "cell", genomes, "")
+    genomes = genomes or names_of(cells, "genome")
+    cells = cells.join(meta.select(F.col("allele_name").alias("allele"), "threshold"), ["allele", "threshold"], "left_semi")
+    grid, names = wide(cells.select(F.col("allele").alias("allele_name"), "threshold", "genome", "cell"), ["allele_name", "threshold"], "genome", "cell", genomes, "")
     columns = [c for c in (*schemas.FAMILY_META, *schemas.FAMILY_ORDER) if c in rows.columns]
     out = rows.join(grid, ["allele_name", "threshold"])
-    tsv(out.select(*(F.col(f"`{c}`") for c in [*columns, *grid.columns[2:]])), path)
+    headed(out, F.concat_ws("\t", *(field(f"`{c}`") for c in columns), "line"), "\t".join([*columns, *names]), path)
 
 
 def family_tables(families_: DataFrame, unique: DataFrame, all_: DataFrame, per_allele: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
     """Four tables, each in a folder: families, unique alleles and all alleles with their cells, and genomes by allele."""
+    genomes = genomes or names_of(cells, "genome")
     for name, meta in (("gene_families", families_), ("unique_alleles", unique), ("all_alleles", all_)):
         family_table(meta, cells, f"{path}/{name}", genomes)
     tsv(per_allele.select("allele", "family", "threshold", "n_genomes"), f"{path}/genomes_per_allele", header=False)
@@ -129,7 +162,8 @@ def family_tables(families_: DataFrame, unique: DataFrame, all_: DataFrame, per_
 def matrix(rows: DataFrame, keys: list[str], column: str, path: str, value: str | None = None, names: list[str] | None = None) -> None:
     """Long rows as a wide table: 1 for each row without a value column."""
     rows = rows if value else rows.withColumn("_one", F.lit(1))
-    tsv(wide(rows, keys, column, value or "_one", names), path)
+    grid, names = wide(rows, keys, column, value or "_one", names)
+    headed(grid, F.concat_ws("\t", *map(field, keys), "line"), "\t".join([*keys, *names]), path)
 
 
 def roary(rows: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
@@ -142,11 +176,12 @@ def roary(rows: DataFrame, cells: DataFrame, path: str, genomes: list[str] | Non
     fixed = [F.col("gene"), F.col("non_unique_gene_name"), F.col("annotation"), F.col("n_isolates"), F.col("n_sequences"), F.col("average_per_isolate"), *place, na, na, F.lit(""), F.col("min_length"), F.col("max_length"), F.col("average_length")]
     left = rows.select(*(c.cast("string").alias(n) for c, n in zip(fixed, schemas.ROARY, strict=True)))
     plain = F.replace(F.regexp_replace("cell", "[()]", ""), F.lit(":"), F.lit(";"))
-    grid = wide(cells.select(F.concat_ws("__", "allele", "family").alias("Gene"), "genome", plain.alias("cell")), ["Gene"], "genome", "cell", genomes, "")
-    left.join(grid, "Gene").write.mode("overwrite").option("quoteAll", True).csv(path, header=True)
+    own = cells.select(F.concat_ws("__", "allele", "family").alias("Gene"), "genome", quoted(plain).alias("cell"))
+    grid, names = wide(own, ["Gene"], "genome", "cell", genomes, '""', ",")
+    line = F.concat_ws(",", *(quoted(F.regexp_replace(F.col(f"`{c}`"), "[\\n\\r]", " ")) for c in schemas.ROARY), "line")
+    doubled = lambda x: '"' + x.replace('"', '""') + '"'
+    headed(left.join(grid, "Gene"), line, ",".join(map(doubled, [*schemas.ROARY, *names])), path)
 
 
 def binary_fasta(rows: DataFrame, path: str) -> None:
     fasta(rows, path, "genome", "seq", 80)
-
-

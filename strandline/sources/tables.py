@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,31 +117,78 @@ def meta_width(header: list[str]) -> int:
     return 22 if "cluster_order" in header else 20 if "no_loci" in header else 19
 
 
+def _headed(spark: SparkSession, path) -> tuple[DataFrame, str]:
+    """(line) of all files but their headers, which are one and the same, and the header."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("at"))
+    header = lines.where("at = 0").first()
+    header = header["line"] if header else ""
+    return lines.where((F.col("line") != header) & (F.col("line") != "")).select("line"), header
+
+
+def _fields(line: str, comma: bool) -> list[str]:
+    return next(csv.reader([line])) if comma else line.split("\t")
+
+
+def _first(rows: DataFrame, columns: list[str], comma: bool = False) -> DataFrame:
+    """The first columns of lines, as text; null where they are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(_fields(x, comma) if comma else x.split("\t", len(columns)))[: len(columns)] for x in batch.column(0).to_pylist()]
+            got = [x + [""] * (len(columns) - len(x)) for x in got]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] or None for x in got], pa.string()) for k in range(len(columns))], names=columns)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def _long(rows: DataFrame, header: list[str], begin: int, keys: dict[str, int], name: str, value: str, comma: bool = False, empty: bool = False) -> DataFrame:
+    """(keys, name, value): a row for each field of lines from `begin` on that is not empty, or for all; keys are fields by their place.
+
+    A line is taken apart in a task; no plan has a column for each field.
+    """
+    others = pa.array(header[begin:], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                got = _fields(x, comma)
+                got += [""] * (len(header) - len(got))
+                cells = pa.array([c or None for c in got[begin : len(header)]], pa.string())
+                names = others
+                if not empty:
+                    names, cells = names.filter(cells.is_valid()), cells.drop_null()
+                own = [pa.array([got[k] or None] * len(cells), pa.string()) for k in keys.values()]
+                yield pa.RecordBatch.from_arrays([*own, names, cells], names=[*keys, name, value])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` string" for c in (*keys, name, value)))
+
+
 def family_table(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(metadata, cells (allele_name, gene_family, threshold, genome, cell)): long from the start, empty cells left out."""
-    wide = spark.read.csv(path, sep="\t", header=True, quote="")
-    n = meta_width(wide.columns)
-    meta, genomes = wide.columns[:n], wide.columns[n:]
-    keys = ["allele_name", "gene_family", "threshold"]
-    named = lambda c: f"`{c}`"
-    long = wide.select(*map(named, keys), F.explode(F.array(*(F.struct(F.lit(g).alias("genome"), F.col(named(g)).alias("cell")) for g in genomes))).alias("x"))
-    return wide.select(*map(named, meta)), long.select(*keys, "x.genome", "x.cell").where("cell != ''")
+    rows, header = _headed(spark, path)
+    columns = header.split("\t")
+    n = meta_width(columns)
+    keys = {c: columns.index(c) for c in ("allele_name", "gene_family", "threshold")}
+    return _first(rows, columns[:n]), _long(rows, columns, n, keys, "genome", "cell")
 
 
 def matrix(spark: SparkSession, path, keys: int, name: str = "genome", value: str = "n") -> DataFrame:
     """A wide table as long rows: its first columns, then name and value of each other column, as text."""
-    wide = spark.read.csv(path, sep="\t", header=True, quote="")
-    fixed = [F.col(f"`{c}`") for c in wide.columns[:keys]]
-    items = F.array(*(F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias(value)) for c in wide.columns[keys:]))
-    return wide.select(*fixed, F.explode(items).alias("_x")).select(*wide.columns[:keys], f"_x.{name}", f"_x.{value}")
+    rows, header = _headed(spark, path)
+    columns = header.split("\t")
+    return _long(rows, columns, keys, {c: k for k, c in enumerate(columns[:keys])}, name, value, empty=True)
+
+
+def roary_meta(spark: SparkSession, path) -> DataFrame:
+    """The fourteen columns before the genomes."""
+    rows, header = _headed(spark, path)
+    return _first(rows, _fields(header, True)[:14], True)
 
 
 def roary(spark: SparkSession, path) -> DataFrame:
     """(gene, genome, cell) of a quoted table whose genomes begin at column 15."""
-    wide = spark.read.csv(path, header=True, quote='"', escape='"')
-    cols = wide.columns
-    items = F.array(*(F.struct(F.lit(g).alias("genome"), F.col(f"`{g}`").alias("cell")) for g in cols[14:]))
-    return wide.select(F.col(f"`{cols[0]}`").alias("gene"), F.explode(items).alias("x")).select("gene", "x.genome", "x.cell").where("cell != ''")
+    rows, header = _headed(spark, path)
+    return _long(rows, _fields(header, True), 14, {"gene": 0}, "genome", "cell", True)
 
 
 def vcf_positions(spark: SparkSession, path) -> DataFrame:
