@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.names import checkpoint
+from strandline.operators import sites
 
 #: Sequences of a block whose columns are held against each other, so many columns at once.
 PAIRS, COLUMNS = 512, 8192
 #: Distinct sequences of a family that one task aligns, and places of a matrix that it holds for a pair.
 ROWS, CELLS = 1024, 1 << 22
+#: Names that are sent to all tasks at most.
+FEW = 20_000
 
 
 def _score_row(above: np.ndarray, hit: np.ndarray, ramp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,11 +202,34 @@ def _letters(aln: Column, gaps: str) -> Column:
     return F.length(F.translate(aln, gaps, ""))
 
 
+def slim(aligned: DataFrame) -> DataFrame:
+    """aligned with its gaps at the end left out, and the whole length as _width: what is dealt out and sorted follows the letters, not the families' widths."""
+    # One pass over runs of gaps; trimming by letters takes many times as long.
+    return aligned.withColumns({"_width": F.length("aln"), "aln": F.regexp_replace("aln", r"(?<!-)-++\z", "")})
+
+
+def full(rows: DataFrame) -> DataFrame:
+    """The rows of slim() with their gaps again."""
+    return rows.withColumn("aln", F.rpad("aln", F.col("_width"), F.lit("-"))).drop("_width")
+
+
+def _firsts(rows: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """rows, one for each of the keys: the largest size, the first locus of ties, with n, how many there are. Texts are not sorted, only met again."""
+    at = F.struct((-size).alias("m"), "locus")
+    best = checkpoint(rows.select(*keys, at.alias("_at")).groupBy(*keys).agg(F.min("_at").alias("_at"), F.count("*").alias("n")))
+    best = best.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_at.locus").alias("_locus"), "n")
+    if best.count() <= FEW:
+        best = F.broadcast(best)
+    # A genome may be null; a locus never is.
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    met = rows.join(best, [F.col("locus") == F.col("_locus"), *same]).drop("_locus", *(f"_{k}" for k in keys))
+    return met.dropDuplicates([*keys, "locus"])
+
+
 def longest_per_genome(aligned: DataFrame, gaps: str = "-N") -> DataFrame:
     """(family, genome, locus, aln, n): the sequence with the most letters but `gaps`, the first locus of ties, and how many there are."""
-    order = Window.partitionBy("family", "genome").orderBy(F.desc("size"), "locus")
-    rows = aligned.withColumn("size", _letters(F.col("aln"), gaps)).withColumn("n", F.count("*").over(Window.partitionBy("family", "genome")))
-    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("family", "genome", "locus", "aln", "n")
+    rows = checkpoint(slim(aligned.select("family", "genome", "locus", "aln")))
+    return full(_firsts(rows, ["family", "genome"], _letters(F.col("aln"), gaps))).select("family", "genome", "locus", "aln", "n")
 
 
 def offsets(aligned: DataFrame, order: DataFrame) -> DataFrame:
@@ -238,21 +264,22 @@ def offsets_gff(place: DataFrame, name: str = "Pangenome") -> DataFrame:
 
 def unique_sequences(aligned: DataFrame) -> DataFrame:
     """(family, seq_id, aln, genome): each distinct sequence, numbered by its first locus, and the genomes that have it."""
-    first = aligned.groupBy("family", "aln").agg(F.min("locus").alias("first"))
-    named = first.withColumn("seq_id", F.row_number().over(Window.partitionBy("family").orderBy("first")))
-    return aligned.select("family", "aln", "genome").distinct().join(named, ["family", "aln"]).select("family", F.col("seq_id").cast("long").alias("seq_id"), "aln", "genome")
+    # Sequences are told apart by a digest and their length; each is dealt out once, by the genome that has it.
+    rows = checkpoint(slim(aligned).select("family", "genome", "locus", "aln", "_width", F.sha2("aln", 256).alias("_d")))
+    first = checkpoint(rows.groupBy("family", "_d", "_width").agg(F.min("locus").alias("first")))
+    named = first.withColumn("seq_id", F.row_number().over(Window.partitionBy("family").orderBy("first")).cast("long")).drop("first")
+    once = rows.groupBy("family", "_d", "_width", "genome").agg(F.first("aln").alias("aln"))
+    return full(once.join(named, ["family", "_d", "_width"])).select("family", "seq_id", "aln", "genome")
 
 
 def subset(aligned: DataFrame, loci: DataFrame, alleles: DataFrame, genomes: DataFrame | None = None, policy: str = "dash") -> DataFrame:
     """(allele, genome, locus, aln) of the chosen alleles' own loci. A genome with several: all (multi), its longest (rep), or - all along (dash)."""
     own = loci.join(alleles.select("allele"), "allele", "left_semi").select("allele", "locus").distinct()
-    rows = aligned.join(own, "locus")
+    rows = full(slim(aligned).join(own, "locus"))
     rows = rows if genomes is None else rows.join(genomes.select("genome"), "genome", "left_semi")
     if policy == "multi":
         return rows.select("allele", "genome", "locus", "aln")
-    size = F.length(F.replace("aln", F.lit("-"), F.lit("")))
-    w = Window.partitionBy("allele", "genome")
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc(size), "locus"))).where("r = 1")
+    rows = full(_firsts(checkpoint(slim(rows)), ["allele", "genome"], F.length(F.replace("aln", F.lit("-"), F.lit("")))))
     if policy == "dash":
         rows = rows.withColumn("aln", F.when(F.col("n") > 1, F.repeat(F.lit("-"), F.length("aln"))).otherwise(F.col("aln")))
     elif policy != "rep":
@@ -263,24 +290,34 @@ def subset(aligned: DataFrame, loci: DataFrame, alleles: DataFrame, genomes: Dat
 def column_overlaps(aligned: DataFrame, share: float = 0.9) -> DataFrame:
     """(family, a, b, both, similar): filled columns that each two sequences of a family have in common.
 
-    A family's sequences meet in blocks of PAIRS by PAIRS, each a product of their columns as ones and zeros.
+    A family's sequences meet in blocks of PAIRS by PAIRS, as packed bits whose zeros at the end are left out; a block is a
+    product of their columns as ones and zeros, as far as the shorter side has any.
     """
     count = aligned.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PAIRS)).cast("int").alias("s"))
-    rows = aligned.select("family", "locus", "aln").join(count, "family").withColumn("own", F.pmod(F.xxhash64("locus"), F.col("s")).cast("int"))
+    bits = checkpoint(aligned.select("family", "locus", sites.packed(F.col("aln")).alias("x")).select("family", "locus", "x.bits", "x.n"))
+    rows = bits.join(count, "family").withColumn("own", F.pmod(F.xxhash64("locus"), F.col("s")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "locus", "aln")
+    rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "locus", "bits", "n")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part] if (same := part["p"].iloc[0] == part["q"].iloc[0]) else [part[part["own"] == part["p"]], part[part["own"] != part["p"]]]
-        width = int(part["aln"].str.len().max())
-        filled = [np.array([np.frombuffer(x.ljust(width, "-").encode(), "u1") != 45 for x in side["aln"]]).reshape(len(side), width) for side in sides]
-        x, y = filled[0], filled[-1]
-        names, others = sides[0]["locus"].to_numpy(), sides[-1]["locus"].to_numpy()
+        x, y = sides[0], sides[-1]
         both = np.zeros((len(x), len(y)), dtype=np.int64)
-        for k in range(0, width, COLUMNS):
-            both += np.rint(x[:, k : k + COLUMNS].astype(np.float32) @ y[:, k : k + COLUMNS].astype(np.float32).T).astype(np.int64)
+        wide = [side["bits"].str.len().to_numpy() for side in (x, y)]
+        for k in range(0, min(w.max(initial=0) for w in wide), COLUMNS // 8):
+            # Sequences that end before these columns have none in common with any.
+            at = [np.flatnonzero(w > k) for w in wide]
+            filled = []
+            for side, here in zip((x, y), at, strict=True):
+                held = np.zeros((len(here), COLUMNS // 8), dtype=np.uint8)
+                for i, b in enumerate(side["bits"].iloc[here]):
+                    b = b[k : k + COLUMNS // 8]
+                    held[i, : len(b)] = np.frombuffer(b, "u1")
+                filled.append(np.unpackbits(held, axis=1).astype(np.float32))
+            both[np.ix_(*at)] += np.rint(filled[0] @ filled[1].T).astype(np.int64)
+        names, others = x["locus"].to_numpy(), y["locus"].to_numpy()
         i, j = np.triu_indices(len(x), 1) if same else (k.ravel() for k in np.indices(both.shape))
-        m, n = x.sum(axis=1).astype(np.int64), y.sum(axis=1).astype(np.int64)
+        m, n = x["n"].to_numpy().astype(np.int64), y["n"].to_numpy().astype(np.int64)
         turn = names[i] > others[j]
         similar = (both[i, j] >= share * m[i]) & (both[i, j] >= share * n[j])
         return pd.DataFrame({"family": part["family"].iloc[0], "a": np.where(turn, others[j], names[i]), "b": np.where(turn, names[i], others[j]), "both": both[i, j], "similar": similar})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,26 @@ def test_codons_follow_proteins(spark):
     got = {r.locus: r.aln for r in alignment.back_translate(df).collect()}
     assert got == {"a": "ATGGCTAAATAA", "b": "ATG---AAATAA", "c": "", "d": "ATGTAA"}
     assert {r.locus: r.aln for r in alignment.back_translate(df.where("locus != 'c'"), alignment.center_star).collect()} == {k: v for k, v in got.items() if k != "c"}
+
+
+def test_gaps_at_the_end_are_not_dealt_out(spark):
+    rows = [("f", "l1", "g1", "AC-"), ("f", "l2", "g1", "A-C"), ("f", "l3", "g1", "ACG"), ("f", "l4", None, "---"), ("f", "l5", "g2", "A C"), ("f", "l6", "g2", "A- "), ("e", "l7", "g2", ""), ("f", "l8", "g3", "AC-")]
+    df = spark.createDataFrame(rows, "family string, locus string, genome string, aln string")
+    slim = {r["locus"]: (r["aln"], r["_width"]) for r in alignment.slim(df).collect()}
+    assert slim == {"l1": ("AC", 3), "l2": ("A-C", 3), "l3": ("ACG", 3), "l4": ("", 3), "l5": ("A C", 3), "l6": ("A- ", 3), "l7": ("", 0), "l8": ("AC", 3)}
+    assert {r["locus"]: r["aln"] for r in alignment.full(alignment.slim(df)).collect()} == {r[1]: r[3] for r in rows}
+    best = {(r["family"], r["genome"]): (r["locus"], r["aln"], r["n"]) for r in alignment.longest_per_genome(df).collect()}
+    assert best == {("f", "g1"): ("l3", "ACG", 3), ("f", None): ("l4", "---", 1), ("f", "g2"): ("l5", "A C", 2), ("e", "g2"): ("l7", "", 1), ("f", "g3"): ("l8", "AC-", 1)}
+    unique = {(r["family"], r["seq_id"], r["aln"], r["genome"]) for r in alignment.unique_sequences(df.where("genome is not null")).collect()}
+    assert unique == {("f", 1, "AC-", "g1"), ("f", 1, "AC-", "g3"), ("f", 2, "A-C", "g1"), ("f", 3, "ACG", "g1"), ("f", 4, "A C", "g2"), ("f", 5, "A- ", "g2"), ("e", 1, "", "g2")}
+
+
+def test_overlaps_past_the_first_columns(spark):
+    """Columns in several steps, sequences that end before them, and blocks of a family."""
+    rng = np.random.default_rng(3)
+    rows = [("f", f"l{k:04}", "".join(rng.choice(list("A-"), int(n)))) for k, n in enumerate(rng.integers(0, 20_000, 40))]
+    width = max(len(x) for *_, x in rows)
+    df = spark.createDataFrame([(f, x, a.ljust(width, "-")) for f, x, a in rows], "family string, locus string, aln string")
+    held = {x: {i for i, c in enumerate(a) if c != "-"} for _, x, a in rows}
+    got = {(r["a"], r["b"]): r["both"] for r in alignment.column_overlaps(df).collect()}
+    assert got == {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b}
