@@ -9,12 +9,14 @@ landmarks only, so a tree of over WHOLE genomes fits the noise in them less clos
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.names import Turns, checkpoint
+from strandline.functions.names import Turns, checkpoint, numbered
 
 #: Genomes of a problem that are joined in one task; landmarks of a larger one; other genomes that a task finds places for.
 WHOLE, LANDMARKS, PART = 1000, 512, 2000
@@ -141,11 +143,63 @@ def tree_edges(distance_rows: DataFrame, whole: int = WHOLE, landmarks: int = LA
     Genomes at no distance from one with a smaller name, itself at none from a smaller, are joined to it by an edge of no
     length. One genome gives no edge. A task holds at most `whole` genomes and their distances, or `landmarks` and PART.
     """
-    spark = distance_rows.sparkSession
     far = checkpoint(distance_rows.select("g1", "g2", F.col("d").cast("double").alias("d")).where("g1 != g2"))
     least = far.groupBy("g1").agg(F.least(F.first("g1"), F.min(F.when(F.col("d") <= 0, F.col("g2")))).alias("same"))
     firsts = least.where("g1 = same").select(F.col("g1").alias("same"))
     same = checkpoint(least.join(firsts.withColumn("is_first", F.lit(True)), "same", "left").select(F.col("g1").alias("genome"), F.when(F.col("is_first"), F.col("same")).otherwise(F.col("g1")).alias("same")))
+
+    def known(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        wanted = rows.join(marks.withColumnRenamed("genome", "g2"), "problem").where("genome != g2").withColumnRenamed("genome", "g1")
+        # A lone genome has no distances, and no edges.
+        each = wanted.join(far, ["g1", "g2"]).groupBy("problem", F.col("g1").alias("genome"), "mark").agg(F.collect_list(F.struct("g2", "d")).alias("far"))
+        return each.select("problem", "genome", "mark", F.col("far.g2").alias("to"), F.col("far.d").alias("far"))
+
+    return _rounds(same, known, solved, whole, landmarks)
+
+
+def tree_of(present: DataFrame, whole: int = WHOLE, landmarks: int = LANDMARKS) -> DataFrame:
+    """The tree_edges() of tools.distances(present) for present (genome, threshold, allele), without the table of all pairs.
+
+    Genomes with equal alleles are those at no distance. Each task counts what its genomes and landmarks differ by.
+    """
+    rows = present.select("genome", F.concat_ws("|", F.col("threshold").cast("string"), "allele").alias("a")).distinct()
+    ids = numbered(rows.select("a").distinct(), "n", F.col("a"))
+    sets = checkpoint(rows.join(ids, "a").groupBy("genome").agg(F.array_sort(F.collect_list("n")).alias("ids")))
+    least = sets.groupBy("ids").agg(F.min("genome").alias("same"))
+    same = checkpoint(sets.join(least, "ids").select("genome", "same"))
+
+    def known(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        alone = marks.groupBy("problem").count().where("count > 1").select("problem")
+        return rows.join(alone, "problem", "left_semi").join(sets, "genome").select("problem", "genome", "mark", "ids")
+
+    return _rounds(same, known, _solved_sets, whole, landmarks)
+
+
+def _solved_sets(part: pd.DataFrame) -> pd.DataFrame:
+    """solved() of sets of alleles (ids): the distance of two is how many alleles just one of them has."""
+    marks = part[part["mark"]]
+    names = marks["genome"].to_numpy()
+    sizes = marks["ids"].str.len().to_numpy()
+    # The landmarks' alleles in order, and which landmark each is of.
+    held = np.concatenate(marks["ids"].to_list())
+    whose = np.repeat(np.arange(len(names)), sizes)
+    order = np.argsort(held, kind="stable")
+    held, whose = held[order], whose[order]
+    to, far = [], []
+    for g, ids in zip(part["genome"], part["ids"], strict=True):
+        a, b = np.searchsorted(held, ids, "left"), np.searchsorted(held, ids, "right")
+        n = b - a
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d = len(ids) + sizes - 2 * np.bincount(whose[at], minlength=len(names))
+        others = names != g
+        to.append(names[others])
+        far.append(d[others].astype(float))
+    return solved(part.drop(columns="ids").assign(to=to, far=far))
+
+
+def _rounds(same: DataFrame, known: Callable, solve: Callable, whole: int, landmarks: int) -> DataFrame:
+    """The edges of genomes (genome, same), with same the one at no distance that stands for it; known(rows, marks) gives what solve() takes of each."""
+    spark = same.sparkSession
     twins = same.where("genome != same").select(F.concat(F.lit("="), "same").alias("x"), F.concat(F.lit("="), "genome").alias("y"), F.lit(0.0).alias("length"))
     members = same.where("genome = same").select(F.lit("t").alias("problem"), "genome")
     problems = spark.createDataFrame([("t", *[None] * 6)], PROBLEM)
@@ -159,14 +213,10 @@ def tree_edges(distance_rows: DataFrame, whole: int = WHOLE, landmarks: int = LA
         marks = turns.put(drawn.unionByName(ends))
         others = members.join(marks, ["problem", "genome"], "left_anti").withColumn("mark", F.lit(False))
         rows = others.unionByName(marks.withColumn("mark", F.lit(True)))
-        wanted = rows.join(marks.withColumnRenamed("genome", "g2"), "problem").where("genome != g2").withColumnRenamed("genome", "g1")
-        # A lone genome has no distances, and no edges.
-        known = wanted.join(far, ["g1", "g2"]).groupBy("problem", F.col("g1").alias("genome"), "mark").agg(F.collect_list(F.struct("g2", "d")).alias("far"))
-        known = known.select("problem", "genome", "mark", F.col("far.g2").alias("to"), F.col("far.d").alias("far"))
         last = F.floor((F.greatest(F.col("n"), F.lit(1)) - 1) / F.lit(PART)).cast("int")
-        parts = known.join(sizes.withColumn("last", last).drop("n"), "problem")
+        parts = known(rows, marks).join(sizes.withColumn("last", last).drop("n"), "problem")
         parts = parts.withColumn("part", F.explode(F.when(F.col("mark"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.pmod(F.xxhash64("genome", F.lit("part")), F.col("last") + 1).cast("int")))))
-        made = turns.put(parts.drop("last").join(problems, "problem").groupBy("problem", "part").applyInPandas(solved, EDGE))
+        made = turns.put(parts.drop("last").join(problems, "problem").groupBy("problem", "part").applyInPandas(solve, EDGE))
         edges, members = made.where("kind = 'edge'"), made.where("kind = 'genome'").select("problem", "genome")
         full = members.select("problem").distinct()
         done.append(edges.join(full, "problem", "left_anti").select("x", "y", "length"))

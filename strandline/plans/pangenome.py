@@ -146,7 +146,7 @@ def write(made: dict[str, DataFrame], path: str, cfg: Config | None = None) -> l
         "edges": lambda at: sinks.tsv(graph.edge_lines(made["edges"]), at, header=False),
         "gfa": lambda at: sinks.text(graph.gfa(made["nodes"], made["links"]).orderBy("part", "name"), F.col("line"), at),
         "ordered_table": lambda at: sinks.family_table(made["ordered_table"], cells, at, genomes),
-        "tree": lambda at: sinks.text(joining.newick(joining.tree_edges(tools.distances(by_family)), by_family), F.col("newick"), at),
+        "tree": lambda at: sinks.text(joining.newick(joining.tree_of(by_family), by_family), F.col("newick"), at),
         "loci_list": lambda at: sinks.loci_list(loci, at),
         "categories": lambda at: made["categories"] is not None and sinks.paralog_categories(made["categories"], made["categories"].select("family").distinct(), at),
         "coords": lambda at: sinks.coords(made["coords"], at),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
-from strandline.functions.names import gene_root, genome_name, locus_name, padded
-from strandline.operators import alignment, clustering, families, joining, paralogs, tools
+from strandline.functions.names import checkpoint, gene_root, genome_name, locus_name, padded
+from strandline.operators import alignment, clustering, families, joining, paralogs
 from strandline.plans.projections import LIST, categories, clusters, documents, loci, loci_list, sql, table
 from strandline.sources import gff
 
@@ -230,5 +230,5 @@ def _coding(s, d):
 @query("tree_fasttree", [], None)
 def tree_fasttree(s, d):
     """One row with the tree of all genomes, from the families that they have."""
-    rows = loci_list(s, d)
-    return joining.newick(joining.tree_edges(tools.distances(rows)), rows)
+    rows = checkpoint(loci_list(s, d))
+    return joining.newick(joining.tree_of(rows), rows)

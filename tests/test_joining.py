@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from strandline.operators import joining, trees
+from strandline.operators import joining, tools, trees
 
 
 def random_tree(n, shape, seed):
@@ -109,3 +109,19 @@ def test_noise(spark):
     sets = (x[:, None] ^ x[None]).sum(axis=2)
     got = along([tuple(e) for e in joining.tree_edges(table(spark, sets, names), 20, 8).collect()], names)
     assert not np.isnan(got).any()
+
+
+def test_trees_of_sets_without_all_pairs(spark, monkeypatch):
+    """As from the distances of all pairs, over several rounds, with equal genomes; that table is not asked for."""
+    rng = random.Random(8)
+    sets = {f"g{k:02}": {rng.randrange(40) for _ in range(15)} for k in range(60)}
+    sets |= {"g90": sets["g07"], "g91": sets["g07"]}
+    df = spark.createDataFrame([(g, 50 + a % 2, f"a{a // 2}") for g, x in sets.items() for a in x], "genome string, threshold int, allele string")
+    pairs = spark.createDataFrame([(g, h, len(sets[g] ^ sets[h])) for g in sets for h in sets], "g1 string, g2 string, d long")
+    monkeypatch.setattr(joining, "PART", 20)
+    want = {tuple(r) for r in joining.tree_edges(pairs, 30, 12).collect()}
+    monkeypatch.setattr(tools, "distances", None)
+    assert {tuple(r) for r in joining.tree_of(df, 30, 12).collect()} == want
+    one = df.where("genome = 'g01'")
+    assert joining.tree_of(one).count() == 0
+    assert joining.newick(joining.tree_of(one), one).first()[0] == "g01;"
