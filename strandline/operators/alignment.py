@@ -204,7 +204,7 @@ def _letters(aln: Column, gaps: str) -> Column:
 
 def slim(aligned: DataFrame) -> DataFrame:
     """aligned with its gaps at the end left out, and the whole length as _width: what is dealt out and sorted follows the letters, not the families' widths."""
-    # One pass over runs of gaps; trimming by letters takes many times as long.
+    # One pass over runs of gaps.
     return aligned.withColumns({"_width": F.length("aln"), "aln": F.regexp_replace("aln", r"(?<!-)-++\z", "")})
 
 
