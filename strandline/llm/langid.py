@@ -25,6 +25,8 @@ SAMPLE, VOCABULARY, GRAMS, LONGEST = 3000, 20_000, 10_000, 4
 LEAST_COUNT = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: No letters; what mostly stands at the ends of words.
+MARKS = ".,;:!?\"'()[]*#$%&|<>-"
 CACHE = 1 << 17
 
 
@@ -109,6 +111,7 @@ class Scorer:
         for x, k in self.words.items():
             self.rows[k] = model.tables[0][x]
         self.grams = [{g: tuple(v.tolist()) for g, v in t.items()} for t in model.tables]
+        self._coded()
         self.clear()
 
     def clear(self) -> None:
@@ -118,27 +121,82 @@ class Scorer:
     def unknown(self, word: str) -> list[float]:
         """As Model.word() of a word that the model doesn't know."""
         for n in range(self.model.longest, 0, -1):
-            table = self.grams[n]
-            if got := [table[g] for g in grams_of(word, n) if g in table]:
+            if got := list(filter(None, map(self.grams[n].get, grams_of(word, n)))):
                 return [sum(x) / n for x in zip(*got, strict=True)]
         return [0.0] * len(self.model.langs)
 
-    def place(self, string: str) -> int:
-        """The row of a string's score: the sum of its words' scores; 0 if there is none."""
-        found = words_of(string)
-        if len(found) == 1 and found[0] in self.words:
-            k = self.words[found[0]]
-        elif not (found := [w for w in found if any(map(str.isalpha, w))]):
-            k = 0
-        else:
-            if self.used == len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            k, self.used = self.used, self.used + 1
-            self.rows[k] = 0
-            for w in found:
-                self.rows[k] += self.rows[self.words[w]] if w in self.words else self.unknown(w)
-        self.number[string] = k
-        return k
+    def _coded(self) -> None:
+        """The known n-grams as sorted numbers, with their scores: letters count from 1, so that 0 stands for all others."""
+        letters = sorted({x for t in self.grams[1:] for g in t for x in g} | set("<>"))
+        self.code = np.zeros(ord(letters[-1]) + 2, dtype=np.int64)
+        self.code[[ord(x) for x in letters]] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        self.coded = self.base**self.model.longest < 1 << 62
+        self.keys, self.scores = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(self.model.langs)))]
+        for n in range(1, self.model.longest + 1 if self.coded else 0):
+            found = list(self.grams[n])
+            key = self._numbers("".join(found), n)[::n] if found else np.zeros(0, dtype=np.int64)
+            order = np.argsort(key)
+            self.keys.append(key[order])
+            self.scores.append(np.array([self.grams[n][g] for g in found]).reshape(len(found), -1)[order])
+
+    def _numbers(self, text: str, n: int) -> np.ndarray:
+        """A number for the n letters from each place of text."""
+        of = self.code[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(self.code) - 1)]
+        size = max(0, len(of) - n + 1)
+        out = np.zeros(size, dtype=np.int64)
+        for t in range(n):
+            out *= self.base
+            out += of[t : t + size]
+        return out
+
+    def unknown_all(self, words: list[str]) -> np.ndarray:
+        """unknown() of each word. No n-gram of the model reaches over the marks between two words."""
+        if not self.coded:
+            return np.array([self.unknown(w) for w in words])
+        out, left = np.zeros((len(words), len(self.model.langs))), np.arange(len(words))
+        for n in range(self.model.longest, 0, -1):
+            if not len(left) or not len(self.keys[n]):
+                continue
+            marked = [f"<{words[k]}>" if n > 1 else words[k] for k in left.tolist()]
+            key = self._numbers("".join(marked), n)
+            at = np.searchsorted(self.keys[n], key)
+            hit = np.flatnonzero(self.keys[n][np.minimum(at, len(self.keys[n]) - 1)] == key)
+            if not len(hit):
+                continue
+            of = np.repeat(np.arange(len(left)), [len(x) for x in marked])[hit]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            out[left[of[first]]] = np.add.reduceat(self.scores[n][at[hit]], first, axis=0) / n
+            left = np.delete(left, of[first])
+        return out
+
+    def place_all(self, strings: list[str]) -> None:
+        """Gives each string the row of its score, the sum of its words' scores; 0 if there is none."""
+        alone, rows = [], []
+        for string in strings:
+            word = string.lower().strip(MARKS)  # most strings are one word and a mark
+            if (k := self.words.get(word)) is not None:
+                self.number[string] = k
+                continue
+            found = [word] if word.isalpha() else [w for w in words_of(string) if any(map(str.isalpha, w))]
+            if len(found) == 1 and found[0] in self.words:
+                k = self.words[found[0]]
+            elif not found:
+                k = 0
+            else:
+                if self.used == len(self.rows):
+                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+                k, self.used = self.used, self.used + 1
+                if len(found) == 1:
+                    alone.append(found[0])
+                    rows.append(k)
+                else:
+                    self.rows[k] = 0
+                    for w in found:
+                        self.rows[k] += self.rows[self.words[w]] if w in self.words else self.unknown(w)
+            self.number[string] = k
+        if alone:
+            self.rows[rows] = self.unknown_all(alone)
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability."""
@@ -149,7 +207,8 @@ class Scorer:
         counts = Counter(text.split())
         at = list(map(self.number.get, counts))
         if None in at:
-            at = [self.place(x) if k is None else k for x, k in zip(counts, at, strict=True)]
+            self.place_all([x for x, k in zip(counts, at, strict=True) if k is None])
+            at = list(map(self.number.get, counts))
         if not any(at):
             return UNKNOWN, 0.0
         total = np.fromiter(counts.values(), dtype=np.float64, count=len(at)) @ self.rows[at]
