@@ -15,6 +15,10 @@ from strandline.operators import families, filters
 
 #: Genomes of a tile, and alleles that a product of two tiles takes at once.
 TILE, ALLELES = 512, 8192
+#: Tiles that a genome is sent to before tiles grow, their most genomes, partitions of products, and pairs of a batch of rows.
+TILES, WIDEST, PRODUCTS, ROWS = 64, 2048, 2048, 1 << 16
+#: Distances that one task holds to put lines together.
+LINE_CELLS = 1 << 26
 
 
 def names_of(rows: DataFrame, column: str) -> list[str]:
@@ -68,28 +72,50 @@ def paralog_rtab(loci: DataFrame, categories: DataFrame, kind: str = "ff", binar
     return counts.join(in_range.select("threshold", "allele"), ["threshold", "allele"], "left_semi")
 
 
+def _allele_sets(present: DataFrame) -> tuple[DataFrame, int]:
+    """(genome, ids, _n): each genome's alleles as numbers in order and its own number from 0; how many genomes there are."""
+    rows = present.select("genome", F.concat_ws("|", F.col("threshold").cast("string"), "allele").alias("a")).distinct()
+    ids = numbered(rows.select("a").distinct(), "n", F.col("a")).withColumn("n", F.col("n").cast("int"))
+    sets = rows.join(ids, "a").groupBy("genome").agg(F.array_sort(F.collect_list("n")).alias("ids"))
+    sets = checkpoint(numbered(sets, "_n", F.col("genome")).withColumn("_n", (F.col("_n") - 1).cast("int")))
+    return sets, sets.count()
+
+
+def _ones(ids: list[np.ndarray], begin: int, end: int) -> np.ndarray:
+    """Sets as rows of ones and zeros, of the alleles from begin to before end."""
+    out = np.zeros((len(ids), end - begin), dtype=np.float32)
+    for k, x in enumerate(ids):
+        a, b = np.searchsorted(x, (begin, end))
+        out[k, x[a:b] - begin] = 1
+    return out
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many alleles each two sets of x and y have in common."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    most = 1 + min(max(int(s[-1]) for s in side) for side in (x, y))
+    for begin in range(0, most, ALLELES):
+        end = min(most, begin + ALLELES)
+        out += np.rint(_ones(x, begin, end) @ _ones(y, begin, end).T).astype(np.int64)
+    return out
+
+
 def distances(present: DataFrame, similarity: bool = False, tile: int = TILE) -> DataFrame:
     """(g1, g2, d): for each two genomes how many alleles just one of them has, or with similarity how many both have.
 
     Genomes are dealt into tiles, and each two tiles are one product of their alleles as ones and zeros, some alleles at
-    a time; what only one has follows from the genomes' totals. Every pair of genomes has a row.
+    a time; what only one has follows from the genomes' totals. Every pair of genomes has a row. Tiles grow with the number
+    of genomes, up to WIDEST, so that a genome is sent to few tasks.
     """
-    rows = present.select("genome", F.concat_ws("|", F.col("threshold").cast("string"), "allele").alias("a")).distinct()
-    ids = numbered(rows.select("a").distinct(), "n", F.col("a"))
-    sets = rows.join(ids, "a").groupBy("genome").agg(F.array_sort(F.collect_list("n")).alias("ids"))
-    sets = checkpoint(numbered(sets, "_n", F.col("genome")).withColumn("own", F.floor((F.col("_n") - 1) / F.lit(tile)).cast("int")))
-    last = sets.agg(F.max("own")).first()[0]
-    if last is None:
+    sets, n = _allele_sets(present)
+    if not n:
         return present.sparkSession.createDataFrame([], "g1 string, g2 string, d long")
-    both = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    both = both.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "genome", "ids").repartition("p", "q").sortWithinPartitions("p", "q", "own", "genome")
-
-    def ones(ids: list[np.ndarray], begin: int) -> np.ndarray:
-        out = np.zeros((len(ids), ALLELES), dtype=np.float32)
-        for k, x in enumerate(ids):
-            a, b = np.searchsorted(x, (begin, begin + ALLELES))
-            out[k, x[a:b] - begin] = 1
-        return out
+    tile = max(tile, min(WIDEST, -(-n // TILES)))
+    tiles = -(-n // tile)
+    sets = sets.withColumn("own", F.floor(F.col("_n") / F.lit(tile)).cast("int"))
+    both = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    # As many partitions as there are products, which are few bytes and much work: adaptive plans would put them together by their bytes.
+    both = both.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "genome", "ids").repartition(min(tiles * (tiles + 1) // 2, PRODUCTS), "p", "q").sortWithinPartitions("p", "q", "own", "genome")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
@@ -97,18 +123,19 @@ def distances(present: DataFrame, similarity: bool = False, tile: int = TILE) ->
         def told() -> Iterator[pa.RecordBatch]:
             same = at[0] == at[1]
             x, y = sides[0], sides[0] if same else sides[1]
-            shared = np.zeros((len(x), len(y)), dtype=np.int64)
-            most = max(int(r[1][-1]) for r in (*x, *y))
-            for begin in range(0, most + 1, ALLELES):
-                shared += np.rint(ones([r[1] for r in x], begin) @ ones([r[1] for r in y], begin).T).astype(np.int64)
-            m, n = (np.array([len(r[1]) for r in side]) for side in (x, y))
-            d = shared if similarity else m[:, None] + n - 2 * shared
-            g2 = pa.array([r[0] for r in y], pa.string())
-            for k in range(len(x)):  # a genome against all of the other tile, in both directions
-                one = pa.array([x[k][0]] * len(y), pa.string())
-                yield pa.RecordBatch.from_arrays([one, g2, pa.array(d[k])], names=["g1", "g2", "d"])
+            d = _shared([r[1] for r in x], [r[1] for r in y])
+            if not similarity:
+                m, n = (np.array([len(r[1]) for r in side]) for side in (x, y))
+                d = m[:, None] + n - 2 * d
+            left, right = (pa.array([r[0] for r in side], pa.string()) for side in (x, y))
+            step = max(1, ROWS // len(y))
+            for k in range(0, len(x), step):  # some genomes against all of the other tile, in both directions
+                part = d[k : k + step]
+                one, two = left.take(pa.array(np.repeat(np.arange(k, k + len(part)), len(y)))), pa.concat_arrays([right] * len(part))
+                values = pa.array(part.ravel())
+                yield pa.RecordBatch.from_arrays([one, two, values], names=["g1", "g2", "d"])
                 if not same:
-                    yield pa.RecordBatch.from_arrays([g2, one, pa.array(d[k])], names=["g1", "g2", "d"])
+                    yield pa.RecordBatch.from_arrays([two, one, values], names=["g1", "g2", "d"])
             sides[0].clear(), sides[1].clear()
 
         for batch in batches:
@@ -124,6 +151,56 @@ def distances(present: DataFrame, similarity: bool = False, tile: int = TILE) ->
     return both.mapInArrow(compared, "g1 string, g2 string, d long")
 
 
+def distance_lines(present: DataFrame, cells: int = LINE_CELLS, sep: str = "\t") -> DataFrame:
+    """(genome, line): the distances() of each genome to all, in the order of their names, as one text; no pair is a row.
+
+    A task holds the distances of some genomes, `cells` of them at most or one genome's, and sees the others in order.
+    """
+    sets, n = _allele_sets(present)
+    if not n:
+        return present.sparkSession.createDataFrame([], "genome string, line string")
+    tile = max(1, min(WIDEST, cells // n))
+    tiles = -(-n // tile)
+    first = sets.select(F.floor(F.col("_n") / F.lit(tile)).cast("int").alias("p"), F.lit(0).alias("side"), "_n", "genome", "ids")
+    others = sets.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("p"), F.lit(1).alias("side"), "_n", F.lit(None).cast("string").alias("genome"), "ids")
+    both = first.unionByName(others).repartition(min(tiles, PRODUCTS), "p").sortWithinPartitions("p", "side", "_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, waiting, parts = None, [], [], []
+
+        def meet() -> None:
+            d = _shared([r[1] for r in own], waiting)
+            m, n = np.array([len(r[1]) for r in own]), np.array([len(x) for x in waiting])
+            parts.append((m[:, None] + n - 2 * d).astype(np.int32))
+            waiting.clear()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                meet()
+            for k, (genome, _) in enumerate(own):
+                line = sep.join([sep.join(map(str, x[k].tolist())) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array([genome], pa.string()), pa.array([line], pa.string())], names=["genome", "line"])
+            own.clear(), parts.clear()
+
+        for batch in batches:
+            lists = batch.column(4)
+            for k, (p, side, genome) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
+                if at is not None and p != at:
+                    yield from told()
+                at = p
+                ids = lists[k].values.to_numpy(zero_copy_only=False).copy()
+                if side == 0:
+                    own.append((genome, ids))
+                    continue
+                waiting.append(ids)
+                if len(waiting) == TILE:
+                    meet()
+        if at is not None:
+            yield from told()
+
+    return both.mapInArrow(run, "genome string, line string")
+
+
 def roary(table: DataFrame, n_loci: str = "no_loci") -> DataFrame:
     """The fixed columns, from the family table; lengths come from their own columns and the number of sequences is real."""
     return table.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import schemas
 from strandline.functions.sequences import wrapped
-from strandline.operators.tools import names_of, wide
+from strandline.operators.tools import distance_lines, names_of, wide
 
 
 def text(df: DataFrame, line, path: str, *by: str) -> None:
@@ -166,6 +166,12 @@ def matrix(rows: DataFrame, keys: list[str], column: str, path: str, value: str
     headed(grid, F.concat_ws("\t", *map(field, keys), "line"), "\t".join([*keys, *names]), path)
 
 
+def distances(present: DataFrame, path: str, key: str = "g1") -> None:
+    """The distances of all genomes to all as a wide table, a line for each genome; no pair is dealt out."""
+    names = names_of(present, "genome")
+    headed(distance_lines(present), F.concat_ws("\t", field("genome"), "line"), "\t".join([key, *names]), path)
+
+
 def roary(rows: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:
     """The quoted table: fourteen columns, then the genomes, whose fragments are listed like copies.
 

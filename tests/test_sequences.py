@@ -250,6 +250,24 @@ def test_distances_are_those_of_sets(spark):
     assert tools.distances(present.limit(0)).count() == 0
 
 
+def test_distances_of_many_genomes(spark, tmp_path, monkeypatch):
+    """Tiles grow, so that a genome is sent to few tasks, each product has its own; lines hold the same without a row for a pair."""
+    r = random.Random(5)
+    has = {f"g{k:02}": {f"a{j}" for j in range(30) if r.random() < 0.4} | {"a0"} for k in range(17)}
+    present = spark.createDataFrame([(g, 50, a) for g, s in has.items() for a in s], "genome string, threshold int, allele string")
+    monkeypatch.setattr(tools, "TILES", 4)
+    rows = tools.distances(present, tile=1)
+    assert rows.rdd.getNumPartitions() == 4 * 5 // 2
+    far = {(a, b): len(has[a] ^ has[b]) for a in has for b in has}
+    assert {(x["g1"], x["g2"]): x["d"] for x in rows.collect()} == far
+    monkeypatch.setattr(tools, "TILE", 5)
+    for cells in (1, 17 * 3, 1 << 20):
+        assert {x["genome"]: x["line"] for x in tools.distance_lines(present, cells).collect()} == {a: "\t".join(str(far[a, b]) for b in sorted(has)) for a in has}
+    assert tools.distance_lines(present.limit(0)).count() == 0
+    sinks.distances(present, at := str(tmp_path / "d"))
+    assert {(x["g1"], x["g2"], x["n"]) for x in tables.matrix(spark, at, 1, "g2").collect()} == {(a, b, str(d)) for (a, b), d in far.items()}
+
+
 def test_consistency(spark):
     c = spark.createDataFrame([(50, "1", "a"), (50, "2", "b"), (50, "3", "c"), (90, "m", "a"), (90, "m", "b"), (90, "n", "c")], "threshold int, cluster string, locus string")
     got = [(r["cluster"], r["kind"], r["error_group"]) for r in clustering.check_consistency(c).collect()]
