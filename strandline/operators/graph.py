@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.components import components
-from strandline.functions.names import checkpoint, numbered
+from strandline.functions.names import Turns, numbered
 
 
 def adjacent(features: DataFrame) -> DataFrame:
@@ -49,11 +47,14 @@ def edges(features: DataFrame) -> DataFrame:
     pairs = _neighbouring(features)
     leave = F.when(F.col("strand_before") == "+", "D").otherwise("U")
     enter = F.when(F.col("strand") == "+", "U").otherwise("D")
-    ways = F.array(
-        F.struct(F.col("before").alias("src"), leave.alias("src_side"), F.col("family").alias("dst"), enter.alias("dst_side")),
-        F.struct(F.col("family").alias("src"), enter.alias("src_side"), F.col("before").alias("dst"), leave.alias("dst_side")),
-    )
-    return pairs.select(F.explode(ways).alias("e")).select("e.*").groupBy("src", "src_side", "dst", "dst_side").agg(F.count("*").alias("weight"))
+    turn = F.col("family") < F.col("before")
+    # A link is counted in one spelling, and has its second after that: half as much is dealt out.
+    once = pairs.select(
+        F.least("before", "family").alias("src"), F.when(turn, enter).otherwise(leave).alias("src_side"),
+        F.greatest("before", "family").alias("dst"), F.when(turn, leave).otherwise(enter).alias("dst_side"))
+    once = once.groupBy("src", "src_side", "dst", "dst_side").agg(F.count("*").alias("weight"))
+    ways = F.array(F.struct("src", "src_side", "dst", "dst_side"), F.struct(F.col("dst").alias("src"), F.col("dst_side").alias("src_side"), F.col("src").alias("dst"), F.col("src_side").alias("dst_side")))
+    return once.select(F.explode(ways).alias("e"), "weight").select("e.*", "weight")
 
 
 def canonical_links(features: DataFrame) -> DataFrame:
@@ -103,43 +104,63 @@ def block_links(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return same.where("src < dst").select(F.col("src").alias("a"), F.col("src_side").alias("a_side"), F.col("dst").alias("b"), F.col("dst_side").alias("b_side"))
 
 
+def laid(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, path, before, n, turned): nodes (node, n) in a row along links (a, a_side, b, b_side), which are seen from both ends.
+
+    A side, 0 or 1, has one link at most, so nodes lie on paths and rings; who enters by one side leaves by the other. A path
+    is named by its smallest node and begins at the smaller of its ends; a ring begins at its smallest node, which is left by
+    side 1. `before` is the sum of n of the nodes before; those left by side 0 are turned.
+
+    Steps, from each node by each side, are doubled: after k rounds a row knows what the next 2^k nodes are. Rounds are joins, as
+    many as the longest path's logarithm, and no task sees a path.
+    """
+    turns = Turns(links.sparkSession, 2)
+    sides = sizes.select("node", F.col("n").cast("long").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    ways = links.select(F.col("a").alias("node"), F.col("a_side").alias("side"), F.col("b").alias("to"), (1 - F.col("b_side")).alias("to_side"))
+    # low: the smallest node of those seen, and the side that it is left by; far: the n up to it; gone: the n of all that were seen;
+    # end: the last node, where nothing follows.
+    now = turns.put(sides.join(ways, ["node", "side"], "left").select(
+        "node", "side", "n", "to", "to_side", F.col("node").alias("low"), F.col("side").alias("low_side"), F.col("n").alias("far"), F.col("n").alias("gone"),
+        F.when(F.col("to").isNull(), F.col("node")).alias("end"), F.lit(True).alias("new")))
+    # Rings have no end: when no row of theirs sees a smaller node in a step twice as long, each has seen the smallest.
+    while now.where("to is not null").limit(1).count() and now.where("new").limit(1).count():
+        there = now.select(F.col("node").alias("to"), F.col("side").alias("to_side"), *(F.col(c).alias(f"_{c}") for c in ("to", "to_side", "low", "low_side", "far", "gone", "end")))
+        less = F.col("_low") < F.col("low")
+        better = lambda mine, other: F.when(less, other).otherwise(mine)  # noqa: E731, B023
+        stepped = now.where("to is not null").join(there, ["to", "to_side"]).select(
+            "node", "side", "n", F.col("_to").alias("to"), F.col("_to_side").alias("to_side"), F.least("low", "_low").alias("low"), better(F.col("low_side"), F.col("_low_side")).alias("low_side"),
+            better(F.col("far"), F.col("gone") + F.col("_far")).alias("far"), (F.col("gone") + F.col("_gone")).alias("gone"), F.col("_end").alias("end"), (less | F.col("_end").isNotNull()).alias("new"))
+        now = turns.put(now.where("to is null").withColumn("new", F.lit(False)).unionByName(stepped))
+    one, two = (now.where(f"side = {k}").select("node", *(["n"] if k else []), *(F.col(c).alias(f"{c}{k}") for c in ("low", "low_side", "far", "gone", "end"))) for k in (0, 1))
+    ring = F.col("end0").isNull()
+    turned = F.when(ring, F.col("low_side0") == 1).otherwise(F.col("end1") < F.col("end0"))
+    back = F.when(F.col("turned"), F.when(ring, F.col("far1")).otherwise(F.col("gone1"))).otherwise(F.when(ring, F.col("far0")).otherwise(F.col("gone0")))
+    both = one.join(two, "node").withColumn("turned", turned)
+    return both.select("node", F.least("low0", "low1").alias("path"), (back - F.col("n")).alias("before"), "n", "turned")
+
+
+def _laid_families(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """laid() of families along block links; U is side 0, D is side 1."""
+    number = lambda c: F.when(F.col(c) == "D", 1).otherwise(0).alias(c)
+    links = block_links(edge_rows, nodes).select("a", number("a_side"), "b", number("b_side"))
+    back = links.select(F.col("b").alias("a"), F.col("b_side").alias("a_side"), F.col("a").alias("b"), F.col("a_side").alias("b_side"))
+    return laid(checkpointed(links.unionByName(back)), nodes.select(F.col("family").alias("node"), F.lit(1).alias("n")))
+
+
 def blocks(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(family, block): block is the smallest family that block links reach; a family without any is its own."""
-    found = components(block_links(edge_rows, nodes).select("a", "b"))
-    return nodes.select("family").join(found.withColumnRenamed("node", "family"), "family", "left").select("family", F.coalesce("component", "family").alias("block"))
+    return _laid_families(edge_rows, nodes).select(F.col("node").alias("family"), F.col("path").alias("block"))
 
 
 def block_paths(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(block, family, ord, reversed): each block as a path from its smaller end; a ring begins at its smallest family.
+    """(block, family, ord, reversed): each block as a path from its smaller end; a ring begins at its smallest family."""
+    rows = _laid_families(edge_rows, nodes)
+    return rows.select(F.col("path").alias("block"), F.col("node").alias("family"), (F.col("before") + 1).cast("int").alias("ord"), F.col("turned").alias("reversed"))
 
-    A block is a path or a ring, as each end has one link at most, so a group of the pandas step is one block.
-    """
-    links = block_links(edge_rows, nodes)
-    where = blocks(edge_rows, nodes)
-    ends = links.select("a", "a_side", "b", "b_side").unionByName(links.select(F.col("b").alias("a"), F.col("b_side").alias("a_side"), F.col("a").alias("b"), F.col("a_side").alias("b_side")))
-    rows = where.join(ends.withColumnRenamed("a", "family"), "family", "left")
-
-    def path(part: pd.DataFrame) -> pd.DataFrame:
-        step = {(r.family, r.a_side): (r.b, r.b_side) for r in part.itertuples() if isinstance(r.b, str)}
-        names = sorted(set(part["family"]))
-        ends_ = [n for n in names if ((n, "U") in step) + ((n, "D") in step) < 2]
-        at = (ends_ or names)[0]
-        side, out, seen = ("U" if (at, "U") in step and (at, "D") not in step else "D"), [], set()
-        while at not in seen:
-            seen.add(at)
-            out.append((part["block"].iloc[0], at, len(out) + 1, side == "U"))
-            if (at, side) not in step:
-                break
-            at, entered = step[at, side]
-            side = "D" if entered == "U" else "U"
-        return pd.DataFrame(out, columns=["block", "family", "ord", "reversed"])
-
-    return rows.groupBy("block").applyInPandas(path, "block string, family string, ord int, reversed boolean")
-
-
-def checkpointed(paths: DataFrame) -> DataFrame:
-    """Paths are used several times by what follows, and come from a kernel: they are written once."""
-    return checkpoint(paths)
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows that are used several times by what follows: they are written once, as a table whose size Spark knows."""
+    return Turns(rows.sparkSession, 1).put(rows)
 
 
 def ranked_blocks(block_rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -188,42 +209,23 @@ def reciprocal(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> Data
     return led.join(back, ["block", "end", "other", "other_end"], "left_semi")
 
 
+def _laid_blocks(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """laid() of blocks along their reciprocal ends, with how many families they have."""
+    ends = reciprocal(edge_rows, nodes, paths).select(F.col("block").alias("a"), F.col("end").alias("a_side"), F.col("other").alias("b"), F.col("other_end").alias("b_side"))
+    return laid(checkpointed(ends), paths.groupBy(F.col("block").alias("node")).agg(F.max("ord").alias("n")))
+
+
 def joined_blocks(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(block, joined): blocks that reciprocal ends join, over any number of hops, under their smallest block."""
-    found = components(reciprocal(edge_rows, nodes, paths).select(F.col("block").alias("a"), F.col("other").alias("b")))
-    return paths.select("block").distinct().join(found.withColumnRenamed("node", "block"), "block", "left").select("block", F.coalesce("component", "block").alias("joined"))
+    return _laid_blocks(edge_rows, nodes, paths).select(F.col("node").alias("block"), F.col("path").alias("joined"))
 
 
 def connected_paths(edge_rows: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(block, family, ord, reversed): as block_paths(), of what reciprocal ends connect to one path, named by its smallest block.
 
-    A path begins at its smaller end, a ring at its smallest block, which keeps its direction. As each end has one link
-    at most, a group of the pandas step is one path of blocks.
+    A path begins at its smaller end, a ring at its smallest block, which keeps its direction.
     """
-    ends = reciprocal(edge_rows, nodes, paths)
-    where = joined_blocks(edge_rows, nodes, paths)
-    size = paths.groupBy("block").agg(F.max("ord").alias("n"))
-    rows = where.join(size, "block").join(ends, "block", "left")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        step = {(r.block, int(r.end)): (r.other, int(r.other_end)) for r in part.itertuples() if isinstance(r.other, str)}
-        size = dict(zip(part["block"], part["n"], strict=True))
-        names = sorted(size)
-        open_ = [n for n in names if ((n, 0) in step) + ((n, 1) in step) < 2]
-        at = (open_ or names)[0]
-        leave = 0 if open_ and (at, 0) in step else 1
-        out, before, seen = [], 0, set()
-        while at not in seen:
-            seen.add(at)
-            out.append((part["joined"].iloc[0], at, before, int(size[at]), leave == 0))
-            before += int(size[at])
-            if (at, leave) not in step:
-                break
-            at, entered = step[at, leave]
-            leave = 1 - entered
-        return pd.DataFrame(out, columns=["joined", "block", "before", "n", "turned"])
-
-    placed = rows.groupBy("joined").applyInPandas(walk, "joined string, block string, before int, n int, turned boolean")
+    placed = _laid_blocks(edge_rows, nodes, paths).select(F.col("node").alias("block"), F.col("path").alias("joined"), "before", "n", "turned")
     ord_ = F.col("before") + F.when(F.col("turned"), F.col("n") + 1 - F.col("ord")).otherwise(F.col("ord"))
     return paths.join(placed, "block").select(F.col("joined").alias("block"), "family", ord_.cast("int").alias("ord"), (F.col("reversed") != F.col("turned")).alias("reversed"))
 

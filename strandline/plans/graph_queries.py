@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from strandline.functions.names import shared_folder
+from strandline.functions.names import padded, shared_folder
 from strandline.operators import families as fam
 from strandline.operators import graph
 from strandline.plans.projections import FEATURES, LIST, categories, features, info, loci_list, sql, table
 from strandline.sources import sinks
 
 QUERIES, SQL = {}, {}
+# Contigs of a partition.
+CONTIGS = 200_000
 
 
 def query(name: str, parts: list[str], select: str | None, recursive: bool = False):
@@ -55,15 +57,18 @@ def synteny(s, d):
     segments some genomes lack a family, have four turned round, have the contig twice over, or a family inserted that
     is the same everywhere.
     """
-    of = table(s, d, "orders").select(F.col("o_custkey").alias("c"), F.expr("o_orderkey div 50").alias("s")).distinct()
-    rows = of.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11)))).where("not (s % 3 = 0 and c % 5 = 0 and j = 6)")
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("c"), F.expr("o_orderkey div 50").alias("s"))
+    parts = max(s.sparkContext.defaultParallelism, orders.count() // CONTIGS)
+    # Contigs of a name lie together: neighbours are found where they are, and links of a segment counted before they are dealt out.
+    of = orders.select("c", "s", F.concat(F.lit("u"), F.col("c").cast("string")).alias("genome"), F.concat(F.lit("k"), F.col("s").cast("string")).alias("contig")).repartition(parts, "contig").dropDuplicates(["genome", "contig"])
+    of = of.withColumn("segment", F.concat(F.lit("s"), padded(F.col("s"), 4), F.lit("_")))
+    rows = of.withColumn("j", F.explode(F.expr("sequence(0, if(s % 4 = 0 and c % 3 = 0, 12, 11))"))).where("not (s % 3 = 0 and c % 5 = 0 and j = 6)")
     turned = F.expr("s % 3 = 1 and c % 7 = 0 and j between 4 and 7")
-    rows = rows.withColumn("again", F.explode(F.expr("if(s % 3 = 2 and c % 4 = 0, array(0, 40), array(0))")))
-    pos = F.when(turned, 22 - 2 * F.col("j")).otherwise(2 * F.col("j")) + F.col("again")
-    family = F.format_string("s%04d_%02d", "s", "j")
-    genes = rows.select("c", "s", pos.cast("long").alias("pos"), F.when(turned, "-").otherwise("+").alias("strand"), family.alias("family"))
-    more = of.where("s % 4 = 0 and c % 3 = 0").select("c", "s", F.lit(7).cast("long").alias("pos"), F.lit("+").alias("strand"), F.lit("t").alias("family"))
-    return genes.unionByName(more).select(F.concat(F.lit("u"), F.col("c").cast("string")).alias("genome"), F.concat(F.lit("k"), F.col("s").cast("string")).alias("contig"), "pos", "strand", "family")
+    rows = rows.withColumn("again", F.explode(F.expr("if(s % 3 = 2 and c % 4 = 0 and j < 12, array(0, 40), array(0))")))
+    more = F.col("j") == 12
+    pos = F.when(more, 7).when(turned, 22 - 2 * F.col("j")).otherwise(2 * F.col("j")) + F.col("again")
+    family = F.when(more, "t").otherwise(F.concat("segment", F.lpad(F.col("j").cast("string"), 2, "0")))
+    return rows.select("genome", "contig", pos.cast("long").alias("pos"), F.when(turned, "-").otherwise("+").alias("strand"), family.alias("family"))
 
 
 SYNTENY = """sized AS (SELECT DISTINCT o_custkey AS c, o_orderkey // 50 AS s FROM orders
@@ -126,7 +131,7 @@ RANKED = """, ranked AS (SELECT block, n_genomes, length, row_number() OVER (ORD
 
 
 def _synteny(s, d):
-    rows = graph.checkpointed(synteny(s, d))
+    rows = synteny(s, d)
     return graph.checkpointed(graph.edges(rows)), graph.checkpointed(graph.node_weights(rows))
 
 

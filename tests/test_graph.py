@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from strandline.operators import families, graph
 
 
@@ -75,6 +77,48 @@ def test_loops_and_connectors(spark):
     assert kinds["T"] == "superconnector" and kinds["A"].startswith("self-loop;")
 
 
+def walked(links, sizes):
+    """laid() of links ((a, side), (b, side)) by walking from node to node."""
+    step = {**dict(links), **{y: x for x, y in links}}
+    out, seen = {}, set()
+    free = sorted(x for x in sizes if not {(x, 0), (x, 1)} <= step.keys())
+    for start in [*free, *sorted(sizes)]:
+        at, side, before, row = start, 0 if start in free and (start, 0) in step else 1, 0, []
+        if start in seen:
+            continue
+        while at not in seen:
+            seen.add(at)
+            row.append((at, before, side == 0))
+            before += sizes[at]
+            if (at, side) not in step:
+                break
+            at, entered = step[at, side]
+            side = 1 - entered
+        out |= {x: (min(y[0] for y in row), n, turned) for x, n, turned in row}
+    return out
+
+
+def test_paths_and_rings_of_any_length(spark):
+    """Paths and rings of 1 to 60 nodes, turned and named at random; no task may see one, so no plan has a step by group."""
+    r = random.Random(8)
+    names = [f"x{k:03}" for k in range(400)]
+    r.shuffle(names)
+    sizes, links, at = {x: r.randint(1, 5) for x in names}, [], 0
+    while at < len(names):
+        row = names[at : at + r.choice([1, 2, 3, 5, 8, 17, 60])]
+        at += len(row)
+        side = {x: r.randint(0, 1) for x in row}
+        links += [((a, 1 - side[a]), (b, side[b])) for a, b in zip(row, row[1:])]
+        if len(row) > 1 and r.random() < 0.5:
+            links.append(((row[-1], 1 - side[row[-1]]), (row[0], side[row[0]])))
+    ends = spark.createDataFrame([(*x, *y) for x, y in [*links, *((y, x) for x, y in links)]], "a string, a_side int, b string, b_side int")
+    got = graph.laid(ends, spark.createDataFrame(list(sizes.items()), "node string, n int"))
+    assert {x["node"]: (x["path"], x["before"], x["turned"]) for x in got.collect()} == walked(links, sizes)
+    e, n, p = whole(spark, ("w", "A B C"), ("x", "C- B- A-"))
+    assert {(x["src"], x["src_side"], x["dst"], x["dst_side"]): x["weight"] for x in e.collect()} == {("A", "D", "B", "U"): 2, ("B", "U", "A", "D"): 2, ("B", "D", "C", "U"): 2, ("C", "U", "B", "D"): 2}
+    assert not any("FlatMapGroupsInPandas" in df._jdf.queryExecution().toString() for df in (graph.block_paths(e, n), graph.connected_paths(e, n, p)))
+
+
 def test_families_without_a_place_stay_in_the_ordered_table(spark):
     table = spark.createDataFrame([("g1", 3), ("g2", 9), ("g3", 5)], "gene_family string, number_genomes int")
     order = spark.createDataFrame([("g1", 2, 1), ("g3", 1, 1)], "family string, block int, ord int")
