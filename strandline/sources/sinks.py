@@ -51,14 +51,24 @@ def quoted(column: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(column, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def by_genome(rows: DataFrame) -> DataFrame:
+    """rows dealt out by genome, over all cores: a genome's folder costs more than its bytes, by which adaptive plans would put tasks together.
+
+    By a hash, as rows that lie by genome already would not be dealt out anew.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("genome"))
+
+
 def gff(rows: DataFrame, path: str) -> None:
-    """(genome, text): a folder for each genome."""
-    text(rows.repartition("genome"), F.regexp_replace("text", "\n$", ""), path, "genome")
+    """(genome, text): a folder for each genome. Tasks put their own folders in place, which else the driver would do one by one."""
+    own = by_genome(rows).select("genome", F.regexp_replace("text", "\n$", "").alias("value"))
+    own.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("genome").text(path)
 
 
 def coords(rows: DataFrame, path: str) -> None:
     names = [c.split()[0] for c in schemas.COORDS.split(", ")]
-    rows.select("genome", *names).repartition("genome").write.mode("overwrite").partitionBy("genome").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    by_genome(rows.select("genome", *names)).write.mode("overwrite").partitionBy("genome").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
 
 
 def genome_list(rows: DataFrame, path: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import tools
 from strandline.sources import sinks, tables
@@ -52,3 +54,15 @@ def test_quotes_and_commas_of_the_quoted_table(spark, tmp_path):
     assert {tuple(r) for r in tables.roary(spark, at).collect()} == {("f__g", "u1", "a;b;c"), ("f__g", "u,2", "d\"e")}
     meta = tables.roary_meta(spark, at).first()
     assert (meta["Non-unique Gene name"], meta["Annotation"]) == ("na\"me", "one, \"two\"")
+
+
+def test_a_folder_for_each_genome_is_not_left_to_few_tasks(spark, tmp_path):
+    """Rows that lie by genome in few bytes are still written by many tasks, one file for each genome."""
+    few = spark.range(40).selectExpr("concat('u', id) genome", "id n").groupBy("genome").agg(F.max("n").alias("n"))
+    rows = few.select("genome", F.concat(F.lit("line "), F.col("n").cast("string"), F.lit("\n")).alias("text"))
+    dealt = sinks.by_genome(rows)
+    assert dealt.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert len({r["p"] for r in dealt.select(F.spark_partition_id().alias("p")).collect()}) > 8
+    sinks.gff(rows, at := str(tmp_path / "g"))
+    assert len(glob.glob(f"{at}/genome=*/*.txt")) == 40
+    assert {(r["genome"], r["value"]) for r in spark.read.text(at).collect()} == {(f"u{k}", f"line {k}") for k in range(40)}
