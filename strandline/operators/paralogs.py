@@ -1,6 +1,7 @@
 """Paralogs: which loci of a genome are copies and which are fragments, and how a family splits into single-copy alleles.
 
-From hits, and when it is split, a family is the unit of the pandas step; aligned families are not held by any task.
+From hits a family is the unit of the pandas step. A family of many rows is split by rounds that count its genomes and
+copies over all tasks, a smaller one by one task; aligned families are not held by any task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.names import checkpoint
+from strandline.functions.names import Turns, checkpoint
 from strandline.operators import sites
 from strandline.operators.families import copy_id, doses, with_categories
 from strandline.operators.filters import pair_coverage
@@ -23,7 +24,10 @@ from strandline.operators.filters import pair_coverage
 LEAST_COVERAGE, NEAR, NEAR_BONUS, WORST, NO_NUMBER = 10, 2, 0.20, -0.25, 100
 # Of the family's genomes, by how much a round without a split lowers the demands.
 STEP, STEP_MORE, STEP_MOST = 0.05, 0.0125, 0.25
-ANY = 10_000_000  # copies: no limit
+ANY = 1 << 62  # copies: no limit
+#: Rows of the loci list of a family that one task splits at most, of many families whose genomes a task counts, and of a
+#: small side that is sent to all tasks.
+ROWS, COUNTED, FEW = 100_000, 500_000, 20_000
 ALIGNED_MOST = 0.75  # of either sequence's columns, that two fragments of one gene may share
 
 
@@ -192,6 +196,41 @@ def classify_aligned(alignment: DataFrame, positions: DataFrame, overlap: float
         choose(number, F.col("genes")).alias("ff_group"), choose(F.lit(1), F.col("length_cluster")).alias("length_cluster"))
 
 
+def _lowered(genomes: int, n_cut: int, t_cut: int, cut_off: float) -> tuple[int, int] | None:
+    """The demands a step lower; at the cut-off from the top again with any number of copies, and after those None."""
+    was, i = n_cut, STEP
+    while i <= STEP_MOST:
+        n_cut, new = int(was - genomes * i), int(was + genomes * i)
+        if n_cut < was:
+            break
+        i += STEP_MORE
+    t_cut = t_cut if t_cut == ANY else new
+    if n_cut <= int(genomes * cut_off) or n_cut == 1:
+        return None if t_cut == ANY else (genomes, ANY)
+    return n_cut, t_cut
+
+
+def _chosen(counted: list[tuple[int, int]], genomes: int, n_cut: int, t_cut: int, cut_off: float, strict: bool) -> tuple[list[int], int, int]:
+    """Which of the alleles, given as (genomes, copies) of what is left of them, are taken next, and the demands that they meet; none: the search ends."""
+    while True:
+        if strict:
+            scored = [(0.0, k) for k, (g, t) in enumerate(counted) if g == t == genomes]
+        else:
+            scored = [(1 + (1 - g / genomes) + (t - g) / genomes, k) for k, (g, t) in enumerate(counted) if g >= n_cut and t <= t_cut and g > 1]
+        if scored:
+            least = min(scored)[0]
+            return [k for s, k in scored if s == least], n_cut, t_cut
+        lower = None if strict else _lowered(genomes, n_cut, t_cut, cut_off)
+        if lower is None:
+            return [], n_cut, t_cut
+        n_cut, t_cut = lower
+
+
+def _in_order(alleles: list, strict: bool) -> list:
+    """Alleles (threshold, allele, ...) as their turn comes."""
+    return sorted(alleles, key=lambda x: (-x[0] if strict else x[0], x[1]))
+
+
 def split_family(rows: pd.DataFrame, cut_off: float = 0.75, strict: bool = False) -> dict[str, int]:
     """Locus -> group from 1, of one family with columns locus, threshold, allele, genome, copy (what counts as one gene copy).
 
@@ -203,71 +242,94 @@ def split_family(rows: pd.DataFrame, cut_off: float = 0.75, strict: bool = False
     base = rows[rows["threshold"] == rows["threshold"].min()]
     left = dict(zip(base["locus"], zip(base["genome"], base["copy"], strict=True), strict=True))
     count = lambda loci: (len({left[x][0] for x in loci}), len({left[x] for x in loci}))
-    genomes, copies = count(left)
-    if genomes == 1 or copies == genomes:
-        return dict.fromkeys(left, 1)
     above = rows[rows["threshold"] > rows["threshold"].min()]
-    alleles = sorted(((t, a), list(g["locus"])) for (t, a), g in above.groupby(["threshold", "allele"]))
-    if strict:
-        alleles = sorted(alleles, key=lambda x: (-x[0][0], x[0][1]))
+    alleles = [x[2] for x in _in_order([(t, a, list(g["locus"])) for (t, a), g in above.groupby(["threshold", "allele"])], strict)]
     group_of: dict[str, int] = {}
-    org = n_cut = t_cut = genomes
-    group, before = 0, 0
-    while True:
-        scored = []
-        for _, loci in alleles:
-            here = [x for x in loci if x in left]
-            if not here:
-                continue
-            g, t = count(here)
-            if strict:
-                if g == t == org:
-                    scored.append((0.0, here))
-            elif g >= n_cut and t <= t_cut and g != 1:
-                scored.append((1 + (1 - g / genomes) + (t - g) / genomes, here))
-        remain = genomes
-        if scored:
-            least = min(s for s, _ in scored)
-            for s, here in scored:
-                here = [x for x in here if x in left]
-                if s == least and here:
-                    group += 1
-                    for x in here:
-                        group_of[x] = group
-                        del left[x]
-            remain, copies = count(left)
-            if remain <= 1 or remain == copies:
-                break
-        if strict and not scored:
+    genomes = n_cut = t_cut = group = 0
+    while left:
+        remain, copies = count(left)
+        if remain == 1 or remain == copies:
             break
         if remain != genomes:  # fewer genomes are left: the demands begin anew with their number
-            genomes = org = n_cut = t_cut = remain
-        elif group == before and not strict:
-            was, i = n_cut, STEP
-            while i <= STEP_MOST:
-                n_cut, new = int(was - org * i), int(was + org * i)
-                if n_cut < was:
-                    break
-                i += STEP_MORE
-            t_cut = t_cut if t_cut == ANY else new
-            low = n_cut <= int(org * cut_off)
-            if low and t_cut == ANY:
-                break
-            if low or n_cut == 1:  # once more from the top, with any number of copies
-                n_cut, t_cut = remain, ANY
-        before = group
+            genomes = n_cut = t_cut = remain
+        taken, n_cut, t_cut = _chosen([count([x for x in loci if x in left]) for loci in alleles], genomes, n_cut, t_cut, cut_off, strict)
+        if not taken:
+            break
+        for k in taken:
+            here = [x for x in alleles[k] if x in left]
+            group += bool(here)
+            for x in here:
+                group_of[x] = group
+                left.pop(x, None)
     if left:
-        group += 1
-        group_of.update(dict.fromkeys(left, group))
+        group_of.update(dict.fromkeys(left, group + 1))
     return group_of
 
 
-def split(loci: DataFrame, categories: DataFrame | None = None, cut_off: float = 0.75, strict: bool = False) -> DataFrame:
+PATH = "array<struct<threshold: int, allele: string>>"
+STATE = {"genomes": "bigint", "n_cut": "bigint", "t_cut": "bigint", "parts": "int", "left": f"array<{PATH}>", "taken": f"array<struct<path: {PATH}, part: int>>"}
+
+
+def split_round(was, counted, cut_off: float, strict: bool) -> tuple:
+    """The STATE of a family after the next round of split_family(), from the last one and (threshold, allele, g, t) of what is left.
+
+    Loci of the same alleles are always taken together: `left` and `taken` are distinct lists of alleles, not loci. The
+    count without a threshold is of all that is left. With nothing left the family is done.
+    """
+    alleles = _in_order([x for x in counted if x["threshold"] is not None], strict)
+    remain, copies = next((x["g"], x["t"]) for x in counted if x["threshold"] is None)
+    genomes, n_cut, t_cut, parts, left, taken = (was[c] for c in STATE)
+    chosen: list[int] = []
+    if remain > 1 and remain != copies:
+        if remain != genomes:
+            genomes = n_cut = t_cut = remain
+        chosen, n_cut, t_cut = _chosen([(x["g"], x["t"]) for x in alleles], genomes, n_cut, t_cut, cut_off, strict)
+    turn = {tuple(alleles[k][:2]): i for i, k in enumerate(chosen)}
+    first = [min((turn[tuple(x)] for x in path if tuple(x) in turn), default=None) for path in left]
+    part = {i: parts + n for n, i in enumerate(sorted({i for i in first if i is not None}), 1)}
+    parts += len(part)
+    taken = taken + [(path, part[i]) for path, i in zip(left, first, strict=True) if i is not None]
+    left = [path for path, i in zip(left, first, strict=True) if i is None]
+    if left and not chosen:
+        parts, left, taken = parts + 1, [], taken + [(path, parts + 1) for path in left]
+    return genomes, n_cut, t_cut, parts, left, taken
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _split_large(loci: DataFrame, tasks: int, cut_off: float, strict: bool) -> DataFrame:
+    """(family, path, part, parts) of loci (family, genome, copy, path): the group of each list of alleles, and how many its family has.
+
+    A round counts genomes and copies over so many tasks. What one task holds of a family are its alleles and their counts.
+    """
+    turns = Turns(loci.sparkSession, 2)
+    step = F.udf(lambda was, counted: split_round(was, counted, cut_off, strict), f"struct<{", ".join(f"{c}: {t}" for c, t in STATE.items())}>")
+    empty = {c: F.lit(0) for c in ("genomes", "n_cut", "t_cut", "parts")} | {"left": F.col("left"), "taken": F.array()}
+    state = turns.put(loci.groupBy("family").agg(F.collect_set("path").alias("left")).select("family", *(empty[c].cast(t).alias(c) for c, t in STATE.items())))
+    everything = F.array(F.lit(None).cast("struct<threshold: int, allele: string>"))
+    while not (todo := state.where("size(left) > 0")).isEmpty():
+        paths = _few(todo.select("family", F.explode("left").alias("path")))
+        # Dealt out once; what follows needs no other order until there is a row for an allele.
+        each = loci.join(paths, ["family", "path"]).repartition(tasks, "family", "genome").select("family", "genome", "copy", F.explode(F.concat(everything, "path")).alias("x"))
+        each = each.groupBy("family", "x.threshold", "x.allele", "genome").agg(F.count_distinct("copy").alias("t"))
+        counts = each.groupBy("family", "threshold", "allele").agg(F.count("*").alias("g"), F.sum("t").alias("t"))
+        counts = counts.groupBy("family").agg(F.collect_list(F.struct("threshold", "allele", "g", "t")).alias("counted"))
+        now = todo.join(counts, "family").select("family", step(F.struct(*STATE), "counted").alias("now")).select("family", "now.*")
+        state = turns.put(now.unionByName(state.where("size(left) = 0")))
+    return state.select("family", "parts", F.explode("taken").alias("x")).select("family", "x.path", "x.part", "parts")
+
+
+def split(loci: DataFrame, categories: DataFrame | None = None, cut_off: float = 0.75, strict: bool = False, most: int = ROWS) -> DataFrame:
     """The loci list with families split: <family>_<group>, alleles <family>_<group>_<n> with the allele's own n.
 
-    A family of one group keeps its names.
+    A family of one group keeps its names. One of over `most` rows is held by no task.
     """
-    rows = with_categories(loci, categories).withColumn("copy", copy_id())
+    allele = F.struct(F.col("threshold").cast("int").alias("threshold"), "allele", "genome", copy_id().alias("copy"))
+    listed = Turns(loci.sparkSession, 1).put(with_categories(loci, categories).groupBy("family", "locus").agg(F.collect_list(allele).alias("x")))
+    size = listed.groupBy("family").agg(F.min(F.array_min("x.threshold")).alias("low"), F.sum(F.size("x")).alias("n"))
+    large = checkpoint(size.where((F.col("n") > most) & F.col("family").isNotNull()))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         group = split_family(part, cut_off, strict)
@@ -278,7 +340,24 @@ def split(loci: DataFrame, categories: DataFrame | None = None, cut_off: float =
             out["allele"] = [f"{f}_{n[1]}" if n else f for f, n in zip(out["family"], number, strict=True)]
         return out
 
-    return rows.select("locus", "family", "threshold", "allele", "genome", "copy").groupBy("family").applyInPandas(run, "locus string, family string, threshold int, allele string, genome string")
+    columns = "locus string, family string, threshold int, allele string, genome string"
+    n = large.agg(F.sum("n")).first()[0]
+    if n is None:
+        return listed.select("family", "locus", F.inline("x")).groupBy("family").applyInPandas(run, columns)
+    # Sent to all tasks: of `most` rows there is one family at most.
+    large = F.broadcast(large.drop("n"))
+    small = listed.join(large, "family", "left_anti").select("family", "locus", F.inline("x")).groupBy("family").applyInPandas(run, columns)
+    above = F.filter("x", lambda x: (x["threshold"] > F.col("low")) & x["allele"].isNotNull())
+    path = F.array_sort(F.array_distinct(F.transform(above, lambda x: F.struct(x["threshold"].alias("threshold"), x["allele"].alias("allele")))))
+    base = F.get(F.filter("x", lambda x: x["threshold"] == F.col("low")), F.lit(0))
+    rows = listed.join(large, "family").select("family", "locus", "x", base.alias("base"), path.alias("path"))
+    tasks = max(loci.sparkSession.sparkContext.defaultParallelism, -(-n // COUNTED))
+    found = _split_large(rows.where("base is not null").select("family", "base.genome", "base.copy", "path"), tasks, cut_off, strict)
+    rows = rows.join(_few(found), ["family", "path"], "left").withColumn("old", F.col("family")).withColumn("family", F.when(F.col("parts") > 1, F.concat("family", F.lit("_"), "part")).otherwise(F.col("family")))
+    rows = rows.select("locus", "old", "family", F.inline("x"))
+    number = F.regexp_extract("allele", r"(_\d+)$", 1)
+    rows = rows.withColumn("allele", F.when(F.col("family") != F.col("old"), F.concat("family", number)).otherwise(F.col("allele")))
+    return small.unionByName(rows.select("locus", "family", "threshold", "allele", "genome"))
 
 
 def split_log(split_loci: DataFrame, categories: DataFrame | None = None) -> DataFrame:

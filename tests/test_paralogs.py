@@ -124,6 +124,32 @@ def test_split_names_keep_the_allele_number(spark):
     assert [r["line"] for r in paralogs.split_log(paralogs.split(loci)).collect()] == ["g00001\tg00001_1(4/4/4)\tg00001_2(4/4/4)"]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_split_of_families_that_no_task_holds(spark, strict):
+    """By rounds over all tasks or in one task: the same rows. Alleles are nested or not, loci are fragments or not."""
+    loci, fragments, parts = [], [], 0
+    for f in range(14):
+        r = random.Random(100 * f + strict)
+        for n in range(r.randint(1, 60)):
+            x, g, k = f"x{f}_{n}", f"u{r.randint(0, r.choice((0, 5, 5)))}", r.randint(0, 6)
+            names = (f"f{f}", f"f{f}_{k:04d}", f"f{f}_{10 * (k if f % 3 else r.randint(0, 6)) + r.randint(0, 3):04d}")
+            loci += [(x, f"f{f}", t, a, g) for t, a in zip((50, 70, 90), names, strict=True)]
+            fragments += [(x, r.randint(1, 2))] if r.random() < 0.3 else []
+        # Two alleles of all genomes, as copies of the family.
+        loci += [(f"x{f}_{a}{g}", f"f{f}", t, n, f"u{g}") for a in "ab" for g in range(6) for t, n in ((50, f"f{f}"), (70, f"f{f}_{a}"), (90, f"f{f}_{a}_{7 + g // 3:04d}"))] if f % 2 else []
+    loci = spark.createDataFrame(loci, "locus string, family string, threshold int, allele string, genome string")
+    categories = spark.createDataFrame(fragments, "locus string, ff_group int")
+    rows = lambda most: sorted(tuple(r) for r in paralogs.split(loci, categories, 0.75, strict, most).collect())
+    want = rows(10**9)
+    assert len({x[1] for x in want}) > 20
+    assert rows(60) == want
+
+
+def test_demands_end_at_any_cut_off():
+    """Under a cut-off that whole numbers never reach, the search ends after any number of copies was allowed."""
+    assert groups(alleles({"A": {"a": 2}, "B": {"b": 2}}), cut_off=0.1) == {"A": {1}, "B": {1}}
+
+
 def test_aligned_fragments_and_copies(spark):
     """Two halves are one gene, a third sequence of the whole length ends the search, copies of one length are copies."""
     whole, left, right = "ACGTACGTACGTACGTACGT", "ACGTACGTAC----------", "----------GTACGTACGT"
