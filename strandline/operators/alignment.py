@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.names import checkpoint
+from strandline.functions.names import checkpoint, numbered
 from strandline.operators import sites
 
 #: Sequences of a block whose columns are held against each other, so many columns at once.
@@ -267,7 +267,11 @@ def unique_sequences(aligned: DataFrame) -> DataFrame:
     # Sequences are told apart by a digest and their length; each is dealt out once, by the genome that has it.
     rows = checkpoint(slim(aligned).select("family", "genome", "locus", "aln", "_width", F.sha2("aln", 256).alias("_d")))
     first = checkpoint(rows.groupBy("family", "_d", "_width").agg(F.min("locus").alias("first")))
-    named = first.withColumn("seq_id", F.row_number().over(Window.partitionBy("family").orderBy("first")).cast("long")).drop("first")
+    # Numbered in ranges over all families, then from 1 in each, so that no task orders a family.
+    ranked = checkpoint(numbered(first, "_n", F.col("family"), F.col("first"), F.col("_d")))
+    start = ranked.groupBy("family").agg(F.min("_n").alias("_start"))
+    start = F.broadcast(start) if start.count() <= FEW else start
+    named = ranked.join(start, "family").select("family", "_d", "_width", (F.col("_n") - F.col("_start") + 1).alias("seq_id"))
     once = rows.groupBy("family", "_d", "_width", "genome").agg(F.first("aln").alias("aln"))
     return full(once.join(named, ["family", "_d", "_width"])).select("family", "seq_id", "aln", "genome")
 

@@ -94,6 +94,19 @@ def test_gaps_at_the_end_are_not_dealt_out(spark):
     assert unique == {("f", 1, "AC-", "g1"), ("f", 1, "AC-", "g3"), ("f", 2, "A-C", "g1"), ("f", 3, "ACG", "g1"), ("f", 4, "A C", "g2"), ("f", 5, "A- ", "g2"), ("e", 1, "", "g2")}
 
 
+def test_no_task_numbers_a_family_of_distinct_sequences(spark):
+    rng = random.Random(5)
+    rows = [(f"f{rng.randint(0, 2)}", f"u{rng.randint(0, 3)}", f"x{k:03d}", f"{rng.randint(0, 40):06b}".replace("0", "-")) for k in range(200)]
+    got = alignment.unique_sequences(spark.createDataFrame(rows, "family string, genome string, locus string, aln string"))
+    assert "windowspecdefinition(family" not in got._jdf.queryExecution().toString()
+    want = set()
+    for f in {x[0] for x in rows}:
+        own = sorted((x[2], x[1], x[3]) for x in rows if x[0] == f)
+        order = list(dict.fromkeys(aln for _, _, aln in own))
+        want |= {(f, order.index(aln) + 1, aln, g) for _, g, aln in own}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_overlaps_past_the_first_columns(spark):
     """Columns in several steps, sequences that end before them, and blocks of a family."""
     rng = np.random.default_rng(3)
