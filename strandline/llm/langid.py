@@ -138,7 +138,7 @@ class Scorer:
             key = self._numbers("".join(found), n)[::n] if found else np.zeros(0, dtype=np.int64)
             order = np.argsort(key)
             self.keys.append(key[order])
-            self.scores.append(np.array([self.grams[n][g] for g in found]).reshape(len(found), -1)[order])
+            self.scores.append(np.array([self.grams[n][g] for g in found], dtype=float).reshape(len(found), len(self.model.langs))[order])
 
     def _numbers(self, text: str, n: int) -> np.ndarray:
         """A number for the n letters from each place of text."""
