@@ -86,13 +86,14 @@ query("sink_fasta", ["dna"], "SELECT unnest(string_split('>' || locus || chr(10)
 query("scan_fasta", ["dna"], "SELECT locus, dna AS seq FROM dna")(lambda s, d: read(s, lambda at: sinks.fasta(documents(s, d).withColumn("dna", F.lower("dna")), at, "locus", "dna", 80), lambda at: tables.fasta(s, at)))
 def padded_documents(s, d) -> DataFrame:
     """Documents filled up to the longest: its length is one row, which all tasks get."""
-    rows = documents(s, d)
-    width = F.broadcast(rows.agg(F.max(F.length("dna")).cast("int").alias("w")))
+    # Few bytes, much work each: a number of partitions that Spark does not make smaller.
+    rows = documents(s, d).repartition(4 * int(s.conf.get("spark.sql.shuffle.partitions")), "locus")
+    width = F.broadcast(documents(s, d).agg(F.max(F.length("dna")).cast("int").alias("w")))
     return rows.crossJoin(width).select("locus", F.rpad("dna", F.col("w"), F.lit("-")).alias("aln"))
 
 
 query("scan_alignment", ["dna"], ", w AS (SELECT max(length(dna)) AS w FROM dna) SELECT locus, rpad(dna, w::INT, '-') AS aln FROM dna, w")(
-    lambda s, d: read(s, lambda at: sinks.fasta(padded_documents(s, d), at, "locus", "aln", 60), lambda at: tables.alignment(s, at)))
+    lambda s, d: read(s, lambda at: sinks.fasta(padded_documents(s, d), at, "locus", "aln", 60, pressed=True), lambda at: tables.alignment(s, at)))
 query("sink_clusters", ["loci", "clusters"], f"SELECT string_agg(locus, {TAB} ORDER BY locus) AS line FROM clusters GROUP BY threshold, cluster")(lambda s, d: back(s, lambda at: sinks.clusters(clusters(s, d), at)))
 query("scan_cluster_lines", ["loci", "clusters"], "SELECT threshold, dense_rank() OVER (ORDER BY cluster) AS cluster_ord, locus FROM clusters WHERE threshold = 70")(
     lambda s, d: read(s, lambda at: sinks.clusters(clusters(s, d), at), lambda at: tables.cluster_lines(s, f"{at}/threshold=70", 70)))

@@ -13,10 +13,15 @@ from strandline.functions.sequences import wrapped
 from strandline.operators.tools import distance_lines, names_of, wide
 
 
-def text(df: DataFrame, line, path: str, *by: str) -> None:
-    """One text line (or several) for each row; a folder for each value of `by`."""
+#: How text is written whose size follows a filling, or pairs, and not the input; and the rows of such a file, which is read as a whole.
+PRESSED, RECORDS = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}, 1000
+
+
+def text(df: DataFrame, line, path: str, *by: str, pressed: bool = False) -> None:
+    """One text line (or several) for each row; a folder for each value of `by`. Pressed: compressed files of RECORDS rows at most."""
     rows = df.select(*by, line.alias("value"))
     writer = rows.write.mode("overwrite")
+    writer = writer.options(**PRESSED, maxRecordsPerFile=RECORDS) if pressed else writer
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
@@ -75,8 +80,8 @@ def genome_list(rows: DataFrame, path: str) -> None:
     text(rows.select("genome").distinct().orderBy("genome"), F.col("genome"), path)
 
 
-def fasta(rows: DataFrame, path: str, name: str = "locus", seq: str = "seq", width: int = 0, *by: str) -> None:
-    text(rows, F.concat(F.lit(">"), name, F.lit("\n"), wrapped(F.col(seq), width) if width else F.col(seq)), path, *by)
+def fasta(rows: DataFrame, path: str, name: str = "locus", seq: str = "seq", width: int = 0, *by: str, pressed: bool = False) -> None:
+    text(rows, F.concat(F.lit(">"), name, F.lit("\n"), wrapped(F.col(seq), width) if width else F.col(seq)), path, *by, pressed=pressed)
 
 
 def clusters(rows: DataFrame, path: str) -> None:

@@ -306,3 +306,11 @@ def test_lines_keep_their_order_over_splits(spark, tmp_path, monkeypatch):
     flat = [n for x in names for n in x]
     assert got == {m: k + 1 for k, n in enumerate(flat) for m in (n, n + "b")}
     assert found == sorted((c + 1, f"s{c}_{k}", c + k, k == 0) for c in range(60) for k in range(1 + c * 7 % 30))
+
+
+def test_fillings_of_an_alignment_take_no_room(spark, tmp_path):
+    """Sequences filled up to the longest are read as they were written, from files that don't grow with the filling."""
+    rows = [(f"s{k}", ("ACGT" * k).ljust(20_000, "-")) for k in range(1, 101)]
+    sinks.fasta(spark.createDataFrame(rows, "locus string, aln string"), at := str(tmp_path / "aln"), "locus", "aln", 60, pressed=True)
+    assert sorted(map(tuple, tables.alignment(spark, at).collect())) == sorted(rows)
+    assert sum(f.stat().st_size for f in (tmp_path / "aln").iterdir()) < 100 * 20_000 / 20
