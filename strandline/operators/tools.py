@@ -7,7 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.names import checkpoint, numbered
@@ -15,7 +16,7 @@ from strandline.operators import families, filters
 
 #: Genomes of a tile, and alleles that a product of two tiles takes at once.
 TILE, ALLELES = 512, 8192
-#: Tiles that a genome is sent to before tiles grow, their most genomes, partitions of products, and pairs of a batch of rows.
+#: Tiles that genomes are dealt into before these grow, their most genomes, partitions of products, and pairs of a batch of rows.
 TILES, WIDEST, PRODUCTS, ROWS = 64, 2048, 2048, 1 << 16
 #: Distances that one task holds to put lines together.
 LINE_CELLS = 1 << 26
@@ -81,76 +82,100 @@ def _allele_sets(present: DataFrame) -> tuple[DataFrame, int]:
     return sets, sets.count()
 
 
-def _ones(ids: list[np.ndarray], begin: int, end: int) -> np.ndarray:
+#: Sets end to end, and how many each has.
+Sets = tuple[np.ndarray, np.ndarray]
+
+
+def _ones(sets: Sets, begin: int, end: int) -> np.ndarray:
     """Sets as rows of ones and zeros, of the alleles from begin to before end."""
-    out = np.zeros((len(ids), end - begin), dtype=np.float32)
-    for k, x in enumerate(ids):
-        a, b = np.searchsorted(x, (begin, end))
-        out[k, x[a:b] - begin] = 1
+    ids, size = sets
+    out = np.zeros((len(size), end - begin), dtype=np.float32)
+    own = (ids >= begin) & (ids < end)
+    out[np.repeat(np.arange(len(size)), size)[own], ids[own] - begin] = 1
     return out
 
 
-def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+def _shared(x: Sets, y: Sets) -> np.ndarray:
     """How many alleles each two sets of x and y have in common."""
-    out = np.zeros((len(x), len(y)), dtype=np.int64)
-    most = 1 + min(max(int(s[-1]) for s in side) for side in (x, y))
+    out = np.zeros((len(x[1]), len(y[1])), dtype=np.int32)
+    most = 1 + min(int(ids.max(initial=-1)) for ids, _ in (x, y))
     for begin in range(0, most, ALLELES):
         end = min(most, begin + ALLELES)
-        out += np.rint(_ones(x, begin, end) @ _ones(y, begin, end).T).astype(np.int64)
+        out += np.rint(_ones(x, begin, end) @ _ones(y, begin, end).T).astype(np.int32)
     return out
 
 
+def _tiles(sets: DataFrame, n: int, tile: int) -> DataFrame:
+    """(own, genomes, size, ids): `tile` genomes in the order of their names as one row, in a partition of its own."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = rows["ids"].chunk(0)
+            columns = [rows["genome"].to_pylist()], [pc.list_value_length(ids).to_pylist()], [ids.flatten().to_numpy()]
+            kinds = (pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([rows["own"][0].as_py()], pa.int32()), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, kinds, strict=True))], names=["own", "genomes", "size", "ids"])
+
+    dealt = sets.select(F.floor(F.col("_n") / F.lit(tile)).cast("int").alias("own"), "genome", "ids", "_n").repartitionById(-(-n // tile), F.col("own")).sortWithinPartitions("_n")
+    return checkpoint(dealt.mapInArrow(packed, "own int, genomes array<string>, size array<int>, ids array<int>"))
+
+
+def _side(row: pa.RecordBatch, begin: int) -> tuple[pa.Array, Sets]:
+    genomes, size, ids = (row.column(begin + k)[0].values for k in (1, 2, 3))
+    return genomes, (ids.to_numpy(), size.to_numpy())
+
+
+def _sides(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    """Each row of x with those of y, by tasks that read them where they lie: none is dealt out for each other."""
+    left, right = (df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns)) for df, side in ((x, "x"), (y, "y")))
+    return left.hint("shuffle_replicate_nl").join(right, condition)
+
+
 def distances(present: DataFrame, similarity: bool = False, tile: int = TILE) -> DataFrame:
     """(g1, g2, d): for each two genomes how many alleles just one of them has, or with similarity how many both have.
 
     Genomes are dealt into tiles, and each two tiles are one product of their alleles as ones and zeros, some alleles at
     a time; what only one has follows from the genomes' totals. Every pair of genomes has a row. Tiles grow with the number
-    of genomes, up to WIDEST, so that a genome is sent to few tasks.
+    of genomes, up to WIDEST; a genome is dealt out once, and its tile is read by the tasks of its products.
     """
     sets, n = _allele_sets(present)
     if not n:
         return present.sparkSession.createDataFrame([], "g1 string, g2 string, d long")
     tile = max(tile, min(WIDEST, -(-n // TILES)))
-    tiles = -(-n // tile)
-    sets = sets.withColumn("own", F.floor(F.col("_n") / F.lit(tile)).cast("int"))
-    both = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    # As many partitions as there are products, which are few bytes and much work: adaptive plans would put them together by their bytes.
-    both = both.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "genome", "ids").repartition(min(tiles * (tiles + 1) // 2, PRODUCTS), "p", "q").sortWithinPartitions("p", "q", "own", "genome")
+    tiles, held = -(-n // tile), _tiles(sets, n, tile)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides = None, ([], [])
-
-        def told() -> Iterator[pa.RecordBatch]:
-            same = at[0] == at[1]
-            x, y = sides[0], sides[0] if same else sides[1]
-            d = _shared([r[1] for r in x], [r[1] for r in y])
-            if not similarity:
-                m, n = (np.array([len(r[1]) for r in side]) for side in (x, y))
-                d = m[:, None] + n - 2 * d
-            left, right = (pa.array([r[0] for r in side], pa.string()) for side in (x, y))
-            step = max(1, ROWS // len(y))
-            for k in range(0, len(x), step):  # some genomes against all of the other tile, in both directions
-                part = d[k : k + step]
-                one, two = left.take(pa.array(np.repeat(np.arange(k, k + len(part)), len(y)))), pa.concat_arrays([right] * len(part))
-                values = pa.array(part.ravel())
-                yield pa.RecordBatch.from_arrays([one, two, values], names=["g1", "g2", "d"])
-                if not same:
-                    yield pa.RecordBatch.from_arrays([two, one, values], names=["g1", "g2", "d"])
-            sides[0].clear(), sides[1].clear()
-
         for batch in batches:
-            lists = batch.column(4)
-            for k, (p, q, own, genome) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
-                if at is not None and (p, q) != at:
-                    yield from told()
-                at = (p, q)
-                sides[own != p].append((genome, lists[k].values.to_numpy(zero_copy_only=False).copy()))
-        if at is not None:
-            yield from told()
-
+            for row in range(len(batch)):
+                own = batch.slice(row, 1)
+                (left, x), (right, y) = _side(own, 0), _side(own, 4)
+                same = own.column(0)[0] == own.column(4)[0]
+                d = _shared(x, y).astype(np.int64)
+                if not similarity:
+                    d = x[1][:, None].astype(np.int64) + y[1] - 2 * d
+                step = max(1, ROWS // len(right))
+                for k in range(0, len(left), step):  # some genomes against all of the other tile, in both directions
+                    part = d[k : k + step]
+                    one, two = left.take(pa.array(np.repeat(np.arange(k, k + len(part)), len(right)))), pa.concat_arrays([right] * len(part))
+                    values = pa.array(part.ravel())
+                    yield pa.RecordBatch.from_arrays([one, two, values], names=["g1", "g2", "d"])
+                    if not same:
+                        yield pa.RecordBatch.from_arrays([two, one, values], names=["g1", "g2", "d"])
+
+    both = _sides(held, held, F.col("own_x") <= F.col("own_y")).coalesce(min(tiles * (tiles + 1) // 2, PRODUCTS))
     return both.mapInArrow(compared, "g1 string, g2 string, d long")
 
 
+def _written(values: np.ndarray, sep: str) -> list[str]:
+    """Each row of numbers from 0 as a text, with sep after each number."""
+    known = [f"{v}{sep}".encode() for v in range(int(values.max(initial=0)) + 1)]
+    width = max(map(len, known))
+    letters = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in known), dtype=np.uint8).reshape(-1, width)
+    filled = letters != 0
+    return [letters[v][filled[v]].tobytes().decode() for v in values]
+
+
 def distance_lines(present: DataFrame, cells: int = LINE_CELLS, sep: str = "\t") -> DataFrame:
     """(genome, line): the distances() of each genome to all, in the order of their names, as one text; no pair is a row.
 
@@ -159,46 +184,29 @@ def distance_lines(present: DataFrame, cells: int = LINE_CELLS, sep: str = "\t")
     sets, n = _allele_sets(present)
     if not n:
         return present.sparkSession.createDataFrame([], "genome string, line string")
-    tile = max(1, min(WIDEST, cells // n))
-    tiles = -(-n // tile)
-    first = sets.select(F.floor(F.col("_n") / F.lit(tile)).cast("int").alias("p"), F.lit(0).alias("side"), "_n", "genome", "ids")
-    others = sets.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("p"), F.lit(1).alias("side"), "_n", F.lit(None).cast("string").alias("genome"), "ids")
-    both = first.unionByName(others).repartition(min(tiles, PRODUCTS), "p").sortWithinPartitions("p", "side", "_n")
+    few, others = _tiles(sets, n, max(1, min(WIDEST, cells // n))), _tiles(sets, n, TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, waiting, parts = None, [], [], []
-
-        def meet() -> None:
-            d = _shared([r[1] for r in own], waiting)
-            m, n = np.array([len(r[1]) for r in own]), np.array([len(x) for x in waiting])
-            parts.append((m[:, None] + n - 2 * d).astype(np.int32))
-            waiting.clear()
+        at, own, parts = None, None, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            if waiting:
-                meet()
-            for k, (genome, _) in enumerate(own):
-                line = sep.join([sep.join(map(str, x[k].tolist())) for x in parts])
-                yield pa.RecordBatch.from_arrays([pa.array([genome], pa.string()), pa.array([line], pa.string())], names=["genome", "line"])
-            own.clear(), parts.clear()
+            for k, genome in enumerate(own):
+                line = "".join(x[k] for x in parts)[: -len(sep)]
+                yield pa.RecordBatch.from_arrays([pa.array([genome.as_py()], pa.string()), pa.array([line], pa.string())], names=["genome", "line"])
+            parts.clear()
 
         for batch in batches:
-            lists = batch.column(4)
-            for k, (p, side, genome) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
-                if at is not None and p != at:
+            for row in range(len(batch)):
+                both = batch.slice(row, 1)
+                if at is not None and both.column(0)[0] != at:
                     yield from told()
-                at = p
-                ids = lists[k].values.to_numpy(zero_copy_only=False).copy()
-                if side == 0:
-                    own.append((genome, ids))
-                    continue
-                waiting.append(ids)
-                if len(waiting) == TILE:
-                    meet()
+                at = both.column(0)[0]
+                (own, x), (_, y) = _side(both, 0), _side(both, 4)
+                parts.append(_written(x[1][:, None] + y[1] - 2 * _shared(x, y), sep))
         if at is not None:
             yield from told()
 
-    return both.mapInArrow(run, "genome string, line string")
+    return _sides(few, others.coalesce(1).sortWithinPartitions("own"), F.lit(True)).mapInArrow(run, "genome string, line string")
 
 
 def roary(table: DataFrame, n_loci: str = "no_loci") -> DataFrame:

@@ -29,8 +29,8 @@ def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="")
 
 
-def headed(rows: DataFrame, line: Column, header: str, path: str) -> None:
-    """One text line for each row, under the header in every file. Without a row there is a file with the header."""
+def headed(rows: DataFrame, line: Column, header: str, path: str, pressed: bool = False) -> None:
+    """One text line for each row, under the header in every file, compressed if asked. Without a row there is a file with the header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = False
@@ -42,7 +42,7 @@ def headed(rows: DataFrame, line: Column, header: str, path: str) -> None:
             yield pa.RecordBatch.from_arrays([lines], names=["value"])
 
     none = rows.sparkSession.createDataFrame([(None,)], "value string")
-    rows.select(line.alias("value")).unionByName(none).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    rows.select(line.alias("value")).unionByName(none).mapInArrow(run, "value string").write.mode("overwrite").options(**PRESSED if pressed else {}).text(path)
 
 
 def field(column: Column | str) -> Column:
@@ -181,10 +181,10 @@ def matrix(rows: DataFrame, keys: list[str], column: str, path: str, value: str
     headed(grid, F.concat_ws("\t", *map(field, keys), "line"), "\t".join([*keys, *names]), path)
 
 
-def distances(present: DataFrame, path: str, key: str = "g1") -> None:
-    """The distances of all genomes to all as a wide table, a line for each genome; no pair is dealt out."""
+def distances(present: DataFrame, path: str, key: str = "g1", pressed: bool = False) -> None:
+    """The distances of all genomes to all as a wide table, a line for each genome, compressed if asked; no pair is dealt out."""
     names = names_of(present, "genome")
-    headed(distance_lines(present), F.concat_ws("\t", field("genome"), "line"), "\t".join([key, *names]), path)
+    headed(distance_lines(present), F.concat_ws("\t", field("genome"), "line"), "\t".join([key, *names]), path, pressed)
 
 
 def roary(rows: DataFrame, cells: DataFrame, path: str, genomes: list[str] | None = None) -> None:

@@ -314,3 +314,17 @@ def test_fillings_of_an_alignment_take_no_room(spark, tmp_path):
     sinks.fasta(spark.createDataFrame(rows, "locus string, aln string"), at := str(tmp_path / "aln"), "locus", "aln", 60, pressed=True)
     assert sorted(map(tuple, tables.alignment(spark, at).collect())) == sorted(rows)
     assert sum(f.stat().st_size for f in (tmp_path / "aln").iterdir()) < 100 * 20_000 / 20
+
+
+def test_tiles_of_genomes_meet_where_they_lie(spark, tmp_path, monkeypatch):
+    """No genome is dealt out once for each tile, and lines of distances are written compressed."""
+    r = random.Random(7)
+    has = {f"g{k:02}": {f"a{j}" for j in range(30) if r.random() < 0.4} | {"a0"} for k in range(23)}
+    present = spark.createDataFrame([(g, 50, a) for g, s in has.items() for a in s], "genome string, threshold int, allele string")
+    monkeypatch.setattr(tools, "TILE", 4)
+    for rows in (tools.distances(present, tile=4), tools.distance_lines(present, 23 * 4)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "Exchange" not in plan
+    sinks.distances(present, at := str(tmp_path / "d"), pressed=True)
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "d").glob("part-*"))
+    assert {(x["g1"], x["g2"], int(x["n"])) for x in tables.matrix(spark, at, 1, "g2").collect()} == {(a, b, len(has[a] ^ has[b])) for a in has for b in has}
