@@ -14,7 +14,9 @@ from strandline.functions.names import checkpoint, numbered
 from strandline.operators import sites
 
 #: Sequences of a block whose columns are held against each other, so many columns at once.
-PAIRS, COLUMNS = 512, 8192
+PAIRS, COLUMNS = 2048, 8192
+#: Sequences of a small family's block, partitions that blocks are dealt into at most, and pairs of a batch of rows.
+FEW_PAIRS, PRODUCTS, OVERLAPS = 256, 2048, 1 << 16
 #: Distinct sequences of a family that one task aligns, and places of a matrix that it holds for a pair.
 ROWS, CELLS = 1024, 1 << 22
 #: Names that are sent to all tasks at most.
@@ -294,39 +296,71 @@ def subset(aligned: DataFrame, loci: DataFrame, alleles: DataFrame, genomes: Dat
 def column_overlaps(aligned: DataFrame, share: float = 0.9) -> DataFrame:
     """(family, a, b, both, similar): filled columns that each two sequences of a family have in common.
 
-    A family's sequences meet in blocks of PAIRS by PAIRS, as packed bits whose zeros at the end are left out; a block is a
-    product of their columns as ones and zeros, as far as the shorter side has any.
+    A family's sequences meet in blocks, PAIRS by PAIRS at most, as packed bits whose zeros at the end are left out; a block
+    is a product of their columns as ones and zeros, as far as the shorter side has any.
     """
-    count = aligned.groupBy("family").agg(F.ceil(F.count("*") / F.lit(PAIRS)).cast("int").alias("s"))
     bits = checkpoint(aligned.select("family", "locus", sites.packed(F.col("aln")).alias("x")).select("family", "locus", "x.bits", "x.n"))
+    # Up to eight blocks of a family that is no smaller than FEW_PAIRS for each, so that products are many.
+    count = bits.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(PAIRS)), F.least(F.lit(8), F.ceil(F.count("*") / F.lit(FEW_PAIRS)))).cast("int").alias("s"))
+    cells = count.agg(F.sum(F.expr("cast(s as long) * (s + 1) div 2"))).first()[0] or 1
     rows = bits.join(count, "family").withColumn("own", F.pmod(F.xxhash64("locus"), F.col("s")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "locus", "bits", "n")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part] if (same := part["p"].iloc[0] == part["q"].iloc[0]) else [part[part["own"] == part["p"]], part[part["own"] != part["p"]]]
-        x, y = sides[0], sides[-1]
-        both = np.zeros((len(x), len(y)), dtype=np.int64)
-        wide = [side["bits"].str.len().to_numpy() for side in (x, y)]
-        for k in range(0, min(w.max(initial=0) for w in wide), COLUMNS // 8):
+    def met(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        family, first = part["family"][0].as_py(), part["p"][0].as_py()
+        names, bits, own = part["locus"].to_pylist(), part["bits"].to_pylist(), part["own"].to_numpy()
+        n, wide = part["n"].to_numpy().astype(np.int32), np.array([len(x) for x in bits])
+        rank = np.empty(len(names), dtype=np.int32)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        names = pa.array(names, pa.string())
+        same = first == part["q"][0].as_py()
+        sides = [np.flatnonzero(own == first)] * 2 if same else [np.flatnonzero(own == first), np.flatnonzero(own != first)]
+        both = np.zeros([len(x) for x in sides], dtype=np.int32)
+        last = min(wide[x].max(initial=0) for x in sides)
+        for k in range(0, last, COLUMNS // 8):
             # Sequences that end before these columns have none in common with any.
-            at = [np.flatnonzero(w > k) for w in wide]
-            filled = []
-            for side, here in zip((x, y), at, strict=True):
-                held = np.zeros((len(here), COLUMNS // 8), dtype=np.uint8)
-                for i, b in enumerate(side["bits"].iloc[here]):
-                    b = b[k : k + COLUMNS // 8]
+            at, filled = [np.flatnonzero(wide[x] > k) for x in sides], []
+            for x, here in zip(sides[: 1 if same else 2], at, strict=False):
+                held = np.zeros((len(here), min(COLUMNS // 8, last - k)), dtype=np.uint8)
+                for i, c in enumerate(x[here].tolist()):
+                    b = bits[c][k : k + held.shape[1]]
                     held[i, : len(b)] = np.frombuffer(b, "u1")
                 filled.append(np.unpackbits(held, axis=1).astype(np.float32))
-            both[np.ix_(*at)] += np.rint(filled[0] @ filled[1].T).astype(np.int64)
-        names, others = x["locus"].to_numpy(), y["locus"].to_numpy()
-        i, j = np.triu_indices(len(x), 1) if same else (k.ravel() for k in np.indices(both.shape))
-        m, n = x["n"].to_numpy().astype(np.int64), y["n"].to_numpy().astype(np.int64)
-        turn = names[i] > others[j]
-        similar = (both[i, j] >= share * m[i]) & (both[i, j] >= share * n[j])
-        return pd.DataFrame({"family": part["family"].iloc[0], "a": np.where(turn, others[j], names[i]), "b": np.where(turn, names[i], others[j]), "both": both[i, j], "similar": similar})
-
-    return rows.groupBy("family", "p", "q").applyInPandas(run, "family string, a string, b string, both long, similar boolean")
+            both[np.ix_(*at)] += np.rint(filled[0] @ filled[-1].T).astype(np.int32)
+        x, y = sides
+        step = max(1, OVERLAPS // max(1, len(y)))
+        for begin in range(0, len(x), step):
+            part_ = both[begin : begin + step]
+            i, j = np.repeat(x[begin : begin + step], len(y)), np.tile(y, len(part_))
+            m = part_.ravel()
+            if same:
+                once = i < j
+                i, j, m = i[once], j[once], m[once]
+            turn = rank[i] > rank[j]
+            a, b = np.where(turn, j, i), np.where(turn, i, j)
+            similar = (m >= share * n[i]) & (m >= share * n[j])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(family, pa.string()), len(m)), names.take(pa.array(a)), names.take(pa.array(b)), pa.array(m.astype(np.int64)), pa.array(similar)], names=["family", "a", "b", "both", "similar"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("family", "p", "q")), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if held and keys[begin] != at:
+                    yield from met(pa.Table.from_batches(held))
+                    held = []
+                at = keys[begin]
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from met(pa.Table.from_batches(held))
+
+    # Few bytes, much work each: a number of partitions that Spark does not make smaller.
+    dealt = rows.repartition(min(cells, PRODUCTS), "family", "p", "q").sortWithinPartitions("family", "p", "q")
+    return dealt.mapInArrow(run, "family string, a string, b string, both long, similar boolean")
 
 
 def column_counts(aligned: DataFrame) -> DataFrame:

@@ -328,3 +328,22 @@ def test_tiles_of_genomes_meet_where_they_lie(spark, tmp_path, monkeypatch):
     sinks.distances(present, at := str(tmp_path / "d"), pressed=True)
     assert all(f.name.endswith(".gz") for f in (tmp_path / "d").glob("part-*"))
     assert {(x["g1"], x["g2"], int(x["n"])) for x in tables.matrix(spark, at, 1, "g2").collect()} == {(a, b, len(has[a] ^ has[b])) for a in has for b in has}
+
+
+def test_columns_in_common_of_blocks(spark, monkeypatch):
+    """A small family makes several products too, each with its own partition; names in any order, gaps only, and null."""
+    r = random.Random(6)
+    rows = [("f" if k % 4 else "g", f"l{r.random()}", "".join(r.choice("AC--") for _ in range(r.randint(0, 90)))) for k in range(40)] + [("f", "x", None), ("f", "gaps", "---")]
+    aligned = spark.createDataFrame(rows, "family string, locus string, aln string")
+    common = lambda a, b: sum(x != "-" != y for x, y in zip(a or "", b or "", strict=False))
+    want = {(a[0], a[1], b[1]): common(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]}
+    filled = {x[1]: common(x[2], x[2]) for x in rows}
+    monkeypatch.setattr(alignment, "COLUMNS", 16)
+    monkeypatch.setattr(alignment, "FEW_PAIRS", 5)
+    for most, pairs in ((7, 64), (2048, 1)):
+        monkeypatch.setattr(alignment, "PAIRS", most)
+        monkeypatch.setattr(alignment, "OVERLAPS", pairs)
+        got = alignment.column_overlaps(aligned)
+        assert got.rdd.getNumPartitions() == 2 * 3 // 2 + 7 * 8 // 2
+        got = {(x["family"], x["a"], x["b"]): (x["both"], x["similar"]) for x in got.collect()}
+        assert got == {k: (n, n >= 0.9 * filled[k[1]] and n >= 0.9 * filled[k[2]]) for k, n in want.items()}
