@@ -229,14 +229,17 @@ def _firsts(rows: DataFrame, keys: list[str], size: Column) -> DataFrame:
 
 
 def longest_per_genome(aligned: DataFrame, gaps: str = "-N") -> DataFrame:
-    """(family, genome, locus, aln, n): the sequence with the most letters but `gaps`, the first locus of ties, and how many there are."""
-    rows = checkpoint(slim(aligned.select("family", "genome", "locus", "aln")))
+    """(family, genome, locus, aln, n): the sequence with the most letters but `gaps`, the first locus of ties, and how many there are.
+
+    Of rows of slim(), which are read twice, as they are.
+    """
+    rows = aligned if "_width" in aligned.columns else checkpoint(slim(aligned.select("family", "genome", "locus", "aln")))
     return full(_firsts(rows, ["family", "genome"], _letters(F.col("aln"), gaps))).select("family", "genome", "locus", "aln", "n")
 
 
 def offsets(aligned: DataFrame, order: DataFrame) -> DataFrame:
-    """(family, start, end): each family's place in the concatenation, from 1. Families, not sequences, are what one task orders."""
-    width = aligned.groupBy("family").agg(F.max(F.length("aln")).alias("width")).join(order.select("family", "block", "ord"), "family")
+    """(family, start, end): each family's place in the concatenation, from 1, of aligned sequences or rows of slim(). Families, not sequences, are what one task orders."""
+    width = aligned.groupBy("family").agg(F.max(F.col("_width") if "_width" in aligned.columns else F.length("aln")).alias("width")).join(order.select("family", "block", "ord"), "family")
     w = Window.orderBy("block", "ord", "family").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("width").over(w)
     return width.select("family", (end - F.col("width") + 1).cast("long").alias("start"), end.cast("long").alias("end"))
@@ -245,7 +248,7 @@ def offsets(aligned: DataFrame, order: DataFrame) -> DataFrame:
 def concatenate(aligned: DataFrame, order: DataFrame, genomes: DataFrame, gap: str = "N", several: bool = False, amino: bool = False) -> DataFrame:
     """(genome, aln): families end to end in graph order.
 
-    In a sequence - and N, or - and * of amino acids, become `gap`. A missing family is all `gap`, one with several copies
+    aligned may be rows of slim(). In a sequence - and N, or - and * of amino acids, become `gap`. A missing family is all `gap`, one with several copies
     is all -, unless its longest is wanted; their letters alone decide which is longest.
     """
     gaps = "-*" if amino else "-N"

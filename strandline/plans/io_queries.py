@@ -13,7 +13,7 @@ from strandline.operators import alignment, filters, paralogs, summary, tools, t
 from strandline.operators import families as fam
 from strandline.plans.family_queries import SINGLE, single_copies
 from strandline.plans.projections import LIST, categories, clusters, hits, info, loci, loci_list, sql, table
-from strandline.plans.sequence_queries import ALIGNED, CODE, GFF, aligned, documents, gff_lines
+from strandline.plans.sequence_queries import ALIGNED, CODE, GFF, aligned, documents, gff_lines, slim_aligned
 from strandline.sources import gff, sinks, store, tables
 
 QUERIES, SQL = {}, {}
@@ -286,6 +286,13 @@ query("sink_representatives", ["dna"], CODE + """, r AS (SELECT coalesce(genome,
 SELECT h AS line FROM h UNION ALL SELECT h FROM h UNION ALL SELECT dna FROM h UNION ALL SELECT protein FROM h""")(lambda s, d: back(s, lambda at: sinks.representatives(representatives(s, d), at)))
 
 
+def concatenated(s, d, at: str) -> None:
+    """Documents' letters are kept once, for the offsets and the longest; only the longest are filled up."""
+    rows = slim_aligned(s, d)
+    order = places(s, d)
+    sinks.alignment(alignment.concatenate(rows, order, documents(s, d)), alignment.offsets_gff(alignment.offsets(rows, order)), at)
+
+
 def places(s, d) -> DataFrame:
     return aligned(s, d).select("family").distinct().select("family", F.lit(1).alias("block"), F.expr("cast(substring(family, 2) as int)").alias("ord"))
 
@@ -293,4 +300,4 @@ def places(s, d) -> DataFrame:
 query("sink_concat_alignment", ["dna"], f""", {ALIGNED}, c AS (
     SELECT genome, string_agg(CASE WHEN n IS NULL THEN repeat('N', w) WHEN n > 1 THEN repeat('-', w) ELSE replace(aln, '-', 'N') END, '' ORDER BY family) AS aln FROM width CROSS JOIN (SELECT DISTINCT genome FROM aligned) LEFT JOIN best USING (family, genome) GROUP BY genome)
 SELECT '>' || genome AS line FROM c UNION ALL SELECT aln FROM c UNION ALL SELECT concat_ws({TAB}, 'Pangenome', 'NA', 'CDS', stop - w + 1, stop, '.', '+', '0', 'ID=' || family || ';gene=' || family) FROM width""")(
-    lambda s, d: back(s, lambda at: sinks.alignment(alignment.concatenate(aligned(s, d), places(s, d), documents(s, d)), alignment.offsets_gff(alignment.offsets(aligned(s, d), places(s, d))), at)))
+    lambda s, d: back(s, lambda at: concatenated(s, d, at)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as seq
-from strandline.functions.names import checkpoint, gene_root, genome_name, locus_name, padded
+from strandline.functions.names import checkpoint, gene_root, genome_name, locus_name, padded, stored
 from strandline.operators import alignment, clustering, families, joining, paralogs
 from strandline.plans.projections import LIST, categories, clusters, documents, loci, loci_list, sql, table
 from strandline.sources import gff
@@ -141,11 +141,23 @@ def _classified(s, d):
     return paralogs.classify(members, hits, reps)
 
 
+def _changed(rows):
+    """(family, locus, genome, aln) of documents, not filled up."""
+    return rows.select(F.concat(F.lit("g"), padded(F.expr("length(dna) % 20"), 5)).alias("family"), "locus", "genome", F.regexp_replace(F.regexp_replace("dna", "TT", "--"), "GG", "NN").alias("aln"))
+
+
 def aligned(s, d):
     """Documents as aligned sequences, filled up to their family's longest; the family is a document's length class."""
     rows = documents(s, d).repartition("locus").withColumn("family", F.concat(F.lit("g"), padded(F.expr("length(dna) % 20"), 5)))
     width = F.broadcast(rows.groupBy("family").agg(F.max(F.length("dna")).cast("int").alias("w")))  # twenty families
-    return rows.join(width, "family").select("family", "locus", "genome", F.rpad(F.regexp_replace(F.regexp_replace("dna", "TT", "--"), "GG", "NN"), F.col("w"), F.lit("-")).alias("aln"))
+    return _changed(rows).join(width, "family").select("family", "locus", "genome", F.rpad("aln", F.col("w"), F.lit("-")).alias("aln"))
+
+
+def slim_aligned(s, d):
+    """alignment.slim() of aligned(), from one pass over the documents: their letters are kept, and their families' widths follow from those."""
+    rows = stored(alignment.slim(_changed(documents(s, d).repartition("locus"))))
+    width = F.broadcast(rows.groupBy("family").agg(F.max("_width").alias("w")))
+    return rows.join(width, "family").withColumn("_width", F.col("w")).drop("w")
 
 
 ALIGNED = """aligned AS (SELECT 'g' || lpad(CAST(length(dna) % 20 AS VARCHAR), 5, '0') AS family, locus, genome, rpad(regexp_replace(regexp_replace(dna, 'TT', '--', 'g'), 'GG', 'NN', 'g'), (max(length(dna)) OVER (PARTITION BY length(dna) % 20))::INT, '-') AS aln FROM dna

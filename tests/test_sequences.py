@@ -347,3 +347,16 @@ def test_columns_in_common_of_blocks(spark, monkeypatch):
         assert got.rdd.getNumPartitions() == 2 * 3 // 2 + 7 * 8 // 2
         got = {(x["family"], x["a"], x["b"]): (x["both"], x["similar"]) for x in got.collect()}
         assert got == {k: (n, n >= 0.9 * filled[k[1]] and n >= 0.9 * filled[k[2]]) for k, n in want.items()}
+
+
+def test_concatenation_of_sequences_without_their_fillings(spark):
+    """Rows of slim() are placed and concatenated as the filled ones are."""
+    rows = [("f1", "a", "x", "AC--"), ("f1", "b", "y", "AC-G"), ("f1", "c", "y", "----"), ("f2", "d", "x", "A-T---"), ("f2", "e", None, "------"), ("f2", "g", "z", "NNNNN-")]
+    aligned = spark.createDataFrame(rows, "family string, locus string, genome string, aln string")
+    order = spark.createDataFrame([("f1", 1, 2), ("f2", 1, 1)], "family string, block int, ord int")
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    slim = alignment.slim(aligned)
+    assert rows_of(alignment.offsets(slim, order)) == rows_of(alignment.offsets(aligned, order))
+    assert rows_of(alignment.longest_per_genome(slim)) == rows_of(alignment.longest_per_genome(aligned))
+    for several in (False, True):
+        assert rows_of(alignment.concatenate(slim, order, aligned, several=several)) == rows_of(alignment.concatenate(aligned, order, aligned, several=several))
